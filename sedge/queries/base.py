@@ -1,0 +1 @@
+"""Input views that the reference-operator queries share."""
