@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, mixing, simhash
+from . import compression_bands, decontaminate, license_scan, mixing, simhash
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_bands.report(table(spark, sf_dir, "documents"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
