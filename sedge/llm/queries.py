@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import compression_bands, decontaminate, language_id, license_scan, mixing, rule_ensemble, simhash, toxicity, warc
+from . import compression_bands, decontaminate, language_id, license_scan, mixing, rule_ensemble, simhash, site_style, toxicity, warc
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op2_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.report(table(spark, sf_dir, "pages"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.report(table(spark, sf_dir, "documents"))
 
