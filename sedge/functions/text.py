@@ -21,7 +21,7 @@ def parse_size(text: Column) -> Column:
 
 
 def format_mb(size: Column) -> Column:
-    return F.concat(F.format_string("%.2f", size / 1048576.0), F.lit(" MB"))
+    return F.when(size.isNotNull(), F.concat(F.format_string("%.2f", size / 1048576.0), F.lit(" MB")))
 
 
 def command_fields(text: Column, prefix: str) -> tuple[Column, Column, Column]:
