@@ -20,6 +20,7 @@ function of the rows and the seed, so that reruns agree.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +34,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 MOST_SHARDS = 1 << 16
-#: Documents per bucket, about.
-BUCKET_ROWS = 20_000
+#: Slots per task when they are mapped to blocks.
+TASK_SLOTS = 200_000
 ROUNDS = 12
 #: Sources that one plan may have: their targets are worked out on the driver.
 MOST_SOURCES = 1_000_000
@@ -114,7 +115,7 @@ def plan(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", sour
     for w in wanted:
         edges.append((at / total if total else 0.0, (at + w) / total if total else 0.0))
         at += w
-    table = [(a.source, k, a.size, a.target, blocks[k], max(1, n_docs[a.source] // BUCKET_ROWS), *edges[k]) for k, a in enumerate(aims)]
+    table = [(a.source, k, a.size, a.target, blocks[k], math.isqrt(n_docs[a.source]) + 1, *edges[k]) for k, a in enumerate(aims)]
     sources = spark.createDataFrame(table, schema)
 
     slots = round(total)
@@ -130,7 +131,9 @@ def plan(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", sour
     before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("k0", F.coalesce(F.sum("n").over(before), F.lit(0)))
     known = F.broadcast(sources.select("s", "source", "n_blocks"))  # a row per source, at most MOST_SOURCES of them, checked above
-    filled = counts.join(known, "s").select("shard", "s", "n_blocks", "j0", "k0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    # Few small rows become many slots: without this, one task would get all of them.
+    counts = counts.join(known, "s").repartition(spark.sparkContext.defaultParallelism + slots // TASK_SLOTS, "shard", "s")
+    filled = counts.select("shard", "s", "n_blocks", "j0", "k0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
     filled = filled.select("shard", (F.col("j0") + F.col("i")).alias("slot"), "s", "n_blocks", (F.col("k0") + F.col("i")).alias("k")).where(F.col("k") < most * F.col("n_blocks"))
     block = permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("s"), F.expr("k div n_blocks"))
     filled = filled.select("shard", "slot", "s", block.alias("block"))
