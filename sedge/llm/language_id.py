@@ -34,6 +34,8 @@ START = "▁"
 #: Words whose scores a worker remembers; the memory is emptied when full, so that it stays bounded.
 REMEMBERED = 400_000
 UNKNOWN = 1e-9
+#: Letters up to which words are scored together.
+SHORT = 24
 
 
 def vocabulary(path: str) -> list[str]:
@@ -106,56 +108,86 @@ def learn(words: Counter, tree: dict[str, int], size: int, rounds: int = 3, floo
 
 
 class Scorer:
-    """Log probabilities of words under all languages at once, summed over segmentations."""
+    """Log probabilities of words under all languages at once, summed over segmentations.
+
+    Words that are not remembered are scored together: the forward sums of all of them advance place by place.
+    """
 
     def __init__(self, pieces: list[str], languages: list[str], probabilities: np.ndarray, prior: np.ndarray):
         self.tree, self.languages, self.prior = prefixes(pieces), languages, np.log(prior)
-        self.rows = [tuple(x) for x in probabilities.T.tolist()]
-        self.known: dict[str, np.ndarray] = {}
+        # The last row is that of a character without a piece (number -1).
+        self.rows = np.vstack([probabilities.T, np.full((1, len(languages)), UNKNOWN)]) if languages else np.zeros((0, 0))
         self.longest = max(map(len, pieces), default=1)
-        self.none = (UNKNOWN,) * len(languages)
+        self.forget()
 
-    def word(self, word: str) -> np.ndarray:
-        spelled, langs = START + word, range(len(self.languages))
-        graph = edges(spelled, self.tree)
-        n = len(spelled)
-        ahead: list = [None] * (n + 1)
-        ahead[0], shift = [1.0] * len(self.languages), 0.0
-        for a in range(n):
-            now = ahead[a]
-            if now is None:
-                continue
-            if n > 24 and max(now) < 1e-150:  # long words: keep the sums in range
-                later = [x for x in ahead[a : a + self.longest + 1] if x is not None]
-                for x in later:
-                    for i in langs:
-                        x[i] *= 1e150
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.languages)))
+
+    def long_word(self, word: str) -> np.ndarray:
+        """A word of any length, with sums kept in range on the way."""
+        spelled = START + word
+        n, shift = len(spelled), 0.0
+        ahead = np.zeros((n + 1, len(self.languages)))
+        ahead[0] = 1.0
+        for a, here in enumerate(edges(spelled, self.tree)):
+            if ahead[a].max() < 1e-150:
+                ahead[a : a + self.longest + 1] *= 1e150
                 shift += math.log(1e150)
-            for b, k in graph[a]:
-                p = self.rows[k] if k >= 0 else self.none
-                to = ahead[b]
-                if to is None:
-                    ahead[b] = [now[i] * p[i] for i in langs]
-                else:
-                    for i in langs:
-                        to[i] += now[i] * p[i]
+            for b, k in here:
+                ahead[b] += ahead[a] * self.rows[k]
         return np.log(np.maximum(ahead[n], 1e-300)) - shift
 
-    def text(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall(text.lower())) if text and self.languages else None
-        if not counts:
-            return "und", 0.0
-        known, total = self.known, self.prior.copy()
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word, n in counts.items():
-            value = known.get(word)
-            if value is None:
-                value = known[word] = self.word(word)
-            total += n * value
-        odds = np.exp(total - total.max())
-        best = int(odds.argmax())
-        return self.languages[best], float(odds[best] / odds.sum())
+    def short_words(self, words: list[str]) -> np.ndarray:
+        """Words of at most SHORT letters, all at once: edges of equal place and length are one step."""
+        steps: dict[tuple[int, int], tuple[list, list]] = {}
+        for w, word in enumerate(words):
+            for a, here in enumerate(edges(START + word, self.tree)):
+                for b, k in here:
+                    step = steps.get((a, b))
+                    if step is None:
+                        step = steps[a, b] = ([], [])
+                    step[0].append(w)
+                    step[1].append(k)
+        ahead = np.zeros((len(words), SHORT + 2, len(self.languages)))
+        ahead[:, 0] = 1.0
+        for a, b in sorted(steps):
+            at, k = (np.array(x) for x in steps[a, b])
+            ahead[at, b] += ahead[at, a] * self.rows[k]
+        ends = np.array([len(w) + 1 for w in words])
+        return np.log(np.maximum(ahead[np.arange(len(words)), ends], 1e-300))
+
+    def remember(self, words: list[str]) -> None:
+        step = max(256, 400_000 // ((SHORT + 2) * max(1, len(self.languages))) * 4)
+        for at in range(0, len(words), step):
+            some = words[at : at + step]
+            short = [w for w in some if len(w) <= SHORT]
+            values = [self.short_words(short)] if short else []
+            values += [self.long_word(w)[None] for w in some if len(w) > SHORT]
+            size = len(self.known)
+            if size + len(some) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros((max(len(self.table), len(some)), len(self.languages)))])
+            self.table[size : size + len(some)] = np.vstack(values)
+            self.known.update(zip([*short, *(w for w in some if len(w) > SHORT)], range(size, size + len(some)), strict=True))
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and posterior of each text."""
+        out: list[tuple[str, float]] = []
+        for at in range(0, len(texts), 200):
+            counts = [Counter(LETTERS.findall(t.lower())) if t and self.languages else {} for t in texts[at : at + 200]]
+            if len(self.known) > REMEMBERED:
+                self.forget()
+            self.remember(list({w for c in counts for w in c if w not in self.known}))
+            for c in counts:
+                if not c:
+                    out.append(("und", 0.0))
+                    continue
+                rows = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
+                total = self.prior + np.fromiter(c.values(), float, len(c)) @ self.table[rows]
+                odds = np.exp(total - total.max())
+                best = int(odds.argmax())
+                out.append((self.languages[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_column: str = "doc_id", path: str = VOCABULARY, most_docs: int = MOST_DOCS, rounds: int = 3, seed: int = 3) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
@@ -194,7 +226,7 @@ def predictor(spark: SparkSession, model: tuple):
     def predict(texts: pd.Series) -> pd.DataFrame:
         if not made:
             made.append(Scorer(*held.value))
-        return pd.DataFrame([made[0].text(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(made[0].texts(list(texts)), columns=["lang_pred", "score"])
 
     return predict
 
