@@ -164,8 +164,11 @@ def test_branches_that_repeat_on_a_host_are_removed(spark, broadcast_bytes):
 
 
 def test_importance_is_the_entropy_of_what_is_shown(spark):
-    df = spark.createDataFrame([("h", 1, 10, 6), ("h", 1, 11, 2), ("h", 2, 12, 8), *[("h", 3, k, 1) for k in range(8)]], "host string, node bigint, shown bigint, n bigint")
-    assert site_style.entropy_importance([6, 2]) < 0.35 < site_style.entropy_importance([1] * 8)
+    rows = [("h", 1, 0, 10, 6), ("h", 1, 0, 11, 2), ("h", 2, 0, 12, 8), ("h", 2, 1, 5, 4), ("h", 2, 1, 6, 4), *[("h", 3, 0, k, 1) for k in range(8)], ("h", 4, 0, 1, 1)]
+    df = spark.createDataFrame(rows, "host string, node bigint, kind int, shown bigint, n bigint")
+    got = {r["node"]: r["importance"] for r in site_style.importances(df).collect()}
+    e = site_style.entropy_importance
+    assert got == pytest.approx({1: e([6, 2]), 2: 0.1 * e([4, 4]), 3: 1.0, 4: 1.0})
     assert sorted(r["node"] for r in site_style.unimportant(df).collect()) == [1, 2]
 
 
