@@ -8,6 +8,7 @@ from ..functions import geometry as G
 from ..functions.text import color_from_name
 from ..operators import mesh as M
 from ..operators.ordinals import lower_ranks, running_cap
+from ..plans import reports
 from ..session import table
 
 EPSILON = 10.0
@@ -196,7 +197,16 @@ def cache_reorder(spark, sf_dir):
     return M.reorder(triangles(spark, sf_dir), "file_id")
 
 
-QUERIES = {f.__name__: f for f in (mesh_triangles, mesh_quality, mesh_bbox, mesh_percentiles, mesh_dup_faces, mesh_edge_sharing, mesh_top_files, shell_faces, decimate, stride_sample, splat_cap, vertex_cluster, vertex_cluster_tris, vertex_dedup, index_compact, index_narrow, content_dedup, merge_groups, batch_offset, batch_union, box_downsample, hash_random, splat_points, splat_attrs, color_avg, material_rewrite, sum_pair, chunk_fold, edge_collapse, cache_reorder)} | {"color_from_name": color_names}
+def mesh_report(spark, sf_dir):
+    found = reports.mesh_report(triangles(spark, sf_dir), vertices(spark, sf_dir), EPSILON, edges=(30.0, 50.0), aspects=(3.0, 5.0), area=10.0)
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
+def splat_cloud(spark, sf_dir):
+    return reports.capped_splats(placed(spark, sf_dir), 1000).select("tri", F.col("s").cast("bigint").alias("s"))
+
+
+QUERIES = {f.__name__: f for f in (mesh_triangles, mesh_quality, mesh_bbox, mesh_percentiles, mesh_dup_faces, mesh_edge_sharing, mesh_top_files, shell_faces, decimate, stride_sample, splat_cap, vertex_cluster, vertex_cluster_tris, vertex_dedup, index_compact, index_narrow, content_dedup, merge_groups, batch_offset, batch_union, box_downsample, hash_random, splat_points, splat_attrs, color_avg, material_rewrite, sum_pair, chunk_fold, edge_collapse, cache_reorder, mesh_report, splat_cloud)} | {"color_from_name": color_names}
 
 _V = "v AS (SELECT vec_id AS v, label AS file_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, CAST(embedding[3] AS DOUBLE) * 100 AS z FROM embeddings)"
 _T = f"{_V}, t AS (SELECT a.v AS tri, a.file_id, a.v AS i0, a.v + 1 AS i1, a.v + 2 AS i2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2 FROM v a JOIN v b ON b.v = a.v + 1 JOIN v c ON c.v = a.v + 2)"
@@ -258,3 +268,5 @@ SELECT p_partkey, name, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN CAST(p
     "material_rewrite": """SELECT p_partkey, '{"name":"' || p_brand || '","alphaMode":"OPAQUE","doubleSided":false,"baseColorFactor":[0.72,0.68,0.55,1.0]}' AS material FROM part""",
     "sum_pair": "SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS total FROM lineitem",
 }
+ORACLE["mesh_report"] = f"WITH q AS ({ORACLE['mesh_quality']}), b AS ({ORACLE['mesh_bbox']}), d AS ({ORACLE['mesh_dup_faces']}), e AS ({ORACLE['mesh_edge_sharing']}) SELECT q.*, b.*, d.* EXCLUDE (faces), e.* FROM q, b, d, e"
+ORACLE["splat_cloud"] = f"SELECT tri, s FROM (WITH {_S} SELECT tri, s FROM g) ORDER BY tri, s LIMIT 1000"

@@ -69,6 +69,13 @@ def stream_dedup(spark, sf_dir):
     return streams.dedup_stream(spark, messages(spark, sf_dir).select("uid", "sender"), "uid").select("uid")
 
 
+def stream_tumbling(spark, sf_dir):
+    """Events by hour and type from a stream, all windows kept."""
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    found = streams.drain(streams.tumbling_counts(streams.as_stream(spark, rows), "ts", "1 hour", "2 hours", "event_type"), "complete")
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+
 def diff_view(spark, sf_dir):
     """Every document as a diff: its lines get a mark by their place."""
     marks = "element_at(array('+', '-', '+++ ', ' ', '@@'), cast(i % 5 + 1 as int))"
@@ -180,7 +187,7 @@ def history_top_n(spark, sf_dir):
     return text.newest(e, "project", "ts", 50, "event_id").select("event_id", "project", F.col("place").cast("bigint").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (log_parse, log_visits, log_total_ips, stream_log_visits, command_parse, contains_lookup, stream_dedup, diff_added_lines, after_marker, size_parse, sheet_names, unique_names, split_list, uri_strip, uri_resolve, changeset_keep, changeset_report, keep_anti, keep_semi, key_rows, first_wins, seq_code, seq_code_update, blank_audit, history_top_n)}
+QUERIES = {f.__name__: f for f in (log_parse, log_visits, log_total_ips, stream_log_visits, command_parse, contains_lookup, stream_dedup, stream_tumbling, diff_added_lines, after_marker, size_parse, sheet_names, unique_names, split_list, uri_strip, uri_resolve, changeset_keep, changeset_report, keep_anti, keep_semi, key_rows, first_wins, seq_code, seq_code_update, blank_audit, history_top_n)}
 
 _VISITS = "SELECT ip, count(*) AS visits, min(visit_time) AS first_time, max(visit_time) AS last_time FROM v GROUP BY ip"
 _FILES = """f AS (SELECT l_orderkey AS commit_id, ['M', 'A', 'D', 'R100', 'R'][l_linenumber % 5 + 1] AS status, CASE WHEN l_linenumber % 5 = 3 THEN 'gone.js' || chr(9) ELSE '' END || CASE WHEN l_suppkey % 3 = 0 THEN 'public/static/' ELSE 'src/' END || (l_partkey % 60) || '.js' AS path FROM lineitem)"""
@@ -201,6 +208,7 @@ SELECT event_id, CASE WHEN formed THEN d IS NOT NULL END AS ok, CASE WHEN formed
 n AS (SELECT n_nationkey * 3 + length(t) AS pos, n_name || '_' || t || '_' || (n_nationkey % 9) AS project FROM nation, (VALUES ('click'), ('view'), ('purchase')) v(t))
 SELECT event_id, word, min_by(project, pos) AS found FROM t LEFT JOIN n ON contains(project, word) GROUP BY event_id, word""",
     "stream_dedup": "SELECT DISTINCT event_id % 700 AS uid FROM events",
+    "stream_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "diff_added_lines": "SELECT doc_id, coalesce(array_to_string([x[2] FOR x IN list_zip(range(len(l)), l) IF x[1] % 5 = 0], chr(10)), '') AS added FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "after_marker": "SELECT doc_id, CASE WHEN contains(text, 'the ') THEN list_last(string_split(text, 'the ')) END AS tail FROM documents",
     "size_parse": """WITH o AS (SELECT o_orderkey, (o_custkey % 500) || ['mb', 'KB', 'b', '', ' kb', 'xb'][o_orderkey % 6 + 1] AS size, o_custkey % 500 AS n, [1048576, 1024, 1, 1, 1024, NULL][o_orderkey % 6 + 1] AS f FROM orders)
