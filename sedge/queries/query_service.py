@@ -172,7 +172,7 @@ UNION ALL SELECT 'except', count(*), CAST(sum(nationkey) AS BIGINT) FROM (SELECT
     "first_hit": "SELECT o_orderkey, o_totalprice, CAST(2 AS INTEGER) AS hit_index FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000",
     "sql_guard": """WITH s AS (SELECT event_id, ['SELECT * FROM Orders WHERE k = ', '  select a.* from customer a where a.k = ', 'DELETE FROM orders WHERE k = ', 'SELECT ''drop it'' FROM orders WHERE k = ', 'SELECT * FROM secrets WHERE k = ', 'UPDATE orders SET k = ', 'SELECT updated FROM orders WHERE k = '][event_id % 7 + 1] || user_id AS statement FROM events)
 SELECT event_id, statement, regexp_extract(lower(statement), '\\bfrom\\s+([a-z0-9_]+)', 1) AS table_name,
-       starts_with(lower(trim(statement)), 'select ') AND NOT regexp_matches(lower(statement), '\\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|replace|merge)\\b')
+       regexp_matches(lower(statement), '^\\s*select\\b') AND NOT regexp_matches(lower(statement), '\\b(insert|update|delete|drop|alter|truncate|create|grant|revoke|exec|execute)\\b')
        AND regexp_extract(lower(statement), '\\bfrom\\s+([a-z0-9_]+)', 1) IN ('orders', 'customer') AS allowed FROM s""",
     "geo_point": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 360 - 180 END AS x, c_nationkey * 3 - 40 AS y FROM customer)
 SELECT c_custkey, CASE WHEN x IS NOT NULL THEN '{"type":"Point","coordinates":[' || x || ',' || y || ']}' END AS geojson,
