@@ -22,9 +22,9 @@ def list_tables(spark: SparkSession) -> DataFrame:
 
 
 def list_columns(spark: SparkSession, table: str) -> DataFrame:
-    """tabname, id (from 1), name and type of a table's columns; the schema alone is read."""
-    rows = [(table, k, f.name, f.dataType.simpleString()) for k, f in enumerate(spark.table(table).schema.fields, 1)]
-    return spark.createDataFrame(rows, "tabname string, id int, name string, type string").orderBy("id")
+    """tabname, id (from 1), name, type and nullable of a table's columns; the schema alone is read."""
+    rows = [(table, k, f.name, f.dataType.simpleString(), f.nullable) for k, f in enumerate(spark.table(table).schema.fields, 1)]
+    return spark.createDataFrame(rows, "tabname string, id int, name string, type string, nullable boolean").orderBy("id")
 
 
 def dialect(db_type: str) -> str:

@@ -11,6 +11,8 @@ from ..functions import geometry as G
 from .ordinals import with_ordinal
 
 MESH_QUANTILES = (0.001, 0.5, 0.9, 0.99, 0.999)
+#: Number of distinct keys from which on a report says so.
+MOST_KEYS = 15_000_000
 
 
 def corners(triangles: DataFrame) -> DataFrame:
@@ -59,11 +61,14 @@ def face_key(epsilon: float, *points: Column) -> Column:
     return F.array_join(F.array_sort(F.array(*[G.point_key(p, epsilon) for p in points])), "|")
 
 
-def duplicate_faces(placed: DataFrame, epsilon: float, cap: int = 3) -> DataFrame:
-    """Faces, distinct keys, keys that occur twice or more and their occurrences (each key counts up to the cap)."""
+def duplicate_faces(placed: DataFrame, epsilon: float, cap: int = 3, most_keys: int = MOST_KEYS) -> DataFrame:
+    """Faces, distinct keys, keys that occur twice or more and their occurrences (each key counts up to the cap).
+
+    All keys are counted; keys_over_limit only tells that there are more than most_keys.
+    """
     keys = placed.groupBy(face_key(epsilon, F.col("p0"), F.col("p1"), F.col("p2")).alias("k")).agg(F.count("*").alias("n"))
     capped = F.least("n", F.lit(cap))
-    return keys.agg(F.sum("n").alias("faces"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.coalesce(F.sum(F.when(F.col("n") > 1, capped)), F.lit(0)).alias("duplicate_faces"))
+    return keys.agg(F.sum("n").alias("faces"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.coalesce(F.sum(F.when(F.col("n") > 1, capped)), F.lit(0)).alias("duplicate_faces"), (F.count("*") > most_keys).alias("keys_over_limit"))
 
 
 def edge_sharing(placed: DataFrame, epsilon: float) -> DataFrame:
@@ -81,6 +86,11 @@ def shell(placed: DataFrame, epsilon: float) -> DataFrame:
     return keyed.join(single, "face", "left_semi").drop("face")
 
 
+def centroids(placed: DataFrame) -> DataFrame:
+    """placed with the mean of the corners as cx, cy, cz."""
+    return placed.select("*", *[((F.col("p0")[k] + F.col("p1")[k] + F.col("p2")[k]) / 3).alias(f"c{c}") for k, c in enumerate("xyz")])
+
+
 def decimate(triangles: DataFrame, ratio: float, order: str = "tri") -> DataFrame:
     """An even choice of max(1, floor(n * ratio)) of the n triangles, in order: number floor(i * n / target) for each i."""
     numbered = with_ordinal(triangles, "_k", order)

@@ -44,12 +44,17 @@ def drop_listed(files: DataFrame, keep: DataFrame, key: str) -> DataFrame:
 
 
 def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
-    """files with out_name: safe, and unique without regard to case by _1, _2 ... before the ending."""
-    safe = safe_file_name(F.col(name))
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(order)) - 1
-    stem, ending = F.regexp_extract("_safe", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("_safe", r"^(.*?)(\.[^.]*)?$", 2)
-    named = files.withColumn("_safe", safe).withColumn("_key", F.lower("_safe")).withColumn("_rank", rank)
-    return named.withColumn("out_name", F.when(F.col("_rank") == 0, F.col("_safe")).otherwise(F.concat(stem, F.lit("_"), F.col("_rank").cast("string"), ending))).drop("_safe", "_key", "_rank")
+    """files with out_name: safe, and unique without regard to case by _1, _2 ... before the ending.
+
+    A number may lead to a name that another file has from the start; those that meet again are numbered once more.
+    """
+    stem, ending = F.regexp_extract("out_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("out_name", r"^(.*?)(\.[^.]*)?$", 2)
+    named = files.withColumn("out_name", safe_file_name(F.col(name))).withColumn("_own", F.lower("out_name"))
+    for _ in range(2):
+        # Files that still bear their first name come before those that were numbered into it.
+        rank = F.row_number().over(Window.partitionBy(F.lower("out_name")).orderBy(F.lower("out_name") != F.col("_own"), order)) - 1
+        named = named.withColumn("_rank", rank).withColumn("out_name", F.when(F.col("_rank") == 0, F.col("out_name")).otherwise(F.concat(stem, F.lit("_"), F.col("_rank").cast("string"), ending)))
+    return named.drop("_own", "_rank")
 
 
 def sheet_names(tables: DataFrame, name: str, order: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mesh as M
+from ..operators import tiles as T
 from ..operators.ordinals import running_cap
 from ..storage import cut
 
@@ -25,3 +26,18 @@ def capped_splats(placed: DataFrame, most: int, **options) -> DataFrame:
     counts = points.groupBy("tri").agg(F.count("*").alias("n"))
     granted = running_cap(counts, "n", most, "tri").select("tri", "granted")
     return points.join(granted, "tri").where(F.col("s") < F.col("granted")).drop("granted")
+
+
+def retile(placed: DataFrame, most_triangles: int = 12_000, most_parts: int = 16) -> DataFrame:
+    """placed with part: the cell of a grid over the mesh that holds the triangle's middle. Every triangle is in one part.
+
+    The grid has about triangles / most_triangles cells, within 2 and most_parts; a small mesh is one part.
+    """
+    middle = M.centroids(placed)
+    whole = middle.agg(F.count("*").alias("n"), *[f(F.col(p)[k]).alias(f"{m}_{a}_{p}") for p in ("p0", "p1", "p2") for k, a in enumerate("xy") for m, f in (("min", F.min), ("max", F.max))]).first()
+    if whole["n"] <= most_triangles:
+        return middle.withColumn("part", F.lit(0))
+    low = tuple(min(whole[f"min_{a}_{p}"] for p in ("p0", "p1", "p2")) for a in "xy")
+    high = tuple(max(whole[f"max_{a}_{p}"] for p in ("p0", "p1", "p2")) for a in "xy")
+    parts = min(most_parts, max(2, -(-whole["n"] // most_triangles)))
+    return middle.withColumn("part", T.grid_cell(F.col("cx"), F.col("cy"), low, high, T.choose_grid(high[0] - low[0], high[1] - low[1], parts)))

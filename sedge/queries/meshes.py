@@ -202,11 +202,16 @@ def mesh_report(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
+def retile_parts(spark, sf_dir):
+    found = reports.retile(placed(spark, sf_dir), most_triangles=50, most_parts=9)
+    return found.groupBy(F.col("part").cast("bigint").alias("part")).agg(F.count("*").alias("triangles"), F.min("tri").alias("first_tri"))
+
+
 def splat_cloud(spark, sf_dir):
     return reports.capped_splats(placed(spark, sf_dir), 1000).select("tri", F.col("s").cast("bigint").alias("s"))
 
 
-QUERIES = {f.__name__: f for f in (mesh_triangles, mesh_quality, mesh_bbox, mesh_percentiles, mesh_dup_faces, mesh_edge_sharing, mesh_top_files, shell_faces, decimate, stride_sample, splat_cap, vertex_cluster, vertex_cluster_tris, vertex_dedup, index_compact, index_narrow, content_dedup, merge_groups, batch_offset, batch_union, box_downsample, hash_random, splat_points, splat_attrs, color_avg, material_rewrite, sum_pair, chunk_fold, edge_collapse, cache_reorder, mesh_report, splat_cloud)} | {"color_from_name": color_names}
+QUERIES = {f.__name__: f for f in (mesh_triangles, mesh_quality, mesh_bbox, mesh_percentiles, mesh_dup_faces, mesh_edge_sharing, mesh_top_files, shell_faces, decimate, stride_sample, splat_cap, vertex_cluster, vertex_cluster_tris, vertex_dedup, index_compact, index_narrow, content_dedup, merge_groups, batch_offset, batch_union, box_downsample, hash_random, splat_points, splat_attrs, color_avg, material_rewrite, sum_pair, chunk_fold, edge_collapse, cache_reorder, mesh_report, retile_parts, splat_cloud)} | {"color_from_name": color_names}
 
 _V = "v AS (SELECT vec_id AS v, label AS file_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, CAST(embedding[3] AS DOUBLE) * 100 AS z FROM embeddings)"
 _T = f"{_V}, t AS (SELECT a.v AS tri, a.file_id, a.v AS i0, a.v + 1 AS i1, a.v + 2 AS i2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2 FROM v a JOIN v b ON b.v = a.v + 1 JOIN v c ON c.v = a.v + 2)"
@@ -241,7 +246,7 @@ ORACLE = {
     "mesh_bbox": f"WITH {_V} SELECT " + ", ".join(f"round(min({c}), 6) AS min_{c}, round(max({c}), 6) AS max_{c}, round(max({c}) - min({c}), 6) AS span_{c}" for c in "xyz") + " FROM v",
     "mesh_percentiles": f"""WITH {_M}, l AS (SELECT 'longest' AS measure, longest AS value FROM m UNION ALL SELECT 'aspect', aspect FROM m), s AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY measure) AS n FROM l)
 SELECT measure, CAST(q AS DOUBLE) AS q, round(value, 6) AS value FROM s, (VALUES {_QUANTILES}) w(q) WHERE k = CAST(floor((n - 1) * CAST(q AS DOUBLE)) AS BIGINT)""",
-    "mesh_dup_faces": f"WITH {_F}, n AS (SELECT face, count(*) AS n FROM f GROUP BY face) SELECT CAST(sum(n) AS BIGINT) AS faces, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS duplicate_keys, CAST(coalesce(sum(least(n, 3)) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_faces FROM n",
+    "mesh_dup_faces": f"WITH {_F}, n AS (SELECT face, count(*) AS n FROM f GROUP BY face) SELECT CAST(sum(n) AS BIGINT) AS faces, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS duplicate_keys, CAST(coalesce(sum(least(n, 3)) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_faces, count(*) > 15000000 AS keys_over_limit FROM n",
     "mesh_edge_sharing": f"WITH {_F}, e AS (SELECT array_to_string(list_sort([a, b]), '|') AS e FROM k UNION ALL SELECT array_to_string(list_sort([b, c]), '|') FROM k UNION ALL SELECT array_to_string(list_sort([c, a]), '|') FROM k), n AS (SELECT e, count(*) AS n FROM e GROUP BY e) SELECT count(*) AS edges, count(*) FILTER (WHERE n = 1) AS boundary, count(*) FILTER (WHERE n = 2) AS manifold, count(*) FILTER (WHERE n > 2) AS non_manifold FROM n",
     "mesh_top_files": f"WITH {_M} SELECT file_id, count(*) AS triangles, round(max(longest), 6) AS max_edge, count(*) FILTER (WHERE aspect > 3) AS slim FROM m GROUP BY file_id ORDER BY triangles DESC, file_id LIMIT 8",
     "shell_faces": f"WITH {_F} SELECT tri, file_id FROM f QUALIFY count(*) OVER (PARTITION BY face) = 1",
@@ -270,3 +275,6 @@ SELECT p_partkey, name, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN CAST(p
 }
 ORACLE["mesh_report"] = f"WITH q AS ({ORACLE['mesh_quality']}), b AS ({ORACLE['mesh_bbox']}), d AS ({ORACLE['mesh_dup_faces']}), e AS ({ORACLE['mesh_edge_sharing']}) SELECT q.*, b.*, d.* EXCLUDE (faces), e.* FROM q, b, d, e"
 ORACLE["splat_cloud"] = f"SELECT tri, s FROM (WITH {_S} SELECT tri, s FROM g) ORDER BY tri, s LIMIT 1000"
+ORACLE["retile_parts"] = f"""WITH {_T}, b AS (SELECT count(*) AS n, min(least(x0, x1, x2)) AS xa, max(greatest(x0, x1, x2)) AS xb, min(least(y0, y1, y2)) AS ya, max(greatest(y0, y1, y2)) AS yb FROM t),
+p AS (SELECT *, least(9, greatest(2, CAST(ceil(n / 50) AS BIGINT))) AS parts, greatest(xb - xa, 0.001) AS w, greatest(yb - ya, 0.001) AS h FROM b), g0 AS (SELECT *, CAST(least(parts, greatest(1, floor(sqrt(parts) * sqrt(w / h) + 0.5))) AS BIGINT) AS gx FROM p), g AS (SELECT *, CAST(ceil(parts / gx) AS BIGINT) AS gy FROM g0)
+SELECT CAST(least(greatest(floor(((y0 + y1 + y2) / 3 - ya) / (yb - ya) * gy), 0), gy - 1) * gx + least(greatest(floor(((x0 + x1 + x2) / 3 - xa) / (xb - xa) * gx), 0), gx - 1) AS BIGINT) AS part, count(*) AS triangles, min(tri) AS first_tri FROM t, g GROUP BY 1"""

@@ -145,7 +145,7 @@ _JOIN = "FROM (SELECT * FROM customer WHERE c_acctbal > 0) c {0} JOIN (SELECT *
 ORACLE = {
     "scan_table": "SELECT * FROM nation",
     "list_tables": f"SELECT name FROM (VALUES {', '.join(f'({x!r})' for x in STAR)}) t(name)",
-    "list_columns": "SELECT 'orders' AS tabname, CAST(i AS INTEGER) AS id, n AS name, t AS type FROM (VALUES (1, 'o_orderkey', 'bigint'), (2, 'o_custkey', 'bigint'), (3, 'o_orderstatus', 'string'), (4, 'o_totalprice', 'double'), (5, 'o_orderdate', 'timestamp_ntz'), (6, 'o_orderpriority', 'string')) v(i, n, t)",
+    "list_columns": "SELECT 'orders' AS tabname, CAST(i AS INTEGER) AS id, n AS name, t AS type, true AS nullable FROM (VALUES (1, 'o_orderkey', 'bigint'), (2, 'o_custkey', 'bigint'), (3, 'o_orderstatus', 'string'), (4, 'o_totalprice', 'double'), (5, 'o_orderdate', 'timestamp_ntz'), (6, 'o_orderpriority', 'string')) v(i, n, t)",
     "query_select": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000",
     "where_template": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice < 150000 AND o_orderstatus <> 'it''s'",
     "where_merge": "SELECT c_custkey FROM customer WHERE (c_nationkey = 1 OR c_nationkey = 2) AND (c_acctbal > 0 OR c_mktsegment = 'BUILDING')",

@@ -178,6 +178,15 @@ def b3dm_of(model: bytes, batch_length: int = 0, batch_table: dict | None = None
     return struct.pack("<4s6I", b"b3dm", 1, 28 + len(feature) + len(batch) + len(model), len(feature), 0, len(batch), 0) + feature + batch + model
 
 
+def remap_indices(value, numbers: dict[int, int]):
+    """A material with the texture numbers of all its slots, at any depth, replaced."""
+    if isinstance(value, list):
+        return [remap_indices(x, numbers) for x in value]
+    if not isinstance(value, dict):
+        return value
+    return {k: {**remap_indices(x, numbers), "index": numbers[x["index"]]} if k.endswith("Texture") and isinstance(x, dict) and x.get("index") in numbers else remap_indices(x, numbers) for k, x in value.items()}
+
+
 PLY_FIELDS = ("x", "y", "z", "nx", "ny", "nz", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
 
 

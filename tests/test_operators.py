@@ -90,3 +90,19 @@ def test_stream_dedup_leaves_out_seen(spark):
 def test_lod_error_and_boxes(spark):
     row = spark.range(1).select(tiles.geometric_error([F.lit(3.0), F.lit(4.0), F.lit(12.0)]).alias("e"), tiles.box_of([F.lit(0.0)] * 3, [F.lit(2.0), F.lit(0.0), F.lit(4.0)]).alias("b")).first()
     assert row["e"] == 6.5 and row["b"][:3] == [1, 0, 2] and row["b"][3] == 1 and row["b"][7] == 0.001
+
+
+def test_mercator_corners(spark):
+    from sedge.plans.guard import mercator_to_lonlat
+
+    lon, lat = mercator_to_lonlat(F.lit(20037508.342789244), F.lit(20037508.342789244))
+    row = spark.range(1).select(lon.alias("lon"), lat.alias("lat")).first()
+    assert abs(row["lon"] - 180) < 1e-9 and abs(row["lat"] - 85.0511287798) < 1e-9
+
+
+def test_unique_names_survive_a_name_that_is_numbered_already(spark):
+    from sedge.operators.text import unique_names
+
+    files = spark.createDataFrame([(1, "a.b3dm"), (2, "A.b3dm"), (3, "a_1.b3dm"), (4, "x")], "k int, name string")
+    got = {r["k"]: r["out_name"] for r in unique_names(files, "name", "k").collect()}
+    assert len({v.lower() for v in got.values()}) == 4 and got[1] == "a.b3dm" and got[3] == "a_1.b3dm"

@@ -118,3 +118,8 @@ def test_config_and_history(spark, tmp_path):
     assert none.isEmpty()
     more = spark.range(70).selectExpr("cast(id as string) id", "'p' project", "'b' build_type", "'ok' status", "timestamp_ntz'2026-01-01' + make_interval(0,0,0,cast(id as int)) started_at", "'m' message")
     assert config.append_history(none, more).agg({"started_at": "min"}).first()[0].isoformat() == "2026-01-21T00:00:00"
+
+
+def test_texture_numbers_are_replaced_at_any_depth():
+    material = {"pbr": {"baseColorTexture": {"index": 0, "texCoord": 1}}, "normalTexture": {"index": 2}, "list": [{"emissiveTexture": {"index": 9}}], "index": 0}
+    assert tiles3d.remap_indices(material, {0: 5, 2: 6}) == {"pbr": {"baseColorTexture": {"index": 5, "texCoord": 1}}, "normalTexture": {"index": 6}, "list": [{"emissiveTexture": {"index": 9}}], "index": 0}
