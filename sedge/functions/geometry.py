@@ -14,8 +14,17 @@ def sub(a: Column, b: Column) -> Column:
     return F.array(*[a[k] - b[k] for k in range(3)])
 
 
+def cross_parts(a, b) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
 def cross(a: Column, b: Column) -> Column:
-    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    return F.array(*cross_parts(a, b))
+
+
+def let(values: dict[str, Column], body) -> Column:
+    """body(named values), with each value worked out once; expressions that reuse large parts stay small this way."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
 
 
 def norm(a: Column) -> Column:
@@ -97,15 +106,21 @@ def logit(x: Column) -> Column:
 
 def quaternion_of_normal(n: Column) -> Column:
     """[w, x, y, z] of the frame whose third axis is the normal: cases by the largest diagonal term, for accuracy."""
-    helper = F.when(F.abs(n[0]) > 0.9, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
-    raw = cross(n, helper)
-    second = F.transform(F.array(F.struct(raw.alias("v"), norm(raw).alias("l"))), lambda s: F.array(*[s["v"][k] / s["l"] for k in range(3)]))[0]
-    frame = F.array(F.struct(second.alias("y"), n.alias("z")))
+    steep = F.abs(n[0]) > 0.9
+    helper = [F.when(steep, 0.0).otherwise(1.0), F.when(steep, 1.0).otherwise(0.0), F.lit(0.0)]
+    raw = dict(zip(("y0", "y1", "y2"), cross_parts(n, helper), strict=True))
+    normal = {f"z{k}": n[k] for k in range(3)}
+
+    def frame(f: Column) -> Column:
+        size = F.sqrt(f["y0"] * f["y0"] + f["y1"] * f["y1"] + f["y2"] * f["y2"])
+        return F.struct(*[(f[f"y{k}"] / size).alias(f"y{k}") for k in range(3)], *[f[f"z{k}"].alias(f"z{k}") for k in range(3)])
+
+    def matrix(f: Column) -> Column:
+        y, z = [f[f"y{k}"] for k in range(3)], [f[f"z{k}"] for k in range(3)]
+        return F.struct(*[axis[r].alias(f"m{r}{c}") for c, axis in enumerate((cross_parts(y, z), y, z)) for r in range(3)])
 
     def solve(f: Column) -> Column:
-        y, z = f["y"], f["z"]
-        x = cross(y, z)
-        m = {(r, c): axis[r] for c, axis in enumerate((x, y, z)) for r in range(3)}
+        m = {(r, c): f[f"m{r}{c}"] for r in range(3) for c in range(3)}
         trace = m[0, 0] + m[1, 1] + m[2, 2]
         skew = (m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1])
 
@@ -123,6 +138,11 @@ def quaternion_of_normal(n: Column) -> Column:
             .otherwise(largest(2))
         )
 
-    q = F.transform(frame, solve)[0]
-    size = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
-    return F.when(size < 1e-12, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(*[q[k] / size for k in range(4)]))
+    def unit(f: Column) -> Column:
+        q = f["q"]
+        size = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+        return F.when(size < 1e-12, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))).otherwise(F.transform(q, lambda c: c / size))
+
+    turned = let(raw | normal, frame)
+    cells = F.transform(F.array(turned), matrix)
+    return let({"q": F.transform(cells, solve)[0]}, unit)

@@ -188,16 +188,17 @@ def chunk_fold(triangles: DataFrame, group: str, most_vertices: int, order: str
 def splats(placed: DataFrame, seed: int = 1, density: float = 0.08, most: int = 20, size: float = 0.5, opacity: float = 0.85, signed: bool = False) -> DataFrame:
     """Surface points of every triangle with an area: tri, s, position, normal, rotation, log scales and opacity."""
     p = [F.col(f"p{k}") for k in range(3)]
-    sides = placed.withColumn("ea", G.sub(p[1], p[0])).withColumn("eb", G.sub(p[2], p[0])).withColumn("normal", G.cross(F.col("ea"), F.col("eb"))).withColumn("twice", G.norm(F.col("normal")))
-    solid = sides.where("twice > 1e-12").withColumn("n", F.least(F.greatest(F.ceil(F.col("twice") * 0.5 * density), F.lit(1)), F.lit(most)))
-    solid = solid.withColumn("normal", F.transform("normal", lambda c: c / F.col("twice"))).withColumn("rotation", G.quaternion_of_normal(F.col("normal")))
-    scales = F.array(F.ln(F.greatest(G.norm(F.col("ea")) * size, F.lit(1e-4))), F.ln(F.greatest(G.norm(F.col("eb")) * size, F.lit(1e-4))), F.ln(F.greatest(G.norm(G.sub(F.col("ea"), F.col("eb"))) * 0.05, F.lit(1e-4))))
-    each = solid.withColumn("scales", scales).select("tri", "p0", "ea", "eb", "normal", "rotation", "scales", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("s"))
-    each = each.withColumn("r", G.mixed_fraction(F.lit(seed), F.col("tri"), F.col("s") * 2, signed)).withColumn("t", G.mixed_fraction(F.lit(seed), F.col("tri"), F.col("s") * 2 + 1, signed))
-    fold = (F.col("r") + F.col("t")) > 1
-    each = each.withColumn("r2", F.when(fold, 1 - F.col("r")).otherwise(F.col("r"))).withColumn("t2", F.when(fold, 1 - F.col("t")).otherwise(F.col("t")))
-    position = F.array(*[F.col("p0")[k] + F.col("ea")[k] * F.col("r2") + F.col("eb")[k] * F.col("t2") for k in range(3)])
-    return each.select("tri", "s", position.alias("position"), "normal", "rotation", "scales", G.logit(F.lit(opacity)).alias("opacity"))
+    sides = placed.select("tri", "p0", G.sub(p[1], p[0]).alias("ea"), G.sub(p[2], p[0]).alias("eb"))
+    sides = sides.select("*", G.cross(F.col("ea"), F.col("eb")).alias("across"))
+    solid = sides.select("*", G.norm(F.col("across")).alias("twice")).where("twice > 1e-12")
+    count = F.least(F.greatest(F.ceil(F.col("twice") * 0.5 * density), F.lit(1)), F.lit(most))
+    each = solid.select("tri", "p0", "ea", "eb", F.transform("across", lambda c: c / F.col("twice")).alias("normal"), F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("s"))
+    each = each.select("*", *[G.mixed_fraction(F.lit(seed), F.col("tri"), F.col("s") * 2 + k, signed).alias(n) for k, n in enumerate("rt")])
+    folded = [F.when(F.col("r") + F.col("t") > 1, 1 - F.col(n)).otherwise(F.col(n)) for n in "rt"]
+    position = F.array(*[F.col("p0")[k] + F.col("ea")[k] * folded[0] + F.col("eb")[k] * folded[1] for k in range(3)])
+    lengths = ((G.norm(F.col("ea")), size), (G.norm(F.col("eb")), size), (G.norm(G.sub(F.col("ea"), F.col("eb"))), 0.05))
+    scales = F.array(*[F.ln(F.greatest(length * factor, F.lit(1e-4))) for length, factor in lengths])
+    return each.select("tri", "s", position.alias("position"), "normal", G.quaternion_of_normal(F.col("normal")).alias("rotation"), scales.alias("scales"), G.logit(F.lit(opacity)).alias("opacity"))
 
 
 def simplify_primitive(found: pd.DataFrame, ratio: float) -> pd.DataFrame:

@@ -188,21 +188,30 @@ def merge_small(groups: list[tuple[str, int, float, float, float]], least: int,
     Input: name, size and centre of each group; output: final name of every group. A sequence of choices, made on group
     summaries (one row per group), never on their members.
     """
-    alive = {g: [n, np.array([x, y, z]) * n] for g, n, x, y, z in groups}
-    into = {g: g for g in alive}
+    ordered = sorted(groups)
+    size = np.array([g[1] for g in ordered], float)
+    total = np.array([[g[2], g[3], g[4]] for g in ordered], float).reshape(-1, 3) * size[:, None]
+    alive, into = np.ones(len(ordered), bool), list(range(len(ordered)))
     while True:
-        small = min((g for g in alive if alive[g][0] < least), key=lambda g: (alive[g][0], g), default=None)
-        if small is None:
+        below = np.where(alive & (size < least), size, np.inf)
+        small = int(below.argmin()) if len(below) else 0
+        if not len(below) or below[small] == np.inf:
             break
-        n, total = alive[small]
-        room = [g for g in alive if g != small and alive[g][0] + n <= most]
-        if not room:
+        apart = ((total / size[:, None] - total[small] / size[small]) ** 2).sum(axis=1)
+        room = alive & (size + size[small] <= most)
+        room[small] = False
+        if not room.any():
             break
-        near = min(room, key=lambda g: (float(((alive[g][1] / alive[g][0] - total / n) ** 2).sum()), g))
-        alive[near] = [alive[near][0] + n, alive[near][1] + total]
-        del alive[small]
-        into = {g: near if t == small else t for g, t in into.items()}
-    return into
+        near = int(np.where(room, apart, np.inf).argmin())
+        size[near] += size[small]
+        total[near] += total[small]
+        alive[small], into[small] = False, near
+    names = {}
+    for k, g in enumerate(ordered):
+        while into[k] != k:
+            k = into[k]
+        names[g[0]] = ordered[k][0]
+    return names
 
 
 def split_by_bytes(group: list[tuple[int, int, float, float]], most_bytes: int) -> list[list[int]]:
