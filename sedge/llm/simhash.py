@@ -264,6 +264,8 @@ def keep_one(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id",
     prints = cut(marked.groupBy("fp").agg(F.min(rank).alias("first")))
     found = prints.join(classify(prints, **options), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = found.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.row")
+    # Rows meet by their hash alone, so that the last step needs no second shuffle of the texts; ids are compared besides.
     left, right = known.alias("l"), kept.alias("r")
-    same = (F.col(f"l.`{id_column}`").eqNullSafe(F.col("r.id"))) & (F.col(f"l.`{row}`") == F.col("r.row"))
-    return left.join(right, same, "left_semi").dropDuplicates([row, id_column]).drop(row)
+    own, other = F.col(f"l.`{id_column}`"), F.col("r.id")
+    same_id = F.coalesce(own == other, own.isNull() & other.isNull())
+    return left.join(right, (F.col(f"l.`{row}`") == F.col("r.row")) & same_id, "left_semi").dropDuplicates([row, id_column]).drop(row)
