@@ -18,4 +18,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, *, most_rows:
     n = usable.count()
     if n > most_rows:
         usable = usable.where(F.pmod(F.xxhash64("label_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    # At most about most_rows ids and labels are broadcast, whatever the size of either table; texts stay where they are.
+    usable = F.broadcast(usable)
     return docs.join(usable, docs["doc_id"] == usable["label_id"]).select(*columns, "label", "label_id")

@@ -182,3 +182,16 @@ def test_articles_of_the_test_pages(spark):
         inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inside)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_labelled_samples_are_bounded_and_not_held_out(spark):
+    from sedge.llm.common import held_out
+    from sedge.llm.labelled import training_rows
+
+    docs = spark.range(2000).selectExpr("id AS doc_id", "cast(id as string) AS text")
+    labels = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 2 as int) AS toxic").union(spark.createDataFrame([(5, None), (None, 1)], "doc_id bigint, toxic int"))
+    whole = training_rows(docs, labels, "toxic", most_rows=10**6, columns=["text"])
+    part = training_rows(docs, labels, "toxic", most_rows=300, columns=["text"])
+    assert whole.count() == docs.where(~held_out(F.col("doc_id"))).count()
+    assert 200 < part.count() < 400 and set(part.collect()) <= set(whole.collect()) and set(part.collect()) == set(training_rows(docs, labels, "toxic", most_rows=300, columns=["text"]).collect())
+    assert "BroadcastHashJoin" in part._jdf.queryExecution().toString()
