@@ -6,7 +6,8 @@ block at position perm(k mod n) of the source's n blocks, where perm is a pseudo
 the source and the pass k div n. Slots and blocks then meet in a join on (source, block).
 
 The draw is multinomial with one uniform number per slot, each in its own 1/S stratum of the shard, so that counts
-stay within a few slots of S times the weight. Slots beyond twice a source's blocks are not filled, so that no document
+stay within a few slots of S times the weight. As numbers rise with the slot, a source's slots stand together, and only
+the slots at the borders between sources have to be drawn to know all counts. Slots beyond twice a source's blocks are not filled, so that no document
 is taken more than twice.
 
 Packing needs the running number of words before each document. Documents are dealt into many buckets per source by a
@@ -38,7 +39,7 @@ MOST_SHARDS = 1 << 16
 TASK_SLOTS = 200_000
 ROUNDS = 12
 #: Sources that one plan may have: their targets are worked out on the driver.
-MOST_SOURCES = 1_000_000
+MOST_SOURCES = 20_000
 
 
 def count_words(text: Column) -> Column:
@@ -120,14 +121,19 @@ def plan(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", sour
 
     slots = round(total)
     per_shard = max(shard_slots, -(-slots // MOST_SHARDS))
-    last = max((k for k, w in enumerate(wanted) if w), default=0)
-    bounds = F.array(*[F.lit(e[1]) for e in edges[:last]]) if last else F.array().cast("array<double>")
-    drawn = spark.range(slots).select(F.expr(f"id div {per_shard}").alias("shard"), F.pmod("id", F.lit(per_shard)).alias("j"))
-    width = F.least(F.lit(per_shard), F.lit(slots) - F.col("shard") * per_shard)
-    u = (F.col("j") + _uniform(F.lit(seed), F.col("shard"), F.col("j"))) / width
-    drawn = drawn.select("shard", "j", F.size(F.filter(bounds, lambda edge: edge <= u)).alias("s"))
-    counts = drawn.groupBy("shard", "s").agg(F.count("*").alias("n"), F.min("j").alias("j0"))
-    # u grows with j inside a shard, so that the slots of one source stand together, from j0 on.
+    last = max((k for k, w in enumerate(wanted) if w), default=-1)
+    ranges = F.array(*[F.struct(F.lit(k).alias("s"), F.lit(edges[k][0]).alias("low"), F.lit(edges[k][1] if k != last else 1.0).alias("high")) for k, w in enumerate(wanted) if w] or [F.lit(None).cast("struct<s:int,low:double,high:double>")])
+    shards = spark.range(-(-slots // per_shard)).select(F.col("id").alias("shard"), F.least(F.lit(per_shard), F.lit(slots) - F.col("id") * per_shard).alias("width"))
+
+    def first_slot(edge: Column) -> Column:
+        """The first slot of the shard whose number reaches the edge. Slot j draws from [j, j + 1) / width, so that only one slot is in doubt."""
+        j = F.floor(edge * F.col("width"))
+        drawn = (j + _uniform(F.lit(seed), F.col("shard"), j)) / F.col("width")
+        return F.when(edge >= 1, F.col("width")).when(drawn >= edge, j).otherwise(j + 1)
+
+    drawn = shards.select("shard", "width", F.explode(ranges).alias("r")).select("shard", "width", "r.*")
+    counts = drawn.select("shard", "s", first_slot(F.col("low")).alias("j0"), first_slot(F.col("high")).alias("j1"))
+    counts = counts.select("shard", "s", "j0", (F.col("j1") - F.col("j0")).alias("n")).where("n > 0")
     before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("k0", F.coalesce(F.sum("n").over(before), F.lit(0)))
     known = F.broadcast(sources.select("s", "source", "n_blocks"))  # a row per source, at most MOST_SOURCES of them, checked above
