@@ -228,9 +228,10 @@ def with_revisits(pages: DataFrame, *, id_column: str = "page_id", url: str = "u
     marked = pages.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{url}`").alias("target_uri"), payload.alias("payload"), base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_bytes"))
     # Of digests that occur once nothing is needed: the list to join is that of repeated payloads.
     keys = cut(marked.where(F.col("id").isNotNull() & (F.col("payload_bytes") >= least_bytes)).select("id", "payload_digest", "payload_bytes"))
-    first = keys.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n", "payload_bytes")
-    later = keys.join(first, "payload_digest").where("id <> first").select("id", "first").distinct()
-    rows = marked.join(later, "id", "left")
+    first = keys.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # An id may have several payloads (a recrawl): only the row with the repeated one is a revisit.
+    later = keys.join(first, ["payload_digest", "payload_bytes"]).where("id <> first").select("id", "payload_digest", "payload_bytes", "first").distinct()
+    rows = marked.join(later, ["id", "payload_digest", "payload_bytes"], "left")
     uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return rows.select(uri(F.col("id")).alias("record_id"), F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("target_uri").cast("string"), uri(F.col("first")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
 
@@ -239,10 +240,19 @@ def page_of(uri: Column) -> Column:
     return F.regexp_extract(uri, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """records, read with payloads, where digest and length of responses come from the payload itself; a header that differs stops the query."""
+    digest, size = base32_sha1(F.col("payload")), F.octet_length("payload").cast("bigint")
+    full = F.col("record_type") != "revisit"  # a revisit record has headers only
+    agree = digest.eqNullSafe(F.col("payload_digest")) & size.eqNullSafe(F.col("payload_bytes"))
+    fault = F.raise_error(F.concat(F.lit("payload differs from its headers: "), F.coalesce("record_id", F.lit("no id"))))
+    return records.withColumns({"payload_digest": F.when(full & ~agree, fault.cast("string")).when(full, digest).otherwise(F.col("payload_digest")), "payload_bytes": F.when(full, size).otherwise(F.col("payload_bytes"))})
+
+
 def report(pages: DataFrame) -> DataFrame:
-    """Write the pages as archives in the shared folder, read them back, and give a row per record."""
+    """Write the pages as archives in the shared folder, read them back with payloads, verify these, and give a row per record."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(with_revisits(pages), path)
-    back = read_archive(spark, path, payload=False)
+    back = verified(read_archive(spark, path))
     return back.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))

@@ -271,6 +271,26 @@ def test_warc_of_no_pages(spark):
     assert warc.report(spark.createDataFrame([], "page_id bigint, url string, html string")).isEmpty()
 
 
+def test_warc_keeps_both_payloads_of_a_recrawled_page(spark, tmp_path):
+    rows = [(1, "http://a/1", "one"), (2, "http://a/2", "two"), (5, "http://a/5", "one"), (5, "http://a/5", "only here"), (6, "http://a/6", "one"), (6, "http://a/6", "two")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.report(df).collect())
+    assert [x[:2] for x in got] == [(1, 3), (2, 3), (5, 3), (5, 9), (6, 3), (6, 3)]
+    assert [x[2] for x in got] == ["response", "response", "revisit", "response", "revisit", "revisit"]
+    assert [x[3] for x in got if x[3]] == [1, 1, 2]
+    warc.write_archive(warc.with_revisits(df), f"file://{tmp_path}/w")
+    assert sorted(r["payload"] for r in warc.read_archive(spark, f"file://{tmp_path}/w").where("record_type = 'response'").collect()) == ["one", "only here", "two"]
+
+
+@pytest.mark.parametrize("digest, size", [(None, 4), ("A" * 32, 4), ("right", 5)])
+def test_warc_payloads_are_verified(spark, tmp_path, digest, size):
+    right = base64.b32encode(hashlib.sha1(b"page").digest()).decode()
+    rows = [("<urn:page:1>", "response", "http://a/", None, right if digest == "right" else digest, size, "page")]
+    warc.write_archive(spark.createDataFrame(rows, warc.SCHEMA), f"file://{tmp_path}/w")
+    with pytest.raises(Exception, match="payload differs from its headers"):
+        warc.verified(warc.read_archive(spark, f"file://{tmp_path}/w")).collect()
+
+
 # Licences
 
 
