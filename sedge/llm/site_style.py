@@ -6,7 +6,9 @@ gives either an importance between 0 (all pages show the same) and 1 (every page
 importance weighs both, and that of a node without children is that of its content. A place that shows the same few
 texts on many pages has low importance and its branch is removed from each page. What markup itself declares to be
 outside the article (menus, headers, footers, sidebars, adverts, forms, comments, scripts, styles) goes as well, and
-where an article element exists, only its branch is read; these rules alone decide for hosts with too few pages.
+where an article element exists, only its branch is read; these rules alone decide for hosts with too few pages. A
+class, id or role declares by a whole name (see `declares`), never on html, body, main or article; above an article it
+counts only where another article of the page stands free of such names.
 
 Pages are parsed inside tasks, twice: once to count, once to extract. What is shuffled are hashes of nodes and texts,
 and counts; pages are never shuffled, unless the removed nodes of all hosts exceed BROADCAST_BYTES; then pages meet
@@ -41,6 +43,11 @@ OUTSIDE = frozenset("nav header footer aside form script style head title noscri
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement adverts alert aside banner bottombar breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply share sharing sidebar sidebars sidenav signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Parts of names that tell a layout, a state or a part of the content: `has-sidebar`, `entry-header`.
+LAYOUT_WORDS = frozenset("article body content entry has have hide is layout main no not page post show single story text title toggle with without".split())
+#: Elements that no class word puts outside.
+NEVER_DECLARED = frozenset("html body main article".split())
+PARTS = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 SEED = 11
 BROADCAST_BYTES = 16 << 20
@@ -52,12 +59,23 @@ PRESENTATION = 0.1
 
 @dataclass
 class Block:
-    """A block of text with the node it stands in: hashes of the node's path and of all paths above it."""
+    """A block of text with the node it stands in: hashes of the node's path and of all paths above it.
+
+    around: a name declares an element above the article to be outside. own: where in path the article itself is.
+    """
 
     text: str
     path: tuple[int, ...]
     outside: bool
     article: int
+    around: bool
+    own: int
+
+
+def declares(name: str) -> bool:
+    """Whether a class, id or role says that its element is outside the article: its last part does, and no part tells a layout."""
+    parts = [x for x in PARTS.split(name) if x]
+    return bool(parts) and parts[-1] in OUTSIDE_WORDS and not any(x in LAYOUT_WORDS for x in parts)
 
 
 def _names(attributes: str) -> tuple[str, bool]:
@@ -66,7 +84,7 @@ def _names(attributes: str) -> tuple[str, bool]:
         return "", False
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     label = " ".join(named.get(k, "") for k in ("class", "id", "role")).lower()
-    return re.sub(r"\d+", "0", label.strip()), any(w in OUTSIDE_WORDS for w in re.split(r"[^a-z]+", label))
+    return re.sub(r"\d+", "0", label.strip()), any(declares(x) for x in label.split())
 
 
 def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> list[Block]:
@@ -77,8 +95,9 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> li
     if not page:
         return []
     out: list[Block] = []
-    # Open elements: name, path hash, outside, number of the article around (0: none).
-    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+    # Open elements: name, path hash, outside by element, number of the article around (0: none), outside by name, and whether
+    # a name declares an element above that article outside.
+    stack: list[tuple[str, int, bool, int, bool, bool]] = [("", 0, False, 0, False, False)]
     parts: list[str] = []
     at, n_articles, end = 0, 0, len(page)
 
@@ -86,12 +105,13 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> li
         text = SPACE.sub(" ", html_module.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            _, _, outside, article = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
-            out.append(Block(text, tuple(x[1] for x in stack if x[0] in BLOCKS), outside, article))
+            _, _, by_element, article, by_name, around = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
+            own = sum(x[0] in BLOCKS and not x[3] for x in stack)
+            out.append(Block(text, tuple(x[1] for x in stack if x[0] in BLOCKS), by_element or by_name, article, around, own))
 
     def add(text: str) -> None:
         """Text of the open block; an element in a line that is declared outside the article is left out."""
-        if stack[-1][0] in BLOCKS or not stack[-1][2]:
+        if stack[-1][0] in BLOCKS or not (stack[-1][2] or stack[-1][4]):
             parts.append(text)
 
     while at < end:
@@ -126,14 +146,15 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> li
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        _, above, outside, article = stack[-1]
+        _, above, by_element, article, by_name, around = stack[-1]
         if name == "article" and not article:
             n_articles += 1
-            article = n_articles
+            article, by_name, around = n_articles, False, by_name
+        declared = declared and name not in NEVER_DECLARED
         path = xxhash.xxh64_intdigest(f"{above}>{name}.{label}", SEED) if name in BLOCKS else above
         if children is not None and path != above and not stack[-1][3]:
             children.setdefault(above, []).append(f"{name}.{label}")
-        stack.append((name, path, outside or declared or name in OUTSIDE, article))
+        stack.append((name, path, by_element or name in OUTSIDE, article, by_name or declared, around))
     flush()
     return out
 
@@ -187,10 +208,9 @@ def unimportant(counts: DataFrame, least_pages: int = LEAST_PAGES, least_importa
 
 
 def extract(page: str | None, low: frozenset[int]) -> str:
-    found = blocks(page)
-    kept = [b for b in found if not b.outside and (b.article or not any(signed(x) in low for x in b.path))]
+    kept = [b for b in blocks(page) if not b.outside and (b.article or not any(signed(x) in low for x in b.path))]
     inside = [b for b in kept if b.article]
-    return "\n".join(b.text for b in inside or kept)
+    return "\n".join(b.text for b in [b for b in inside if not b.around] or inside or kept)
 
 
 def with_text(pages: DataFrame, name: str, *, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -163,6 +163,19 @@ def test_branches_that_repeat_on_a_host_are_removed(spark, broadcast_bytes):
     assert got[99].startswith("Welcome")  # one page tells nothing about its host
 
 
+@pytest.mark.parametrize("open_, close", [
+    ("<body class='single has-sidebar'><p>", "</p></body>"),
+    ("<body class='header-fixed comments-open'><main id='content' class='main sidebar'><p>", "</p></main></body>"),
+    ("<body><div class='content no-sidebar'><p>", "</p></div></body>"),
+    ("<body><article class='post has-comments comments'><p>", "</p></article></body>"),
+    ("<body><div class='sidebar'><article><p>", "</p></article></div></body>"),
+    ("<body><div class='left-sidebar'>aside</div><article><p>", "</p></article><div id='comments'><article>a comment</article></div></body>"),
+    ("<body><aside><article>teaser</article></aside><div class='left-sidebar'>aside</div><div><p>", "</p></div></body>"),
+])
+def test_class_words_never_drop_the_page(open_, close):
+    assert site_style.extract(f"<html>{open_}Main text{close}</html>", frozenset()) == "Main text"
+
+
 def test_importance_is_the_entropy_of_what_is_shown(spark):
     rows = [("h", 1, 0, 10, 6), ("h", 1, 0, 11, 2), ("h", 2, 0, 12, 8), ("h", 2, 1, 5, 4), ("h", 2, 1, 6, 4), *[("h", 3, 0, k, 1) for k in range(8)], ("h", 4, 0, 1, 1)]
     df = spark.createDataFrame(rows, "host string, node bigint, kind int, shown bigint, n bigint")
