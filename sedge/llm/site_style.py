@@ -4,11 +4,15 @@ The pages of a host are merged into one tree: a node is a path of element names
 the sequences of children (its presentation) and the texts (its content) that pages show there. Entropy over the pages
 gives either an importance between 0 (all pages show the same) and 1 (every page shows something else); a node's
 importance weighs both, and that of a node without children is that of its content. A place that shows the same few
-texts on many pages has low importance and its branch is removed from each page. What markup itself declares to be
-outside the article (menus, headers, footers, sidebars, adverts, forms, comments, scripts, styles) goes as well, and
-where an article element exists, only its branch is read; these rules alone decide for hosts with too few pages. A
-class, id or role declares by a whole name (see `declares`), never on html, body, main or article; above an article it
-counts only where another article of the page stands free of such names.
+texts on many pages has low importance and its branch is removed from each page. Inside article elements nodes count
+as well, and so does each text: its importance is the share of pages whose node does not show it. There an article
+element is a prior: importances are drawn towards 1 as if ARTICLE_PRIOR more pages had shown something else, and pages
+of a host with the same article count once, so that copies of an article do not make it boilerplate.
+
+What markup itself declares to be outside the article (menus, headers, footers, sidebars, adverts, forms, comments,
+scripts, styles) goes as well, and where an article element exists, only its branch is read; these rules alone decide
+for hosts with too few pages. A class, id or role declares by a whole name (see `declares`), never on html, body, main
+or article; above an article it counts only where another article of the page stands free of such names.
 
 Pages are parsed inside tasks, twice: once to count, once to extract. What is shuffled are hashes of nodes and texts,
 and counts; pages are never shuffled, unless the removed nodes of all hosts exceed BROADCAST_BYTES; then pages meet
@@ -53,6 +57,8 @@ SEED = 11
 BROADCAST_BYTES = 16 << 20
 LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.35
+#: So many pages more, each with something else, are assumed for nodes and texts inside an article.
+ARTICLE_PRIOR = 8
 #: Share of the presentation in the importance of a node that has children.
 PRESENTATION = 0.1
 
@@ -71,6 +77,11 @@ class Block:
     around: bool
     own: int
 
+    @property
+    def shown(self) -> int:
+        """The text as shown in its node."""
+        return xxhash.xxh64_intdigest(f"{self.path[-1]}={self.text}".encode("utf-8", "surrogatepass"), SEED)
+
 
 def declares(name: str) -> bool:
     """Whether a class, id or role says that its element is outside the article: its last part does, and no part tells a layout."""
@@ -90,7 +101,7 @@ def _names(attributes: str) -> tuple[str, bool]:
 def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> list[Block]:
     """The blocks of a page in order. Unclosed and misnested elements are closed where an element around them ends.
 
-    children, if given, gets the sequence of child elements of every node outside articles.
+    children, if given, gets the sequence of child elements of every node.
     """
     if not page:
         return []
@@ -152,7 +163,7 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> li
             article, by_name, around = n_articles, False, by_name
         declared = declared and name not in NEVER_DECLARED
         path = xxhash.xxh64_intdigest(f"{above}>{name}.{label}", SEED) if name in BLOCKS else above
-        if children is not None and path != above and not stack[-1][3]:
+        if children is not None and path != above:
             children.setdefault(above, []).append(f"{name}.{label}")
         stack.append((name, path, by_element or name in OUTSIDE, article, by_name or declared, around))
     flush()
@@ -167,50 +178,75 @@ def node_counts(pages: DataFrame) -> DataFrame:
     """host, node, kind, shown, n: how often pages of the host show a content (kind 0: the texts of the branch, by hash) or
     a presentation (kind 1: the sequence of children) at a node.
 
-    Nodes inside articles are left out: their texts are kept anyway.
+    Kinds 2 and 3 are those of articles and of nodes inside them. Kind 4 are single texts there: node is the text at its
+    place, and shown the node that shows it. For these kinds n counts different articles rather than pages.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hosts, nodes, kinds, shown = [], [], [], []
+            hosts, nodes, kinds, shown, wholes = [], [], [], [], []
             for host, page in zip(batch["host"], batch["html"], strict=True):
                 children: dict[int, list[str]] = {}
                 texts: dict[int, xxhash.xxh64] = {}
+                inside: dict[int, xxhash.xxh64] = {}
+                single: dict[int, int] = {}
+                whole = xxhash.xxh64(seed=SEED)
                 for block in blocks(page, children):
-                    if block.article:
+                    if block.article and block.outside:
                         continue
-                    for node in block.path:
-                        if node not in texts:
-                            texts[node] = xxhash.xxh64(seed=SEED)
-                        texts[node].update(block.text.encode("utf-8", "surrogatepass") + b"\n")
-                shapes = {node: xxhash.xxh64_intdigest(" ".join(names), SEED) for node, names in children.items() if node in texts}
-                hosts += [host] * (len(texts) + len(shapes))
-                nodes += [*map(signed, texts), *map(signed, shapes)]
-                kinds += [0] * len(texts) + [1] * len(shapes)
-                shown += [*(signed(h.intdigest()) for h in texts.values()), *map(signed, shapes.values())]
+                    data, into = block.text.encode("utf-8", "surrogatepass") + b"\n", inside if block.article else texts
+                    for node in block.path[block.own :] if block.article else block.path:
+                        if node not in into:
+                            into[node] = xxhash.xxh64(seed=SEED)
+                        into[node].update(data)
+                    if block.article:
+                        whole.update(data)
+                        single[block.shown] = block.path[-1]
+                for kind, found in ((0, texts), (2, inside)):
+                    shapes = {node: xxhash.xxh64_intdigest(" ".join(names), SEED) for node, names in children.items() if node in found}
+                    nodes += [*map(signed, found), *map(signed, shapes)]
+                    kinds += [kind] * len(found) + [kind + 1] * len(shapes)
+                    shown += [*(signed(h.intdigest()) for h in found.values()), *map(signed, shapes.values())]
+                    wholes += [signed(whole.intdigest()) if kind else 0] * (len(found) + len(shapes))
+                nodes += map(signed, single)
+                kinds += [4] * len(single)
+                shown += map(signed, single.values())
+                wholes += [signed(whole.intdigest())] * len(single)
+                hosts += [host] * (len(nodes) - len(hosts))
             if nodes:
-                yield pd.DataFrame({"host": hosts, "node": np.array(nodes, np.int64), "kind": np.array(kinds, np.int32), "shown": np.array(shown, np.int64)})
+                yield pd.DataFrame({"host": hosts, "node": np.array(nodes, np.int64), "kind": np.array(kinds, np.int32), "shown": np.array(shown, np.int64), "whole": np.array(wholes, np.int64)})
 
-    return pages.select("host", "html").mapInPandas(count, "host string, node bigint, kind int, shown bigint").groupBy("host", "node", "kind", "shown").agg(F.count("*").alias("n"))
+    rows = pages.select("host", "html").mapInPandas(count, "host string, node bigint, kind int, shown bigint, whole bigint")
+    articles = rows.groupBy("host", "node", "kind", "shown", "whole").agg(F.count("*").alias("n"))
+    return articles.groupBy("host", "node", "kind", "shown").agg(F.sum(F.when(F.col("kind") < 2, F.col("n")).otherwise(1)).alias("n"))
 
 
 def importances(counts: DataFrame, presentation: float = PRESENTATION) -> DataFrame:
-    """host, node, m (pages that show the node) and importance."""
-    kinds = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    """host, node, inside (an article), m (pages that show the node) and importance."""
+    known = counts.where("kind < 4").withColumn("inside", F.col("kind") >= 2).withColumn("kind", F.col("kind") % 2)
+    kinds = known.groupBy("host", "node", "inside", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("m") < 2, F.lit(1.0)).otherwise((F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m"))
-    both = kinds.groupBy("host", "node").agg(F.max(F.when(F.col("kind") == 0, F.col("m"))).alias("m"), F.max(F.when(F.col("kind") == 0, entropy)).alias("content"), F.max(F.when(F.col("kind") == 1, entropy)).alias("shape"))
-    return both.where("m IS NOT NULL").select("host", "node", "m", F.coalesce(F.col("shape") * presentation + F.col("content") * (1 - presentation), "content").alias("importance"))
+    both = kinds.groupBy("host", "node", "inside").agg(F.max(F.when(F.col("kind") == 0, F.col("m"))).alias("m"), F.max(F.when(F.col("kind") == 0, entropy)).alias("content"), F.max(F.when(F.col("kind") == 1, entropy)).alias("shape"))
+    return both.where("m IS NOT NULL").select("host", "node", "inside", "m", F.coalesce(F.col("shape") * presentation + F.col("content") * (1 - presentation), "content").alias("importance"))
 
 
-def unimportant(counts: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
-    """host, node: branches whose importance is low, as far as there are pages enough to tell."""
-    return importances(counts).where((F.col("m") >= least_pages) & (F.col("importance") < least_importance)).select("host", "node")
+def unimportant(counts: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, article_prior: float = ARTICLE_PRIOR) -> DataFrame:
+    """host, node: branches, and texts inside articles, whose importance is low, as far as there are pages enough to tell."""
+    found = importances(counts)
+    texts = counts.where((F.col("kind") == 4) & (F.col("n") >= least_pages)).select("host", F.col("node").alias("text"), F.col("shown").alias("node"), "n")
+    texts = texts.join(found.where("inside").select("host", "node", "m"), ["host", "node"]).select("host", F.col("text").alias("node"), F.lit(True).alias("inside"), "m", (1 - F.col("n") / F.col("m")).alias("importance"))
+    weighed = F.when(F.col("inside"), (F.col("importance") * F.col("m") + article_prior) / (F.col("m") + article_prior)).otherwise(F.col("importance"))
+    return found.unionByName(texts).where((F.col("m") >= least_pages) & (weighed < least_importance)).select("host", "node")
 
 
 def extract(page: str | None, low: frozenset[int]) -> str:
-    kept = [b for b in blocks(page) if not b.outside and (b.article or not any(signed(x) in low for x in b.path))]
-    inside = [b for b in kept if b.article]
-    return "\n".join(b.text for b in [b for b in inside if not b.around] or inside or kept)
+    """The text of a page's articles, of the rest where it has none, without the branches and texts in low."""
+    kept = [b for b in blocks(page) if not b.outside]
+    articles = [b for b in kept if b.article]
+    chosen = [b for b in articles if not b.around] or articles or kept
+    if low:
+        chosen = [b for b in chosen if not any(signed(x) in low for x in ((*b.path[b.own + 1 :], b.shown) if b.article else b.path))]
+    return "\n".join(b.text for b in chosen)
 
 
 def with_text(pages: DataFrame, name: str, *, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -219,7 +255,7 @@ def with_text(pages: DataFrame, name: str, *, url: str = "url", html: str = "htm
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[a-zA-Z][-+.a-zA-Z0-9]*://([^/?#]*)", 1)), F.lit(""))
     host_name, nodes_name = fresh([*pages.columns, name], "host", "nodes")
     hosted = pages.withColumn(host_name, host)
-    counts = node_counts(hosted.select(F.col(host_name).alias("host"), F.col(f"`{html}`").alias("html")))
+    counts = cut(node_counts(hosted.select(F.col(host_name).alias("host"), F.col(f"`{html}`").alias("html"))))
     low = cut(unimportant(counts, least_pages, least_importance))
     size = low.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0))).first()[0]
     if size <= broadcast_bytes:

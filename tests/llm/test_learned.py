@@ -163,6 +163,16 @@ def test_branches_that_repeat_on_a_host_are_removed(spark, broadcast_bytes):
     assert got[99].startswith("Welcome")  # one page tells nothing about its host
 
 
+def test_repeated_notices_inside_articles_are_removed(spark):
+    page = "<html><body><article><h1>Title {0}</h1><div class='promise'>We never sell data</div><p>text {0} of this page</p><p>Send it to a friend</p><div>Printed on paper</div></article></body></html>"
+    same = "<html><body><article><h1>One</h1><p>an article under many addresses</p></article></body></html>"
+    rows = [(k, f"http://shop/{k}", page.format(k)) for k in range(30)] + [(90, "http://few/", page.format(90))] + [(100 + k, f"http://copies/{k}", same) for k in range(30)]
+    got = {r["page_id"]: r["text"] for r in site_style.report(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[4] == "Title 4\ntext 4 of this page"
+    assert got[90].split("\n") == ["Title 90", "We never sell data", "text 90 of this page", "Send it to a friend", "Printed on paper"]
+    assert got[107] == "One\nan article under many addresses"
+
+
 @pytest.mark.parametrize("open_, close", [
     ("<body class='single has-sidebar'><p>", "</p></body>"),
     ("<body class='header-fixed comments-open'><main id='content' class='main sidebar'><p>", "</p></main></body>"),
