@@ -5,11 +5,14 @@ many of its slots go to each source; a source's slots are numbered through all s
 block at position perm(k mod n) of the source's n blocks, where perm is a pseudorandom permutation keyed by the seed,
 the source and the pass k div n. Slots and blocks then meet in a join on (source, block).
 
-The draw is multinomial with one uniform number per slot, each in its own 1/S stratum of the shard, so that counts
-stay within a few slots of S times the weight. As numbers rise with the slot, a source's slots stand together, and only
-the slots at the borders between sources have to be drawn to know all counts. Slots beyond twice a source's blocks are not filled, so that no document
+The draw is systematic, not multinomial: one uniform number per slot, each in its own 1/S stratum of the shard, so that a
+source's count in a shard stays within a slot of its share at either border. As numbers rise with the slot, a source's
+slots stand together. Slots beyond twice a source's blocks are not filled, so that no document
 is taken more than twice.
 
+Sources may be many: they are numbered and their intervals summed by ranges, the water level of their targets comes from
+rounds of sums of which only totals reach the driver, and slots meet the sources of their cell of [0, 1).
+
 Packing needs the running number of words before each document. Documents are dealt into many buckets per source by a
 hash; the running sum is taken inside buckets, and bucket totals are summed in a second, short pass, so that a source
 with a third of all rows is spread like any other.
@@ -21,7 +24,6 @@ function of the rows and the seed, so that reruns agree.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +40,13 @@ MOST_SHARDS = 1 << 16
 #: Slots per task when they are mapped to blocks.
 TASK_SLOTS = 200_000
 ROUNDS = 12
-#: Sources that one plan may have: their targets are worked out on the driver.
-MOST_SOURCES = 20_000
+#: Sources up to which their table is broadcast; more are joined by shuffles.
+BROADCAST_SOURCES = 20_000
+#: Cells of [0, 1) by which slots find their source: at least, and per source.
+LEAST_CELLS = 1024
+SOURCE_CELLS = 2
+#: Wanted slots are summed as whole numbers of this unit, so that sums don't depend on their order.
+UNIT = 1 << 20
 
 
 def count_words(text: Column) -> Column:
@@ -73,6 +80,40 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return [Target(s, n, t) for (s, n), t in zip(ordered, out, strict=True)]
 
 
+def _running(rows: DataFrame, amount: str, name: str, *order: Column) -> DataFrame:
+    """rows with the sum of amount over the rows before, in ranges: inside each, and shifted by one sum per range."""
+    sums = rows.groupBy("range").agg(F.sum(amount).alias("here"))
+    ahead = sums.select("range", F.coalesce(F.sum("here").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn(name, inside).join(F.broadcast(ahead), "range").withColumn(name, F.col(name) + F.col("ahead")).drop("ahead")
+
+
+def source_table(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Sources (source, n, docs) with number, target (as in `targets`), blocks, buckets and interval [c_from, c_to) of the draw."""
+    spark = sizes.sparkSession
+    order = (F.col("source").isNull(), F.col("source"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(sizes.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    numbered = _running(ranged.withColumn("one", F.lit(1)), "one", "s", *order).drop("one").withColumn("s", F.col("s").cast("int"))
+    numbered = cut(numbered.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("s") % len(weights) + 1)).withColumn("limit", F.col("n") * F.lit(float(most))))
+    whole = numbered.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    budget = share * (whole["n"] or 0)
+    left, total, capped = budget, whole["weight"] or 0.0, -1
+    # Every round caps the sources that the level overflows and raises the level for the rest.
+    while True:
+        over = F.lit(left) * F.col("weight") / F.lit(total) > F.col("limit") if total else F.lit(True)
+        found = numbered.agg(F.count_if(over).alias("k"), F.sum(F.when(over, F.col("limit"))).alias("limit"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if found["k"] == capped or not total:
+            break
+        capped, left, total = found["k"], budget - (found["limit"] or 0.0), found["weight"] or 0.0
+    aimed = numbered.withColumn("target", F.when(over, F.col("limit")).otherwise(F.lit(left) * F.col("weight") / F.lit(total or 1.0)))
+    # A block has size / blocks words on average, so this many slots give the target.
+    aimed = aimed.withColumn("n_blocks", F.ceil(F.col("n") / block_words)).withColumn("wanted", F.when(F.col("n") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("n") * UNIT)).otherwise(0).cast("bigint"))
+    placed = _running(aimed, "wanted", "ahead_of", *order).crossJoin(F.broadcast(aimed.agg(F.sum("wanted").alias("all"))))
+    share_of = lambda x: F.when(F.col("all") > 0, x / F.col("all")).otherwise(0.0)
+    return cut(placed.select("source", "s", F.col("n").alias("source_size"), "target", "n_blocks", (F.floor(F.sqrt("docs")) + 1).cast("int").alias("buckets"), "wanted", share_of(F.col("ahead_of")).alias("c_from"), share_of(F.col("ahead_of") + F.col("wanted")).alias("c_to")))
+
+
 def _uniform(*parts) -> Column:
     """A number in [0, 1) from a hash."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
@@ -102,41 +143,23 @@ def plan(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", sour
     spark = docs.sparkSession
     sized = cut(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), count_words(F.col(f"`{text}`")).alias("size")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
-    rows = sizes.limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    n_docs = {r["source"]: r["docs"] for r in rows}
-    aims = targets([(r["source"], r["n"]) for r in rows], weights, share, most)
-    schema = "source string, s int, source_size bigint, target double, n_blocks bigint, buckets int, c_from double, c_to double"
-    blocks = [-(-a.size // block_words) for a in aims]
-    # A block has size / blocks words on average, so this many slots give the target.
-    wanted = [a.target * b / a.size if a.size else 0.0 for a, b in zip(aims, blocks, strict=True)]
-    total = sum(wanted)
-    edges, at = [], 0.0
-    for w in wanted:
-        edges.append((at / total if total else 0.0, (at + w) / total if total else 0.0))
-        at += w
-    table = [(a.source, k, a.size, a.target, blocks[k], math.isqrt(n_docs[a.source]) + 1, *edges[k]) for k, a in enumerate(aims)]
-    sources = spark.createDataFrame(table, schema)
-
-    slots = round(total)
+    sources = source_table(sizes, weights, share, most, block_words)
+    totals = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted")).first()
+    small = F.broadcast if totals["n"] <= BROADCAST_SOURCES else lambda x: x
+
+    slots = round(totals["wanted"] / UNIT)
     per_shard = max(shard_slots, -(-slots // MOST_SHARDS))
-    last = max((k for k, w in enumerate(wanted) if w), default=-1)
-    ranges = F.array(*[F.struct(F.lit(k).alias("s"), F.lit(edges[k][0]).alias("low"), F.lit(edges[k][1] if k != last else 1.0).alias("high")) for k, w in enumerate(wanted) if w] or [F.lit(None).cast("struct<s:int,low:double,high:double>")])
-    shards = spark.range(-(-slots // per_shard)).select(F.col("id").alias("shard"), F.least(F.lit(per_shard), F.lit(slots) - F.col("id") * per_shard).alias("width"))
-
-    def first_slot(edge: Column) -> Column:
-        """The first slot of the shard whose number reaches the edge. Slot j draws from [j, j + 1) / width, so that only one slot is in doubt."""
-        j = F.floor(edge * F.col("width"))
-        drawn = (j + _uniform(F.lit(seed), F.col("shard"), j)) / F.col("width")
-        return F.when(edge >= 1, F.col("width")).when(drawn >= edge, j).otherwise(j + 1)
-
-    drawn = shards.select("shard", "width", F.explode(ranges).alias("r")).select("shard", "width", "r.*")
-    counts = drawn.select("shard", "s", first_slot(F.col("low")).alias("j0"), first_slot(F.col("high")).alias("j1"))
-    counts = counts.select("shard", "s", "j0", (F.col("j1") - F.col("j0")).alias("n")).where("n > 0")
+    cells = max(LEAST_CELLS, SOURCE_CELLS * totals["n"])
+    at_cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    drawn = spark.range(slots).select(F.expr(f"id div {per_shard}").alias("shard"), (F.col("id") % per_shard).alias("slot"))
+    drawn = drawn.withColumn("width", F.least(F.lit(per_shard), F.lit(slots) - F.col("shard") * per_shard))
+    # Slot j draws from [j, j + 1) / width, always below 1.
+    drawn = drawn.withColumn("u", F.least((F.col("slot") + _uniform(F.lit(seed), F.col("shard"), F.col("slot"))) / F.col("width"), F.lit(1 - 2.0**-53))).withColumn("cell", at_cell(F.col("u")))
+    met = sources.where("wanted > 0").select("s", "c_from", "c_to", F.explode(F.sequence(at_cell(F.col("c_from")), at_cell(F.col("c_to")))).alias("cell"))
+    counts = drawn.join(small(met), "cell").where("c_from <= u AND u < c_to").groupBy("shard", "s").agg(F.min("slot").alias("j0"), F.count("*").alias("n"))
     before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("k0", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    known = F.broadcast(sources.select("s", "source", "n_blocks"))  # a row per source, at most MOST_SOURCES of them, checked above
+    known = small(sources.select("s", "n_blocks"))
     # Few small rows become many slots: without this, one task would get all of them.
     counts = counts.join(known, "s").repartition(spark.sparkContext.defaultParallelism + slots // TASK_SLOTS, "shard", "s")
     filled = counts.select("shard", "s", "n_blocks", "j0", "k0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
@@ -144,7 +167,7 @@ def plan(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", sour
     block = permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("s"), F.expr("k div n_blocks"))
     filled = filled.select("shard", "slot", "s", block.alias("block"))
 
-    known = F.broadcast(sources.select("source", "s", "buckets", "source_size", "target"))
+    known = small(sources.select("source", "s", "buckets", "source_size", "target"))
     same = sized["source"].eqNullSafe(known["source"])
     dealt = sized.join(known, same).select("id", "size", "s", "source_size", "target", F.pmod(F.xxhash64("id", "size"), "buckets").alias("bucket"))
     inside = Window.partitionBy("s", "bucket").orderBy("id", "size")
@@ -178,4 +201,4 @@ def mixed_blocks(docs: DataFrame, *, id_column: str = "doc_id", text: str = "tex
     cutouts = mix.pieces.join(words, "id").select("s", "block", "bucket", "row", F.array_join(F.slice("words", (F.col("word_from") + 1).cast("int"), (F.col("word_to") - F.col("word_from")).cast("int")), " ").alias("piece"))
     text_of = cutouts.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("bucket", "row", "piece"))).alias("parts"))
     text_of = text_of.select("s", "block", F.array_join(F.transform("parts", lambda p: p["piece"]), " ").alias("text"))
-    return mix.slots.join(text_of, ["s", "block"]).join(F.broadcast(mix.sources.select("s", "source")), "s").select("shard", "slot", "source", "block", "text")
+    return mix.slots.join(text_of, ["s", "block"]).join(mix.sources.select("s", "source"), "s").select("shard", "slot", "source", "block", "text")

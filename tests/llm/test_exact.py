@@ -213,6 +213,29 @@ def test_mix_is_whole_near_target_and_repeatable(spark):
         assert abs(sum(r["taken"] for r in own) - target) <= max(0.05 * target, 130)
 
 
+def test_sources_of_any_number_get_the_same_targets(spark, monkeypatch):
+    rng = random.Random(8)
+    sizes = [(f"s{k}", rng.choice([0, 1, 5, 60, 4000])) for k in range(200)] + [(None, 70)]
+    rows = mixing.source_table(spark.createDataFrame([(x, n, 3) for x, n in sizes], "source string, n bigint, docs bigint")).orderBy("s").collect()
+    want = mixing.targets(sizes)
+    assert [(r["source"], r["s"], r["source_size"]) for r in rows] == [(t.source, k, t.size) for k, t in enumerate(want)]
+    assert [r["target"] for r in rows] == pytest.approx([t.target for t in want])
+    assert rows[0]["c_from"] == 0 and rows[-1]["c_to"] == 1 and all(a["c_to"] == b["c_from"] for a, b in zip(rows, rows[1:]))
+    df = spark.createDataFrame([(k, t, "en", f"s{k % 3}", 0) for k, t in enumerate(texts(n=40))], DOCS)
+    broadcast = sorted(map(tuple, mixing.report(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.report(df).collect())) == broadcast
+
+
+def test_more_sources_than_fit_a_driver_table(spark):
+    df = spark.range(20_100).selectExpr("id AS doc_id", "'one two three' AS text", "'en' AS lang", "concat('site', id, '.example') AS source", "13L AS n_chars")
+    found = mixing.report(df).selectExpr("count(*) AS n", "sum(size) AS size", "sum(target) AS target", "max(taken) AS most", "count_if(taken > 0) AS some", "count(DISTINCT source_size) AS sizes").first()
+    assert found["n"] == 20_100 and found["size"] == 60_300 and found["sizes"] == 1
+    assert found["target"] == pytest.approx(1.5 * 60_300)
+    # Sources of a single block: slots are drawn by chance, and none is taken more than twice.
+    assert found["most"] == 6 and found["some"] > 12_000
+
+
 def test_permutations_are_permutations(spark):
     from pyspark.sql import functions as F
 
