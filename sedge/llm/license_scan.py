@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
-Blocks of a text that could be a licence notice (lines with a cue word, with their neighbours up to a blank line) are
-compressed alone and with each template as a zstandard raw dictionary. Templates are ranked by the bytes that they
+Blocks of a text that could be a licence notice (paragraphs, between blank lines, that have a cue word) are compressed alone and with each template as a zstandard raw dictionary. Templates are ranked by the bytes that they
 save; the best ones are confirmed by exact wording: the template's words, case and punctuation aside, have to occur in
-the block in order, with at most `most_share` of them missing, added or changed in the aligned stretch.
+the block in order, with at most `most_share` of them missing, added or changed in the aligned stretch. The telling words
+(names of licences and their versions) have to be there unchanged, in order, and no others among them.
 
 Defined results: null and empty texts have no blocks and no licences; a notice found several times is listed once per
 place; equal rows get equal results.
@@ -29,6 +29,11 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -42,6 +47,9 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 CUES = re.compile(r"licen[cs]|permission|redistribut|free software|waived all copyright|copyright", re.IGNORECASE)
+#: Words that tell one licence from another: in a long notice they may not differ, be missing or be added.
+TELLING = frozenset("gnu general lesser affero gpl lgpl agpl mit apache mozilla bsd isc mpl cc cc0 by sa nc nd version v".split())
+SPACES = re.compile(r"\s+")
 TOKEN = re.compile(r"\w+(?:\.\d+)*")
 FIELDS = "n_blocks bigint, notices array<struct<license:string,block:int,char_from:bigint,char_to:bigint,saved:double,differences:int>>"
 
@@ -66,19 +74,18 @@ class Scanner:
         self.top, self.least_saved, self.most_share = top, least_saved, most_share
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """[from, to) of the candidate blocks: maximal runs of lines with a cue, plus the line after each (a notice may wrap)."""
-        if not CUES.search(text):
+        """[from, to) of the candidate blocks: paragraphs (runs of lines that aren't blank) with a cue."""
+        if not CUES.search(text) and not CUES.search(SPACES.sub(" ", text)):
             return []
-        out, at = [], 0
-        lines = text.split("\n")
-        marks = [bool(CUES.search(x)) for x in lines]
-        take = [m or (k > 0 and marks[k - 1] and bool(lines[k].strip())) for k, m in enumerate(marks)]
-        for k, line in enumerate(lines):
-            if take[k]:
-                if out and out[-1][1] == at - 1:
-                    out[-1] = (out[-1][0], at + len(line))
-                else:
-                    out.append((at, at + len(line)))
+        out, start, at, end = [], None, 0, 0
+        for line in [*text.split("\n"), ""]:
+            if line.strip():
+                start, end = at if start is None else start, at + len(line)
+            elif start is not None:
+                # A cue may be wrapped as well, as "free\nsoftware".
+                if CUES.search(SPACES.sub(" ", text[start:end])):
+                    out.append((start, end))
+                start = None
             at += len(line) + 1
         return out
 
@@ -103,14 +110,16 @@ class Scanner:
         """Stretches [x, y) of words that differ from the wanted ones in few enough words."""
         have, n, out, k = [w for w, _, _ in words], len(wanted), [], 0
         slack = int(self.most_share * n)  # none for short notices, whose every word counts
+        starts, told = set(wanted[: slack + 1]), telling(wanted)
         while k < len(have):
             best = None
             if slack == 0:
                 if have[k] == wanted[0] and have[k : k + n] == wanted:
                     best = (0, k + n)
-            else:
-                best = min(((word_distance(have[k : k + m], wanted, slack), k + m) for m in range(max(1, n - slack), n + slack + 1) if k + m <= len(have)), default=None)
-                best = best if best and best[0] <= slack and have[k] in wanted[: slack + 1] else None
+            elif have[k] in starts:
+                sizes = (m for m in range(max(1, n - slack), n + slack + 1) if k + m <= len(have) and telling(have[k : k + m]) == told)
+                best = min(((word_distance(have[k : k + m], wanted, slack), k + m) for m in sizes), default=None)
+                best = best if best and best[0] <= slack else None
             if best:
                 out.append((k, best[1], best[0]))
                 k = best[1]
@@ -119,6 +128,11 @@ class Scanner:
         return out
 
 
+def telling(words: list[str]) -> list[str]:
+    """The words in order that tell the licence and its version."""
+    return [w for before, w in zip(["", *words], words) if w in TELLING or w[0].isdigit() or (before, w) == ("gnu", "library")]
+
+
 def word_distance(a: list[str], b: list[str], most: int) -> int:
     """Least number of missing, added or changed words; most + 1 if above that."""
     row = list(range(len(b) + 1))

@@ -328,3 +328,34 @@ def test_license_scan_finds_exact_wording(spark):
     ]
     got = {r["doc_id"]: (r["n_blocks"], r["licenses"]) for r in license_scan.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: (1, "MIT"), 2: (1, "CC-BY-NC-4.0,GPL-3.0"), 3: (1, ""), 4: (1, ""), 5: (0, ""), 6: (0, ""), 7: (1, "MIT"), 8: (1, "Apache-2.0")}
+
+
+MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom it is furnished to do so."""
+GNU = """This {0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2} as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("text, license", [
+    (MIT_WRAPPED, "MIT"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. More.", "MPL-2.0"),
+    ("To the extent possible under law, the author has\nwaived all copyright and related or neighboring rights to this work.", "CC0-1.0"),
+    ("To the extent possible under law, the author has waived all\ncopyright and related or neighboring rights to this work.", "CC0-1.0"),
+    (GNU.format("program", ":", "General Public License", ",", "3"), "GPL-3.0"),
+    (GNU.format("program", ";", "General Public License", ";", "2"), "GPL-2.0"),
+    (GNU.format("library", ";", "Lesser General Public License", ";", "2.1"), "LGPL-2.1"),
+    (GNU.format("program", ":", "Lesser General Public License", ",", "3"), "LGPL-3.0"),
+    (GNU.format("program", ":", "Affero General Public License", ",", "3"), "AGPL-3.0"),
+    (GNU.format("library", ":", "General Public License", ",", "3"), "GPL-3.0"),
+    (GNU.format("program", ":", "General Public License", ",", "4"), ""),
+    (GNU.format("library", ";", "Library General Public License", ";", "2"), ""),
+])
+def test_wrapped_notices_and_their_versions(text, license):
+    scanner = license_scan.Scanner()
+    n, found = scanner.scan(f"Before it.\n\n{text}\n\nAfter it.")
+    assert n == 1 and {x["license"] for x in found} == ({license} if license else set())
