@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out
+from .common import fresh, held_out, uniform
 
 #: A public vocabulary file; a parameter, never copied.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -197,10 +197,9 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_column:
     pieces = vocabulary(path)
     if not counts:
         return pieces, [], np.zeros((0, len(pieces))), np.zeros(0)
-    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
-    limit = F.lit(0)
+    part, limit = uniform("id", F.lit(seed)), F.lit(0.0)
     for name, n in counts.items():
-        limit = F.when(F.col("lang") == name, F.lit(min(1_000_000, int(1_000_000 * most_docs / n) + 1))).otherwise(limit)
+        limit = F.when(F.col("lang") == name, F.lit(most_docs / n)).otherwise(limit)
 
     def one(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         words: Counter = Counter()

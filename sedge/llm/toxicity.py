@@ -1,25 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. A dictionary's content is chosen by
-document frequencies: the commonest words of ordinary documents, and those words of toxic documents that are too
-frequent there to be chance. Every window of a text (a word between blanks, followed by a fixed carrier that both
-dictionaries end with, so that zstandard always searches the whole word) is compressed with either; the difference of
-the two lengths is the window's distance. Counts of windows by distance are weighed by a logistic model, whose weights
-are the calibrated thresholds; it is fitted on documents that had no part in the dictionaries.
+zstandard's trainer makes BAGS pairs of dictionaries of equal size, each from a random half of the whole ordinary texts and
+a random half of the whole toxic texts. Every window of a text (a word, or 32 bytes of a longer one) is compressed with
+each of them, followed by a carrier that ends all dictionaries: zstandard does not search the last bytes of its input.
+The window's distance is the mean difference of the two lengths over the pairs; a single pair gives whole bytes only, and
+which rare pieces the trainer happens to pick weighs as much as what tells the labels apart. How many windows lie beyond
+each of several distances is weighed by a logistic model, whose weights are the calibrated thresholds.
 
-All of this is learned from at most about MOST_ROWS labelled rows, chosen by a hash of the id. Words, not longer
-windows, are used because lengths are whole bytes: in windows of several words the effect of one word is lost.
+Calibration is cross-fitted: sampled rows are dealt into FOLDS by a hash of the id; the windows of each fold are
+measured with dictionaries trained on the other folds, the weights are fitted on all of them, and the final
+dictionaries are trained on all folds. So no row is measured with a dictionary that has seen it, at any number of rows.
+
+The sample is bounded: at most about MOST_ROWS labelled rows and, for the trainer, about MOST_BYTES of texts per label,
+both chosen by hashes. Longer texts enter as several samples of SAMPLE_CHARS. The samples are broadcast and every
+dictionary is trained in a task of its own.
 
 Defined results: null, empty and wordless texts are scored by the model like any other (no window at any distance);
 without labels of both kinds the score is the share of label 1 (0 without any label); equal rows get equal scores; a
-null id is not held out.
+null id is not held out. Where the trainer finds its samples too few or too short, their last bytes are the dictionary.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,82 +32,91 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, held_out
+from .common import cut, fresh, held_out, uniform
 from .labelled import training_rows
 
 MOST_ROWS = 16_000
-#: Words in a dictionary, at most.
-ORDINARY_WORDS, TOXIC_WORDS = 12_000, 3_000
-WORD = re.compile(rb"[a-z\x80-\xff]+")
+MOST_BYTES = 6 << 20
+SAMPLE_CHARS = 64 << 10
+FOLDS, BAGS = 4, 6
+#: Bytes of a dictionary at most, and bytes of the smaller label's samples per byte of dictionary.
+DICTIONARY_BYTES, SAMPLES_PER_BYTE = 64 << 10, 16
+#: Lengths of the pieces that the trainer picks and compares.
+SEGMENT, PART = 20, 8
+WINDOW_BYTES = 32
 CARRIER = b"0123456789,;:!?()[]{}<>=+*/#0123456789,;"
-#: Distances from which on windows are counted.
-STEPS = (1, 2, 3, 4, 5, 6, 7)
+#: Distances are counted in parts of a byte, up to FAR bytes in either direction; distances from which on windows are weighed.
+PARTS, FAR = 6, 8
+STEPS, AGAINST = (0.5, 1, 1.5, 2, 2.5, 3, 4), (0.5, 1.5, 2.5)
+#: Windows whose distance a worker remembers; the memory is emptied when full.
 REMEMBERED = 400_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return WORD.findall(text.lower().encode("utf-8", "surrogatepass")) if text else []
+def windows(text: str | None) -> list[bytes]:
+    out = []
+    for word in text.encode("utf-8", "surrogatepass").split() if text else ():
+        out += [word] if len(word) <= WINDOW_BYTES else [word[k : k + WINDOW_BYTES] for k in range(0, len(word), WINDOW_BYTES)]
+    return out
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """The content of a dictionary that zstandard trains on the samples."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PART, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[-size:]
 
 
-def _compressor(words: list[bytes]) -> zstandard.ZstdCompressor:
-    """The first words come last, next to the carrier, where references to them are cheapest."""
-    content = b" " + b" ".join(reversed(words)) + b" " + CARRIER
-    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    raw = zstandard.ZstdCompressionDict(content + b" " + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
-    dictionary.precompute_compress(compression_params=how)
-    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how)
+    raw.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=raw, compression_params=how)
 
 
 class Distances:
-    """Distance of windows from ordinary to toxic text, remembered by word.
+    """Windows of a text by their distance from ordinary to toxic text, for pairs (ordinary, toxic) of dictionaries."""
 
-    Windows whose toxic length is that of a single reference (the whole word stands in the toxic dictionary) are
-    counted apart from those with a few shared pieces.
-    """
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs, self.known = [(_compressor(a).compress, _compressor(b).compress) for a, b in pairs], {}
 
-    def __init__(self, ordinary: list[bytes], toxic: list[bytes]):
-        self.ordinary, self.toxic, self.known = _compressor(ordinary), _compressor(toxic), {}
-        self.whole = sorted(len(self.toxic.compress(b" " + w + b" " + CARRIER)) for w in toxic)[len(toxic) // 2] if toxic else 0
+    def window(self, window: bytes) -> int:
+        """Bytes that toxic dictionaries save over ordinary ones on average, in PARTS of a byte from -FAR on.
 
-    def word(self, word: bytes) -> int:
-        """Place of the window among the counts; -1 where ordinary text explains it as well."""
-        window = b" " + word + b" " + CARRIER
-        length = len(self.toxic.compress(window))
-        d = len(self.ordinary.compress(window)) - length
-        return -1 if d < STEPS[0] else min(d, STEPS[-1]) - STEPS[0] + len(STEPS) * (length <= self.whole)
+        Pairs are asked in turn, until those asked give the window to ordinary text or to neither.
+        """
+        data, saved, n = b" " + window + b" " + CARRIER, 0, 0
+        for ordinary, toxic in self.pairs:
+            saved, n = saved + len(ordinary(data)) - len(toxic(data)), n + 1
+            if saved <= 0:
+                break
+        return PARTS * FAR + max(-PARTS * FAR, min(PARTS * FAR, round(PARTS * saved / n)))
 
     def counts(self, text: str | None) -> list[float]:
-        """Windows by distance (one number per step, the last open), the same for whole words, and all windows."""
-        out, total, known = [0.0] * (2 * len(STEPS) + 1), 0, self.known
+        """Numbers of windows by distance."""
+        out, known = [0.0] * (2 * PARTS * FAR + 1), self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for word, n in Counter(words_of(text)).items():
-            place = known.get(word)
-            if place is None:
-                place = self.word(word)
-                if len(word) <= 64:
-                    known[word] = place
-            total += n
-            if place >= 0:
-                out[place] += n
-        out[-1] = total
+        for window, n in Counter(windows(text)).items():
+            d = known.get(window)
+            if d is None:
+                d = known[window] = self.window(window)
+            out[d] += n
         return out
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Per step, windows at or beyond it: their logarithm and their share of all windows, for pieces and for whole words."""
-    k, total = len(STEPS), np.maximum(counts[:, -1:], 1)
-    parts = []
-    for side in (counts[:, :k], counts[:, k : 2 * k]):
-        beyond = np.cumsum(side[:, ::-1], axis=1)[:, ::-1]
-        parts += [np.log1p(beyond), np.sqrt(beyond / total) * 4]
-    return np.hstack(parts)
+    """For distances in favour of toxic text, numbers (logarithms) and shares of windows beyond; shares of those against; the mean."""
+    total, middle = np.maximum(counts.sum(axis=1), 1), PARTS * FAR
+    beyond = [counts[:, middle + round(PARTS * t) :].sum(axis=1) for t in STEPS]
+    against = [counts[:, : middle - round(PARTS * t) + 1].sum(axis=1) for t in AGAINST]
+    mean = counts @ np.arange(-middle, middle + 1) / PARTS / total
+    return np.stack([np.log1p(x) for x in beyond] + [4 * np.sqrt(x / total) for x in beyond + against] + [mean, np.log(total)], axis=1)
 
 
 @dataclass
 class ToxicityModel:
-    ordinary: list[bytes]
-    toxic: list[bytes]
+    pairs: list[tuple[bytes, bytes]]
     weights: np.ndarray
     intercept: float
 
@@ -128,57 +141,58 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30)
     return weights, float(w[-1] - weights @ mean)
 
 
-def by_chance(a: int, n: int, p: float) -> float:
-    """Upper bound (Chernoff) of the chance of a or more hits among n at rate p."""
-    if n == 0 or a <= n * p:
-        return 1.0
-    q = a / n
-    return math.exp(-n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0)))
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, text: str = "text", most_rows: int = MOST_ROWS, chance: float = 1e-4, least_times: float = 6.0) -> ToxicityModel | float:
-    """A model, or the share of label 1 where labels of both kinds are missing."""
-    source = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
-    rows = cut(training_rows(source, labels, label, most_rows=most_rows, columns=["text"]))
-    build = F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(4)) != 0
-    totals = {(r["label"], r["b"]): r["n"] for r in rows.groupBy("label", build.alias("b")).agg(F.count("*").alias("n")).collect()}
-    n1, n0 = (sum(n for (y, _), n in totals.items() if y == v) for v in (1.0, 0.0))
-    if not n1 or not n0:
-        return float(n1 > 0)
-
-    @F.pandas_udf("array<binary>")
-    def distinct_words(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(set(w for w in words_of(t) if len(w) <= 64)) for t in texts], dtype=object)
-
-    # With few rows, all of them serve both purposes.
-    split = totals.get((1.0, True), 0) >= 20 and totals.get((1.0, False), 0) >= 20
-    base = rows.where(build) if split else rows
-    n1, n0 = (totals.get((1.0, True), 0), totals.get((0.0, True), 0)) if split else (n1, n0)
-    seen = base.select("label", F.explode(distinct_words("text")).alias("word")).groupBy("word").agg(F.sum("label").cast("bigint").alias("a"), F.count("*").alias("n"))
-    common = [bytes(r["word"]) for r in seen.where("n > a").orderBy(F.desc(F.col("n") - F.col("a")), "word").limit(ORDINARY_WORDS).collect()]
-    rate = n1 / (n1 + n0)
-    # Only words that could pass are fetched: at least three documents and the ratio; the list is bounded.
-    often = seen.where((F.col("a") >= 3) & (F.col("a") / n1 >= least_times * (F.col("n") - F.col("a")) / n0)).orderBy(F.desc("a"), "word").limit(20 * TOXIC_WORDS).collect()
-    telling = [bytes(r["word"]) for r in often if by_chance(r["a"], r["n"], rate) < chance][:TOXIC_WORDS]
-    ordinary = [w for w in common if w not in set(telling)]
-
-    held: list[Distances] = []
-
-    @F.pandas_udf("array<double>")
-    def count(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(Distances(ordinary, telling))
-        return pd.Series([held[0].counts(t) for t in texts], dtype=object)
-
-    rest = rows.where(~build) if split else rows
-    got = rest.select("label", count("text").alias("c")).toPandas()
-    x, y = features(np.stack(got["c"].to_numpy())), got["label"].to_numpy()
-    weights, intercept = logistic(x, y)
-    return ToxicityModel(ordinary, telling, weights, intercept)
+def dictionaries(rows: DataFrame, folds: int = FOLDS, bags: int = BAGS, most_bytes: int = MOST_BYTES) -> dict[int, list[tuple[bytes, bytes]]]:
+    """Pairs of dictionaries by left-out fold (-1 leaves out none); empty without texts of both labels. rows: label, fold, text."""
+    spark = rows.sparkSession
+    parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / SAMPLE_CHARS).cast("int"))
+    parts = F.transform(parts, lambda k: F.substring(F.col("text"), k * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)))
+    pieces = rows.where("length(text) > 0").select("label", "fold", F.xxhash64("text").alias("h"), F.posexplode(parts).alias("at", "sample"))
+    total = {r["label"]: r["n"] for r in pieces.groupBy("label").agg(F.sum(F.octet_length("sample")).alias("n")).collect()}
+    if len(total) < 2:
+        return {}
+    size = int(min(DICTIONARY_BYTES, max(256, min(*total.values(), most_bytes) // SAMPLES_PER_BYTE)))
+    share = F.when(F.col("label") == 1, F.lit(most_bytes / total[1.0])).otherwise(F.lit(most_bytes / total[0.0]))
+    found = pieces.where(uniform("h", "at", F.lit(9)) < share).select("label", "fold", F.xxhash64("h", "at", "fold").alias("h"), "sample").orderBy("h", "sample").toPandas()
+    samples = {y: [(r.fold, r.h, r.sample.encode("utf-8", "surrogatepass")) for r in found[found["label"] == y].itertuples()] for y in (0.0, 1.0)}
+    held = spark.sparkContext.broadcast(samples)
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for label, without, bag in batch.itertuples(index=False):
+                # A bit of the hash deals a sample to the bag or not; where a bag gets none, it is made of all.
+                rest = [(h, x) for k, h, x in held.value[label] if k != without]
+                half = [x for h, x in rest if h >> bag & 1] or [x for _, x in rest]
+                yield pd.DataFrame({"label": [label], "without": [without], "bag": [bag], "content": [dictionary(half, size) if half else b""]})
+
+    keys = [(y, k, b) for y in (0.0, 1.0) for k in range(-1, folds) for b in range(bags)]
+    asked = spark.createDataFrame(keys, "label double, without int, bag int").repartition(len(keys))
+    made = {(r["label"], r["without"], r["bag"]): bytes(r["content"]) for r in asked.mapInPandas(one, "label double, without int, bag int, content binary").collect()}
+    return {k: [(made[0.0, k, b], made[1.0, k, b]) for b in range(bags)] for k in range(-1, folds)}
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, text: str = "text", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, folds: int = FOLDS, bags: int = BAGS) -> ToxicityModel | float:
+    """A model, or the share of label 1 where texts of both labels are missing."""
+    source = docs.select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    fold = F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(folds)).cast("int").alias("fold")
+    rows = cut(training_rows(source, labels, label, most_rows=most_rows, columns=["text", fold]).drop("label_id"))
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    made = dictionaries(rows, folds, bags, most_bytes) if len(n) == 2 else {}
+    if not made:
+        return n.get(1.0, 0) / max(1, sum(n.values()))
+    held = rows.sparkSession.sparkContext.broadcast(made)
+
+    def count(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        distances = Distances(held.value[key[0]])
+        return pd.DataFrame({"label": found["label"], "c": [distances.counts(t) for t in found["text"]]})
+
+    part = F.pmod(F.xxhash64("text"), F.lit(4))
+    got = rows.groupBy("fold", part).applyInPandas(lambda key, found: count(key, found), "label double, c array<double>").toPandas()
+    weights, intercept = logistic(features(np.stack(got["c"].to_numpy())), got["label"].to_numpy())
+    return ToxicityModel(made[-1], weights, intercept)
 
 
 def scorer(spark: SparkSession, model: ToxicityModel | float):
-    """A column function text -> score. What is broadcast holds at most ORDINARY_WORDS + TOXIC_WORDS short words."""
+    """A column function text -> score. What is broadcast are the dictionaries and the weights."""
     if isinstance(model, float):
         return lambda text: F.lit(model)
     held = spark.sparkContext.broadcast(model)
@@ -187,7 +201,7 @@ def scorer(spark: SparkSession, model: ToxicityModel | float):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if not made:
-            made.append(Distances(held.value.ordinary, held.value.toxic))
+            made.append(Distances(held.value.pairs))
         if not len(texts):
             return pd.Series([], dtype=float)
         return pd.Series(held.value.scores(np.array([made[0].counts(t) for t in texts])))
