@@ -38,9 +38,9 @@ from .labelled import training_rows
 MOST_ROWS = 16_000
 MOST_BYTES = 6 << 20
 SAMPLE_CHARS = 64 << 10
-FOLDS, BAGS = 4, 6
+FOLDS, BAGS = 4, 8
 #: Bytes of a dictionary at most, and bytes of the smaller label's samples per byte of dictionary.
-DICTIONARY_BYTES, SAMPLES_PER_BYTE = 64 << 10, 16
+DICTIONARY_BYTES, SAMPLES_PER_BYTE = 128 << 10, 16
 #: Lengths of the pieces that the trainer picks and compares.
 SEGMENT, PART = 20, 8
 WINDOW_BYTES = 32
