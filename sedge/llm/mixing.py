@@ -1,17 +1,19 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 Words (the tokens here) are packed into blocks of `block_words` words, source by source. Every output shard draws how
-many of its slots go to each source; a source's slots are numbered through all shards, and slot number k takes the
+many of its slots go to each source; a source's slots are numbered, and its slot number k takes the
 block at position perm(k mod n) of the source's n blocks, where perm is a pseudorandom permutation keyed by the seed,
 the source and the pass k div n. Slots and blocks then meet in a join on (source, block).
 
-The draw is systematic, not multinomial: one uniform number per slot, each in its own 1/S stratum of the shard, so that a
-source's count in a shard stays within a slot of its share at either border. As numbers rise with the slot, a source's
-slots stand together. Slots beyond twice a source's blocks are not filled, so that no document
-is taken more than twice.
+The draw: a keyed permutation of all slots deals the sources' shares out, so that shard counts are those of
+independent multinomial draws per shard, given the totals over all shards (a multivariate hypergeometric law). A source's
+count in a shard of S slots varies by about sqrt(S p (1 - p)), while its total is its target's number of slots, which
+independent draws would miss by chance. A slot's number among its source's slots is its place in the source's share:
+nothing is counted or shuffled to draw. Slots beyond twice a source's blocks are not filled, so that no document is taken
+more than twice.
 
 Sources may be many: they are numbered and their intervals summed by ranges, the water level of their targets comes from
-rounds of sums of which only totals reach the driver, and slots meet the sources of their cell of [0, 1).
+rounds of sums of which only totals reach the driver, and slots meet the sources of their cell.
 
 Packing needs the running number of words before each document. Documents are dealt into many buckets per source by a
 hash; the running sum is taken inside buckets, and bucket totals are summed in a second, short pass, so that a source
@@ -33,16 +35,16 @@ from pyspark.sql.window import Window
 from .common import WORD, cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Words per block, slots per shard (at least) and shards (at most).
+#: Words per block and slots per shard.
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
-MOST_SHARDS = 1 << 16
-#: Slots per task when they are mapped to blocks.
-TASK_SLOTS = 200_000
-ROUNDS = 12
+#: Slots per task when they are mapped to blocks, and tasks at most (slots are streamed, whatever their number).
+TASK_SLOTS, MOST_TASKS = 200_000, 20_000
+#: Rounds of a permutation of blocks, and of that of all slots: each round doubles the shifts that neighbours may take.
+ROUNDS, DRAW_ROUNDS = 12, 20
 #: Sources up to which their table is broadcast; more are joined by shuffles.
 BROADCAST_SOURCES = 20_000
-#: Cells of [0, 1) by which slots find their source: at least, and per source.
+#: Cells of the slots by which they find their source: at least, and per source.
 LEAST_CELLS = 1024
 SOURCE_CELLS = 2
 #: Wanted slots are summed as whole numbers of this unit, so that sums don't depend on their order.
@@ -89,7 +91,7 @@ def _running(rows: DataFrame, amount: str, name: str, *order: Column) -> DataFra
 
 
 def source_table(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Sources (source, n, docs) with number, target (as in `targets`), blocks, buckets and interval [c_from, c_to) of the draw."""
+    """Sources (source, n, docs) with number, target (as in `targets`), blocks, buckets and interval [slot_from, slot_to) of the permuted slots."""
     spark = sizes.sparkSession
     order = (F.col("source").isNull(), F.col("source"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -109,14 +111,10 @@ def source_table(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     aimed = numbered.withColumn("target", F.when(over, F.col("limit")).otherwise(F.lit(left) * F.col("weight") / F.lit(total or 1.0)))
     # A block has size / blocks words on average, so this many slots give the target.
     aimed = aimed.withColumn("n_blocks", F.ceil(F.col("n") / block_words)).withColumn("wanted", F.when(F.col("n") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("n") * UNIT)).otherwise(0).cast("bigint"))
-    placed = _running(aimed, "wanted", "ahead_of", *order).crossJoin(F.broadcast(aimed.agg(F.sum("wanted").alias("all"))))
-    share_of = lambda x: F.when(F.col("all") > 0, x / F.col("all")).otherwise(0.0)
-    return cut(placed.select("source", "s", F.col("n").alias("source_size"), "target", "n_blocks", (F.floor(F.sqrt("docs")) + 1).cast("int").alias("buckets"), "wanted", share_of(F.col("ahead_of")).alias("c_from"), share_of(F.col("ahead_of") + F.col("wanted")).alias("c_to")))
-
-
-def _uniform(*parts) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
+    placed = _running(aimed, "wanted", "ahead_of", *order)
+    # Rounded sums: shares of slots follow each other without gaps.
+    slot_at = lambda x: F.expr(f"({x} + {UNIT // 2}) div {UNIT}")
+    return cut(placed.select("source", "s", F.col("n").alias("source_size"), "target", "n_blocks", (F.floor(F.sqrt("docs")) + 1).cast("int").alias("buckets"), slot_at("ahead_of").alias("slot_from"), slot_at("ahead_of + wanted").alias("slot_to")))
 
 
 def permuted(index: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column:
@@ -141,44 +139,36 @@ class Plan:
 
 def plan(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> Plan:
     spark = docs.sparkSession
-    sized = cut(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), count_words(F.col(f"`{text}`")).alias("size")))
+    sized = cut(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), count_words(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("h")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
     sources = source_table(sizes, weights, share, most, block_words)
-    totals = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted")).first()
+    totals = sources.agg(F.count("*").alias("n"), F.coalesce(F.max("slot_to"), F.lit(0)).alias("slots")).first()
     small = F.broadcast if totals["n"] <= BROADCAST_SOURCES else lambda x: x
 
-    slots = round(totals["wanted"] / UNIT)
-    per_shard = max(shard_slots, -(-slots // MOST_SHARDS))
-    cells = max(LEAST_CELLS, SOURCE_CELLS * totals["n"])
-    at_cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
-    drawn = spark.range(slots).select(F.expr(f"id div {per_shard}").alias("shard"), (F.col("id") % per_shard).alias("slot"))
-    drawn = drawn.withColumn("width", F.least(F.lit(per_shard), F.lit(slots) - F.col("shard") * per_shard))
-    # Slot j draws from [j, j + 1) / width, always below 1.
-    drawn = drawn.withColumn("u", F.least((F.col("slot") + _uniform(F.lit(seed), F.col("shard"), F.col("slot"))) / F.col("width"), F.lit(1 - 2.0**-53))).withColumn("cell", at_cell(F.col("u")))
-    met = sources.where("wanted > 0").select("s", "c_from", "c_to", F.explode(F.sequence(at_cell(F.col("c_from")), at_cell(F.col("c_to")))).alias("cell"))
-    counts = drawn.join(small(met), "cell").where("c_from <= u AND u < c_to").groupBy("shard", "s").agg(F.min("slot").alias("j0"), F.count("*").alias("n"))
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("k0", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    known = small(sources.select("s", "n_blocks"))
-    # Few small rows become many slots: without this, one task would get all of them.
-    counts = counts.join(known, "s").repartition(spark.sparkContext.defaultParallelism + slots // TASK_SLOTS, "shard", "s")
-    filled = counts.select("shard", "s", "n_blocks", "j0", "k0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
-    filled = filled.select("shard", (F.col("j0") + F.col("i")).alias("slot"), "s", "n_blocks", (F.col("k0") + F.col("i")).alias("k")).where(F.col("k") < most * F.col("n_blocks"))
+    slots = totals["slots"]
+    # Slots and sources meet in cells of the permuted slots, as many as there are sources or more.
+    width = max(1, slots // max(LEAST_CELLS, SOURCE_CELLS * totals["n"]))
+    cell_of = lambda x: F.expr(f"({x}) div {width}")
+    tasks = max(spark.sparkContext.defaultParallelism, min(MOST_TASKS, slots // TASK_SLOTS))
+    drawn = spark.range(0, slots, 1, tasks).select(F.expr(f"id div {shard_slots}").alias("shard"), (F.col("id") % shard_slots).alias("slot"), permuted(F.col("id"), F.lit(slots).cast("bigint"), F.lit(seed), F.lit(-1), rounds=DRAW_ROUNDS).alias("place"))
+    met = sources.where("slot_to > slot_from").select("s", "n_blocks", "slot_from", "slot_to", F.explode(F.sequence(cell_of("slot_from"), cell_of("slot_to - 1"))).alias("cell"))
+    drawn = drawn.withColumn("cell", cell_of("place")).join(small(met), "cell").where("slot_from <= place AND place < slot_to")
+    filled = drawn.select("shard", "slot", "s", "n_blocks", (F.col("place") - F.col("slot_from")).alias("k")).where(F.col("k") < most * F.col("n_blocks"))
     block = permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("s"), F.expr("k div n_blocks"))
     filled = filled.select("shard", "slot", "s", block.alias("block"))
 
     known = small(sources.select("source", "s", "buckets", "source_size", "target"))
     same = sized["source"].eqNullSafe(known["source"])
-    dealt = sized.join(known, same).select("id", "size", "s", "source_size", "target", F.pmod(F.xxhash64("id", "size"), "buckets").alias("bucket"))
-    inside = Window.partitionBy("s", "bucket").orderBy("id", "size")
+    dealt = sized.join(known, same).select("id", "size", "h", "s", "source_size", "target", F.pmod(F.xxhash64("id", "size", "h"), "buckets").alias("bucket"))
+    inside = Window.partitionBy("s", "bucket").orderBy("id", "size", "h")
     placed = dealt.withColumn("row", F.row_number().over(inside)).withColumn("start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     ahead = dealt.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
     ahead = ahead.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     placed = cut(placed.join(ahead, ["s", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("base"))
     first, end = F.col("start"), F.col("start") + F.col("size")
-    pieces = placed.where("size > 0").select("s", "bucket", "row", "id", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
+    pieces = placed.where("size > 0").select("s", "bucket", "row", "id", "h", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
     low, high = F.greatest(first, F.col("block") * block_words), F.least(end, (F.col("block") + 1) * block_words)
-    pieces = pieces.select("s", "block", "bucket", "row", "id", (low - first).alias("word_from"), (high - first).alias("word_to"))
+    pieces = pieces.select("s", "block", "bucket", "row", "id", "h", (low - first).alias("word_from"), (high - first).alias("word_to"))
     return Plan(placed, sources, filled, pieces)
 
 
@@ -192,13 +182,13 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_blocks(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The mix itself: shard, slot, source number, block and the block's text, its pieces in order joined by blanks.
+    """The mix itself: shard, slot, source, block and the block's text, its pieces in order joined by blanks.
 
-    Ids must be unique here, as texts are fetched by them.
+    Texts are fetched by id and hash, so that repeated ids, null ones included, give every piece once.
     """
     mix = plan(docs, id_column=id_column, text=text, **options)
-    words = docs.select(F.col(f"`{id_column}`").alias("id"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD})")).alias("words"))
-    cutouts = mix.pieces.join(words, "id").select("s", "block", "bucket", "row", F.array_join(F.slice("words", (F.col("word_from") + 1).cast("int"), (F.col("word_to") - F.col("word_from")).cast("int")), " ").alias("piece"))
+    words = docs.select(F.col(f"`{id_column}`").alias("id2"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD})")).alias("words")).dropDuplicates(["id2", "h"])
+    cutouts = mix.pieces.join(words, (mix.pieces["h"] == words["h"]) & F.col("id").eqNullSafe(F.col("id2"))).select("s", "block", "bucket", "row", F.array_join(F.slice("words", (F.col("word_from") + 1).cast("int"), (F.col("word_to") - F.col("word_from")).cast("int")), " ").alias("piece"))
     text_of = cutouts.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("bucket", "row", "piece"))).alias("parts"))
     text_of = text_of.select("s", "block", F.array_join(F.transform("parts", lambda p: p["piece"]), " ").alias("text"))
     return mix.slots.join(text_of, ["s", "block"]).join(mix.sources.select("s", "source"), "s").select("shard", "slot", "source", "block", "text")
