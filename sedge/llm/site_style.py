@@ -1,22 +1,28 @@
 """HTML extraction by site style trees.
 
 The pages of a host are merged into one tree: a node is a path of element names with class or id, and under it stand
-the sequences of children (its presentation) and the texts (its content) that pages show there. Entropy over the pages
-gives either an importance between 0 (all pages show the same) and 1 (every page shows something else); a node's
-importance weighs both, and that of a node without children is that of its content. A place that shows the same few
-texts on many pages has low importance and its branch is removed from each page. Inside article elements nodes count
-as well, and so does each text: its importance is the share of pages whose node does not show it. There an article
-element is a prior: importances are drawn towards 1 as if ARTICLE_PRIOR more pages had shown something else, and pages
-of a host with the same article count once, so that copies of an article do not make it boilerplate.
+the sequences of children (its presentation) and the texts (its content) that pages show there. The importance of
+either is the number of effectively different ones, the exponential of their entropy, as a share of the node's pages,
+and at least the share of pages that show one of their own: 1 where every page shows something else, near 0 where all
+show the same few. A node's importance weighs both; that of a node without children is that of its content.
+
+The trees of all hosts are merged once more: a host with few pages for a node borrows the importance of the same node
+there, as if it had HOSTS_PRIOR more pages. Branches of low importance are removed from each page.
+
+Markup enters as a prior. Outside article elements, a branch of a page that has an article is kept only if the tree
+says so against OUTSIDE_PRIOR pages to the contrary. Inside them nodes and single texts count as well (the importance of a
+text is the share of pages whose node does not show it), as if ARTICLE_PRIOR more pages had shown something else; pages
+of a host with the same article count once there, so that copies of an article do not make it boilerplate. Of several
+articles the largest decides: those at other places of the page, and much smaller ones, are teasers.
 
 What markup itself declares to be outside the article (menus, headers, footers, sidebars, adverts, forms, comments,
-scripts, styles) goes as well, and where an article element exists, only its branch is read; these rules alone decide
-for hosts with too few pages. A class, id or role declares by a whole name (see `declares`), never on html, body, main
-or article; above an article it counts only where another article of the page stands free of such names.
+scripts, styles) goes whatever its importance. A class, id or role declares by a whole name (see `declares`), never on
+html, body, main or article; above an article it counts only where another article of the page stands free of such
+names. With markup=False neither articles nor such declarations are looked at, and the trees alone decide.
 
 Pages are parsed inside tasks, twice: once to count, once to extract. What is shuffled are hashes of nodes and texts,
-and counts; pages are never shuffled, unless the removed nodes of all hosts exceed BROADCAST_BYTES; then pages meet
-their host's nodes in a join.
+and counts. Verdicts on nodes are broadcast up to BROADCAST_BYTES, those with the most pages first; beyond that, the
+nodes of each page meet the remaining verdicts in a join on (host, node), and pages get theirs by a hash of the page.
 
 Defined results: null and empty pages have the empty text; a page without markup is one block; pages without a host form
 one host of their own; repeated rows count and return one by one.
@@ -27,6 +33,7 @@ from __future__ import annotations
 import html as html_module
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +49,8 @@ from .common import cut, fresh
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-OUTSIDE = frozenset("nav header footer aside form script style head title noscript template iframe svg math object button select textarea input menu dialog".split())
+HIDDEN = frozenset("script style head title noscript template iframe svg math object select textarea input".split())
+OUTSIDE = HIDDEN | frozenset("nav header footer aside form button menu dialog".split())
 #: Words in a class, id or role by which markup declares a branch to be outside the article.
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement adverts alert aside banner bottombar breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply share sharing sidebar sidebars sidenav signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -51,14 +59,20 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 LAYOUT_WORDS = frozenset("article body content entry has have hide is layout main no not page post show single story text title toggle with without".split())
 #: Elements that no class word puts outside.
 NEVER_DECLARED = frozenset("html body main article".split())
+FORM_END = re.compile(r"</form\b", re.I)
 PARTS = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 SEED = 11
 BROADCAST_BYTES = 16 << 20
 LEAST_PAGES = 8
-LEAST_IMPORTANCE = 0.35
-#: So many pages more, each with something else, are assumed for nodes and texts inside an article.
-ARTICLE_PRIOR = 8
+#: Importance below which a branch goes, outside articles and inside them, and from which one beside an article stays.
+LEAST_IMPORTANCE, LEAST_INSIDE, BESIDE = 0.5, 0.35, 0.75
+#: So many pages more are assumed: those of all hosts, some with something else inside an article, some with the same beside it.
+HOSTS_PRIOR, ARTICLE_PRIOR, OUTSIDE_PRIOR = 40, 8, 50
+#: Least size of an article as a share of the largest one at the same place of the page.
+ARTICLE_SHARE = 0.25
+#: Verdicts on a node: low inside an article, low outside one, none, and content even beside an article.
+LOW_INSIDE, LOW, OPEN, HIGH = 1, 2, 3, 4
 #: Share of the presentation in the importance of a node that has children.
 PRESENTATION = 0.1
 
@@ -68,6 +82,7 @@ class Block:
     """A block of text with the node it stands in: hashes of the node's path and of all paths above it.
 
     around: a name declares an element above the article to be outside. own: where in path the article itself is.
+    place: hash of the path of the article.
     """
 
     text: str
@@ -76,6 +91,7 @@ class Block:
     article: int
     around: bool
     own: int
+    place: int
 
     @property
     def shown(self) -> int:
@@ -98,10 +114,17 @@ def _names(attributes: str) -> tuple[str, bool]:
     return re.sub(r"\d+", "0", label.strip()), any(declares(x) for x in label.split())
 
 
-def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> list[Block]:
+def wraps(page: str, at: int) -> bool:
+    """Whether a form that begins at this place holds most of the rest of the page."""
+    close = FORM_END.search(page, at)
+    return (close.start() if close else len(page)) - at > (len(page) - at) / 2
+
+
+def blocks(page: str | None, children: dict[int, list[str]] | None = None, markup: bool = True) -> list[Block]:
     """The blocks of a page in order. Unclosed and misnested elements are closed where an element around them ends.
 
-    children, if given, gets the sequence of child elements of every node.
+    children, if given, gets the sequence of child elements of every node. Without markup, no element is an article or
+    declared outside one.
     """
     if not page:
         return []
@@ -118,7 +141,8 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> li
         if text:
             _, _, by_element, article, by_name, around = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
             own = sum(x[0] in BLOCKS and not x[3] for x in stack)
-            out.append(Block(text, tuple(x[1] for x in stack if x[0] in BLOCKS), by_element or by_name, article, around, own))
+            place = next((x[1] for x in stack if x[3]), 0)
+            out.append(Block(text, tuple(x[1] for x in stack if x[0] in BLOCKS), by_element or by_name, article, around, own, place))
 
     def add(text: str) -> None:
         """Text of the open block; an element in a line that is declared outside the article is left out."""
@@ -158,14 +182,15 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None) -> li
             at = close.end() if close else end
             continue
         _, above, by_element, article, by_name, around = stack[-1]
-        if name == "article" and not article:
+        if name == "article" and not article and markup and not any(x[0] in HIDDEN for x in stack):
             n_articles += 1
-            article, by_name, around = n_articles, False, by_name
-        declared = declared and name not in NEVER_DECLARED
+            article, by_name, by_element, around = n_articles, False, False, by_name or by_element
+        declared = declared and markup and name not in NEVER_DECLARED
         path = xxhash.xxh64_intdigest(f"{above}>{name}.{label}", SEED) if name in BLOCKS else above
         if children is not None and path != above:
             children.setdefault(above, []).append(f"{name}.{label}")
-        stack.append((name, path, by_element or name in OUTSIDE, article, by_name or declared, around))
+        outside = name in (OUTSIDE if markup else HIDDEN) and not (name == "form" and stack[-1][0] in ("", "html", "body") and wraps(page, at))
+        stack.append((name, path, by_element or outside, article, by_name or declared, around))
     flush()
     return out
 
@@ -174,7 +199,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def node_counts(pages: DataFrame) -> DataFrame:
+def node_counts(pages: DataFrame, markup: bool = True) -> DataFrame:
     """host, node, kind, shown, n: how often pages of the host show a content (kind 0: the texts of the branch, by hash) or
     a presentation (kind 1: the sequence of children) at a node.
 
@@ -191,8 +216,8 @@ def node_counts(pages: DataFrame) -> DataFrame:
                 inside: dict[int, xxhash.xxh64] = {}
                 single: dict[int, int] = {}
                 whole = xxhash.xxh64(seed=SEED)
-                for block in blocks(page, children):
-                    if block.article and block.outside:
+                for block in blocks(page, children, markup):
+                    if block.outside and (block.article or not markup):
                         continue
                     data, into = block.text.encode("utf-8", "surrogatepass") + b"\n", inside if block.article else texts
                     for node in block.path[block.own :] if block.article else block.path:
@@ -221,61 +246,150 @@ def node_counts(pages: DataFrame) -> DataFrame:
     return articles.groupBy("host", "node", "kind", "shown").agg(F.sum(F.when(F.col("kind") < 2, F.col("n")).otherwise(1)).alias("n"))
 
 
+def _importance(counts: DataFrame, keys: list[str], presentation: float) -> DataFrame:
+    """keys, m (pages that show the node) and importance, from how often contents (kind 0) and presentations (kind 1) are shown."""
+    kinds = counts.groupBy(*keys, "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count_if(F.col("n") == 1).alias("own"))
+    # exp(entropy) / m is exp(-sum(n log n) / m).
+    value = F.greatest(F.exp(-F.col("nlogn") / F.col("m")), F.col("own") / F.col("m"))
+    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, x))
+    both = kinds.groupBy(*keys).agg(of(0, F.col("m")).alias("m"), of(0, value).alias("content"), of(1, value).alias("shape"))
+    return both.where("m IS NOT NULL").select(*keys, "m", F.coalesce(F.col("shape") * presentation + F.col("content") * (1 - presentation), "content").alias("importance"))
+
+
 def importances(counts: DataFrame, presentation: float = PRESENTATION) -> DataFrame:
     """host, node, inside (an article), m (pages that show the node) and importance."""
     known = counts.where("kind < 4").withColumn("inside", F.col("kind") >= 2).withColumn("kind", F.col("kind") % 2)
-    kinds = known.groupBy("host", "node", "inside", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    entropy = F.when(F.col("m") < 2, F.lit(1.0)).otherwise((F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m"))
-    both = kinds.groupBy("host", "node", "inside").agg(F.max(F.when(F.col("kind") == 0, F.col("m"))).alias("m"), F.max(F.when(F.col("kind") == 0, entropy)).alias("content"), F.max(F.when(F.col("kind") == 1, entropy)).alias("shape"))
-    return both.where("m IS NOT NULL").select("host", "node", "inside", "m", F.coalesce(F.col("shape") * presentation + F.col("content") * (1 - presentation), "content").alias("importance"))
+    return _importance(known, ["host", "node", "inside"], presentation)
+
 
+def verdicts(counts: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """host, node, m and verdict, as far as there are pages enough to tell.
 
-def unimportant(counts: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, article_prior: float = ARTICLE_PRIOR) -> DataFrame:
-    """host, node: branches, and texts inside articles, whose importance is low, as far as there are pages enough to tell."""
+    A null host holds the verdicts of all hosts' tree, for nodes of which a host has fewer pages; a host's own verdict is
+    listed where it differs from that. Texts inside articles have the hash of text and place as their node.
+    """
     found = importances(counts)
+    outside = counts.where("kind < 2").groupBy("node", "kind", "shown").agg(F.sum("n").alias("n"))
+    everywhere = _importance(outside, ["node"], PRESENTATION).where(F.col("m") >= least_pages).select("node", F.col("m").alias("m_all"), F.col("importance").alias("all"))
+    judge = lambda m, x: F.when(x < least_importance, LOW).when(x * m / (m + OUTSIDE_PRIOR) >= BESIDE, HIGH).otherwise(OPEN)
+    general = everywhere.select("node", "m_all", "all", judge(F.col("m_all"), F.col("all")).alias("general"))
+    own = found.where(~F.col("inside") & (F.col("m") >= least_pages)).join(general, "node", "left")
+    prior = F.when(F.col("all").isNull(), 0).otherwise(HOSTS_PRIOR)
+    blended = (F.col("importance") * F.col("m") + F.coalesce("all", F.lit(0.0)) * prior) / (F.col("m") + prior)
+    own = own.withColumn("verdict", judge(F.col("m"), blended)).where(F.col("verdict") != F.coalesce("general", F.lit(OPEN))).select("host", "node", "m", "verdict")
     texts = counts.where((F.col("kind") == 4) & (F.col("n") >= least_pages)).select("host", F.col("node").alias("text"), F.col("shown").alias("node"), "n")
-    texts = texts.join(found.where("inside").select("host", "node", "m"), ["host", "node"]).select("host", F.col("text").alias("node"), F.lit(True).alias("inside"), "m", (1 - F.col("n") / F.col("m")).alias("importance"))
-    weighed = F.when(F.col("inside"), (F.col("importance") * F.col("m") + article_prior) / (F.col("m") + article_prior)).otherwise(F.col("importance"))
-    return found.unionByName(texts).where((F.col("m") >= least_pages) & (weighed < least_importance)).select("host", "node")
+    texts = texts.join(found.where("inside").select("host", "node", "m"), ["host", "node"]).select("host", F.col("text").alias("node"), "m", (1 - F.col("n") / F.col("m")).alias("importance"))
+    within = found.where("inside").select("host", "node", "m", "importance").unionByName(texts).where(F.col("m") >= least_pages)
+    within = within.where((F.col("importance") * F.col("m") + ARTICLE_PRIOR) / (F.col("m") + ARTICLE_PRIOR) < LEAST_INSIDE).select("host", "node", "m", F.lit(LOW_INSIDE).alias("verdict"))
+    general = general.where(F.col("general") != OPEN).select(F.lit(None).cast("string").alias("host"), "node", F.col("m_all").alias("m"), F.col("general").alias("verdict"))
+    return own.unionByName(within).unionByName(general).withColumn("verdict", F.col("verdict").cast("tinyint"))
 
 
-def extract(page: str | None, low: frozenset[int]) -> str:
-    """The text of a page's articles, of the rest where it has none, without the branches and texts in low."""
-    kept = [b for b in blocks(page) if not b.outside]
-    articles = [b for b in kept if b.article]
-    chosen = [b for b in articles if not b.around] or articles or kept
-    if low:
-        chosen = [b for b in chosen if not any(signed(x) in low for x in ((*b.path[b.own + 1 :], b.shown) if b.article else b.path))]
-    return "\n".join(b.text for b in chosen)
+def nodes_of(found: list[Block]) -> set[int]:
+    """The nodes and texts whose verdicts extract() asks for."""
+    return {signed(x) for b in found if not b.outside for x in ((*b.path[b.own + 1 :], b.shown) if b.article else b.path)}
 
 
-def with_text(pages: DataFrame, name: str, *, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract(found: list[Block], verdict: dict[int, int]) -> str:
+    """The text of a page's main article, of the whole page where it has none, by the verdicts on its nodes."""
+    kept = [b for b in found if not b.outside]
+    articles = [b for b in kept if b.article]
+    chosen = [b for b in articles if not b.around] or articles
+    of = lambda nodes: [verdict.get(signed(x), OPEN) for x in nodes]
+    if chosen:
+        chosen = [b for b in chosen if LOW_INSIDE not in of((*b.path[b.own + 1 :], b.shown))]
+        size: Counter = Counter()
+        for b in chosen:
+            size[b.place, b.article] += len(b.text)
+        place, most = max(((p, n) for (p, _), n in size.items()), key=lambda x: x[1], default=(0, 0))
+        main = {(p, k) for (p, k), n in size.items() if p == place and n >= ARTICLE_SHARE * most}
+        # Ancestors of an article tell nothing about what stands beside it.
+        above = {x for b in articles for x in b.path[: b.own]}
+        beside = {id(b) for b in kept if not b.article and (own := [x for x in b.path if x not in above]) and set(of(own)) == {HIGH}}
+        return "\n".join(b.text for b in kept if id(b) in beside or (b.place, b.article) in main and any(b is x for x in chosen))
+    return "\n".join(b.text for b in kept if LOW not in of(b.path))
+
+
+class Verdicts:
+    """Verdicts by host: sorted nodes and their values, for broadcasting."""
+
+    def __init__(self, rows: pd.DataFrame):
+        columns = lambda part: (part["node"].to_numpy(np.int64), part["verdict"].to_numpy(np.int8))
+        rows = rows.sort_values("node")
+        self.general = columns(rows[rows["host"].isna()])
+        self.hosts = {host: columns(part) for host, part in rows[rows["host"].notna()].groupby("host", sort=False)}
+
+    def of(self, host: str, nodes: set[int]) -> dict[int, int]:
+        out: dict[int, int] = {}
+        asked = np.fromiter(nodes, np.int64, len(nodes))
+        for known, values in (self.general, self.hosts.get(host, ((), ()))):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                hit = known[at] == asked
+                out.update(zip(asked[hit].tolist(), values[at[hit]].tolist(), strict=True))
+        return out
+
+
+def with_text(pages: DataFrame, name: str, *, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, broadcast_bytes: int = BROADCAST_BYTES, markup: bool = True) -> DataFrame:
     """pages with a column of their main text."""
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[a-zA-Z][-+.a-zA-Z0-9]*://([^/?#]*)", 1)), F.lit(""))
-    host_name, nodes_name = fresh([*pages.columns, name], "host", "nodes")
+    host_name, found_name, key_name, key_2 = fresh([*pages.columns, name], "host", "found", "key", "key_2")
     hosted = pages.withColumn(host_name, host)
-    counts = cut(node_counts(hosted.select(F.col(host_name).alias("host"), F.col(f"`{html}`").alias("html"))))
-    low = cut(unimportant(counts, least_pages, least_importance))
-    size = low.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        table: dict[str, frozenset] = {r["host"]: frozenset(r["nodes"]) for r in low.groupBy("host").agg(F.collect_set("node").alias("nodes")).collect()}
-        held = spark.sparkContext.broadcast(table)
+    parts = hosted.select(F.col(host_name).alias("host"), F.col(f"`{html}`").alias("html"))
+    counts = cut(node_counts(parts, markup))
+    judged = cut(verdicts(counts, least_pages, least_importance))
+    size = F.coalesce(F.octet_length("host"), F.lit(0)) + 24
+    total = judged.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    hot = judged
+    if total["bytes"] > broadcast_bytes:
+        # As many of the nodes with the most pages as fit; the rest have few pages each and are joined.
+        least = judged.agg(F.percentile_approx("m", 1 - broadcast_bytes / total["bytes"], 10_000)).first()[0]
+        hot = judged.where(F.col("m") > least)
+        if hot.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] > broadcast_bytes:
+            least, hot = None, judged.limit(0)
+    held = spark.sparkContext.broadcast(Verdicts(hot.select("host", "node", "verdict").toPandas()))
+
+    if hot is judged:
 
         @F.pandas_udf("string")
         def main_text(hosts: pd.Series, htmls: pd.Series) -> pd.Series:
-            none: frozenset = frozenset()
-            return pd.Series([extract(h, held.value.get(x, none)) for x, h in zip(hosts, htmls, strict=True)], dtype=object)
+            out = []
+            for x, h in zip(hosts, htmls, strict=True):
+                found = blocks(h, markup=markup)
+                out.append(extract(found, held.value.of(x, nodes_of(found))))
+            return pd.Series(out, dtype=object)
 
         return hosted.withColumn(name, main_text(F.col(host_name), F.col(f"`{html}`"))).drop(host_name)
 
-    @F.pandas_udf("string")
-    def main_text_of(nodes: pd.Series, htmls: pd.Series) -> pd.Series:
-        return pd.Series([extract(h, frozenset(() if x is None else x)) for x, h in zip(nodes, htmls, strict=True)], dtype=object)
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k1, k2, x, h in batch.itertuples(index=False):
+                nodes = list(nodes_of(blocks(h, markup=markup)))
+                yield pd.DataFrame({"k1": [k1] * len(nodes), "k2": [k2] * len(nodes), "host": [x] * len(nodes), "node": np.array(nodes, np.int64)})
 
-    by_host = low.groupBy(F.col("host").alias(host_name)).agg(F.collect_set("node").alias(nodes_name))
-    joined = hosted.join(by_host, host_name, "left")
-    return joined.withColumn(name, main_text_of(F.col(nodes_name), F.col(f"`{html}`"))).drop(host_name, nodes_name)
+    @F.pandas_udf("string")
+    def main_text_of(hosts: pd.Series, own: pd.Series, htmls: pd.Series) -> pd.Series:
+        out = []
+        for x, pairs, h in zip(hosts, own, htmls, strict=True):
+            found = blocks(h, markup=markup)
+            verdict = held.value.of(x, nodes_of(found))
+            # All hosts' verdicts come first, so that the host's own replace them.
+            for p in sorted(() if pairs is None else pairs, key=lambda p: not p["general"]):
+                if not (p["general"] and p["node"] in verdict):
+                    verdict[p["node"]] = p["verdict"]
+            out.append(extract(found, verdict))
+        return pd.Series(out, dtype=object)
+
+    key = [F.xxhash64("host", "html"), F.xxhash64("html", F.lit(1), "host")]
+    cold = judged if least is None else judged.where(F.col("m") <= least)
+    nodes = parts.select(key[0].alias("k1"), key[1].alias("k2"), "host", "html").where("html IS NOT NULL").dropDuplicates(["k1", "k2"]).mapInPandas(asked, "k1 bigint, k2 bigint, host string, node bigint")
+    own = nodes.join(cold.where("host IS NOT NULL"), ["host", "node"]).select("k1", "k2", "node", "verdict", F.lit(False).alias("general"))
+    general = nodes.join(cold.where("host IS NULL").drop("host"), "node").select("k1", "k2", "node", "verdict", F.lit(True).alias("general"))
+    by_page = own.unionByName(general).groupBy("k1", "k2").agg(F.collect_list(F.struct("node", "verdict", "general")).alias(found_name)).withColumnsRenamed({"k1": key_name, "k2": key_2})
+    keyed = hosted.withColumns({key_name: F.xxhash64(host_name, F.col(f"`{html}`")), key_2: F.xxhash64(F.col(f"`{html}`"), F.lit(1), host_name)})
+    joined = keyed.join(by_page, [key_name, key_2], "left")
+    return joined.withColumn(name, main_text_of(F.col(host_name), F.col(found_name), F.col(f"`{html}`"))).select(*[F.col(f"`{c}`") for c in pages.columns], name)
 
 
 def report(pages: DataFrame, **options) -> DataFrame:
@@ -284,6 +398,7 @@ def report(pages: DataFrame, **options) -> DataFrame:
 
 
 def entropy_importance(counts: list[int]) -> float:
-    """Importance of a node from how many pages show each of its contents (as `unimportant` computes it)."""
+    """Importance of a node from how many pages show each of its contents (as `importances` computes it)."""
     m = sum(counts)
-    return 1.0 if m < 2 else -sum(n / m * math.log(n / m) for n in counts) / math.log(m)
+    entropy = -sum(n / m * math.log(n / m) for n in counts)
+    return max(math.exp(entropy) / m, counts.count(1) / m)
