@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
-Blocks of a text that could be a licence notice (paragraphs, between blank lines, that have a cue word) are compressed alone and with each template as a zstandard raw dictionary. Templates are ranked by the bytes that they
-save; the best ones are confirmed by exact wording: the template's words, case and punctuation aside, have to occur in
-the block in order, with at most `most_share` of them missing, added or changed in the aligned stretch. The telling words
-(names of licences and their versions) have to be there unchanged, in order, and no others among them.
+Blocks of a text that could be a licence notice (paragraphs, between blank lines, that have a cue word) are compressed
+alone and with each template as a zstandard raw dictionary, and templates are ranked by the share of their bytes that they
+save. In that order every template is confirmed by exact wording: its words, case and punctuation aside, have to occur
+in the block in order, with at most `most_share` of them missing, added or changed in the aligned stretch. The telling
+words (names of licences and their versions) have to be there unchanged, in order, and no others among them. Of
+confirmed stretches that overlap, the better ranked one counts.
 
 Defined results: null and empty texts have no blocks and no licences; a notice found several times is listed once per
-place; equal rows get equal results.
+place; equal rows get equal results; of equally ranked templates the earlier one comes first.
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Public licence notices by SPDX identifier, and the words by which a line becomes a candidate.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -37,7 +42,9 @@ TEMPLATES = (
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -67,11 +74,11 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: tuple = TEMPLATES, *, top: int = 4, least_saved: float = 0.2, most_share: float = 0.08, level: int = 3):
+    def __init__(self, templates: tuple = TEMPLATES, *, most_share: float = 0.08, level: int = 3):
         plain = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**plain)
         self.templates = [Template(name, text, [w for w, _, _ in words_of(text)], zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain)) for name, text in templates]
-        self.top, self.least_saved, self.most_share = top, least_saved, most_share
+        self.most_share = most_share
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """[from, to) of the candidate blocks: paragraphs (runs of lines that aren't blank) with a cue."""
@@ -98,7 +105,7 @@ class Scanner:
             base = len(self.alone.compress(data))
             ranked = sorted(((base - len(t.compressor.compress(data))) / max(1, min(base, len(t.text.encode()))), -i) for i, t in enumerate(self.templates))[::-1]
             taken: list[tuple[int, int]] = []
-            for saved, i in ranked[: self.top] + [x for x in ranked[self.top :] if x[0] >= self.least_saved]:
+            for saved, i in ranked:
                 template = self.templates[-i]
                 for x, y, differences in self.confirm(words, template.words):
                     if all(y <= p or x >= q for p, q in taken):
@@ -107,25 +114,26 @@ class Scanner:
         return len(blocks), sorted(found, key=lambda n: (n["char_from"], n["license"]))
 
     def confirm(self, words: list[tuple[str, int, int]], wanted: list[str]) -> list[tuple[int, int, int]]:
-        """Stretches [x, y) of words that differ from the wanted ones in few enough words."""
-        have, n, out, k = [w for w, _, _ in words], len(wanted), [], 0
+        """Stretches [x, y) of words that differ from the wanted ones in few enough words: those with the fewest
+        differences first, then from left to right, then the shortest; of overlapping ones the first."""
+        have, n, found = [w for w, _, _ in words], len(wanted), []
         slack = int(self.most_share * n)  # none for short notices, whose every word counts
-        starts, told = set(wanted[: slack + 1]), telling(wanted)
-        while k < len(have):
-            best = None
-            if slack == 0:
-                if have[k] == wanted[0] and have[k : k + n] == wanted:
-                    best = (0, k + n)
-            elif have[k] in starts:
-                sizes = (m for m in range(max(1, n - slack), n + slack + 1) if k + m <= len(have) and telling(have[k : k + m]) == told)
-                best = min(((word_distance(have[k : k + m], wanted, slack), k + m) for m in sizes), default=None)
-                best = best if best and best[0] <= slack else None
-            if best:
-                out.append((k, best[1], best[0]))
-                k = best[1]
-            else:
-                k += 1
-        return out
+        if len(have) < n - slack:
+            return []
+        # A stretch holds all but `slack` of the wanted words, and has n + slack words at most.
+        pool, starts, told = set(wanted), set(wanted[: slack + 1]), telling(wanted)
+        sums = np.concatenate(([0], np.cumsum([w in pool for w in have], dtype=np.int64)))
+        ends = np.minimum(np.arange(len(have)) + n + slack, len(have))
+        for k in np.nonzero(sums[ends] - sums[:-1] >= n - slack)[0].tolist():
+            if have[k] in starts:
+                for m, d in enumerate(word_distances(wanted, have[k : k + n + slack], slack)):
+                    if m and d <= slack and telling(have[k : k + m]) == told:
+                        found.append((d, k, k + m))
+        out: list[tuple[int, int, int]] = []
+        for d, x, y in sorted(found):
+            if all(y <= p or x >= q for p, q, _ in out):
+                out.append((x, y, d))
+        return sorted(out)
 
 
 def telling(words: list[str]) -> list[str]:
@@ -133,17 +141,18 @@ def telling(words: list[str]) -> list[str]:
     return [w for before, w in zip(["", *words], words) if w in TELLING or w[0].isdigit() or (before, w) == ("gnu", "library")]
 
 
-def word_distance(a: list[str], b: list[str], most: int) -> int:
-    """Least number of missing, added or changed words; most + 1 if above that."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
+def word_distances(wanted: list[str], have: list[str], most: int) -> list[int]:
+    """For every m, the least number of missing, added or changed words between wanted and the first m of have; more than most
+    everywhere where that is certain early."""
+    row = list(range(len(have) + 1))
+    for i, x in enumerate(wanted, 1):
         new = [i]
-        for j, y in enumerate(b, 1):
+        for j, y in enumerate(have, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
         if min(row) > most:
-            return most + 1
-    return row[-1]
+            return [most + 1] * len(row)
+    return row
 
 
 def scans(**options):
@@ -160,8 +169,11 @@ def scans(**options):
 
 
 def with_notices(docs: DataFrame, name: str, *, text: str = "text", **options) -> DataFrame:
-    """docs with a column of n_blocks and notices (licence, block, place in the text, share of bytes saved, differing words)."""
-    return docs.withColumn(name, scans(**options)(F.col(f"`{text}`")))
+    """docs with one more column, of n_blocks and notices (licence, block, place in the text, share of bytes saved, differing
+    words). The name must be new: no column is replaced."""
+    if fresh(docs.columns, name)[0] != name:
+        raise ValueError(f"there is a column {name} already")
+    return docs.select("*", scans(**options)(F.col(f"`{text}`")).alias(name))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

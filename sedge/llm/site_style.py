@@ -331,7 +331,9 @@ class Verdicts:
 
 
 def with_text(pages: DataFrame, name: str, *, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, broadcast_bytes: int = BROADCAST_BYTES, markup: bool = True) -> DataFrame:
-    """pages with a column of their main text."""
+    """pages with one more column, their main text. The name must be new: no column is replaced."""
+    if fresh(pages.columns, name)[0] != name:
+        raise ValueError(f"there is a column {name} already")
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[a-zA-Z][-+.a-zA-Z0-9]*://([^/?#]*)", 1)), F.lit(""))
     host_name, found_name, key_name, key_2 = fresh([*pages.columns, name], "host", "found", "key", "key_2")
