@@ -1,21 +1,27 @@
 """Benchmark decontamination by n-gram windows.
 
 A broadcast hash set holds the windows of the benchmark items (`n` consecutive words; an item with fewer words, but
-not none, is one window). Training texts are scanned window by window: a rolling hash over word numbers finds
-candidates, each is verified word by word, and the words inside verified windows are hit.
+not none, is one window) as sorted 64-bit hashes in an array, with the place of each window in the items' normalised
+text. Training texts are scanned window by window: a rolling hash over word hashes finds candidates, each is verified
+byte by byte against that text, and the words inside verified windows are hit.
+
+A benchmark whose index would exceed INDEX_BYTES (its size is measured after building) is scanned in blocks of items.
+Then only what is hit is written for each block, under two hashes of the text; texts meet their hits once, at the end.
 
 Defined results: a null or wordless text has no words and no hits; a null, wordless or missing item has no window; an
 item without an id marks words but is not listed; equal item ids count once; repeated documents each get a row; an
-empty benchmark hits nothing.
+empty benchmark hits nothing. An item larger than a block is a block of its own.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +30,21 @@ from .common import cut, fresh
 #: Bytes outside 0-9, a-z, A-Z and non-ASCII become blanks; A-Z become a-z.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Benchmark text held by one broadcast. A larger benchmark is scanned in blocks of about this size.
-BLOCK_BYTES = 64 << 20
+SEED = 7
+#: Size of the index of one broadcast; an index takes about INDEX_RATIO times its items' text.
+INDEX_BYTES, INDEX_RATIO = 128 << 20, 6
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+
+
 def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes of all windows of n word numbers."""
+    """Polynomial hashes of all windows of n word hashes."""
     out = np.zeros(len(ids) - n + 1, np.uint64)
     for k in range(n):
         out = out * BASE + ids[k : k + len(out)]
@@ -42,49 +53,62 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class WindowIndex:
-    """Windows of one block of items: word numbers, sorted hashes by window length, and items by exact window."""
+    """Windows of some items: by number of words, sorted hashes and the first word of each window; words are places in text."""
 
     n: int
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    items: dict[tuple[int, ...], list] = field(default_factory=dict)
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
+    ids: list
+    text: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    first_word: np.ndarray
+    windows: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def build(cls, rows: list[tuple], n: int) -> WindowIndex:
-        index = cls(n)
-        number = index.vocabulary
-        for item_id, text in rows:
-            ids = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                index.items.setdefault(tuple(ids[k : k + size]), []).append(item_id)
-        by_size: dict[int, list] = {}
-        for window in index.items:
-            by_size.setdefault(len(window), []).append(window)
-        for size, windows in by_size.items():
-            flat = np.array(windows, np.uint64)
-            value = np.zeros(len(windows), np.uint64)
-            for k in range(size):
-                value = value * BASE + flat[:, k]
-            index.hashes[size] = np.unique(value)
-        return index
+        ids, texts, counts, sized = [], [], [0], {}
+        for item_id, value in rows:
+            words = words_of(value)
+            size = min(n, len(words))
+            if size:
+                first = counts[-1]
+                sized.setdefault(size, []).append((_rolling(_hashes(words), size), first))
+                ids.append(item_id)
+                texts.append(b" ".join(words))
+                counts.append(first + len(words))
+        text = b" ".join(texts)
+        blanks = np.nonzero(np.frombuffer(text, np.uint8) == 32)[0] if text else np.zeros(0, np.int64)
+        starts, ends = np.concatenate(([0], blanks + 1)), np.append(blanks, len(text))
+        windows = {}
+        for size, found in sized.items():
+            value = np.concatenate([h for h, _ in found])
+            at = np.concatenate([first + np.arange(len(h)) for h, first in found])
+            order = np.argsort(value, kind="stable")
+            windows[size] = (value[order], at[order].astype(np.int32))
+        return cls(n, ids, text, starts.astype(np.int32), ends.astype(np.int32), np.array(counts[:-1], np.int64), windows)
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.text) + sum(a.nbytes for a in (self.starts, self.ends, self.first_word)) + sum(a.nbytes + b.nbytes for a, b in self.windows.values())
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged [from, to) spans of hit words, and the ids of the items whose windows occur."""
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        spans, items = [], set()
-        for size, known in self.hashes.items():
-            if len(ids) < size:
+        spans, items, hashes = [], set(), _hashes(words)
+        for size, (known, place) in self.windows.items():
+            if len(words) < size:
                 continue
-            value = _rolling(ids, size)
-            at = np.searchsorted(known, value)
-            at[at == len(known)] = 0
-            for k in np.nonzero(known[at] == value)[0].tolist():
-                found = self.items.get(tuple(ids[k : k + size].tolist()))
-                if found is not None:
+            value = _rolling(hashes, size)
+            low = np.searchsorted(known, value)
+            low[low == len(known)] = 0
+            for k in np.nonzero(known[low] == value)[0].tolist():
+                window, a, found = b" ".join(words[k : k + size]), int(low[k]), False
+                while a < len(known) and known[a] == value[k]:
+                    first = int(place[a])
+                    if self.text[self.starts[first] : self.ends[first + size - 1]] == window:
+                        items.add(self.ids[int(np.searchsorted(self.first_word, first, side="right")) - 1])
+                        found = True
+                    a += 1
+                if found:
                     spans.append((k, k + size))
-                    items.update(found)
         return merge(spans), items
 
 
@@ -98,17 +122,28 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks that are safe to broadcast; one block unless its texts exceed block_bytes."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    if n == 1:
-        yield [tuple(r) for r in items.collect()]
-        return
-    for k in range(n):
-        part = F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k
-        yield [tuple(r) for r in items.where(part).toLocalIterator()]
+def _indexes(benchmark: DataFrame, item_id: str, text: str, n: int, index_bytes: int) -> Iterator[WindowIndex]:
+    """Indexes of the benchmark's items, each safe to broadcast; a single one unless its items are many."""
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    rows, size = [], 0
+    for r in items.toLocalIterator():
+        more = len(r["text"].encode("utf-8", "surrogatepass"))
+        if rows and (size + more) * INDEX_RATIO > index_bytes:
+            yield from _checked(rows, n, index_bytes)
+            rows, size = [], 0
+        rows.append((r["item"], r["text"]))
+        size += more
+    yield from _checked(rows, n, index_bytes)
+
+
+def _checked(rows: list[tuple], n: int, index_bytes: int) -> Iterator[WindowIndex]:
+    """The index of the rows, in halves if it turns out too large."""
+    index = WindowIndex.build(rows, n)
+    if index.nbytes <= index_bytes or len(rows) < 2:
+        yield index
+    else:
+        yield from _checked(rows[: len(rows) // 2], n, index_bytes)
+        yield from _checked(rows[len(rows) // 2 :], n, index_bytes)
 
 
 def _scanner(index):
@@ -128,31 +163,35 @@ def _scanner(index):
     return scan
 
 
-def _cutter(index):
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: remove_spans(t, index.value))
-
-    return clean
-
-
-def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with one more column: n_words, spans (merged word ranges that are hit) and items (sorted ids).
-
-    A benchmark of several blocks is scanned block by block; what is found so far is written between two blocks, so
-    that one broadcast at a time is held.
-    """
-    spark, old, out = docs.sparkSession, fresh(docs.columns, name)[0], docs
-    for k, rows in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        new = _scanner(spark.sparkContext.broadcast(WindowIndex.build(rows, n)))(F.col(f"`{text}`"))
-        if k == 0:
-            out = out.withColumn(old, new)
-            continue
-        more = fresh(out.columns, "more_hits")[0]
-        out = cut(out).withColumn(more, new)
-        both = [F.concat(F.col(old)[part], F.col(more)[part]) for part in ("spans", "items")]
-        out = out.withColumn(old, F.struct(F.col(old)["n_words"].alias("n_words"), _merged(both[0]).alias("spans"), F.array_sort(F.array_distinct(both[1])).alias("items"))).drop(more)
-    return out if old == name else out.withColumnRenamed(old, name)
+def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """docs with one more column: n_words, spans (merged word ranges that are hit) and items (sorted ids). The name must be new."""
+    if fresh(docs.columns, name)[0] != name:
+        raise ValueError(f"there is a column {name} already")
+    spark, column = docs.sparkSession, F.col(f"`{text}`")
+    indexes = _indexes(benchmark, item_id, item_text, n, index_bytes)
+    first, second = next(indexes), next(indexes, None)
+    if second is None:
+        return docs.withColumn(name, _scanner(spark.sparkContext.broadcast(first))(column))
+    key = [F.xxhash64(column), F.xxhash64(column, F.lit(1))]
+    found = None
+    for index in itertools.chain((first, second), indexes):
+        held = spark.sparkContext.broadcast(index)
+        seen = docs.select(key[0].alias("k1"), key[1].alias("k2"), _scanner(held)(column).alias("hits")).where("size(hits.spans) > 0")
+        seen = cut(seen.select("k1", "k2", "hits.*").dropDuplicates(["k1", "k2"]))
+        held.unpersist()
+        found = seen if found is None else found.unionByName(seen)
+    merged = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    merged = merged.select("k1", "k2", _merged(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    k1, k2, words, spans, items = fresh([*docs.columns, name], "k1", "k2", "n_words", "spans", "items")
+    keyed = docs.withColumns({k1: key[0], k2: key[1], words: _counter(column)})
+    joined = keyed.join(merged.withColumnsRenamed({"k1": k1, "k2": k2, "spans": spans, "items": items}), [k1, k2], "left")
+    none = F.struct(F.col(words).alias("n_words"), F.coalesce(spans, F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], none.alias(name))
+
+
+def _counter(text: Column) -> Column:
+    """Number of words, as words_of() has them."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
 
 
 def _merged(spans: Column) -> Column:
@@ -188,15 +227,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     return seen.where(~contaminated(F.col(name)["n_words"], n_hit(F.col(name)["spans"]))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def remove_spans(text: str | None, index: WindowIndex) -> str | None:
-    """The text without its hit words; what stands between two hit words of a span goes too."""
-    if not text:
+def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the words in the spans; what stands between two words of a span goes too."""
+    if not text or not len(spans):
         return text
     raw = text.encode("utf-8", "surrogatepass")
     folded = raw.translate(FOLD)
-    spans, _ = index.scan(folded.split())
-    if not spans:
-        return text
     starts, ends, at = [], [], 0
     for word in folded.split():
         at = folded.index(word, at)
@@ -210,9 +246,13 @@ def remove_spans(text: str | None, index: WindowIndex) -> str | None:
     return b"".join([*keep, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def strip_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", n: int = 13, item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with their hit passages cut out of the text, block of the benchmark by block."""
-    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
-        clean = _cutter(docs.sparkSession.sparkContext.broadcast(WindowIndex.build(rows, n)))
-        docs = docs.withColumn(text, clean(F.col(f"`{text}`")))
-    return docs
+def strip_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents with their hit passages cut out of the text, those of all blocks of the benchmark at once."""
+    name = fresh(docs.columns, "hits")[0]
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([remove_spans(t, [(x["a"], x["b"]) for x in found]) for t, found in zip(texts, spans, strict=True)], dtype=object)
+
+    seen = with_hits(docs, benchmark, name, text=text, **options)
+    return seen.withColumn(text, clean(F.col(f"`{text}`"), F.col(name)["spans"])).drop(name)

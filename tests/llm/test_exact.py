@@ -120,19 +120,22 @@ def plain_hits(text, items, n=13):
     return len(words), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("index_bytes", [1 << 20, 600])
+def test_decontamination(spark, index_bytes):
     rng = random.Random(2)
     base = texts()
     items = [(k, " ".join(rng.choices(WORDS, k=rng.choice([2, 12, 13, 20])))) for k in range(6)] + [(9, None), (None, "alpha beta gamma"), (10, "!!"), (3, "omi pi rho sig")]
     base += [f"{items[k][1].upper()}-{base[k + 3]}" for k in range(6)] + [" ".join(rng.choices(WORDS, k=400)) + " omi, pi rho SIG"]
     df, bench = documents(spark, base), spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted((r["doc_id"], *plain_hits(r["text"], items)) for r in df.collect())
-    assert sorted(tuple(r) for r in decontaminate.report(df, bench, block_bytes=block_bytes).collect()) == want
-    kept = decontaminate.drop_contaminated(documents(spark, base, "clash"), bench, block_bytes=block_bytes)
+    assert sorted(tuple(r) for r in decontaminate.report(df, bench, index_bytes=index_bytes).collect()) == want
+    kept = decontaminate.drop_contaminated(documents(spark, base, "clash"), bench, index_bytes=index_bytes)
     assert kept.count() == sum(not x[-1] for x in want)
-    cleaned = decontaminate.strip_contamination(df, bench, block_bytes=1 << 20)
-    assert decontaminate.report(cleaned, bench).where("n_hit > 0").count() < sum(x[2] > 0 for x in want)
+    indexes = list(decontaminate._indexes(bench, "item_id", "text", 13, index_bytes))
+    assert (len(indexes) > 1) == (index_bytes == 600) and all(x.nbytes <= index_bytes or len(x.ids) == 1 for x in indexes)
+    cleaned = decontaminate.strip_contamination(df, bench, index_bytes=index_bytes)
+    left = sorted((r["doc_id"], len(decontaminate.words_of(r["text"]))) for r in cleaned.collect())
+    assert left == sorted((x[0], x[1] - x[2]) for x in want)
 
 
 def test_empty_benchmark_and_empty_documents(spark):
