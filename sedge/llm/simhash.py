@@ -3,14 +3,19 @@
 A fingerprint has a bit set where over half of the text's shingle hashes have it. Two fingerprints link at `radius` or
 fewer differing bits; linked texts form components. The search works on distinct fingerprints:
 
-1. correlated bits are grouped into `parts` partitions, from a 64 x 64 table of bit co-occurrences;
+1. correlated bits are grouped into partitions, from a 64 x 64 table of bit co-occurrences. The number of partitions is
+   that with the fewest probes and expected candidates for the number of fingerprints: three of some 21 bits up to about
+   22 million, two of 32 beyond (34 probes with 2.3 candidates each at 10 billion);
 2. every fingerprint gets its own thresholds t_i >= -1, one per partition, with sum(t_i) = radius - parts + 1. Any
    fingerprint within `radius` then differs by at most t_i in at least one partition. A dynamic program picks those
-   with the fewest candidates, estimated from bounded tables of how many fingerprints share a partition value;
+   with the fewest candidates, estimated from bounded tables of how many fingerprints share a hashed partition value: a cell
+   that stands out from the mean of all cells holds a frequent value, any other value counts as one of evenly spread ones;
 3. a partition with threshold t is probed with all values that differ by t bits or fewer; hits are verified;
-4. where every choice would meet more than HUB_COST candidates (a dense group of near copies), the fingerprint instead
+4. where every choice would meet more than HUB_COST candidates beyond twice those of evenly spread values (a dense group
+   of near copies), the fingerprint instead
    joins the 65 values within one bit of it. Two fingerprints differ by at most two bits exactly if they share such a
-   value, so no link is lost and nothing is paired within a dense group. Candidates stay below HUB_COST per fingerprint.
+   value, so no link is lost and nothing is paired within a dense group. The share of such fingerprints does not grow with
+   the table: what every fingerprint meets by chance is not taken for density.
 
 Components come from alternating large-star and small-star steps on the links.
 
@@ -21,6 +26,7 @@ component (null if it has none); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +39,6 @@ from pyspark.sql.types import LongType
 from .common import cut, fresh
 
 RADIUS = 2
-PARTS = 3
 SEED = 42
 #: Cells per partition in the tables of estimated counts; their size does not depend on the data.
 CELLS = 1 << 18
@@ -105,13 +110,28 @@ def group_bits(prints: DataFrame, parts: int) -> list[list[int]]:
     return groups
 
 
+def chance_cost(n: int, parts: int, radius: int = RADIUS) -> float:
+    """Probes and candidates of a fingerprint among n evenly spread ones, with the thresholds that allocate() would choose."""
+    width, top = 64 // parts, radius - parts + 1
+    if top <= 0:
+        return (parts + top) * (1 + n / 2**width)
+    probes = sum(math.comb(width, k) for k in range(top + 1)) + parts - 1
+    return probes * (1 + n / 2**width)
+
+
+def best_parts(n: int, radius: int = RADIUS) -> int:
+    return min(range(2, radius + 2), key=lambda parts: (chance_cost(n, parts, radius), parts))
+
+
 def _mask(group: list[int]) -> np.uint64:
     return BITS[group].sum(dtype=np.uint64)
 
 
 def _cell(part: np.ndarray) -> np.ndarray:
-    x = part * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) >> np.uint64(11)) % np.uint64(CELLS)
+    """Cell of a partition value; two multiplications, as the bits of a partition are sparse."""
+    x = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(33)) % np.uint64(CELLS)
 
 
 def part_counts(prints: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
@@ -133,6 +153,16 @@ def part_counts(prints: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
     return out
 
 
+def estimates(counts: list[np.ndarray], groups: list[list[int]], n: int) -> list[np.ndarray]:
+    """Fingerprints expected to share a value of each cell: what stands out from the mean by six deviations, and chance."""
+    mean, out = n / CELLS, []
+    for c, g in zip(counts, groups, strict=True):
+        chance = n / 2.0 ** len(g)
+        # Cells differ by how many values they hold as well as by how often each occurs.
+        out.append((np.where(c > mean + 6 * math.sqrt(mean * (1 + chance)) + 0.5, c - mean, 0) + chance).astype(np.float32))
+    return out
+
+
 def variants(values: np.ndarray, group: list[int], t: int) -> list[np.ndarray]:
     """The partition values within t differing bits of the given ones (all of them, by distance)."""
     base = values & _mask(group)
@@ -181,13 +211,17 @@ def allocate(values: np.ndarray, groups: list[list[int]], counts: list[np.ndarra
     return out, best[top]
 
 
-def links(prints: DataFrame, *, radius: int = RADIUS, parts: int = PARTS, hub_cost: int = HUB_COST) -> DataFrame:
-    """Links (a < b) that connect the fingerprints of column fp exactly as all pairs within the radius would."""
+def links(prints: DataFrame, *, radius: int = RADIUS, parts: int | None = None, hub_cost: int = HUB_COST) -> DataFrame:
+    """Links (a < b) that connect the fingerprints of column fp exactly as all pairs within the radius would.
+
+    parts: number of partitions, by default the cheapest for the number of fingerprints.
+    """
     if radius != 2:
         raise ValueError("the dense-group fallback is exact for a radius of 2")
-    spark = prints.sparkSession
-    groups = group_bits(prints, parts)
-    counts = spark.sparkContext.broadcast(part_counts(prints, groups))
+    spark, n = prints.sparkSession, prints.count()
+    parts = parts or best_parts(n, radius)
+    groups, most = group_bits(prints, parts), hub_cost + 2 * chance_cost(n, parts, radius)
+    counts = spark.sparkContext.broadcast(estimates(part_counts(prints, groups), groups, n))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,7 +229,7 @@ def links(prints: DataFrame, *, radius: int = RADIUS, parts: int = PARTS, hub_co
                 continue
             values = batch["fp"].to_numpy().astype(np.uint64)
             thresholds, estimate = allocate(values, groups, counts.value, radius)
-            dense = estimate - len(groups) > hub_cost
+            dense = estimate > most
             rows = []
             for i, group in enumerate(groups):
                 for t in range(radius + 1):
