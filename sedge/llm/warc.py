@@ -1,28 +1,37 @@
 """WARC archives as a PySpark Python data source, and a round trip with revisit records.
 
 Reading. The file list is planned by Spark (`archive_files`), and files are packed into partitions by size. Predicates
-on record_type, and on the headers target_uri, record_id and refers_to, are pushed down. Each record is a gzip member
-that states its own length in an `sl` extra field, so that a reader unpacks the header lines first, and steps over the
-rest of the member where the record is filtered out or its payload is not asked for (`payload` option).
+on record_type, and on the headers target_uri, record_id and refers_to, are pushed down. Headers are parsed first.
+Archives are plain, gzip with a member per record or several, or gzip members that state their own length in an `sl`
+extra field, as written here; of those the rest of a member is stepped over where the record is filtered out or its
+payload is not asked for (`payload` option). In plain files a payload is stepped over as well; other gzip members have to
+be unpacked to find their end, but nothing of them is decoded.
 
 Writing. Records are written as such members, one file per task, under the file name of the task attempt; the commit
-publishes a list of the files that count, so that files of lost attempts are ignored.
+publishes a list of the files that count, so that files of lost attempts are ignored. WARC-Date is the time of writing.
 
 Defined results: a null payload is empty; records without a target or reference have nulls there; an empty table writes
-a manifest without files and reads back empty.
+a manifest without files and reads back empty; a file that begins like neither form, or breaks off, stops the query. The
+id of a record is made of the page's id and the payload's digest: rows that repeat both are the same record, written as
+often as it occurs.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .common import cut, shared_dir
@@ -32,6 +41,9 @@ PUSHED = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri
 #: An extension header: the length of the full payload, which a revisit record does not hold.
 FULL_LENGTH = "X-Payload-Length"
 PARTITION_BYTES = 16 << 20
+#: Revisits up to which their list is broadcast; beyond, a bit set of FILTER_BITS (least and most) tells which pages may be among them.
+BROADCAST_REVISITS = 200_000
+FILTER_BITS = (1 << 16, 1 << 29)
 MANIFEST = "files-"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -58,9 +70,9 @@ def member(data: bytes, level: int = 6) -> bytes:
     return b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def record(row) -> bytes:
+def record(row, date: str) -> bytes:
     payload = (row["payload"] or "").encode("utf-8", "surrogatepass") if row["record_type"] != "revisit" else b""
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {row['record_id']}", "Content-Type: text/html; charset=utf-8"]
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {row['record_id']}", f"WARC-Date: {date}", "Content-Type: text/html; charset=utf-8"]
     for name, value in (("WARC-Target-URI", row["target_uri"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Payload-Digest", row["payload_digest"] and f"sha1:{row['payload_digest']}"), (FULL_LENGTH, row["payload_bytes"])):
         if value is not None:
             lines.append(f"{name}: {str(value).translate({10: ' ', 13: ' '})}")
@@ -71,23 +83,72 @@ def record(row) -> bytes:
 
 
 def headers(text: bytes) -> dict[str, str]:
-    lines = text.decode("utf-8", "surrogatepass").split("\r\n")
-    return dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+    lines = _text(text).split("\r\n")
+    return {name.strip(): value.strip() for name, colon, value in (x.partition(":") for x in lines[1:]) if colon}
+
+
+def _text(block: bytes) -> str:
+    try:
+        return block.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return block.decode("utf-8", "replace")
 
 
 def records(stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], str | None]]:
     """Headers and payload (None where it is not asked for) of the records whose headers `wanted` accepts."""
+    fixed = stream.read(24)
+    if fixed[:2] == b"\x1f\x8b" and fixed[3] & 4 and fixed[12:16] == b"sl\x08\x00":
+        yield from sized_records(stream, wanted, with_payload)
+    elif fixed:
+        stream.seek(0)
+        yield from sequential_records(stream, fixed[:2] == b"\x1f\x8b", wanted, with_payload)
+
+
+def sequential_records(stream, packed: bool, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], str | None]]:
+    """Records of a plain or an ordinary gzip file, one after the other."""
+    lines = io.BufferedReader(gzip.GzipFile(fileobj=stream) if packed else stream, 1 << 16)
+    while line := lines.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {line[:40]!r}")
+        head = [line.rstrip(b"\r\n")]
+        while (line := lines.readline()).strip():
+            head.append(line.rstrip(b"\r\n"))
+        fields = headers(b"\r\n".join(head))
+        length, take = int(fields.get("Content-Length", 0)), wanted(fields)
+        if take and with_payload:
+            block = lines.read(length)
+            if len(block) < length:
+                raise EOFError("a WARC record breaks off")
+            yield fields, _text(block)
+            continue
+        if packed:
+            while length > 0 and (part := lines.read(min(length, 1 << 16))):
+                length -= len(part)
+        else:
+            lines.seek(length, 1)
+        if take:
+            yield fields, None
+
+
+def sized_records(stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], str | None]]:
+    """Records of gzip members that state their length: only what is asked for is unpacked."""
     at = 0
     while True:
         stream.seek(at)
         fixed = stream.read(24)
-        if len(fixed) < 24:
+        if not fixed:
             return
+        if len(fixed) < 24 or fixed[:2] != b"\x1f\x8b" or fixed[12:16] != b"sl\x08\x00":
+            raise ValueError("a WARC member is damaged")
         total = struct.unpack("<I", fixed[16:20])[0]
         at, left = at + total, total - len(fixed)
         unpack, plain = zlib.decompressobj(-15), b""
         while b"\r\n\r\n" not in plain and left > 8:
             chunk = stream.read(min(left, 1024))
+            if not chunk:
+                raise EOFError("a WARC record breaks off")
             left -= len(chunk)
             plain += unpack.decompress(chunk, 4096)
             while unpack.unconsumed_tail and b"\r\n\r\n" not in plain:
@@ -99,7 +160,7 @@ def records(stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str]
         payload = None
         if with_payload:
             body = start + unpack.decompress(unpack.unconsumed_tail) + unpack.decompress(stream.read(left)) + unpack.flush()
-            payload = body[: int(fields.get("Content-Length", 0))].decode("utf-8", "surrogatepass")
+            payload = _text(body[: int(fields.get("Content-Length", 0))])
         yield fields, payload
 
 
@@ -114,13 +175,13 @@ class WarcReader(DataSourceReader):
         self.files = json.loads(options["files"])
         self.with_payload = options.get("payload", "true").lower() == "true"
         self.partition_bytes = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
-        self.accepted: list[tuple[str, set]] = []
+        self.accepted: list[tuple[str, set | None]] = []  # header and its values; None: any
 
     def pushFilters(self, filters):
         for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            name = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
             if name in PUSHED:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                values = None if isinstance(f, IsNotNull) else {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.accepted.append((PUSHED[name], values))
             else:
                 yield f
@@ -137,7 +198,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         def wanted(fields):
-            return all(fields.get(name) in values for name, values in self.accepted)
+            return all(name in fields if values is None else fields.get(name) in values for name, values in self.accepted)
 
         for path in partition.paths:
             system, inside = filesystem(path)
@@ -154,7 +215,7 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceWriter):
     def __init__(self, options):
-        self.path = options["path"].rstrip("/")
+        self.path, self.date = options["path"].rstrip("/"), time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
     def write(self, iterator):
         system, inside = filesystem(self.path)
@@ -162,7 +223,7 @@ class WarcWriter(DataSourceWriter):
         name, size, stream = f"{uuid.uuid4().hex}.warc.gz", 0, None
         for row in iterator:
             stream = stream or system.open_output_stream(f"{inside}/{name}", compression=None)
-            data = member(record(row))
+            data = member(record(row, self.date))
             stream.write(data)
             size += len(data)
         if stream:
@@ -208,7 +269,11 @@ def write_archive(rows: DataFrame, path: str) -> None:
 
 
 def archive_files(spark: SparkSession, path: str) -> list[list]:
-    """Path and length of the files that a commit has published, one short line per file."""
+    """Path and length of the files that a commit has published, one short line per file; without a manifest, of all .warc and .warc.gz files there."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if listed.option("pathGlobFilter", f"{MANIFEST}*.json").load(path).select("path").isEmpty():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc{,.gz}").load(path).select("path", "length")
+        return [[r["path"], r["length"]] for r in files.toLocalIterator()]
     lines = spark.read.text(f"{path}/{MANIFEST}*.json")
     return [[p, int(n)] for p, n in (json.loads(r["value"]) for r in lines.toLocalIterator())]
 
@@ -221,8 +286,9 @@ def read_archive(spark: SparkSession, path: str, *, payload: bool = True, partit
 def with_revisits(pages: DataFrame, *, id_column: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """A record per page: of equal payloads of at least least_bytes, that with the smallest id is a response, others revisit it.
 
-    Only ids and digests are shuffled to find the first of equal payloads. Repeated rows with the smallest id are all
-    responses; pages with a null id are responses and revisited by none.
+    Only ids and digests are shuffled to find the first of equal payloads. Payloads are shuffled only where the revisits are
+    too many to be broadcast, and then only those of pages that a bit set of the revisits does not rule out. Repeated rows
+    with the smallest id are all responses; pages with a null id are responses and revisited by none.
     """
     payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     marked = pages.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{url}`").alias("target_uri"), payload.alias("payload"), base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_bytes"))
@@ -230,14 +296,41 @@ def with_revisits(pages: DataFrame, *, id_column: str = "page_id", url: str = "u
     keys = cut(marked.where(F.col("id").isNotNull() & (F.col("payload_bytes") >= least_bytes)).select("id", "payload_digest", "payload_bytes"))
     first = keys.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # An id may have several payloads (a recrawl): only the row with the repeated one is a revisit.
-    later = keys.join(first, ["payload_digest", "payload_bytes"]).where("id <> first").select("id", "payload_digest", "payload_bytes", "first").distinct()
-    rows = marked.join(later, ["id", "payload_digest", "payload_bytes"], "left")
-    uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    return rows.select(uri(F.col("id")).alias("record_id"), F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("target_uri").cast("string"), uri(F.col("first")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
+    on = ["id", "payload_digest", "payload_bytes"]
+    later = cut(keys.join(first, ["payload_digest", "payload_bytes"]).where("id <> first").select(*on, "first").distinct())
+    n = later.count()
+    if n <= BROADCAST_REVISITS:
+        rows = marked.join(F.broadcast(later), on, "left")
+    else:
+        marked = marked.withColumn("maybe", maybe_among(later, n, on)(F.xxhash64(*on)))
+        sure = marked.where("NOT maybe").drop("maybe").withColumn("first", F.lit(None).cast(later.schema["first"].dataType))
+        rows = sure.unionByName(marked.where("maybe").drop("maybe").join(later, on, "left"))
+    record_id = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(":"), F.col("payload_digest"), F.lit(">"))
+    return rows.select(F.coalesce(record_id(F.col("id")), F.concat(F.lit("<urn:page::"), "payload_digest", F.lit(">"))).alias("record_id"), F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("target_uri").cast("string"), record_id(F.col("first")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
+
+
+def maybe_among(rows: DataFrame, n: int, on: list[str]):
+    """A column function xxhash64(on) -> false where the key is certainly not among the n rows, by a bit set of bounded size."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (8 * n).bit_length()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    words = rows.select(place.alias("p")).selectExpr("p div 32 AS w", "shiftleft(1L, cast(p % 32 AS int)) AS b")
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(bits // 32, np.uint32)
+    table[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
+    held = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        at = np.mod(keys.to_numpy(np.int64), bits)
+        return pd.Series((held.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+    return maybe
 
 
 def page_of(uri: Column) -> Column:
-    return F.regexp_extract(uri, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
+    """The page's id, as text, in a record id; null for other ids and where the page has none."""
+    found = F.regexp_extract(uri, r"(?s)^<urn:page:(.*):[A-Z2-7]{32}>$", 1)
+    return F.when(found != "", found)
 
 
 def verified(records: DataFrame) -> DataFrame:
@@ -254,5 +347,5 @@ def report(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(with_revisits(pages), path)
-    back = verified(read_archive(spark, path))
-    return back.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+    back, kind = verified(read_archive(spark, path)), pages.schema["page_id"].dataType
+    return back.select(page_of(F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).cast(kind).alias("refers_to"))

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sedge.llm import compression_bands, decontaminate, license_scan, mixing, simhash, warc
 
@@ -279,10 +280,15 @@ def test_warc_payloads_filters_and_partitions(spark, tmp_path):
     warc.write_archive(warc.with_revisits(df), path)
     (tmp_path / "w" / "lost-attempt.warc.gz").write_bytes(b"never committed")
     back = warc.read_archive(spark, path, partition_bytes=1)
-    got = {r["record_id"]: r["payload"] for r in back.collect()}
-    assert got["<urn:page:5>"] == page_rows()[4][2] and got["<urn:page:1>"] == "<p>ä same</p>" and got["<urn:page:3>"] == ""
-    assert sorted(r["record_id"] for r in back.where("record_type = 'revisit'").collect()) == ["<urn:page:3>", "<urn:page:8>"]
+    page = warc.page_of(F.col("record_id")).cast("bigint").alias("page")
+    got = {r["page"]: r["payload"] for r in back.select(page, "payload").collect()}
+    assert got[5] == page_rows()[4][2] and got[1] == "<p>ä same</p>" and got[3] == ""
+    kept = back.where("record_type = 'revisit'")
+    assert sorted(r["page"] for r in kept.select(page).collect()) == [3, 8]
     assert back.where("target_uri IN ('http://a/2', 'x')").count() == 1
+    # The predicate is left to the source: no filter runs after the scan.
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Filter " not in plan and "record_type" in plan
     assert all(r["payload"] is None for r in warc.read_archive(spark, path, payload=False).collect())
 
 
@@ -293,6 +299,54 @@ def test_warc_members_are_plain_gzip(tmp_path):
     assert gzip.decompress(warc.member(data) + warc.member(b"x")) == data + b"x"
 
 
+RECORD = "WARC/1.1\r\nWARC-Type: {0}\r\nWARC-Record-ID: <urn:x:{1}>\r\nWARC-Target-URI: http://h/{1}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {2}\r\n\r\n{3}\r\n\r\n"
+
+
+@pytest.mark.parametrize("form", ["plain", "member per record", "one member"])
+def test_foreign_archives_read(spark, tmp_path, form):
+    import gzip
+
+    bodies = ["first\r\n\r\nbody", "", "third " * 30000]
+    data = [RECORD.format("response" if k != 1 else "metadata", k, len(b), b).encode() for k, b in enumerate(bodies)]
+    content = b"".join(data) if form == "plain" else gzip.compress(b"".join(data)) if form == "one member" else b"".join(map(gzip.compress, data))
+    (tmp_path / ("a.warc" if form == "plain" else "a.warc.gz")).write_bytes(content)
+    (tmp_path / "other.txt").write_text("no archive")
+    back = warc.read_archive(spark, f"file://{tmp_path}")
+    assert [(r["record_id"], r["payload"]) for r in back.orderBy("record_id").collect()] == [(f"<urn:x:{k}>", b) for k, b in enumerate(bodies)]
+    assert [r["target_uri"] for r in back.where("record_type = 'response'").orderBy("target_uri").collect()] == ["http://h/0", "http://h/2"]
+    assert [r["payload"] for r in warc.read_archive(spark, f"file://{tmp_path}", payload=False).collect()] == [None] * 3
+
+
+def test_written_records_have_all_headers_and_ids_of_their_own(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(5, "http://a/5", "one"), (5, "http://a/5", "two"), (None, None, "three")], "page_id bigint, url string, html string")
+    warc.write_archive(warc.with_revisits(df), f"file://{tmp_path}/w")
+    text = "".join(gzip.decompress(f.read_bytes()).decode() for f in (tmp_path / "w").glob("*.warc.gz"))
+    for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"):
+        assert len(re.findall(rf"^{name}: \S", text, re.M)) == 3
+    assert len(set(re.findall(r"^WARC-Record-ID: (\S+)", text, re.M))) == 3
+
+
+def test_damaged_archives_stop_the_query(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a/1", "text of a page " * 50)], "page_id bigint, url string, html string")
+    warc.write_archive(warc.with_revisits(df), f"file://{tmp_path}/w")
+    (file,) = (tmp_path / "w").glob("*.warc.gz")
+    data = bytearray(file.read_bytes())
+    data[-20] ^= 1
+    file.write_bytes(data)
+    with pytest.raises(Exception):
+        warc.verified(warc.read_archive(spark, f"file://{tmp_path}/w")).collect()
+
+
+def test_many_revisits_meet_pages_by_a_bit_set(spark, monkeypatch):
+    rows = [(k, f"http://a/{k}", f"text {k % 40 if k % 3 else k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    few = sorted(map(tuple, warc.report(df).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 0)
+    assert sorted(map(tuple, warc.report(df).collect())) == few and len(few) == 300
+
+
 def test_warc_of_no_pages(spark):
     assert warc.report(spark.createDataFrame([], "page_id bigint, url string, html string")).isEmpty()
 
