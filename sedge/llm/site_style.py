@@ -182,9 +182,11 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None, marku
             at = close.end() if close else end
             continue
         _, above, by_element, article, by_name, around = stack[-1]
-        if name == "article" and not article and markup and not any(x[0] in HIDDEN for x in stack):
+        if name == "article" and not article and markup:
             n_articles += 1
-            article, by_name, by_element, around = n_articles, False, False, by_name or by_element
+            article, by_name, around = n_articles, False, by_name
+            # A form may hold the whole page.
+            by_element = any(x[0] in OUTSIDE and x[0] != "form" for x in stack)
         declared = declared and markup and name not in NEVER_DECLARED
         path = xxhash.xxh64_intdigest(f"{above}>{name}.{label}", SEED) if name in BLOCKS else above
         if children is not None and path != above:
@@ -306,7 +308,8 @@ def extract(found: list[Block], verdict: dict[int, int]) -> str:
         # Ancestors of an article tell nothing about what stands beside it.
         above = {x for b in articles for x in b.path[: b.own]}
         beside = {id(b) for b in kept if not b.article and (own := [x for x in b.path if x not in above]) and set(of(own)) == {HIGH}}
-        return "\n".join(b.text for b in kept if id(b) in beside or (b.place, b.article) in main and any(b is x for x in chosen))
+        inside = {id(b) for b in chosen if (b.place, b.article) in main}
+        return "\n".join(b.text for b in kept if id(b) in beside or id(b) in inside)
     return "\n".join(b.text for b in kept if LOW not in of(b.path))
 
 

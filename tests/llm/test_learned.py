@@ -105,10 +105,37 @@ def test_toxicity_without_labels_and_of_odd_rows(spark):
     assert kept.columns == odd(spark).columns and kept.count() == len(ODD)
 
 
-def test_distances_tell_dictionaries_apart():
-    d = toxicity.Distances([b"ordinary", b"garden", b"weather"], [b"nastyword", b"horrid"])
-    counts = d.counts("The garden was a nastyword, horrid!")
-    assert counts[-1] == 6 and sum(counts[len(toxicity.STEPS) : -1]) == 2
+def test_distances_are_means_of_length_differences():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(400)]
+    ordinary, toxic = [" ".join(words[k : k + 40]).encode() for k in (0, 40, 80)], [" ".join(words[k : k + 40]).encode() for k in (200, 240, 280)]
+    pairs = list(zip(ordinary, toxic))
+    d = toxicity.Distances(pairs)
+    for w in (words[45], words[205], words[290], "never", "x"):
+        data = b" " + w.encode() + b" " + toxicity.CARRIER
+        saved, n = 0, 0
+        for a, b in pairs:
+            saved, n = saved + len(toxicity._compressor(a).compress(data)) - len(toxicity._compressor(b).compress(data)), n + 1
+            if saved <= 0:
+                break
+        assert d.window(w.encode()) == toxicity.PARTS * toxicity.FAR + max(-48, min(48, round(6 * saved / n)))
+    counts = np.array([d.counts(" ".join(words[200:220])), d.counts(" ".join(words[0:20]))])
+    middle = toxicity.PARTS * toxicity.FAR
+    assert counts.sum(axis=1).tolist() == [20, 20] and counts[0, middle + 1 :].sum() > 5 > counts[1, middle + 1 :].sum()
+    assert d.counts(None) == d.counts(" \n") == [0.0] * (2 * middle + 1)
+    assert toxicity.windows("ab " + "x" * 70) == [b"ab", b"x" * 32, b"x" * 32, b"x" * 6]
+
+
+def test_dictionaries_see_only_other_folds(spark):
+    rng = random.Random(6)
+    rows = [(float(k % 2), k % 4, f"fold{k % 4}word" + " ".join("".join(rng.choices("abcdef", k=6)) for _ in range(80))) for k in range(80)]
+    df = spark.createDataFrame(rows, "label double, fold int, text string")
+    made = toxicity.dictionaries(df, bags=2)
+    assert sorted(made) == [-1, 0, 1, 2, 3] and all(len(p) == 2 for p in made.values())
+    assert made == toxicity.dictionaries(df.repartition(3), bags=2)
+    for fold in range(4):
+        assert not any(f"fold{fold}word".encode() in d for pair in made[fold] for d in pair)
+    assert toxicity.dictionaries(df.where("label = 0")) == {}
 
 
 # Quality
@@ -157,10 +184,12 @@ def test_articles_without_the_rest(spark):
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_branches_that_repeat_on_a_host_are_removed(spark, broadcast_bytes):
     page = "<html><body><div><p>Welcome to our shop</p><p>call us</p></div><section><p>text number {0} of this page</p></section></body></html>"
-    rows = [(k, f"http://shop/{k}", page.format(k)) for k in range(20)] + [(99, "http://other/", page.format(99))]
+    lone = "<html><body><main><p>Welcome to our shop</p></main></body></html>"
+    rows = [(k, f"http://shop/{k}", page.format(k)) for k in range(20)] + [(99, "http://other/", page.format(99)), (100, "http://lone/", lone)]
     got = {r["page_id"]: r["text"] for r in site_style.report(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_bytes=broadcast_bytes).collect()}
     assert got[4] == "text number 4 of this page"
-    assert got[99].startswith("Welcome")  # one page tells nothing about its host
+    assert got[99] == "text number 99 of this page"  # all hosts' trees tell what one page cannot
+    assert got[100] == "Welcome to our shop"
 
 
 def test_repeated_notices_inside_articles_are_removed(spark):
@@ -183,7 +212,7 @@ def test_repeated_notices_inside_articles_are_removed(spark):
     ("<body><aside><article>teaser</article></aside><div class='left-sidebar'>aside</div><div><p>", "</p></div></body>"),
 ])
 def test_class_words_never_drop_the_page(open_, close):
-    assert site_style.extract(f"<html>{open_}Main text{close}</html>", frozenset()) == "Main text"
+    assert site_style.extract(site_style.blocks(f"<html>{open_}Main text{close}</html>"), {}) == "Main text"
 
 
 def test_importance_is_the_entropy_of_what_is_shown(spark):
@@ -191,8 +220,84 @@ def test_importance_is_the_entropy_of_what_is_shown(spark):
     df = spark.createDataFrame(rows, "host string, node bigint, kind int, shown bigint, n bigint")
     got = {r["node"]: r["importance"] for r in site_style.importances(df).collect()}
     e = site_style.entropy_importance
-    assert got == pytest.approx({1: e([6, 2]), 2: 0.1 * e([4, 4]), 3: 1.0, 4: 1.0})
-    assert sorted(r["node"] for r in site_style.unimportant(df).collect()) == [1, 2]
+    assert got == pytest.approx({1: e([6, 2]), 2: 0.1 * e([4, 4]) + 0.9 * e([8]), 3: 1.0, 4: 1.0})
+    assert sorted((r["host"], r["node"], r["verdict"]) for r in site_style.verdicts(df).where("host IS NULL").collect()) == [(None, 1, site_style.LOW), (None, 2, site_style.LOW)]
+
+
+def plain_tree(pages):
+    """Main text by brute force, for pages without articles on one host: nested dicts of what is shown where."""
+    shown, shapes = {}, {}
+    parsed = {k: site_style.blocks(h) for k, h in pages}
+    for k, h in pages:
+        children, texts = {}, {}
+        site_style.blocks(h, children)
+        for b in parsed[k]:
+            for node in b.path:
+                texts.setdefault(node, []).append(b.text)
+        for node, own in texts.items():
+            shown.setdefault(node, Counter())["\n".join(own)] += 1
+            if node in children:
+                shapes.setdefault(node, Counter())[" ".join(children[node])] += 1
+    value = {}
+    for node, c in shown.items():
+        e = site_style.entropy_importance(list(c.values()))
+        if node in shapes:
+            e = 0.9 * e + 0.1 * site_style.entropy_importance(list(shapes[node].values()))
+        value[node] = (sum(c.values()), e)
+    low = {n for n, (m, e) in value.items() if m >= site_style.LEAST_PAGES and e < site_style.LEAST_IMPORTANCE}
+    return {k: "\n".join(b.text for b in found if not b.outside and not low & set(b.path)) for k, found in parsed.items()}
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 100, 0])
+def test_trees_equal_brute_force_on_pages_without_articles(spark, broadcast_bytes):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    pages = []
+    for k in range(40):
+        menu = "".join(f"<li>{x}" for x in rng.choice([["home", "about"], ["home", "shop"], ["start"]]))
+        body = "".join(f"<p>{' '.join(rng.choices(words, k=9))}</p>" for _ in range(rng.randint(1, 3)))
+        pages.append((k, f"<html><body><div class='top'><ul>{menu}</ul></div><div class='main'><h2>{rng.choice(words)}</h2>{body}</div><div class='end'>{rng.choice(['call us', 'write us'])}</div></body></html>"))
+    df = spark.createDataFrame([(k, "http://one.example/", h) for k, h in pages], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_style.report(df, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == plain_tree(pages)
+    assert all("home" not in t and "call us" not in t and "w" in t for t in got.values())
+
+
+def test_trees_alone_find_the_articles(spark):
+    import html
+    import re
+
+    pages = table(spark, SMALL, "pages")
+    right = wanted = found = 0
+    for r in site_style.with_text(pages, "t", markup=False).select("html", "t").collect():
+        inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        a, b = Counter(html.unescape(re.sub(r"<[^>]*>", " ", inside)).split()), Counter(r["t"].split())
+        right, wanted, found = right + sum((a & b).values()), wanted + sum(a.values()), found + sum(b.values())
+    assert right / wanted > 0.95 and right / found > 0.95
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<html><body class='has-sidebar'><article><p>Main</p></article></body></html>", "Main"),
+    ("<html><body><form action='x'><div><p>Main text of the page</p></div></form></body></html>", "Main text of the page"),
+    ("<html><body><form action='x'><article><p>Main</p></article></form></body></html>", "Main"),
+    ("<body><article><p>Main text that is long enough</p></article><section class='more'><article><p>teaser</p></article></section></body>", "Main text that is long enough"),
+    ("<body><article><p>Main text that is long enough</p></article><article><p>tease</p></article></body>", "Main text that is long enough"),
+    ("<body><article><p>First item</p></article><article><p>Second one</p></article></body>", "First item\nSecond one"),
+    ("<body><form>Search</form><div>Main text that is longer than the form</div></body>", "Main text that is longer than the form"),
+])
+def test_main_texts_of_single_pages(page, text):
+    assert site_style.extract(site_style.blocks(page), {}) == text
+
+
+def test_pages_with_clashing_columns_and_long_texts(spark):
+    long = "<body><article>" + "<p>word " * 30000 + "</article></body>"
+    rows = [(1, "http://h/1", long), (1, "http://h/1", long), (2, "http://h/2", None)] + [(k, f"http://h/{k}", f"<body><div>top</div><p>{k}</p></body>") for k in range(10, 22)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'a' AS host", "1 AS found", "2 AS key")
+    for broadcast_bytes in (1 << 20, 0):
+        got = site_style.with_text(df, "main", broadcast_bytes=broadcast_bytes)
+        assert got.columns == [*df.columns, "main"] and sorted(len(r["main"]) for r in got.collect()) == [0, *[2] * 12, 149999, 149999]
+    with pytest.raises(ValueError):
+        site_style.with_text(df, "HOST")
 
 
 def test_articles_of_the_test_pages(spark):
