@@ -14,10 +14,10 @@ def after_marker(text: Column, marker: str) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of 12mb, 256kb, 10b or 77; null for other forms."""
-    number = F.regexp_extract(F.lower(F.trim(text)), r"^(\d+(?:\.\d+)?)\s*(mb|kb|b|)$", 1)
-    unit = F.regexp_extract(F.lower(F.trim(text)), r"^(\d+(?:\.\d+)?)\s*(mb|kb|b|)$", 2)
-    return F.when(number != "", F.floor(number.try_cast("double") * F.when(unit == "mb", 1048576).when(unit == "kb", 1024).otherwise(1)))
+    """Bytes of 12mb, 12m, 256kb, 256k, 10b or 77; null for other forms, such as a blank before the unit."""
+    form = r"^(\d+(?:\.\d+)?)(|b|kb?|mb?)$"
+    number, unit = (F.regexp_extract(F.lower(F.trim(text)), form, k) for k in (1, 2))
+    return F.when(number != "", F.floor(number.try_cast("double") * F.when(unit.startswith("m"), 1048576).when(unit.startswith("k"), 1024).otherwise(1)))
 
 
 def format_mb(size: Column) -> Column:
@@ -42,13 +42,17 @@ def split_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[,\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: The characters that file names and sheet names must not have.
+BAD_IN_FILES, BAD_IN_SHEETS = r'[<>:"/\\|?*\x00-\x1f]', r"[:\\/?*\[\]]"
+
+
 def safe_file_name(name: Column) -> Column:
-    return F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")
+    return F.regexp_replace(name, BAD_IN_FILES, "_")
 
 
 def sheet_name(name: Column) -> Column:
     """At most 31 characters without those that sheets forbid; empty gives Sheet."""
-    plain = F.substring(F.trim(F.regexp_replace(name, r"[:\\/?*\[\]]", "_")), 1, 31)
+    plain = F.substring(F.trim(F.regexp_replace(name, BAD_IN_SHEETS, "_")), 1, 31)
     return F.when(F.length(plain) > 0, plain).otherwise("Sheet")
 
 
@@ -59,9 +63,10 @@ def strip_uri(uri: Column) -> Column:
 
 
 def color_from_name(name: Column) -> Column:
-    """[r, g, b, a] from an ending _r_g_b or _r_g_b_a, each at most 255; null without one."""
-    pattern = r"_(\d{1,3})_(\d{1,3})_(\d{1,3})(?:_(\d{1,3}))?$"
-    # An ending of four numbers would also match as three: the name before it must not end in one more.
-    parts = [F.regexp_extract(name, pattern, k) for k in range(1, 5)]
-    values = [F.least(F.coalesce(p.try_cast("int"), F.lit(255)), F.lit(255)) for p in parts]
-    return F.when(parts[0] != "", F.array(*values))
+    """[r, g, b, a] from a name that ends in three or four numbers of up to three digits, each after an underscore; each
+    counts as 255 at most, a missing fourth as 255. Null for other names."""
+    parts = F.split(name, "_")
+    last = lambda n: F.slice(parts, -n, n)
+    numbers = lambda n: (F.size(parts) > n) & F.forall(last(n), lambda x: x.rlike("^[0-9]{1,3}$"))
+    values = F.when(numbers(4), last(4)).when(numbers(3), F.concat(last(3), F.array(F.lit("255"))))
+    return F.transform(values, lambda x: F.least(x.try_cast("int"), F.lit(255)))

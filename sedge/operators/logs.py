@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The form of a line, the files that count as static, and the month names of log times.
-LINE = r'^(\S+)\s+-\s+-\s+\[([^\]]+)\]\s+"(\S+)\s+([^"]+)\s+HTTP/[^"]+"\s+(\d+)'
+#: The files that count as static, and the month names of log times.
 STATIC = (".js", ".css", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".map", ".woff", ".woff2", ".ttf", ".eot", ".json")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
@@ -19,9 +18,18 @@ def log_time(text: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """ip, visit_time, method, url and status of the lines that have the log's form; others are left out."""
-    get = lambda k: F.regexp_extract(F.col(column), LINE, k)
-    return lines.where(F.col(column).rlike(LINE)).select(get(1).alias("ip"), log_time(get(2)).alias("visit_time"), get(3).alias("method"), get(4).alias("url"), get(5).cast("int").alias("status"))
+    """ip, visit_time, method, url and status of the lines of the form `ip - - [time] "METHOD url HTTP/x" status ...`; others are left out."""
+    # Quotes part a line in three: who and when, the request, and what begins with the status.
+    who, request, rest = (F.split_part(F.col(column), F.lit('"'), F.lit(k)) for k in (1, 2, 3))
+    words, asked = F.split(who, r"\s+"), F.split(request, r"\s+")
+    time = F.regexp_replace(F.array_join(F.slice(words, 4, F.greatest(F.size(words) - 4, F.lit(0))), " "), r"^\[|\]$", "")
+    protocol = F.element_at(asked, -1)
+    url = F.trim(F.substr(request, F.length(asked[0]) + 1, F.length(request) - F.length(asked[0]) - F.length(protocol)))
+    formed = (F.size(words) >= 5) & (words[0] != "") & (words[1] == "-") & (words[2] == "-") & (F.element_at(words, -1) == "")
+    formed &= words[3].startswith("[") & F.element_at(words, -2).endswith("]") & ~time.contains("]") & (F.length(time) > 0)
+    formed &= (asked[0] != "") & (F.size(asked) >= 3) & protocol.startswith("HTTP/") & (F.length(protocol) > 5)
+    status = F.regexp_extract(rest, r"^\s+(\d+)", 1)
+    return lines.where(formed & (status != "")).select(words[0].alias("ip"), log_time(time).alias("visit_time"), asked[0].alias("method"), url.alias("url"), status.cast("int").alias("status"))
 
 
 def page_views(parsed: DataFrame, mode: str = "contains") -> DataFrame:

@@ -87,13 +87,16 @@ def geometric_error(half: list[Column]) -> Column:
 
 
 def choose_grid(span_x: float, span_y: float, parts: int) -> tuple[int, int]:
-    """Columns and rows of a grid of at least `parts` cells, shaped like the area."""
-    wide, high = max(span_x, 0.001), max(span_y, 0.001)
-    x = min(parts, max(1, math.floor(math.sqrt(parts) * math.sqrt(wide / high) + 0.5)))
-    y = -(-parts // x)
-    while x * y < parts:
-        x, y = (x + 1, y) if wide / x > high / y else (x, y + 1)
-    return x, y
+    """Columns and rows of a grid of at least `parts` cells: of the smallest grids for each number of columns the one whose
+    cells are nearest to squares, with the fewest cells among equals."""
+    shape = max(span_x, 0.001) / max(span_y, 0.001)
+
+    def badness(x: int) -> tuple[float, int]:
+        y = -(-parts // x)
+        return round(abs(math.log(shape * y / x)), 9), x * y
+
+    x = min(range(1, max(1, parts) + 1), key=badness)
+    return x, -(-parts // x)
 
 
 def grid_cell(x: Column, y: Column, low: tuple, high: tuple, grid: tuple[int, int]) -> Column:
@@ -155,6 +158,12 @@ def nearest_groups(groups: DataFrame, most_size: int, block: int = 50_000) -> Da
     return best.groupBy("group_id").agg(F.min(F.struct("d2", "target_id")).alias("m")).select("group_id", "m.target_id", "m.d2")
 
 
+def quarter() -> Column:
+    """The quadrant, 0 to 3, of x and y about the middle of the bounds g_min_x ... g_max_y."""
+    east, north = (F.col(a) >= (F.col(f"g_min_{a}") + F.col(f"g_max_{a}")) / 2 for a in "xy")
+    return east.cast("int") + 2 * north.cast("int")
+
+
 def quadtree_split(tiles: DataFrame, target: int = 12, most_levels: int = 40) -> DataFrame:
     """tile_id and cell: tiles split in quadrants at the middle of their cell's bounds until a cell has `target` or fewer.
 
@@ -167,8 +176,7 @@ def quadtree_split(tiles: DataFrame, target: int = 12, most_levels: int = 40) ->
         stats = union_bounds(now, "cell").join(now.groupBy("cell").agg(F.count("*").alias("n")), "cell").select("cell", "n", *[F.col(c).alias(f"g_{c}") for c in SIDES])
         split = now.join(stats, "cell")
         ready = split.where(F.col("n") <= target).select("tile_id", "cell")
-        east, north = (F.col(a) >= (F.col(f"g_min_{a}") + F.col(f"g_max_{a}")) / 2 for a in "xy")
-        rest = split.where(F.col("n") > target).withColumn("quarter", east.cast("int") + 2 * north.cast("int"))
+        rest = split.where(F.col("n") > target).withColumn("quarter", quarter())
         shares = rest.groupBy("cell").agg(F.count_distinct("quarter").alias("quarters"))
         rest = rest.join(shares, "cell")
         by_quarter = rest.where("quarters > 1").withColumn("cell", F.concat("cell", F.col("quarter").cast("string")))
@@ -214,22 +222,21 @@ def merge_small(groups: list[tuple[str, int, float, float, float]], least: int,
     return names
 
 
-def split_by_bytes(group: list[tuple[int, int, float, float]], most_bytes: int) -> list[list[int]]:
-    """Members (id, bytes, x, y) of an overfull group in parts within the limit: dealt along the longer axis to the lighter side, again and again."""
-    if len(group) <= 1 or sum(m[1] for m in group) <= most_bytes:
-        return [[m[0] for m in group]]
-    alone = [[m[0]] for m in group if m[1] >= most_bytes]
-    rest = [m for m in group if m[1] < most_bytes]
-    if alone:
-        return alone + (split_by_bytes(rest, most_bytes) if rest else [])
-    axis = 2 if max(m[2] for m in group) - min(m[2] for m in group) >= max(m[3] for m in group) - min(m[3] for m in group) else 3
-    sides: tuple[list, list] = ([], [])
-    for m in sorted(group, key=lambda m: (m[axis], m[0])):
-        sides[sum(x[1] for x in sides[0]) > sum(x[1] for x in sides[1])].append(m)
-    if not sides[1]:
-        half = -(-len(group) // 2)
-        sides = (sides[0][:half], sides[0][half:])
-    return split_by_bytes(sides[0], most_bytes) + split_by_bytes(sides[1], most_bytes)
+def split_overfull(members: DataFrame, most_bytes: int) -> DataFrame:
+    """members (group_name, tile_id, bytes, x, y) with part: parts of a group hold at most most_bytes, or a single member.
+
+    A group within the limit is one part. Otherwise members of more than half the limit stand alone, and the others are cut
+    along the group's longer axis into runs of half the limit, which each of them exceeds by half the limit at most.
+    """
+    span = lambda c: F.max(c) - F.min(c)
+    stats = members.groupBy("group_name").agg(F.sum("bytes").alias("_total"), (span("x") >= span("y")).alias("_wide"))
+    known = members.join(stats, "group_name")
+    alone = F.col("bytes") * 2 > most_bytes
+    along = Window.partitionBy("group_name").orderBy(F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")), "tile_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(alone, 0).otherwise(F.col("bytes"))).over(along), F.lit(0))
+    run = F.floor(before * 2 / most_bytes).cast("string")
+    part = F.when(F.col("_total") <= most_bytes, "whole").when(alone, F.concat(F.lit("one "), F.col("tile_id").cast("string"))).otherwise(F.concat(F.lit("run "), run))
+    return known.withColumn("part", part).drop("_total", "_wide")
 
 
 def quadtree_groups(tiles: DataFrame, target: int = 12, least: int = 8, most: int = 16, most_groups: int = 200_000) -> DataFrame:

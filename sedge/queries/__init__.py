@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _families():
-    return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__) if m.name != "base"]
+    return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__)]
 
 
 def queries() -> dict:

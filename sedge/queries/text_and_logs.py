@@ -26,7 +26,7 @@ _LOG = """lines AS (SELECT CASE WHEN event_id % 13 = 5 THEN 'broken ' || event_i
 p AS (SELECT regexp_extract(value, '^(\\S+)\\s+-\\s+-\\s+\\[([^\\]]+)\\]\\s+"(\\S+)\\s+([^"]+)\\s+HTTP/[^"]+"\\s+(\\d+)', ['ip', 't', 'method', 'url', 'status']) AS m FROM lines WHERE value NOT LIKE 'broken%'),
 parsed AS (SELECT m.ip AS ip, substr(m.t, 8, 4) || '-' || lpad(CAST(greatest(1, coalesce(list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], substr(m.t, 4, 3)), 1)) AS VARCHAR), 2, '0') || '-' || substr(m.t, 1, 2) || ' ' || substr(m.t, 13, 8) AS visit_time,
     m.method AS method, m.url AS url, CAST(m.status AS INTEGER) AS status FROM p),
-v AS (SELECT * FROM parsed WHERE status = 200 AND NOT regexp_matches(lower(url), '\\.(js|css|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|eot|map|json)'))"""
+v AS (SELECT * FROM parsed WHERE status = 200 AND NOT regexp_matches(lower(url), '\\.(""" + "|".join(x[1:] for x in logs.STATIC) + """)'))"""
 
 
 def log_parse(spark, sf_dir):
@@ -91,7 +91,7 @@ def after_marker(spark, sf_dir):
 
 
 def size_parse(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat((F.col("o_custkey") % 500).cast("string"), F.element_at(F.array(*map(F.lit, ("mb", "KB", "b", "", " kb", "xb"))), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("size"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat((F.col("o_custkey") % 500).cast("string"), F.element_at(F.array(*map(F.lit, ("mb", "KB", "b", "", " kb", "xb", "m", "K"))), (F.col("o_orderkey") % 8 + 1).cast("int"))).alias("size"))
     return o.withColumn("bytes", T.parse_size(F.col("size"))).withColumn("shown", T.format_mb(F.col("bytes")))
 
 
@@ -211,7 +211,7 @@ SELECT event_id, word, min_by(project, pos) AS found FROM t LEFT JOIN n ON conta
     "stream_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "diff_added_lines": "SELECT doc_id, coalesce(array_to_string([x[2] FOR x IN list_zip(range(len(l)), l) IF x[1] % 5 = 0], chr(10)), '') AS added FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "after_marker": "SELECT doc_id, CASE WHEN contains(text, 'the ') THEN list_last(string_split(text, 'the ')) END AS tail FROM documents",
-    "size_parse": """WITH o AS (SELECT o_orderkey, (o_custkey % 500) || ['mb', 'KB', 'b', '', ' kb', 'xb'][o_orderkey % 6 + 1] AS size, o_custkey % 500 AS n, [1048576, 1024, 1, 1, 1024, NULL][o_orderkey % 6 + 1] AS f FROM orders)
+    "size_parse": """WITH o AS (SELECT o_orderkey, (o_custkey % 500) || ['mb', 'KB', 'b', '', ' kb', 'xb', 'm', 'K'][o_orderkey % 8 + 1] AS size, o_custkey % 500 AS n, [1048576, 1024, 1, 1, NULL, NULL, 1048576, 1024][o_orderkey % 8 + 1] AS f FROM orders)
 SELECT o_orderkey, size, CAST(n * f AS BIGINT) AS bytes, format('{:.2f} MB', round(CAST(n * f AS DOUBLE) / 1048576, 2)) AS shown FROM o""",
     "sheet_names": """WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '  ' ELSE substr(replace(p_name, ' ', '/') || ' :' || p_type || '*' || p_brand, 1, 24) END AS title FROM part),
 s AS (SELECT *, CASE WHEN trim(title) = '' THEN 'Sheet' ELSE substr(trim(regexp_replace(title, '[:\\\\/?*\\[\\]]', '_', 'g')), 1, 31) END AS x FROM t)

@@ -31,8 +31,13 @@ def grid_bucket(spark, sf_dir):
 def quadtree_level1(spark, sf_dir):
     p = points(spark, sf_dir)
     whole = T.union_bounds(p).select(*[F.col(c).alias(f"g_{c}") for c in T.SIDES])
-    east, north = (F.col(a) >= (F.col(f"g_min_{a}") + F.col(f"g_max_{a}")) / 2 for a in "xy")
-    return p.join(F.broadcast(whole)).groupBy((east.cast("int") + 2 * north.cast("int")).alias("quarter")).agg(F.count("*").alias("n"), F.min("tile_id").alias("first_tile"))
+    return p.join(F.broadcast(whole)).groupBy(T.quarter().alias("quarter")).agg(F.count("*").alias("n"), F.min("tile_id").alias("first_tile"))
+
+
+def byte_split(spark, sf_dir):
+    """Customers by nation as groups of tiles; a tile's bytes come from its key."""
+    members = points(spark, sf_dir).selectExpr("c_nationkey AS group_name", "tile_id", "tile_id * 7919 % 1000 + 1 AS bytes", "x", "y")
+    return T.split_overfull(members, 1500).groupBy("group_name", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("tile_id").alias("first_tile"))
 
 
 def quadtree_groups(spark, sf_dir):
@@ -101,7 +106,7 @@ def trs_matrix(spark, sf_dir):
     return s.select("s_suppkey", *[F.round(m[j], 6).alias(f"m{j}") for j in (0, 1, 4, 5, 10, 12, 13, 14, 15)])
 
 
-QUERIES = {f.__name__: f for f in (grid_bucket, quadtree_level1, quadtree_groups, bounds_union, bounds_rollup, group_size_stats, nearest_group, tile_prune, lod_candidates, lod_tree, tile_totals, tile_tree_transform, trs_matrix)}
+QUERIES = {f.__name__: f for f in (grid_bucket, byte_split, quadtree_level1, quadtree_groups, bounds_union, bounds_rollup, group_size_stats, nearest_group, tile_prune, lod_candidates, lod_tree, tile_totals, tile_tree_transform, trs_matrix)}
 
 _P = "p AS (SELECT c_custkey AS tile_id, c_acctbal AS x, CAST(c_custkey * 7919 % 5000 AS DOUBLE) AS y, c_nationkey FROM customer), b AS (SELECT min(x) - 2 AS x0, max(x) + 2 AS x1, min(y) - 2 AS y0, max(y) + 2 AS y1 FROM p)"
 _TREE = "s AS (SELECT s_suppkey AS tile_id, CASE WHEN s_suppkey > 0 THEN (s_suppkey - 1) // 2 END AS parent_id, s_nationkey, s_acctbal / 10 AS x, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS y FROM supplier)"
@@ -110,6 +115,10 @@ _STATS = f"{_TREE}, st AS (SELECT tile_id, parent_id, 't/' || tile_id || '.b3dm'
 ORACLE = {
     "grid_bucket": f"""WITH {_P}, r AS (SELECT *, greatest(x1 - x0, 0.001) AS w, greatest(y1 - y0, 0.001) AS h FROM b), g0 AS (SELECT *, CAST(least(12, greatest(1, floor(sqrt(12) * sqrt(w / h) + 0.5))) AS INTEGER) AS gx FROM r), g AS (SELECT *, CAST(ceil(12 / gx) AS INTEGER) AS gy FROM g0)
 SELECT CAST(least(greatest(floor((y - y0) / (y1 - y0) * gy), 0), gy - 1) * gx + least(greatest(floor((x - x0) / (x1 - x0) * gx), 0), gx - 1) AS BIGINT) AS cell, count(*) AS n, round(min(x - 2), 6) AS min_x, round(max(y + 2), 6) AS max_y FROM p, g GROUP BY 1""",
+    "byte_split": f"""WITH {_P}, m AS (SELECT c_nationkey AS g, tile_id, tile_id * 7919 % 1000 + 1 AS bytes, x, y FROM p),
+s AS (SELECT g, sum(bytes) AS total, max(x) - min(x) >= max(y) - min(y) AS wide FROM m GROUP BY g),
+k AS (SELECT m.*, total, coalesce(sum(CASE WHEN bytes * 2 > 1500 THEN 0 ELSE bytes END) OVER (PARTITION BY m.g ORDER BY CASE WHEN wide THEN x ELSE y END, tile_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m JOIN s ON m.g = s.g)
+SELECT g AS group_name, CASE WHEN total <= 1500 THEN 'whole' WHEN bytes * 2 > 1500 THEN 'one ' || tile_id ELSE 'run ' || CAST(floor(before * 2 / 1500) AS BIGINT) END AS part, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(tile_id) AS first_tile FROM k GROUP BY ALL""",
     "quadtree_level1": f"WITH {_P} SELECT CAST(x >= (x0 + x1) / 2 AS INTEGER) + 2 * CAST(y >= (y0 + y1) / 2 AS INTEGER) AS quarter, count(*) AS n, min(tile_id) AS first_tile FROM p, b GROUP BY 1",
     "bounds_union": f"WITH {_P}, u AS (SELECT c_nationkey, min(x - 2) AS a, max(x + 2) AS b, min(y - 2) AS c, max(y + 2) AS d FROM p GROUP BY 1) SELECT c_nationkey, round((a + b) / 2, 6) AS box_0, round((c + d) / 2, 6) AS box_1, round(greatest((b - a) / 2, 0.001), 6) AS box_3, round(greatest((d - c) / 2, 0.001), 6) AS box_7, 0.001::DOUBLE AS box_11, round(a, 6) AS low_x, round(d, 6) AS high_y FROM u",
     "bounds_rollup": f"{_ABOVE} SELECT up.tile_id, round(min(x - 5), 6) AS min_x, round(max(x + 5), 6) AS max_x, round(min(y - 4), 6) AS min_y, round(max(y + 4), 6) AS max_y FROM up JOIN s ON s.tile_id = start WHERE start NOT IN (SELECT parent_id FROM s WHERE parent_id IS NOT NULL) GROUP BY up.tile_id",
