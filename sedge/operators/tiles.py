@@ -87,16 +87,11 @@ def geometric_error(half: list[Column]) -> Column:
 
 
 def choose_grid(span_x: float, span_y: float, parts: int) -> tuple[int, int]:
-    """Columns and rows of a grid of at least `parts` cells: of the smallest grids for each number of columns the one whose
-    cells are nearest to squares, with the fewest cells among equals."""
-    shape = max(span_x, 0.001) / max(span_y, 0.001)
-
-    def badness(x: int) -> tuple[float, int]:
-        y = -(-parts // x)
-        return round(abs(math.log(shape * y / x)), 9), x * y
-
-    x = min(range(1, max(1, parts) + 1), key=badness)
-    return x, -(-parts // x)
+    """Columns and rows of a grid of at least `parts` cells: cells of an area of equal parts would be squares with
+    sqrt(parts * span_x / span_y) columns, rounded here; rows are as many as it takes."""
+    wanted = math.sqrt(parts * max(span_x, 0.001) / max(span_y, 0.001))
+    columns = sorted((1, math.floor(wanted + 0.5), parts))[1]
+    return columns, math.ceil(parts / columns)
 
 
 def grid_cell(x: Column, y: Column, low: tuple, high: tuple, grid: tuple[int, int]) -> Column:
