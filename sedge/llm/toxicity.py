@@ -125,15 +125,14 @@ class ToxicityModel:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps, with the rarer label counting more (by the root of the ratio)."""
+    """Weights and intercept by Newton steps. All rows count alike, so that scores are the labels' probabilities."""
     mean, spread = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
-    each = np.sqrt(np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y))
     w, keep = np.zeros(z.shape[1]), np.full(z.shape[1], ridge * len(y) / 100)
     keep[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (each * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(keep), z.T @ (each * (p - y)) + keep * w)
+        step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(keep), z.T @ (p - y) + keep * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
