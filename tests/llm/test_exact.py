@@ -181,6 +181,32 @@ def test_measures_of_any_text(text):
     assert found[:5] == plain_measures(text)[:5]
 
 
+def test_kept_is_base_and_bands_recomputed(spark):
+    import zstandard
+
+    rng = random.Random(12)
+    junk = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(900))
+    many = [*SAMPLES[:40], junk, base64.b64encode(rng.randbytes(3000)).decode().replace("/", " ").replace("a", " "), "日本語の文章です。" * 3 + "".join(chr(0x4E00 + rng.randrange(3000)) + (" " if k % 9 == 0 else "") for k in range(2500))]
+    c = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    limits = lambda bands, n: [b for b in bands if n >= b[0]][-1][1:]
+
+    def plain(text):
+        data = (text or "").encode()
+        if plain_measures(text)[-1]:
+            return False
+        scale = compression_bands.DENSE if sum(b > 127 for b in data) * 2 > len(data) else 1
+        inside = lambda part, bands: limits(bands, len(part))[0] <= len(c.compress(part)) / len(part) <= limits(bands, len(part))[1] * scale
+        parts = [data[k : k + 4096] for k in range(0, len(data), 4096)]
+        return inside(data, compression_bands.WHOLE_BANDS) and 4 * sum(len(p) for p in parts if not inside(p, compression_bands.CHUNK_BANDS)) <= len(data)
+
+    df = documents(spark, many, "clash")
+    want = sorted((r["doc_id"], plain(r["text"])) for r in df.collect())
+    assert sorted((r["doc_id"], r["kept"]) for r in compression_bands.report(df).collect()) == want
+    assert compression_bands.keep_good(df).columns == df.columns and not plain(junk) and plain(many[-1])
+    with pytest.raises(ValueError):
+        compression_bands.with_quality(df, "SCORE")
+
+
 def test_bands_reject_repetition_and_noise():
     bands, rng = compression_bands.Bands(), random.Random(1)
     prose = " ".join("".join(rng.choices(["th", "an", "er", "ing", "on", "ed", "re", "ly", "es", "ha"], k=rng.randint(1, 5))) for _ in range(900))
@@ -224,7 +250,8 @@ def test_sources_of_any_number_get_the_same_targets(spark, monkeypatch):
     want = mixing.targets(sizes)
     assert [(r["source"], r["s"], r["source_size"]) for r in rows] == [(t.source, k, t.size) for k, t in enumerate(want)]
     assert [r["target"] for r in rows] == pytest.approx([t.target for t in want])
-    assert rows[0]["c_from"] == 0 and rows[-1]["c_to"] == 1 and all(a["c_to"] == b["c_from"] for a, b in zip(rows, rows[1:]))
+    assert rows[0]["slot_from"] == 0 and all(a["slot_to"] == b["slot_from"] for a, b in zip(rows, rows[1:]))
+    assert all(abs(r["slot_to"] - r["slot_from"] - t.target * r["n_blocks"] / max(1, t.size)) <= 1 for r, t in zip(rows, want))
     df = spark.createDataFrame([(k, t, "en", f"s{k % 3}", 0) for k, t in enumerate(texts(n=40))], DOCS)
     broadcast = sorted(map(tuple, mixing.report(df).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
@@ -240,6 +267,35 @@ def test_more_sources_than_fit_a_driver_table(spark):
     assert found["most"] == 6 and found["some"] > 12_000
 
 
+def test_shard_counts_are_multinomial_and_slots_are_a_permutation(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', cast(20 + id % 60 as int)) AS text", "'en' AS lang", "concat('s', id % 7) AS source", "0L AS n_chars")
+    mix = mixing.plan(df, block_words=4, shard_slots=512)
+    slots, sources = mix.slots.collect(), mix.sources.collect()
+    total = max(r["slot_to"] for r in sources)
+    assert len({(r["shard"], r["slot"]) for r in slots}) == len(slots) == total > 40 * 512
+    for r in sources:
+        mine = [x["block"] for x in slots if x["s"] == r["s"]]
+        times = [mine.count(b) for b in set(mine)]
+        assert len(mine) == r["slot_to"] - r["slot_from"] and max(times) - min(times) <= 1 and (max(times) == 1 or len(times) == r["n_blocks"])
+    full, chi = total // 512, 0.0
+    for r in sources:
+        p = (r["slot_to"] - r["slot_from"]) / total
+        counts = [0] * full
+        for x in slots:
+            if x["s"] == r["s"] and x["shard"] < full:
+                counts[x["shard"]] += 1
+        chi += sum((c - 512 * p) ** 2 / (512 * p) for c in counts)
+    # Chi-square over its degrees of freedom: 1 for multinomial counts, near 0 for systematic ones.
+    assert 0.75 < chi / ((len(sources) - 1) * (full - 1)) < 1.3
+
+
+def test_mixed_blocks_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c", "en", "x", 0), (1, "d e", "en", "x", 0), (None, "f g h i", "en", "y", 0), (None, None, "en", "y", 0), (1, "a b c", "en", "x", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    taken = sum(r["taken"] for r in mixing.report(df, block_words=2).collect())
+    assert sum(len(b["text"].split()) for b in mixing.mixed_blocks(df, block_words=2).collect()) == taken > 0
+
+
 def test_permutations_are_permutations(spark):
     from pyspark.sql import functions as F
 
@@ -387,6 +443,61 @@ def test_license_scan_finds_exact_wording(spark):
     assert got == {1: (1, "MIT"), 2: (1, "CC-BY-NC-4.0,GPL-3.0"), 3: (1, ""), 4: (1, ""), 5: (0, ""), 6: (0, ""), 7: (1, "MIT"), 8: (1, "Apache-2.0")}
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def plain_stretches(have, wanted, share=0.08):
+    """All places and lengths, without any shortcut."""
+    slack, found, out = int(share * len(wanted)), [], []
+    for x in range(len(have)):
+        for y in range(x + 1, min(len(have), x + len(wanted) + slack) + 1):
+            part = have[x:y]
+            if part[0] in wanted[: slack + 1] and license_scan.telling(part) == license_scan.telling(wanted) and (d := plain_distance(part, wanted)) <= slack:
+                found.append((d, x, y))
+    for d, x, y in sorted(found):
+        if all(y <= p or x >= q for p, q, _ in out):
+            out.append((x, y, d))
+    return sorted(out)
+
+
+def test_confirmed_stretches_equal_brute_force():
+    rng, scanner = random.Random(3), license_scan.Scanner()
+    for k in range(30):
+        words = []
+        for _, text in rng.sample(license_scan.TEMPLATES, 3):
+            own = [w for w, _, _ in license_scan.words_of(text)][:26]
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = rng.choice(["other", "license", "the", "gnu"])
+            words += own + ["between"] * rng.randint(0, 2)
+        wanted = [w for w, _, _ in license_scan.words_of(rng.choice(license_scan.TEMPLATES)[1])][:26]
+        assert scanner.confirm([(w, 0, 0) for w in words], wanted) == plain_stretches(words, wanted)
+
+
+def test_every_notice_of_a_block_is_found():
+    scanner = license_scan.Scanner()
+    for more in (0, 60):
+        block = "\n".join([text for _, text in license_scan.TEMPLATES] + [f"one more license cue, number {k}" for k in range(more)])
+        n, found = scanner.scan(block)
+        assert n == 1 and [x["license"] for x in found] == [name for name, _ in license_scan.TEMPLATES]
+    assert {x["license"] for x in scanner.scan("The contents of this file are subject to the Mozilla Public License Version 1.1")[1]} == {"MPL-1.1"}
+
+
+def test_license_scan_of_odd_rows(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, notice), (1, notice), (2, "x " * 40000 + "\n\n" + notice + "\n" + notice), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS found", "2 AS notices", "3 AS n_blocks")
+    got = sorted((r["doc_id"] or 0, r["n_notices"], r["licenses"]) for r in license_scan.report(df).collect())
+    assert got == [(0, 0, ""), (1, 1, "MIT"), (1, 1, "MIT"), (2, 2, "MIT"), (3, 0, "")]
+    assert license_scan.with_notices(df, "seen").columns == [*df.columns, "seen"]
+
+
 MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
