@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import compression_bands, decontaminate, hilbert_search, language_id, license_scan, mixing, prefix_trie, rule_ensemble, simhash, site_style, toxicity, warc
+from . import compression_bands, decontaminate, hilbert_search, language_id, license_scan, mixing, prefix_trie, rule_ensemble, simhash, site_style, toxicity, turn_repair, warc
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op12_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -1,10 +1,12 @@
 """Prefix trie and structure repair of conversations against plain versions over the whole table."""
 
 import hashlib
+import functools
 import random
+import re
 import zlib
 
-from sedge.llm import prefix_trie
+from sedge.llm import prefix_trie, turn_repair
 from sedge.session import table
 
 SCHEMA = "conv_id long, turn long, role string, text string, own string"
@@ -82,3 +84,75 @@ def test_nodes_take_all_layouts():
         assert all(root.slots[root.place(k[0])].sample == k for k in keys[: row + 1])
         assert row == 255 or root.place(keys[row + 1][0]) < 0
     assert rooms == set(prefix_trie.LAYOUTS)
+
+
+def plain_repair(rows):
+    """Every conversation by itself, with whole audits compared as strings."""
+    blanks, out = "\x20\x09\x0a\x0b\x0c\x0d", set()
+    groups: dict = {}
+    for c, turn, role, text in rows:
+        mine = groups.setdefault(c, [])
+        key = f"{' ' if c is None else c}:{' ' if turn is None else turn}"
+        fate = zlib.crc32(key.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+        role = "user" if fate == 4 else role
+        mine += [(turn, role, text)] * (0 if fate == 0 else 2 if fate == 3 else 1)
+    for c, mine in groups.items():
+        told = lambda x: hashlib.sha256(f"{len(x[1])}:{x[1]}{x[2]}".encode()).hexdigest()
+        mine.sort(key=lambda x: (x[0] is not None, x[0] or 0, told(x)))
+        faults, seen = [], set()
+        for _, role, text in mine:
+            bare = text.strip(blanks)
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+        initials = [role[:1] for _, role, _ in mine]
+
+        @functools.lru_cache(None)
+        def best(k, state, added=0):
+            """state: what the role initials so far allow next. Gives cost, audit and repaired roles (None: deleted)."""
+            ways = []
+            if k == len(mine) and state in ("start", "a"):
+                ways.append((0, "", ()))
+            made = "a" if state == "u" else "u"
+            if added < 3:
+                cost, audit, roles = best(k, made, added + 1)
+                ways.append((cost + 3, "I" + audit, (("+", made), *roles)))
+            if k < len(mine):
+                cost, audit, roles = best(k + 1, state)
+                ways.append((cost + 4, "D" + audit, roles))
+                if faults[k] not in ("blank", "duplicate"):
+                    torn = 3 * (faults[k] == "truncated")
+                    i = initials[k]
+                    if i == "s" and state == "start" or i == "u" and state in ("start", "s", "a") or i == "a" and state == "u":
+                        cost, audit, roles = best(k + 1, i)
+                        ways.append((cost + torn, "K" + audit, ((k, None), *roles)))
+                    cost, audit, roles = best(k + 1, made)
+                    ways.append((cost + 3 + torn, "R" + audit, ((k, made), *roles)))
+            return min(ways, key=lambda w: w[:2], default=(10**9, "~", ()))
+
+        cost, audit, roles = best(0, "start")
+        full = {"u": "user", "a": "assistant"}
+        lines = [f"{full[to] if to else mine[k][1]}:{'' if k == '+' else mine[k][2]}" for k, to in roles]
+        turns = {t for t, _, _ in mine if t is not None}
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        out.add((c, max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return out
+
+
+def test_repair_is_that_of_brute_force(spark, sf):
+    for rows in ([tuple(r) for r in table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect()], odd_conversations(), [(c, t, random.Random(c * 31 + t).choice("suat"), random.Random(c + t * 17).choice(["a.", "b", ""])) for c in range(300) for t in range(c % 9)]):
+        frame = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+        found = [tuple(r) for r in turn_repair.report(frame).collect()]
+        assert len(found) == len(set(found)) == len({r[0] for r in rows})
+        assert set(found) == plain_repair(rows)
+    assert turn_repair.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_ends_are_one_node():
+    automaton = turn_repair.Automaton()
+    automaton.enter("EIEI")
+    before = len(automaton.costs)
+    automaton.enter("AEIEI")
+    assert len(automaton.costs) == before + 1
+    assert automaton.enter("EI") < before == len(automaton.costs) - 1
