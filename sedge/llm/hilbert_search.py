@@ -28,7 +28,7 @@ from ..operators.ordinals import with_ordinal
 from .common import cut
 
 #: Fit: curves, projected dimensions, bits per dimension (a key has 60), sampled vectors and the share of their neighbours that windows hold.
-CURVES, DIMENSIONS, BITS, SAMPLE, SHARE = 8, 6, 10, 256, 0.95
+CURVES, DIMENSIONS, BITS, SAMPLE, SHARE = 8, 6, 10, 256, 0.97
 #: Rows of a range, the piece of a curve that one step compares with the queries that reach into it.
 RANGE_ROWS = 4096
 WANTED = 10

@@ -69,7 +69,22 @@ _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 _HEX20 = "CAST('0x' || substr(h, {0}, 5) AS BIGINT)"
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({_HEX20.format(5 * k + 1)} >> {s}) & 31 AS INTEGER) + 1, 1)" for k in range(8) for s in (15, 10, 5, 0))
 
+#: CRC-32 of an ASCII string by its definition, bit by bit.
+_BITS = "list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b))"
+_CRC32 = f"xor(list_reduce(list_transform(string_split({{0}}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: {_BITS}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
 ORACLE = {
+    "op11_prefix_trie": f"""
+WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS id FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, CAST({_CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS INTEGER) AS h, list(struct_pack(id := id, n := n) ORDER BY turn NULLS FIRST, id, n) AS w FROM t GROUP BY conv_id),
+built AS (SELECT o.conv_id, list_concat(list_slice(coalesce(f.w, []), 1, o.h), list_slice(o.w, o.h + 1, len(o.w))) AS w FROM own o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 100),
+paths AS (SELECT conv_id, d, array_to_string(list_transform(w[1:d], lambda x: x.id), '') AS p, coalesce(w[d].n, 0) AS n, len(w) = d AS ends FROM built, unnest(range(0, len(w) + 1)) AS u(d)),
+nodes AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM paths GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, substr(p, 1, 32 * (d - 1)) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT x.*, coalesce(k.n_children, 0) AS n_children FROM nodes x LEFT JOIN kids k USING (d, p)),
+below AS (SELECT a AS d, substr(p, 1, 32 * a) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * n) AS BIGINT) AS saved_tokens FROM whole, unnest(range(0, d + 1)) AS u(a) GROUP BY 1, 2)
+SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, b.n_leaves, b.saved_tokens, x.ends_sha256
+FROM whole x JOIN below b USING (d, p) LEFT JOIN nodes up ON up.d = x.d - 1 AND up.p = substr(x.p, 1, 32 * up.d)""",
     "op8_warc": f"""
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
 f AS (SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
