@@ -10,26 +10,35 @@ STATIC = (".js", ".css", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".map"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
+#: The fields of a line of the common log format. Groups are address, time, method, url and status.
+FIELDS = {
+    "address": r"(\S+)",
+    "identity": "-",
+    "user": "-",
+    "time": r"\[([^\]]+)\]",
+    "request": r'"(\S+)\s+([^"]+)\s+HTTP/[^"]+"',
+    "status": r"(\d+)",
+}
+
+
 def log_time(text: Column) -> Column:
     """dd/MMM/yyyy:HH:mm:ss +zzzz as yyyy-MM-dd HH:mm:ss; the offset is dropped, an unknown month counts as January."""
-    part = lambda k: F.regexp_extract(text, r"^(\d{2})/(\w{3})/(\d{4}):(\d{2}:\d{2}:\d{2})", k)
-    month = F.lpad(F.greatest(F.array_position(F.array(*map(F.lit, MONTHS)), part(2)), F.lit(1)).cast("string"), 2, "0")
-    return F.when(part(3) != "", F.concat(part(3), F.lit("-"), month, F.lit("-"), part(1), F.lit(" "), part(4)))
+    month = F.greatest(F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(text, 4, 3)), F.lit(1))
+    shown = F.concat(F.substring(text, 8, 4), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.substring(text, 1, 2), F.lit(" "), F.substring(text, 13, 8))
+    return F.when(text.rlike(r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}"), shown)
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """ip, visit_time, method, url and status of the lines of the form `ip - - [time] "METHOD url HTTP/x" status ...`; others are left out."""
-    # Quotes part a line in three: who and when, the request, and what begins with the status.
-    who, request, rest = (F.split_part(F.col(column), F.lit('"'), F.lit(k)) for k in (1, 2, 3))
-    words, asked = F.split(who, r"\s+"), F.split(request, r"\s+")
-    time = F.regexp_replace(F.array_join(F.slice(words, 4, F.greatest(F.size(words) - 4, F.lit(0))), " "), r"^\[|\]$", "")
-    protocol = F.element_at(asked, -1)
-    url = F.trim(F.substr(request, F.length(asked[0]) + 1, F.length(request) - F.length(asked[0]) - F.length(protocol)))
-    formed = (F.size(words) >= 5) & (words[0] != "") & (words[1] == "-") & (words[2] == "-") & (F.element_at(words, -1) == "")
-    formed &= words[3].startswith("[") & F.element_at(words, -2).endswith("]") & ~time.contains("]") & (F.length(time) > 0)
-    formed &= (asked[0] != "") & (F.size(asked) >= 3) & protocol.startswith("HTTP/") & (F.length(protocol) > 5)
-    status = F.regexp_extract(rest, r"^\s+(\d+)", 1)
-    return lines.where(formed & (status != "")).select(words[0].alias("ip"), log_time(time).alias("visit_time"), asked[0].alias("method"), url.alias("url"), status.cast("int").alias("status"))
+    """ip, visit_time, method, url and status of the lines of the form `ip - - [time] "METHOD url HTTP/x" status ...`; others are left out.
+
+    A line is matched once: its fields take the place of the line, parted by a control character (which counts as a blank
+    where a line holds it), and a line that doesn't match stays in one part.
+    """
+    mark = "\x01"
+    fields = F.split(F.regexp_replace(F.translate(F.col(column), mark, " "), r"(?s)^" + r"\s+".join(FIELDS.values()) + ".*$", mark.join(f"${k}" for k in range(1, 6))), mark)
+    # A generator keeps the planner from working the fields out again for every condition and column.
+    found = lines.select(F.explode(F.filter(F.array(fields), lambda x: F.size(x) == 5)).alias("f")).select(*[F.col("f")[k].alias(n) for k, n in enumerate(("ip", "at", "method", "url", "status"))])
+    return found.select("ip", log_time(F.col("at")).alias("visit_time"), "method", "url", F.col("status").cast("int").alias("status"))
 
 
 def page_views(parsed: DataFrame, mode: str = "contains") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
-from .ordinals import with_ordinal
+from .ordinals import running_sum, with_ordinal
 
 MESH_QUANTILES = (0.001, 0.5, 0.9, 0.99, 0.999)
 #: Number of distinct keys from which on a report says so.
@@ -154,8 +154,7 @@ def merge_groups(primitives: DataFrame, key: list[str], eligible: Column, row_id
 
 def offsets(batches: DataFrame, group: str, order: str, length: str) -> DataFrame:
     """Where each batch starts in its group: the lengths before it."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return batches.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("bigint"))
+    return running_sum(batches, "offset", length, [group], order).withColumn("offset", F.col("offset").cast("bigint"))
 
 
 def box_downsample(pixels: DataFrame, factor: int, *keys: str) -> DataFrame:

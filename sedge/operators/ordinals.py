@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,12 +26,43 @@ def with_ordinal(rows: DataFrame, name: str, *order: str | Column, start: int =
     return ranged.withColumn("_place", inside).join(F.broadcast(shifts), "_range").withColumn(name, F.col("_place") + F.col("_shift") + start).drop("_range", "_place", "_shift")
 
 
+def running_sum(rows: DataFrame, name: str, amount: str | Column, groups: list[str], *order: str | Column) -> DataFrame:
+    """rows with name: the sum of amount over the rows before it in its group (null groups are one).
+
+    Rows are sorted by ranges of group and order, so that one large group is spread over many tasks. Sums inside a range are
+    shifted by what the ranges before hold of the same group. A range continues one group at most, which bounds the shifts
+    by the number of ranges.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(rows.repartitionByRange(parts, *groups, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range", *groups).agg(F.sum(amount).alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.withColumn("_shift", F.sum("_n").over(earlier)).where("_shift IS NOT NULL")
+    named = shifts.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], "_shift")
+    same = F.col("_range") == F.col("_r")
+    for k, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    inside = F.sum(amount).over(Window.partitionBy("_range", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    met = ranged.withColumn("_inside", inside).join(F.broadcast(named), same, "left")
+    return met.withColumn(name, F.coalesce("_inside", F.lit(0)) + F.coalesce("_shift", F.lit(0))).drop("_range", "_inside", *named.columns)
+
+
+def numbered(rows: DataFrame, name: str, groups: list[str], *order: str | Column) -> DataFrame:
+    """rows with name: their place in their group, from 1."""
+    return running_sum(rows, name, F.lit(1), groups, *order).withColumn(name, F.col(name) + 1)
+
+
 def lower_ranks(rows: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
-    """q and value: the value at floor((n - 1) * q) of the sorted column, exactly."""
-    ranked = with_ordinal(rows.where(F.col(column).isNotNull()).select(column), "_at", column)
-    n = rows.where(F.col(column).isNotNull()).agg(F.count("*").alias("_n"))
-    wanted = n.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.floor((F.col("_n") - 1) * F.lit(q)).alias("_at")) for q in quantiles])).alias("w")).select("w.q", "w._at")
-    return ranked.join(F.broadcast(wanted), "_at").select("q", F.col(column).alias("value"))
+    """q and value: the value at floor((n - 1) * q) of the sorted column, exactly.
+
+    Equal values are counted before anything is sorted; the value wanted is the last one whose smaller values are no more
+    than its rank.
+    """
+    counts = cut(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_count")))
+    n = counts.agg(F.sum("_count")).first()[0] or 0
+    ranked = running_sum(counts, "_smaller", "_count", [], column)
+    found = [F.struct(F.lit(q).alias("q"), F.max(F.when(F.col("_smaller") <= math.floor((n - 1) * q), F.col(column))).alias("value")) for q in quantiles]
+    return ranked.agg(F.array(*found).alias("_found")).where(F.lit(n > 0)).select(F.inline("_found"))
 
 
 def running_cap(rows: DataFrame, amount: str, cap: int, *order: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordinals import numbered
 
 
 def filled(column: Column) -> Column:
@@ -21,8 +22,8 @@ def key_rows(sheet: DataFrame, keys: list[str]) -> DataFrame:
 
 def sequence_codes(rows: DataFrame, layer: str, row_id: str, prefix: Column) -> DataFrame:
     """rows with code: prefix_n, n counting the layer's rows by id; blanks are taken out of it. All layers in one pass."""
-    n = F.row_number().over(Window.partitionBy(layer).orderBy(row_id))
-    return rows.withColumn("code", F.replace(F.concat(prefix, F.lit("_"), n.cast("string")), F.lit(" "), F.lit("")))
+    counted = numbered(rows, "_n", [layer], row_id)
+    return counted.withColumn("code", F.replace(F.concat(prefix, F.lit("_"), F.col("_n").cast("string")), F.lit(" "), F.lit(""))).drop("_n")
 
 
 def update_from(table: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import safe_file_name, sheet_name
+from .ordinals import numbered
 
 
 def added_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,40 +53,63 @@ def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
     named = files.withColumn("out_name", safe_file_name(F.col(name))).withColumn("_own", F.lower("out_name"))
     for _ in range(2):
         # Files that still bear their first name come before those that were numbered into it.
-        rank = F.row_number().over(Window.partitionBy(F.lower("out_name")).orderBy(F.lower("out_name") != F.col("_own"), order)) - 1
-        named = named.withColumn("_rank", rank).withColumn("out_name", F.when(F.col("_rank") == 0, F.col("out_name")).otherwise(F.concat(stem, F.lit("_"), F.col("_rank").cast("string"), ending)))
-    return named.drop("_own", "_rank")
+        met = named.withColumns({"_key": F.lower("out_name"), "_late": F.lower("out_name") != F.col("_own")})
+        named = numbered(met, "_rank", ["_key"], "_late", order).withColumn("out_name", F.when(F.col("_rank") == 1, F.col("out_name")).otherwise(F.concat(stem, F.lit("_"), (F.col("_rank") - 1).cast("string"), ending)))
+    return named.drop("_own", "_rank", "_key", "_late")
 
 
 def sheet_names(tables: DataFrame, name: str, order: str) -> DataFrame:
     """tables with sheet: a name that sheets allow; a repeated one is cut to 28 characters and gets its place in order."""
     # The place counts from 1 over all tables, as the list is read; it is an ordinal that the caller provides.
-    first = F.row_number().over(Window.partitionBy("_sheet").orderBy(order)) == 1
-    named = tables.withColumn("_sheet", sheet_name(F.col(name))).withColumn("_first", first)
-    return named.withColumn("sheet", F.when(F.col("_first"), F.col("_sheet")).otherwise(F.concat(F.substring("_sheet", 1, 28), F.lit("_"), F.col(order).cast("string")))).drop("_sheet", "_first")
+    named = tables.withColumn("_sheet", sheet_name(F.col(name)))
+    firsts = named.groupBy(F.col("_sheet").alias("_name")).agg(F.min(order).alias("_first"))
+    met = named.join(firsts, F.col("_sheet") == F.col("_name"))
+    again = F.concat(F.substring("_sheet", 1, 28), F.lit("_"), F.col(order).cast("string"))
+    return met.withColumn("sheet", F.when(F.col(order) == F.col("_first"), F.col("_sheet")).otherwise(again)).drop("_sheet", "_name", "_first")
 
 
 def resolve_uris(references: DataFrame, files: DataFrame, uri: str = "uri", path: str = "path") -> DataFrame:
-    """references with resolved: the file by exact path, else by the only file of that name, else by the first file whose
-    path ends like the reference, else the first of that name; null if no file has the name."""
-    base = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))
-    listed = files.select(F.col(path).alias("_path"), base(F.col(path)).alias("_base"))
-    # The best file of a name is found with a running minimum, not by listing all of them.
-    met = references.withColumn("_base", base(F.col(uri))).join(listed, "_base", "left")
-    rank = F.when(F.col("_path") == F.col(uri), 0).when(F.lower("_path").endswith(F.concat(F.lit("/"), F.lower(F.col(uri)))), 1).otherwise(2)
-    keys = references.columns
-    return met.groupBy(*keys).agg(F.min(F.when(F.col("_path").isNotNull(), F.struct(rank.alias("rank"), F.col("_path")))).alias("_best")).select(*keys, F.col("_best._path").alias("resolved"))
-
-
-def first_containing(texts: DataFrame, text: str, names: DataFrame, name: str, order: str) -> DataFrame:
-    """texts with found: the first name (by order) that contains the text; null if none does.
-
-    Containment has no equal keys to join by, so it is looked up once per distinct text, and texts then meet the answer
-    by equality.
+    """references with resolved: the file by exact path, else the first file whose path ends like the reference after a
+    slash (case is ignored), else the first of its name; null if no file has the name.
+
+    Files are listed once under every ending of their path, and each ending keeps its first file alone. A reference meets
+    one row per way of looking it up, however many files bear its name.
+    """
+    last = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))
+    steps = F.split(F.lower(F.col(path)), "/")
+    endings = F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda k: F.array_join(F.slice(steps, k, F.size(steps)), "/"))
+    exact = files.where(F.col(path).isNotNull()).select(F.col(path).alias("_exact")).distinct()
+    ended = files.where(F.size(steps) > 1).select(F.explode(endings).alias("_end"), F.col(path).alias("_path")).groupBy("_end").agg(F.min("_path").alias("_ended"))
+    named = files.where(F.col(path).isNotNull()).groupBy(last(F.col(path)).alias("_base")).agg(F.min(path).alias("_named"))
+    met = references.join(exact, F.col(uri) == F.col("_exact"), "left").join(ended, F.lower(uri) == F.col("_end"), "left").join(named, last(F.col(uri)) == F.col("_base"), "left")
+    return met.select(*references.columns, F.coalesce("_exact", "_ended", "_named").alias("resolved"))
+
+
+def grams(text: Column, longest: int) -> Column:
+    """The distinct pieces of a text of the given length; a shorter text is its own piece."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - longest + 1, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda k: F.substr(text, k, F.lit(longest))))
+
+
+def first_containing(texts: DataFrame, text: str, names: DataFrame, name: str, order: str, longest: int = 4) -> DataFrame:
+    """texts with found: the first name (by order, then by name) that contains the text; null if none does.
+
+    Names are listed under all their pieces of up to `longest` characters. A text can only be in names that have its
+    rarest piece, so it meets those alone and is verified there; a text as short as a piece is answered by the list itself.
     """
-    words = texts.select(text).distinct()
-    met = words.join(names.select(F.col(name).alias("found"), F.col(order).alias("_order")), F.col("found").contains(F.col(text)))
-    return texts.join(met.groupBy(text).agg(F.min_by("found", "_order").alias("found")), text, "left")
+    listed = names.where(F.col(name).isNotNull()).select(F.col(name).alias("_name"), F.col(order).alias("_order"))
+    pieces = listed.select("_name", "_order", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("_name"), n) for n in range(1, longest + 1)])))).alias("_gram")).where("_gram <> ''")
+    best = F.min(F.struct("_order", "_name")).alias("_best")
+    held = pieces.groupBy("_gram").agg(F.count("*").alias("_n"), best).unionByName(listed.select(F.lit("").alias("_gram"), "_name", "_order").groupBy("_gram").agg(F.count("*").alias("_n"), best))
+    words = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct()
+    # Short texts are pieces themselves; the empty one is in every name.
+    short = words.where(F.length("_text") <= longest).join(held, F.col("_text") == F.col("_gram")).select("_text", "_best")
+    long = words.where(F.length("_text") > longest).select("_text", F.explode(grams(F.col("_text"), longest)).alias("_piece"))
+    # A piece that no name has counts as the rarest, and its text meets nothing.
+    rare = long.join(held.select(F.col("_gram").alias("_piece"), "_n"), "_piece", "left").groupBy("_text").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("_r")).where("_r.n > 0").select("_text", "_r._piece")
+    met = rare.join(pieces, F.col("_piece") == F.col("_gram")).where(F.col("_name").contains(F.col("_text"))).groupBy("_text").agg(best)
+    answers = short.unionByName(met).select("_text", F.col("_best._name").alias("found"))
+    return texts.join(answers, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
 def newest(records: DataFrame, key: str, time: str, n: int, *ties: str) -> DataFrame:

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,10 +85,12 @@ def geometric_error(half: list[Column]) -> Column:
 
 
 def choose_grid(span_x: float, span_y: float, parts: int) -> tuple[int, int]:
-    """Columns and rows of a grid of at least `parts` cells: cells of an area of equal parts would be squares with
-    sqrt(parts * span_x / span_y) columns, rounded here; rows are as many as it takes."""
-    wanted = math.sqrt(parts * max(span_x, 0.001) / max(span_y, 0.001))
-    columns = sorted((1, math.floor(wanted + 0.5), parts))[1]
+    """Columns and rows of a grid of at least `parts` cells that are close to squares.
+
+    Fixed values: the number of columns, rounded half up and kept within 1 and parts, and the least span.
+    """
+    columns = math.floor(math.sqrt(parts * max(span_x, 0.001) / max(span_y, 0.001)) + 0.5)
+    columns = max(1, min(parts, columns))
     return columns, math.ceil(parts / columns)
 
 
@@ -120,37 +120,61 @@ def with_lod(tiles: DataFrame, chosen: DataFrame, shift: int) -> DataFrame:
     return coarse.unionByName(exact)
 
 
-def nearest_groups(groups: DataFrame, most_size: int, block: int = 50_000) -> DataFrame:
+def size_class(size: Column) -> Column:
+    """Sizes up to 1, 2, 4, 8 ... Larger sizes never have a smaller class."""
+    return F.ceil(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+
+
+def nearest_groups(groups: DataFrame, most_size: int, most_in_cell: int = 64) -> DataFrame:
     """group_id, target_id, d2: the nearest other group (squared distance of centres) that leaves a joint size within most_size.
 
-    A stated set of groups in blocks: each block of targets is broadcast, compared with all groups, and the best so far is
-    kept. Ties go to the smaller id.
+    Groups look into the grid cells around their own, and the grid gets twice as coarse until the best distance found is
+    shorter than a cell, so that nothing outside can be nearer. The first grid is as fine as it takes for no cell to be
+    crowded. Cells are listed by size class, and a group looks up the classes that it has room for. Groups of equal centre and
+    size are one place with its two smallest ids: no more are needed to give each of them another. Ties go to the smaller id.
     """
-    count = groups.count()
-    sized = groups.select("group_id", "size", "cx", "cy", "cz")
-    best = None
-    for k in range(-(-count // block)):
-        rows = sized.where(F.pmod(F.xxhash64("group_id"), F.lit(-(-count // block))) == k).orderBy("group_id").collect()
-        held = sized.sparkSession.sparkContext.broadcast(np.array([tuple(r) for r in rows], float).reshape(len(rows), 5))
-
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            targets = held.value
-            for batch in batches:
-                out = []
-                for g, size, x, y, z in batch.itertuples(index=False):
-                    ok = (targets[:, 0] != g) & (targets[:, 1] + size <= most_size)
-                    if ok.any():
-                        d = targets[ok][:, 2:] - np.array([x, y, z])
-                        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
-                        at = int(d2.argmin())
-                        out.append((g, int(targets[ok][at, 0]), float(d2[at])))
-                yield pd.DataFrame(out, columns=["group_id", "target_id", "d2"]).astype({"group_id": "int64", "target_id": "int64", "d2": "float64"})
-
-        found = sized.mapInPandas(search, "group_id bigint, target_id bigint, d2 double")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
+    axes = ["cx", "cy", "cz"]
+    sized = groups.select("group_id", "size", *[F.col(c).cast("double").alias(c) for c in axes])
+    first = F.row_number().over(Window.partitionBy(*axes, "size").orderBy("group_id"))
+    places = cut(sized.withColumn("_k", first).where("_k <= 2").groupBy(*axes, "size").agg(F.sort_array(F.collect_list("group_id")).alias("ids")).withColumn("place", F.col("ids")[0]))
+    seen = places.agg(F.count("*").alias("n"), F.min("size").alias("least"), *[f(c).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max)]).first()
+    spans = {c: seen[f"max_{c}"] - seen[f"min_{c}"] for c in axes} if seen["n"] else {}
+    wide = [c for c in axes if spans.get(c)]
+    width = math.prod(spans[c] / max(seen["n"], 1) ** (1 / len(wide)) for c in wide) ** (1 / len(wide)) if wide else 1.0
+
+    def cells(width: float) -> list[Column]:
+        return [F.floor((F.col(c) - F.lit(seen[f"min_{c}"])) / F.lit(width)) if c in wide else F.lit(0).cast("long") for c in axes]
+
+    while wide and places.groupBy(*cells(width)).count().agg(F.max("count")).first()[0] > most_in_cell and width > max(spans.values()) * 2.0**-48:
+        width /= 4
+    room = F.lit(most_size) - F.col("size")
+    waiting = places.where(room >= (seen["least"] or 0)).withColumn("need", F.when(F.col("size") <= room, 2).otherwise(1))
+    found = None
+    while seen["n"]:
+        names = ["_x", "_y", "_z"]
+        targets = places.select(F.col("ids").alias("t_ids"), F.col("size").alias("t_size"), *[F.col(c).alias(f"t_{c}") for c in axes], *[x.alias(n) for x, n in zip(cells(width), names, strict=True)], size_class(F.col("size")).alias("_class"))
+        probes = waiting.withColumn("_class", F.explode(F.sequence(F.lit(0), size_class(room))))
+        for x, n, c in zip(cells(width), names, axes, strict=True):
+            probes = probes.withColumn(n, F.explode(F.array(x - 1, x, x + 1)) if c in wide else x)
+        met = probes.join(targets, [*names, "_class"]).where(F.col("t_size") <= room)
+        d2 = sum(((F.col(f"t_{c}") - F.col(c)) * (F.col(f"t_{c}") - F.col(c)) for c in axes[1:]), (F.col("t_cx") - F.col("cx")) * (F.col("t_cx") - F.col("cx")))
+        near = Window.partitionBy("place").orderBy("d2", "target_id")
+        best = met.select("place", "need", d2.alias("d2"), F.explode("t_ids").alias("target_id")).withColumn("_k", F.row_number().over(near)).where("_k <= 2")
+        whole = width > max(spans.values(), default=0)
+        ready = best.groupBy("place", "need").agg(F.array_sort(F.collect_list(F.struct("d2", "target_id"))).alias("best"))
+        if not whole:
+            ready = ready.where((F.size("best") >= F.col("need")) & (F.element_at("best", F.least(F.col("need"), F.size("best")))["d2"] < F.lit(width * width)))
+        ready = cut(ready.select("place", "best"))
+        found = ready if found is None else found.unionByName(ready)
+        waiting = cut(waiting.join(ready, "place", "left_anti"))
+        if whole or waiting.isEmpty():
+            break
+        width *= 2
+    if found is None:
         return groups.sparkSession.createDataFrame([], "group_id bigint, target_id bigint, d2 double")
-    return best.groupBy("group_id").agg(F.min(F.struct("d2", "target_id")).alias("m")).select("group_id", "m.target_id", "m.d2")
+    answers = places.select(*axes, "size", "place").join(found, "place").drop("place")
+    other = F.filter("best", lambda b: b["target_id"] != F.col("group_id"))
+    return sized.join(answers, [*axes, "size"]).select("group_id", F.get(other, F.lit(0)).alias("m")).where("m IS NOT NULL").select("group_id", "m.target_id", "m.d2")
 
 
 def quarter() -> Column:

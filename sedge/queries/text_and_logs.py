@@ -23,9 +23,9 @@ def log_lines(spark, sf_dir):
 _LOG = """lines AS (SELECT CASE WHEN event_id % 13 = 5 THEN 'broken ' || event_id ELSE '10.0.' || (user_id % 50) || '.' || (user_id % 7) || ' - - [' || strftime(ts, '%d/') ||
     CASE WHEN event_id % 29 = 3 THEN 'Foo' ELSE ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month(ts)] END || strftime(ts, '/%Y:%H:%M:%S') || ' +0800] "GET ' ||
     ['/index.html', '/app.js', '/api/list', '/img/a.PNG?x=1', '/docs/a page', '/data.json5', '/'][event_id % 7 + 1] || ' HTTP/1.1" ' || CASE WHEN event_type = 'error' THEN '500' ELSE '200' END || ' ' || event_id END AS value FROM events),
-p AS (SELECT regexp_extract(value, '^(\\S+)\\s+-\\s+-\\s+\\[([^\\]]+)\\]\\s+"(\\S+)\\s+([^"]+)\\s+HTTP/[^"]+"\\s+(\\d+)', ['ip', 't', 'method', 'url', 'status']) AS m FROM lines WHERE value NOT LIKE 'broken%'),
-parsed AS (SELECT m.ip AS ip, substr(m.t, 8, 4) || '-' || lpad(CAST(greatest(1, coalesce(list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], substr(m.t, 4, 3)), 1)) AS VARCHAR), 2, '0') || '-' || substr(m.t, 1, 2) || ' ' || substr(m.t, 13, 8) AS visit_time,
-    m.method AS method, m.url AS url, CAST(m.status AS INTEGER) AS status FROM p),
+w AS (SELECT string_split(value, ' ') AS w FROM lines WHERE contains(value, '"')),
+parsed AS (SELECT w[1] AS ip, substr(w[4], 9, 4) || '-' || lpad(CAST(greatest(1, coalesce(list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], substr(w[4], 5, 3)), 1)) AS VARCHAR), 2, '0') || '-' || substr(w[4], 2, 2) || ' ' || substr(w[4], 14, 8) AS visit_time,
+    ltrim(w[6], '"') AS method, array_to_string(w[7:-4], ' ') AS url, CAST(w[-2] AS INTEGER) AS status FROM w),
 v AS (SELECT * FROM parsed WHERE status = 200 AND NOT regexp_matches(lower(url), '\\.(""" + "|".join(x[1:] for x in logs.STATIC) + """)'))"""
 
 

@@ -81,8 +81,9 @@ def test_lines_of_a_log_and_others(spark):
 
     good = '10.0.0.1 - - [05/Mar/2024:10:11:12 +0800] "GET /a page?x=1 HTTP/1.1" 200 17'
     lines = [good, good.replace(" - - ", "  -   -  "), good.replace("HTTP/1.1", "HTTP/"), good.replace("GET /a page?x=1", "/a"), good.replace('"', "'"), good.replace("[", ""), good.replace("200", "ok"), "", None, good.replace(" - - ", " - bob ")]
+    lines += [good.replace('1.1"', '1.1 "'), good.replace('1.1"', '1.1 x"'), good.replace("page", "pa\x01ge")]
     got = [tuple(r) for r in logs.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
-    assert got == [("10.0.0.1", "2024-03-05 10:11:12", "GET", "/a page?x=1", 200)] * 2
+    assert got == [("10.0.0.1", "2024-03-05 10:11:12", "GET", "/a page?x=1", 200)] * 4 + [("10.0.0.1", "2024-03-05 10:11:12", "GET", "/a pa ge?x=1", 200)]
 
 
 def test_sizes_and_colours(spark):
@@ -135,3 +136,76 @@ def test_unique_names_survive_a_name_that_is_numbered_already(spark):
     files = spark.createDataFrame([(1, "a.b3dm"), (2, "A.b3dm"), (3, "a_1.b3dm"), (4, "x")], "k int, name string")
     got = {r["k"]: r["out_name"] for r in unique_names(files, "name", "k").collect()}
     assert len({v.lower() for v in got.values()}) == 4 and got[1] == "a.b3dm" and got[3] == "a_1.b3dm"
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().toString()
+
+
+def test_one_large_group_is_numbered_by_many_tasks(spark):
+    from sedge.operators.ordinals import numbered, running_sum
+
+    rows = spark.range(1_000_000, numPartitions=8).selectExpr("CASE WHEN id % 10 < 8 THEN 'big' WHEN id % 10 = 8 THEN NULL ELSE concat('g', id % 1000) END AS g", "id * 7919 % 1000003 AS k")
+    found = numbered(rows, "n", ["g"], "k")
+    wrong = found.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY k) AS want").where("n <> want")
+    assert wrong.isEmpty() and found.count() == 1_000_000
+    # No task has more than its share of the large group.
+    ranges = rows.repartitionByRange(4, "g", "k").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert ranges < 350_000
+    sums = running_sum(spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 7), ("b", 1, 1)], "g string, k int, v int"), "s", "v", ["g"], "k")
+    assert {(r["g"], r["k"]): r["s"] for r in sums.collect()} == {("a", 1): 0, ("a", 2): 5, ("a", 3): 5, ("b", 1): 0}
+
+
+def test_quantiles_where_half_of_the_values_tie(spark):
+    rows = spark.range(1001).selectExpr("CASE WHEN id < 500 THEN 0.0D ELSE cast(id as double) END AS x").unionByName(spark.sql("SELECT cast(null as double) AS x"))
+    got = {r["q"]: r["value"] for r in lower_ranks(rows, "x", [0.0, 0.25, 0.4999, 0.5, 0.75, 1.0]).collect()}
+    assert got == {0.0: 0.0, 0.25: 0.0, 0.4999: 0.0, 0.5: 500.0, 0.75: 750.0, 1.0: 1000.0}
+    assert lower_ranks(rows.where("x IS NULL"), "x", [0.5]).count() == 0
+
+
+def test_references_meet_one_file_each(spark):
+    from sedge.operators.text import resolve_uris
+
+    files = spark.range(10_000).selectExpr("concat('site', id, '/docs/index.html') AS path").unionByName(spark.createDataFrame([("top.txt",), ("A/B/c.txt",), ("z/b/C.txt",), (None,)], "path string"))
+    uris = {"site77/docs/index.html": "site77/docs/index.html", "SITE77/docs/INDEX.html": "site0/docs/index.html", "docs/index.html": "site0/docs/index.html", "gone/index.html": "site0/docs/index.html", "b/c.txt": "A/B/c.txt", "c.txt": "A/B/c.txt", "/b/C.txt": "A/B/c.txt", "top.txt": "top.txt", "x/TOP.txt": "top.txt", "none": None, None: None}
+    refs = spark.createDataFrame([(u, k % 2) for k, u in enumerate([*uris, *uris])], "uri string, k int")
+    found = resolve_uris(refs, files)
+    assert found.count() == 2 * len(uris)
+    assert {r["uri"]: r["resolved"] for r in found.collect()} == uris
+    many = resolve_uris(spark.range(2000).selectExpr("concat('old', id, '/index.html') AS uri"), files)
+    assert many.count() == 2000
+
+
+def test_names_that_contain_a_text(spark):
+    import random
+
+    from sedge.operators.text import first_containing
+
+    r = random.Random(2)
+    names = [(k, "".join(r.choice("abé") for _ in range(r.randint(0, 12)))) for k in range(200)] + [(3, None), (500, "ends with this")]
+    texts = [(k, "".join(r.choice("abé") for _ in range(r.randint(0, 7)))) for k in range(300)] + [(301, None), (302, "with t"), (303, "nowhere"), (304, "")]
+    found = first_containing(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame(names, "pos int, n string"), "n", "pos")
+    want = {k: None if t is None else next((n for _, n in sorted((p, n) for p, n in names if n is not None and t in n)), None) for k, t in texts}
+    assert {x["id"]: x["found"] for x in found.collect()} == want and found.count() == len(texts)
+    assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
+
+
+def test_nearest_groups_are_those_of_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, r.randint(1, 12), r.choice([r.gauss(0, 1), r.gauss(50, 1e-6), 9.0]), r.choice([0.0, 1e5]) + r.random(), 3.0) for k in range(300)]
+    rows += [(1000 + k, 2, 7.0, 7.0, 3.0) for k in range(40)] + [(2000, 11, -1e6, 0.0, 3.0), (2001, 13, 0.0, 0.0, 3.0)]
+    schema = "group_id bigint, size int, cx double, cy double, cz double"
+    want = {}
+    for a in rows:
+        ways = [(sum((y - x) * (y - x) for x, y in zip(a[2:], b[2:])), b[0]) for b in rows if b[0] != a[0] and a[1] + b[1] <= 13]
+        if ways:
+            want[a[0]] = min(ways)[::-1]
+    for limit in (64, 4):
+        got = {x["group_id"]: (x["target_id"], x["d2"]) for x in tiles.nearest_groups(spark.createDataFrame(rows, schema), 13, limit).collect()}
+        assert got == want
+    assert tiles.nearest_groups(spark.createDataFrame([], schema), 13).count() == 0
+    assert tiles.nearest_groups(spark.createDataFrame(rows[:1], schema), 13).count() == 0
+    same = [(k, 1, 1.0, 1.0, 1.0) for k in range(500)]
+    assert {(x["group_id"], x["target_id"]) for x in tiles.nearest_groups(spark.createDataFrame(same, schema), 2).collect()} == {(k, 0 if k else 1) for k in range(500)}
