@@ -36,24 +36,46 @@ def dialect(db_type: str) -> str:
 
 def jdbc_options(db_type: str, conn: dict) -> dict[str, str]:
     """Options of spark.read.format('jdbc') from a connection with any of the usual key names."""
-    kind = dialect(db_type)
-
     def first(*keys, default=None):
         return next((conn[k] for k in keys if conn.get(k) not in (None, "")), default)
 
-    host, port = first("host", "server", default="localhost"), int(first("port", default=PORTS[kind]))
-    name = first("database", "db", "file", default="")
-    url = {"mysql": f"jdbc:mysql://{host}:{port}/{name}", "pg": f"jdbc:postgresql://{host}:{port}/{name}", "mssql": f"jdbc:sqlserver://{host}:{port};databaseName={name}", "sqlite": f"jdbc:sqlite:{name}"}[kind]
-    out = {"url": url}
-    for key, value in (("user", first("user", "username")), ("password", first("password", "pass"))):
+    if conn.get("url"):
+        out = {"url": conn["url"]}
+    else:
+        kind = dialect(db_type)
+        host, port = first("host", "server", default="localhost"), int(first("port", default=PORTS[kind]))
+        name = first("database", "db", "file", default="")
+        out = {"url": {"mysql": f"jdbc:mysql://{host}:{port}/{name}", "pg": f"jdbc:postgresql://{host}:{port}/{name}", "mssql": f"jdbc:sqlserver://{host}:{port};databaseName={name}", "sqlite": f"jdbc:sqlite:{name}"}[kind]}
+    for key, value in (("user", first("user", "username")), ("password", first("password", "pass")), ("driver", first("driver"))):
         if value is not None:
             out[key] = str(value)
     return out
 
 
-def read_jdbc(spark: SparkSession, db_type: str, conn: dict, table: str, *, partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 1) -> DataFrame:
-    """A JDBC table; give a numeric column and its bounds to read it in parallel."""
-    reader = spark.read.format("jdbc").options(**jdbc_options(db_type, conn)).option("dbtable", table)
-    if partition_column and bounds:
-        reader = reader.options(partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
-    return reader.load()
+def jdbc_partitions(spark: SparkSession, options: dict[str, str], table: str, column: str, rows_each: int, most: int) -> dict[str, str]:
+    """Options that read a table in parts of about rows_each rows, by ranges of a numeric or time column.
+
+    One statistics query gives the bounds and the count, which the database answers; a small table is read as one part.
+    """
+    quote = "`" if options["url"].startswith("jdbc:mysql") else '"'
+    name = f"{quote}{column}{quote}"
+    asked = f"SELECT min({name}) AS {quote}low{quote}, max({name}) AS {quote}high{quote}, count(*) AS {quote}n{quote} FROM {table}"
+    seen = spark.read.format("jdbc").options(**options).option("query", asked).load().first()
+    parts = min(most, -(-seen["n"] // rows_each))
+    if parts < 2 or seen["low"] is None or seen["low"] == seen["high"]:
+        return {}
+    return {"partitionColumn": column, "lowerBound": str(seen["low"]), "upperBound": str(seen["high"]), "numPartitions": str(parts)}
+
+
+def read_jdbc(spark: SparkSession, db_type: str, conn: dict, table: str, *, partition_column: str | None = None, rows_each: int = 1_000_000, most_partitions: int = 1000) -> DataFrame:
+    """A JDBC table. With a partition column it is read in parallel, by bounds that the database is asked for; filters,
+    limits and column lists that follow are pushed down to the database by the planner."""
+    options = jdbc_options(db_type, conn)
+    more = jdbc_partitions(spark, options, table, partition_column, rows_each, most_partitions) if partition_column else {}
+    return spark.read.format("jdbc").options(**options, **more).option("dbtable", table).load()
+
+
+def write_jdbc(rows: DataFrame, db_type: str, conn: dict, table: str, types: str | None = None, batch: int = 10_000) -> None:
+    """Replace a JDBC table by the rows, each task over a connection of its own; types as in CREATE TABLE."""
+    writer = rows.write.format("jdbc").mode("overwrite").options(**jdbc_options(db_type, conn)).option("dbtable", table).option("batchsize", batch)
+    (writer.option("createTableColumnTypes", types) if types else writer).save()

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..storage import cut
+from .ordinals import running_sum
 
 SIDES = [f"{m}_{a}" for a in "xy" for m in ("min", "max")]
 
@@ -128,7 +129,7 @@ def size_class(size: Column) -> Column:
 def nearest_groups(groups: DataFrame, most_size: int, most_in_cell: int = 64) -> DataFrame:
     """group_id, target_id, d2: the nearest other group (squared distance of centres) that leaves a joint size within most_size.
 
-    Groups look into the grid cells around their own, and the grid gets twice as coarse until the best distance found is
+    Groups look into the grid cells around their own, and the grid gets four times as coarse until the best distance found is
     shorter than a cell, so that nothing outside can be nearer. The first grid is as fine as it takes for no cell to be
     crowded. Cells are listed by size class, and a group looks up the classes that it has room for. Groups of equal centre and
     size are one place with its two smallest ids: no more are needed to give each of them another. Ties go to the smaller id.
@@ -169,7 +170,7 @@ def nearest_groups(groups: DataFrame, most_size: int, most_in_cell: int = 64) ->
         waiting = cut(waiting.join(ready, "place", "left_anti"))
         if whole or waiting.isEmpty():
             break
-        width *= 2
+        width *= 4
     if found is None:
         return groups.sparkSession.createDataFrame([], "group_id bigint, target_id bigint, d2 double")
     answers = places.select(*axes, "size", "place").join(found, "place").drop("place")
@@ -241,21 +242,33 @@ def merge_small(groups: list[tuple[str, int, float, float, float]], least: int,
     return names
 
 
-def split_overfull(members: DataFrame, most_bytes: int) -> DataFrame:
-    """members (group_name, tile_id, bytes, x, y) with part: parts of a group hold at most most_bytes, or a single member.
+def split_overfull(members: DataFrame, most_bytes: int, most_span: float | None = None, most_rounds: int = 64) -> DataFrame:
+    """members (group_name, tile_id, bytes, x, y) with part: parts of a group keep within both limits, or are single members.
 
-    A group within the limit is one part. Otherwise members of more than half the limit stand alone, and the others are cut
-    along the group's longer axis into runs of half the limit, which each of them exceeds by half the limit at most.
+    A part over a limit gives up the members that reach the byte limit by themselves, and the others are halved where half
+    of their weight (bytes, and one for each) lies before, along the longer axis. All parts of a round are halved at once, by
+    running sums over ranges. The span counts the members' sides where they have them, else their centres.
     """
-    span = lambda c: F.max(c) - F.min(c)
-    stats = members.groupBy("group_name").agg(F.sum("bytes").alias("_total"), (span("x") >= span("y")).alias("_wide"))
-    known = members.join(stats, "group_name")
-    alone = F.col("bytes") * 2 > most_bytes
-    along = Window.partitionBy("group_name").orderBy(F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")), "tile_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(alone, 0).otherwise(F.col("bytes"))).over(along), F.lit(0))
-    run = F.floor(before * 2 / most_bytes).cast("string")
-    part = F.when(F.col("_total") <= most_bytes, "whole").when(alone, F.concat(F.lit("one "), F.col("tile_id").cast("string"))).otherwise(F.concat(F.lit("run "), run))
-    return known.withColumn("part", part).drop("_total", "_wide")
+    low, high = (([f"{m}_{a}" for a in "xy"] if set(SIDES) <= set(members.columns) else ["x", "y"]) for m in ("min", "max"))
+    keys, span = ["group_name", "part"], [F.max(b) - F.min(a) for a, b in zip(low, high, strict=True)]
+    weight = F.col("bytes") + 1
+    now = cut(members.withColumn("part", F.lit("")))
+    done = None
+    for _ in range(most_rounds):
+        over = F.sum("bytes") > most_bytes if most_span is None else (F.sum("bytes") > most_bytes) | (F.greatest(*span) > most_span)
+        stats = now.groupBy(*keys).agg((over & (F.count("*") > 1)).alias("_over"), (span[0] >= span[1]).alias("_wide"), F.sum(F.when(F.col("bytes") < most_bytes, weight)).alias("_weight"), F.count_if(F.col("bytes") < most_bytes).alias("_n"))
+        stats = stats.withColumnsRenamed({k: f"_{k}" for k in keys})
+        known = now.join(stats, F.col("group_name").eqNullSafe(F.col("_group_name")) & (F.col("part") == F.col("_part"))).drop("_group_name", "_part")
+        alone = F.col("_over") & ((F.col("bytes") >= most_bytes) | (F.col("_n") == 1))
+        ready = known.where(~F.col("_over") | alone).withColumn("part", F.when(alone, F.concat("part", F.lit("one "), F.col("tile_id").cast("string"))).otherwise(F.col("part")))
+        done = cut(ready.select(now.columns)) if done is None else done.unionByName(cut(ready.select(now.columns)))
+        rest = known.where(F.col("_over") & ~alone).withColumn("_along", F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")))
+        halved = running_sum(rest, "_before", weight, keys, "_along", "tile_id")
+        left = (F.col("_before") == 0) | (2 * F.col("_before") + weight <= F.col("_weight")) & (F.col("_before") + weight < F.col("_weight"))
+        now = cut(halved.withColumn("part", F.concat("part", F.when(left, "l").otherwise("r"))).select(now.columns))
+        if now.isEmpty():
+            return done
+    raise ValueError("parts do not get smaller")
 
 
 def quadtree_groups(tiles: DataFrame, target: int = 12, least: int = 8, most: int = 16, most_groups: int = 200_000) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rewrite import reduced, with_points
+
 #: Fixed value: the statements that a read-only service refuses, as whole words.
 FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "truncate", "create", "grant", "revoke", "exec", "execute")
 
@@ -54,25 +54,16 @@ def guarded(spark: SparkSession, statement: str, allowed: list[str]) -> DataFram
     return spark.sql(statement)
 
 
-@dataclass
-class SemiJoin:
-    """`main` rows that have partners: joins of (frame, condition) are reduced to one left semi-join.
-
-    Rows of main come out once however many partners they have. Filters on a partner go into its frame.
-    """
-
-    main: DataFrame
-    partners: list[tuple[DataFrame, Column]] = field(default_factory=list)
-    how: str = "inner"
-
-    def frame(self) -> DataFrame:
-        if self.how == "left" or not self.partners:
-            return self.main  # a left join drops no row of main
-        if len(self.partners) == 1:
-            other, on = self.partners[0]
-            return self.main.join(other, on, "left_semi")
-        joined = reduce(lambda a, b: a.crossJoin(b[0]) if b[1] is None else a.join(b[0], b[1]), self.partners[1:], self.partners[0][0])
-        return self.main.join(joined, self.partners[0][1], "left_semi")
+def answer(spark: SparkSession, statement: str, allowed: list[str], srids: dict[str, int] | None = None, compat: bool = False) -> DataFrame:
+    """A guarded statement's rows: joins that only filter the main table become semi-joins, and rows of a table with a
+    reference system (srids, by table name) get their points in degrees."""
+    found = guarded(spark, statement, allowed)
+    rewritten = reduced(spark, statement, compat)
+    named = spark.range(1).select(F.lit(statement).alias("s")).select(first_table(F.col("s"))).first()[0]
+    srid = {k.lower(): v for k, v in (srids or {}).items()}.get(named)
+    if srid is not None:
+        return with_points(spark, rewritten, srid)
+    return found if rewritten == statement else spark.sql(rewritten)
 
 
 def point_columns(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
@@ -86,9 +77,3 @@ def parse_point(geojson: Column) -> tuple[Column, Column]:
     """lon and lat of GeoJSON points; null for null and for other geometries."""
     point = F.get_json_object(geojson, "$.type") == "Point"
     return tuple(F.when(point, F.get_json_object(geojson, f"$.coordinates[{k}]").cast("double")) for k in (0, 1))
-
-
-def mercator_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
-    """Web Mercator metres to degrees."""
-    radius = 6378137.0
-    return F.degrees(x / radius), F.degrees(2 * F.atan(F.exp(y / radius)) - F.lit(1.5707963267948966))

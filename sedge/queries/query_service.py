@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+
 from pyspark.sql import functions as F
 
-from ..catalog import list_columns, list_tables, register_tables
-from ..plans.guard import SemiJoin, check_statements, parse_point, point_columns
+from ..catalog import list_columns, list_tables, read_jdbc, register_tables, write_jdbc
+from ..plans.guard import FORBIDDEN, answer, check_statements, parse_point, point_columns
+from ..plans.rewrite import FLATTENING, SEMI_MAJOR
 from ..plans.spec import QuerySpec, SpecCompiler, first_hit, run_query
 from ..session import table
 
@@ -62,9 +66,53 @@ def join_types(spark, sf_dir):
     return out
 
 
-def join_to_semi(spark, sf_dir):
-    c, o, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation")
-    return SemiJoin(c.join(F.broadcast(n.where("n_regionkey = 1")), c.c_nationkey == n.n_nationkey, "left_semi"), [(o.where("o_totalprice > 100000"), c.c_custkey == o.o_custkey)]).frame()
+def _answered(statement: str):
+    """A statement's rows through the guarded front."""
+
+    def run(spark, sf_dir):
+        register_tables(spark, sf_dir, STAR)
+        return answer(spark, statement, list(STAR))
+
+    return run
+
+
+#: One partner for each condition of a star, a chain behind one of them, and partners that are tied in a ring.
+SEMI = {
+    "join_to_semi": "SELECT c.* FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN orders o ON c.c_custkey = o.o_custkey WHERE n.n_regionkey = 1 AND o.o_totalprice > 100000",
+    "join_star_semi": "SELECT * FROM lineitem l INNER JOIN part p ON l.l_partkey = p.p_partkey AND p_size > 20 JOIN supplier AS s ON s.s_suppkey = l.l_suppkey JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN events e ON e.user_id = c.c_custkey WHERE s.s_acctbal > 0 AND c.c_mktsegment = 'BUILDING' AND l_quantity < 30",
+    "join_ring_semi": "SELECT o.* FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_nationkey = c.c_nationkey AND s.s_suppkey % 7 = o.o_orderkey % 7 WHERE o.o_orderkey % 3 = 0",
+}
+
+
+def site_view(spark, sf_dir):
+    """Points of a zone about 120 degrees east, as eastings and northings, by the forward series."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    forth = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    root = 2 * math.sqrt(n) / (1 + n)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.lit(118.5) + (F.col("c_custkey") % 3000) / 1000).alias("lon"), (F.col("c_nationkey") * 2.5 - 20).alias("lat"))
+    lat, lon = F.radians("lat"), F.radians(F.col("lon") - 120)
+    t = F.sinh(F.atanh(F.sin(lat)) - F.lit(root) * F.atanh(F.lit(root) * F.sin(lat)))
+    c = c.withColumns({"xi": F.atan2(t, F.cos(lon)), "eta": F.atanh(F.sin(lon) / F.sqrt(1 + t * t))})
+    up = F.col("xi") + sum(F.lit(a) * F.sin(2 * k * F.col("xi")) * F.cosh(2 * k * F.col("eta")) for k, a in enumerate(forth, 1))
+    across = F.col("eta") + sum(F.lit(a) * F.cos(2 * k * F.col("xi")) * F.sinh(2 * k * F.col("eta")) for k, a in enumerate(forth, 1))
+    return c.select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 11 != 0, F.struct((F.lit(500000.0) + F.lit(radius) * across).alias("x"), (F.lit(radius) * up).alias("y"))).alias("geom"))
+
+
+def geo_reproject(spark, sf_dir):
+    """Points in degrees beside the columns of a statement, from a table in metres."""
+    site_view(spark, sf_dir).createOrReplaceTempView("sites")
+    found = answer(spark, "SELECT s.* FROM sites s WHERE c_mktsegment <> 'BUILDING'", ["sites"], {"sites": 4549})
+    return found.select("c_custkey", "c_mktsegment", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), (F.get_json_object("geojson", "$.type")).alias("kind"))
+
+
+def jdbc_scan(spark, sf_dir):
+    """Orders written to a database and read back in parallel, filtered there. The database is the one that Spark ships,
+    inside the driver's process, unless spark.sedge.jdbc.url names another (which a cluster needs)."""
+    conn = {"url": spark.conf.get("spark.sedge.jdbc.url", None) or f"jdbc:derby:{tempfile.mkdtemp(prefix='sedge-')}/db;create=true"}
+    write_jdbc(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), "", conn, "orders", "o_orderstatus VARCHAR(1)")
+    rows = read_jdbc(spark, "", conn, "orders", partition_column="o_orderkey", rows_each=5000)
+    return rows.where("o_totalprice > 100000 AND o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 def set_ops(spark, sf_dir):
@@ -128,7 +176,9 @@ QUERIES = {
     "args_andor": _all(QuerySpec("orders", select="o_orderkey", args=[["o_orderstatus", "=", "F", "or"], ["o_totalprice", ">", 200000, "and"], ["o_orderstatus", "=", "O", "or"], ["o_totalprice", "<", 20000, "weird"]])),
     "query_join_left": _all(JOINED),
     "join_types": join_types,
-    "join_to_semi": join_to_semi,
+    **{name: _answered(statement) for name, statement in SEMI.items()},
+    "geo_reproject": geo_reproject,
+    "jdbc_scan": jdbc_scan,
     "query_group": _all(QuerySpec("lineitem", select="l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount", group_by="l_returnflag, l_linestatus")),
     "query_having": _all(HAVING),
     "query_total": _total(HAVING),
@@ -158,6 +208,12 @@ ORACLE = {
     "query_join_left": "SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 150000 WHERE c.c_nationkey < 10",
     "join_types": " UNION ALL ".join(f"SELECT '{n}' AS how, count(*) AS n, count(c.c_custkey) AS customers {_JOIN.format(sql)}" for n, sql in (("inner", ""), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("left_semi", "SEMI"), ("left_anti", "ANTI"))),
     "join_to_semi": "SELECT c.* FROM customer c WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)",
+    "join_star_semi": """SELECT l.* FROM lineitem l WHERE l_quantity < 30 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))""",
+    "join_ring_semi": "SELECT o.* FROM orders o WHERE o.o_orderkey % 3 = 0 AND EXISTS (SELECT 1 FROM customer c, supplier s WHERE c.c_custkey = o.o_custkey AND s.s_nationkey = c.c_nationkey AND s.s_suppkey % 7 = o.o_orderkey % 7)",
+    "geo_reproject": """SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 11 <> 0 THEN round(118.5::DOUBLE + (c_custkey % 3000) / 1000, 6) END AS lon, CASE WHEN c_custkey % 11 <> 0 THEN c_nationkey * 2.5::DOUBLE - 20 END AS lat,
+CASE WHEN c_custkey % 11 <> 0 THEN 'Point' END AS kind FROM customer WHERE c_mktsegment <> 'BUILDING'""",
+    "jdbc_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'",
     "query_group": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY ALL",
     "query_having": "SELECT c.c_mktsegment, count(*) AS n, round(max(o.o_totalprice), 2) AS most FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND c_acctbal >= -500 GROUP BY c.c_mktsegment HAVING count(*) > 5",
     "query_total": "SELECT count(*) AS total FROM (SELECT c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND c_acctbal >= -500 GROUP BY c.c_mktsegment HAVING count(*) > 5)",
@@ -172,7 +228,7 @@ UNION ALL SELECT 'except', count(*), CAST(sum(nationkey) AS BIGINT) FROM (SELECT
     "first_hit": "SELECT o_orderkey, o_totalprice, CAST(2 AS INTEGER) AS hit_index FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000",
     "sql_guard": """WITH s AS (SELECT event_id, ['SELECT * FROM Orders WHERE k = ', '  select a.* from customer a where a.k = ', 'DELETE FROM orders WHERE k = ', 'SELECT ''drop it'' FROM orders WHERE k = ', 'SELECT * FROM secrets WHERE k = ', 'UPDATE orders SET k = ', 'SELECT updated FROM orders WHERE k = '][event_id % 7 + 1] || user_id AS statement FROM events)
 SELECT event_id, statement, regexp_extract(lower(statement), '\\bfrom\\s+([a-z0-9_]+)', 1) AS table_name,
-       regexp_matches(lower(statement), '^\\s*select\\b') AND NOT regexp_matches(lower(statement), '\\b(insert|update|delete|drop|alter|truncate|create|grant|revoke|exec|execute)\\b')
+       regexp_matches(lower(statement), '^\\s*select\\b') AND NOT regexp_matches(lower(statement), '\\b(""" + "|".join(FORBIDDEN) + """)\\b')
        AND regexp_extract(lower(statement), '\\bfrom\\s+([a-z0-9_]+)', 1) IN ('orders', 'customer') AS allowed FROM s""",
     "geo_point": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 360 - 180 END AS x, c_nationkey * 3 - 40 AS y FROM customer)
 SELECT c_custkey, CASE WHEN x IS NOT NULL THEN '{"type":"Point","coordinates":[' || x || ',' || y || ']}' END AS geojson,

@@ -69,6 +69,19 @@ def stream_dedup(spark, sf_dir):
     return streams.dedup_stream(spark, messages(spark, sf_dir).select("uid", "sender"), "uid").select("uid")
 
 
+def recent_view(spark, sf_dir):
+    """Messages of five mailboxes whose ids come back after a few or after many others."""
+    return table(spark, sf_dir, "events").selectExpr("event_id", "event_type AS mailbox", "event_id * 7919 % (300 + event_id % 7 * 150) AS uid")
+
+
+def stream_dedup_recent(spark, sf_dir):
+    """Messages whose id is not among the last ones of their mailbox: more than 150 remembered, and the 30 oldest go."""
+    rows = recent_view(spark, sf_dir)
+    with streams.keyed_state(spark):
+        # One batch, as the order of files within a stream is not stated.
+        return streams.drain(streams.dedup_recent(streams.as_stream(spark, rows, 1 << 30), "mailbox", "uid", "event_id", most=150, drop=30))
+
+
 def stream_tumbling(spark, sf_dir):
     """Events by hour and type from a stream, all windows kept."""
     rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
@@ -187,7 +200,7 @@ def history_top_n(spark, sf_dir):
     return text.newest(e, "project", "ts", 50, "event_id").select("event_id", "project", F.col("place").cast("bigint").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (log_parse, log_visits, log_total_ips, stream_log_visits, command_parse, contains_lookup, stream_dedup, stream_tumbling, diff_added_lines, after_marker, size_parse, sheet_names, unique_names, split_list, uri_strip, uri_resolve, changeset_keep, changeset_report, keep_anti, keep_semi, key_rows, first_wins, seq_code, seq_code_update, blank_audit, history_top_n)}
+QUERIES = {f.__name__: f for f in (log_parse, log_visits, log_total_ips, stream_log_visits, command_parse, contains_lookup, stream_dedup, stream_dedup_recent, stream_tumbling, diff_added_lines, after_marker, size_parse, sheet_names, unique_names, split_list, uri_strip, uri_resolve, changeset_keep, changeset_report, keep_anti, keep_semi, key_rows, first_wins, seq_code, seq_code_update, blank_audit, history_top_n)}
 
 _VISITS = "SELECT ip, count(*) AS visits, min(visit_time) AS first_time, max(visit_time) AS last_time FROM v GROUP BY ip"
 _FILES = """f AS (SELECT l_orderkey AS commit_id, ['M', 'A', 'D', 'R100', 'R'][l_linenumber % 5 + 1] AS status, CASE WHEN l_linenumber % 5 = 3 THEN 'gone.js' || chr(9) ELSE '' END || CASE WHEN l_suppkey % 3 = 0 THEN 'public/static/' ELSE 'src/' END || (l_partkey % 60) || '.js' AS path FROM lineitem)"""
@@ -208,6 +221,10 @@ SELECT event_id, CASE WHEN formed THEN d IS NOT NULL END AS ok, CASE WHEN formed
 n AS (SELECT n_nationkey * 3 + length(t) AS pos, n_name || '_' || t || '_' || (n_nationkey % 9) AS project FROM nation, (VALUES ('click'), ('view'), ('purchase')) v(t))
 SELECT event_id, word, min_by(project, pos) AS found FROM t LEFT JOIN n ON contains(project, word) GROUP BY event_id, word""",
     "stream_dedup": "SELECT DISTINCT event_id % 700 AS uid FROM events",
+    "stream_dedup_recent": """WITH RECURSIVE r AS (SELECT event_id, event_type AS mailbox, event_id * 7919 % (300 + event_id % 7 * 150) AS uid, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+s AS (SELECT mailbox, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS uid, false AS fresh FROM (SELECT DISTINCT mailbox FROM r)
+UNION ALL SELECT r.mailbox, r.k, CASE WHEN list_contains(held, r.uid) THEN held WHEN len(held) = 150 THEN list_append(held, r.uid)[31:] ELSE list_append(held, r.uid) END, r.event_id, r.uid, NOT list_contains(held, r.uid) FROM s JOIN r ON r.mailbox = s.mailbox AND r.k = s.k + 1)
+SELECT event_id, mailbox, uid FROM s WHERE fresh""",
     "stream_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "diff_added_lines": "SELECT doc_id, coalesce(array_to_string([x[2] FOR x IN list_zip(range(len(l)), l) IF x[1] % 5 = 0], chr(10)), '') AS added FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "after_marker": "SELECT doc_id, CASE WHEN contains(text, 'the ') THEN list_last(string_split(text, 'the ')) END AS tail FROM documents",

@@ -37,7 +37,7 @@ def quadtree_level1(spark, sf_dir):
 def byte_split(spark, sf_dir):
     """Customers by nation as groups of tiles; a tile's bytes come from its key."""
     members = points(spark, sf_dir).selectExpr("c_nationkey AS group_name", "tile_id", "tile_id * 7919 % 1000 + 1 AS bytes", "x", "y")
-    return T.split_overfull(members, 1500).groupBy("group_name", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("tile_id").alias("first_tile"))
+    return T.split_overfull(members, 1500, 4000.0).groupBy("group_name", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("tile_id").alias("first_tile"))
 
 
 def quadtree_groups(spark, sf_dir):
@@ -112,13 +112,24 @@ _P = "p AS (SELECT c_custkey AS tile_id, c_acctbal AS x, CAST(c_custkey * 7919 %
 _TREE = "s AS (SELECT s_suppkey AS tile_id, CASE WHEN s_suppkey > 0 THEN (s_suppkey - 1) // 2 END AS parent_id, s_nationkey, s_acctbal / 10 AS x, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS y FROM supplier)"
 _ABOVE = f"WITH RECURSIVE {_TREE}, up AS (SELECT tile_id AS start, tile_id FROM s UNION ALL SELECT start, parent_id FROM up JOIN s USING (tile_id) WHERE parent_id IS NOT NULL)"
 _STATS = f"{_TREE}, st AS (SELECT tile_id, parent_id, 't/' || tile_id || '.b3dm' AS uri, tile_id * 7919 % 1000000 AS bytes, tile_id * 31 % 900 AS triangles, CAST(tile_id % 3 AS DOUBLE) AS geometric_error, CASE WHEN tile_id % 2 = 0 THEN 'ADD' END AS refine, tile_id % 17 AS hx, tile_id % 5 AS hy FROM s), cand AS (SELECT *, CAST(greatest(1, floor(triangles * 0.25)) AS BIGINT) AS lod_triangles FROM st WHERE bytes >= 262144 AND triangles >= 200)"
+
+
+def _split_sql(most: int, span: int, rounds: int) -> str:
+    """Halving round by round, each a table expression over the one before."""
+    steps = [f"WITH {_P}, h0 AS (SELECT c_nationkey AS g, tile_id, tile_id * 7919 % 1000 + 1 AS bytes, x, y, '' AS part, false AS done FROM p)"]
+    for k in range(rounds):
+        steps.append(f"""s{k} AS (SELECT *, NOT done AND count(*) OVER w > 1 AND (sum(bytes) OVER w > {most} OR greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w) > {span}) AS over,
+    CASE WHEN max(x) OVER w - min(x) OVER w >= max(y) OVER w - min(y) OVER w THEN x ELSE y END AS along, sum(CASE WHEN bytes < {most} THEN bytes + 1 END) OVER w AS weight, count(*) FILTER (WHERE bytes < {most}) OVER w AS n FROM h{k} WINDOW w AS (PARTITION BY g, part)),
+a{k} AS (SELECT *, over AND (bytes >= {most} OR n = 1) AS alone FROM s{k}),
+b{k} AS (SELECT *, coalesce(sum(CASE WHEN alone THEN 0 ELSE bytes + 1 END) OVER (PARTITION BY g, part ORDER BY along, tile_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a{k}),
+h{k + 1} AS (SELECT g, tile_id, bytes, x, y, CASE WHEN NOT over THEN part WHEN alone THEN part || 'one ' || tile_id WHEN before = 0 OR 2 * before + bytes + 1 <= weight AND before + bytes + 1 < weight THEN part || 'l' ELSE part || 'r' END AS part, NOT over OR alone AS done FROM b{k})""")
+    return ",\n".join(steps) + f"\nSELECT g AS group_name, part, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(tile_id) AS first_tile FROM h{rounds} GROUP BY ALL"
+
+
 ORACLE = {
     "grid_bucket": f"""WITH {_P}, r AS (SELECT *, greatest(x1 - x0, 0.001) AS w, greatest(y1 - y0, 0.001) AS h FROM b), g0 AS (SELECT *, CAST(least(12, greatest(1, floor(sqrt(12) * sqrt(w / h) + 0.5))) AS INTEGER) AS gx FROM r), g AS (SELECT *, CAST(ceil(12 / gx) AS INTEGER) AS gy FROM g0)
 SELECT CAST(least(greatest(floor((y - y0) / (y1 - y0) * gy), 0), gy - 1) * gx + least(greatest(floor((x - x0) / (x1 - x0) * gx), 0), gx - 1) AS BIGINT) AS cell, count(*) AS n, round(min(x - 2), 6) AS min_x, round(max(y + 2), 6) AS max_y FROM p, g GROUP BY 1""",
-    "byte_split": f"""WITH {_P}, m AS (SELECT c_nationkey AS g, tile_id, tile_id * 7919 % 1000 + 1 AS bytes, x, y FROM p),
-s AS (SELECT g, sum(bytes) AS total, max(x) - min(x) >= max(y) - min(y) AS wide FROM m GROUP BY g),
-k AS (SELECT m.*, total, coalesce(sum(CASE WHEN bytes * 2 > 1500 THEN 0 ELSE bytes END) OVER (PARTITION BY m.g ORDER BY CASE WHEN wide THEN x ELSE y END, tile_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m JOIN s ON m.g = s.g)
-SELECT g AS group_name, CASE WHEN total <= 1500 THEN 'whole' WHEN bytes * 2 > 1500 THEN 'one ' || tile_id ELSE 'run ' || CAST(floor(before * 2 / 1500) AS BIGINT) END AS part, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(tile_id) AS first_tile FROM k GROUP BY ALL""",
+    "byte_split": _split_sql(1500, 4000, 16),
     "quadtree_level1": f"WITH {_P} SELECT CAST(x >= (x0 + x1) / 2 AS INTEGER) + 2 * CAST(y >= (y0 + y1) / 2 AS INTEGER) AS quarter, count(*) AS n, min(tile_id) AS first_tile FROM p, b GROUP BY 1",
     "bounds_union": f"WITH {_P}, u AS (SELECT c_nationkey, min(x - 2) AS a, max(x + 2) AS b, min(y - 2) AS c, max(y + 2) AS d FROM p GROUP BY 1) SELECT c_nationkey, round((a + b) / 2, 6) AS box_0, round((c + d) / 2, 6) AS box_1, round(greatest((b - a) / 2, 0.001), 6) AS box_3, round(greatest((d - c) / 2, 0.001), 6) AS box_7, 0.001::DOUBLE AS box_11, round(a, 6) AS low_x, round(d, 6) AS high_y FROM u",
     "bounds_rollup": f"{_ABOVE} SELECT up.tile_id, round(min(x - 5), 6) AS min_x, round(max(x + 5), 6) AS max_x, round(min(y - 4), 6) AS min_y, round(max(y + 4), 6) AS max_y FROM up JOIN s ON s.tile_id = start WHERE start NOT IN (SELECT parent_id FROM s WHERE parent_id IS NOT NULL) GROUP BY up.tile_id",

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import logs
 from ..storage import shared_dir
 
 
-def as_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Rows written as files and read back as a stream of micro-batches."""
+def as_stream(spark: SparkSession, rows: DataFrame, files_each: int = 8) -> DataFrame:
+    """Rows written as files and read back as a stream of micro-batches of so many files."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -52,6 +56,72 @@ def dedup_stream(spark: SparkSession, rows: DataFrame, key: str, seen: DataFrame
     return drain(stream.dropDuplicates([key]))
 
 
+#: How many keys are remembered, and how many of the oldest go when there are more.
+REMEMBERED, FORGOTTEN = 1000, 200
+
+
+class RecentKeys(StatefulProcessor):
+    """Per group, rows with a key that is not among those remembered. When more than `most` are, the `drop` oldest are
+    forgotten, and may come again.
+
+    The state is the list of keys in the order of their coming, so that it never holds more than `most`.
+    """
+
+    def __init__(self, key: str, key_type: str, order: str, most: int, drop: int):
+        self.key, self.key_type, self.order, self.most, self.drop = key, key_type, order, most, drop
+
+    def init(self, handle) -> None:
+        self.held = handle.getListState("held", f"k {self.key_type}")
+
+    def _admit(self, known: dict, keys: list) -> list[bool]:
+        new = []
+        for k in keys:
+            new.append(k not in known)
+            if new[-1]:
+                known[k] = None
+                if len(known) > self.most:
+                    for old in list(known)[: self.drop]:
+                        del known[old]
+        return new
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        known = dict.fromkeys(x[0] for x in self.held.get())
+        new = self._admit(known, batch[self.key].tolist())
+        self.held.put([(k,) for k in known])
+        yield batch[new]
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        known: dict = {}
+        self._admit(known, initialState.sort_values(self.order, kind="stable")[self.key].tolist())
+        self.held.put([(k,) for k in known])
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_recent(stream: DataFrame, group: str, key: str, order: str, *, seen: DataFrame | None = None, most: int = REMEMBERED, drop: int = FORGOTTEN) -> DataFrame:
+    """Rows of each group whose key is not among the last ones remembered; rows of a micro-batch go by order.
+
+    `seen` (group, key, order) is what was there before the stream began. Keys and order must not be null.
+    """
+    processor = RecentKeys(key, stream.schema[key].dataType.simpleString(), order, most, drop)
+    before = None if seen is None else seen.select(group, key, order).groupBy(group)
+    return stream.groupBy(group).transformWithStateInPandas(processor, stream.schema, "Append", "None", before)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State that is kept by column family, as stateful processors need it, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def dedup_within(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """De-duplication whose state is bounded in time: a key is forgotten after `delay`."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])

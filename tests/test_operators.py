@@ -65,15 +65,22 @@ def test_merging_small_groups_stops_when_full():
     assert into["a"] == "b" and into["d"] == "d"
 
 
-def test_splitting_by_bytes_keeps_members(spark):
+def test_splitting_keeps_members_within_both_limits(spark):
     rows = [("a", k, 10 * (k + 1), float(k), 0.0) for k in range(8)] + [("b", 20, 500, 0.0, 0.0), ("b", 21, 5, 1.0, 0.0), ("c", 30, 60, 0.0, 1.0), ("c", 31, 60, 0.0, 1.0)]
+    rows += [("d", 100 + k, 0, float(k * k), 0.0) for k in range(9)] + [("e", 200 + k, 1, 5.0, 5.0) for k in range(300)] + [(None, 600, 70, 0.0, 0.0), (None, 601, 70, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "group_name string, tile_id bigint, bytes bigint, x double, y double")
-    found = tiles.split_overfull(df, 120).collect()
-    parts: dict = {}
-    for r in found:
-        parts.setdefault((r["group_name"], r["part"]), []).append(r["bytes"])
-    assert len(found) == len(rows) and all(sum(p) <= 120 or len(p) == 1 for p in parts.values())
-    assert parts["b", "one 20"] == [500] and parts["b", "run 0"] == [5] and parts["c", "whole"] == [60, 60]
+    for span in (None, 10.0):
+        found = tiles.split_overfull(df, 120, span).collect()
+        parts: dict = {}
+        for r in found:
+            parts.setdefault((r["group_name"], r["part"]), []).append(r)
+        assert sorted(r["tile_id"] for r in found) == sorted(r[1] for r in rows)
+        for p in parts.values():
+            assert len(p) == 1 or sum(r["bytes"] for r in p) <= 120 and (span is None or max(r["x"] for r in p) - min(r["x"] for r in p) <= span)
+        # Halves of equal weight: no more parts than twice what the bytes ask for.
+        assert len([k for k in parts if k[0] == "a"]) <= 6 and len([k for k in parts if k[0] == "e"]) == 4
+        assert [r["bytes"] for r in parts["b", "one 20"]] == [500]
+        assert len([k for k in parts if k[0] == "d"]) == (1 if span is None else 6)
 
 
 def test_lines_of_a_log_and_others(spark):
@@ -117,17 +124,51 @@ def test_stream_dedup_leaves_out_seen(spark):
     assert within.count() == 5
 
 
+def test_recent_keys_are_bounded_and_carried_over_batches(spark):
+    rows = [(k, "m" if k % 5 else "n", (k * 7) % (40 if k < 200 else 23)) for k in range(400)]
+    seen = [("m", 7, -2), ("m", 1000, -3), ("n", 0, -1)]
+    held, want = {"m": [1000, 7], "n": [0]}, []
+    for k, box, uid in rows:
+        mine = held[box]
+        if uid not in mine:
+            want.append(k)
+            mine.append(uid)
+            if len(mine) > 20:
+                del mine[:6]
+    schema = "k long, box string, uid long"
+    path = None
+    with streams.keyed_state(spark):
+        # Files come one by one, in the order of their rows.
+        import tempfile
+
+        path = tempfile.mkdtemp(prefix="recent-")
+        for part in range(4):
+            spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        before = spark.createDataFrame(seen, "box string, uid long, k long")
+        found = streams.drain(streams.dedup_recent(stream, "box", "uid", "k", seen=before, most=20, drop=6))
+    assert sorted(r["k"] for r in found.collect()) == want
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_lod_error_and_boxes(spark):
     row = spark.range(1).select(tiles.geometric_error([F.lit(3.0), F.lit(4.0), F.lit(12.0)]).alias("e"), tiles.box_of([F.lit(0.0)] * 3, [F.lit(2.0), F.lit(0.0), F.lit(4.0)]).alias("b")).first()
     assert row["e"] == 6.5 and row["b"][:3] == [1, 0, 2] and row["b"][3] == 1 and row["b"][7] == 0.001
 
 
-def test_mercator_corners(spark):
-    from sedge.plans.guard import mercator_to_lonlat
+def test_points_of_reference_systems(spark):
+    from sedge.plans.rewrite import lonlat_sql
+
+    def at(srid, x, y):
+        return spark.sql("SELECT " + ", ".join(f"cast({e} as double) AS c{k}" for k, e in enumerate(lonlat_sql(srid, f"cast({x} as double)", f"cast({y} as double)")))).first()
 
-    lon, lat = mercator_to_lonlat(F.lit(20037508.342789244), F.lit(20037508.342789244))
-    row = spark.range(1).select(lon.alias("lon"), lat.alias("lat")).first()
-    assert abs(row["lon"] - 180) < 1e-9 and abs(row["lat"] - 85.0511287798) < 1e-9
+    close = lambda a, b, tolerance: all(abs(p - q) < tolerance for p, q in zip(a, b))
+    assert close(at(3857, 20037508.342789244, 20037508.342789244), (180, 85.0511287798), 1e-9)
+    assert close(at(32631, 448251.795, 5411932.678), (2.2945, 48.8582), 1e-5)  # the tower in Paris
+    assert close(at(32756, 334873.0, 6252266.0), (151.2153, -33.8568), 1e-3)  # the opera house in Sydney
+    assert close(at(4549, 500000, 0), (120, 0), 1e-12) and close(at(4528, 40500000, 0), (120, 0), 1e-12)
+    with pytest.raises(ValueError):
+        lonlat_sql(1, "x", "y")
 
 
 def test_unique_names_survive_a_name_that_is_numbered_already(spark):
@@ -202,9 +243,8 @@ def test_nearest_groups_are_those_of_all_pairs(spark):
         ways = [(sum((y - x) * (y - x) for x, y in zip(a[2:], b[2:])), b[0]) for b in rows if b[0] != a[0] and a[1] + b[1] <= 13]
         if ways:
             want[a[0]] = min(ways)[::-1]
-    for limit in (64, 4):
-        got = {x["group_id"]: (x["target_id"], x["d2"]) for x in tiles.nearest_groups(spark.createDataFrame(rows, schema), 13, limit).collect()}
-        assert got == want
+    got = {x["group_id"]: (x["target_id"], x["d2"]) for x in tiles.nearest_groups(spark.createDataFrame(rows, schema), 13, 16).collect()}
+    assert got == want
     assert tiles.nearest_groups(spark.createDataFrame([], schema), 13).count() == 0
     assert tiles.nearest_groups(spark.createDataFrame(rows[:1], schema), 13).count() == 0
     same = [(k, 1, 1.0, 1.0, 1.0) for k in range(500)]

@@ -74,3 +74,50 @@ def test_dialects():
     assert jdbc_options("mysql", {"server": "h", "db": "d", "username": "u", "pass": "p"}) == {"url": "jdbc:mysql://h:3306/d", "user": "u", "password": "p"}
     with pytest.raises(ValueError):
         dialect("oracle")
+
+
+def test_statements_are_reduced_to_semi_joins(spark, sf):
+    from sedge.plans.rewrite import reduced
+    from sedge.queries.query_service import SEMI
+
+    register_tables(spark, sf)
+    for name, joins in (("join_to_semi", 2), ("join_star_semi", 4), ("join_ring_semi", 1)):
+        plan = spark.sql(reduced(spark, SEMI[name]))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftSemi") == joins and "events" not in plan
+    many = "SELECT c.* FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"
+    assert spark.sql(reduced(spark, many)).count() < spark.sql(many).count()
+    assert reduced(spark, many + " ORDER BY c.c_custkey DESC LIMIT 3 OFFSET 1").endswith("ORDER BY c.c_custkey DESC NULLS LAST LIMIT 3 OFFSET 1")
+    left = many.replace("JOIN", "LEFT JOIN")
+    assert "JOIN" not in reduced(spark, left) and "SEMI" in reduced(spark, left, compat=True)
+    alone = "SELECT c.* FROM customer c JOIN region r ON r.r_regionkey = 9"
+    assert spark.sql(reduced(spark, alone)).isEmpty() and not spark.sql(reduced(spark, alone.replace("9", "1"))).isEmpty()
+    kept = ["SELECT c_name FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c.*, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c.* FROM customer c RIGHT JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c.* FROM customer c JOIN nation USING (k)", left + " WHERE o.o_orderkey > 5", "SELECT count(*) FROM customer", "SELECT * FROM customer"]
+    assert all(reduced(spark, x) == x for x in kept)
+    assert "`o` JOIN" not in reduced(spark, "SELECT c.* FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey AND `o`.`o_orderkey` > 3")
+
+
+def test_answers_are_guarded(spark, sf):
+    from sedge.plans.guard import answer
+
+    register_tables(spark, sf)
+    with pytest.raises(PermissionError):
+        answer(spark, "SELECT c.* FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey", ["customer"])
+    with pytest.raises(PermissionError):
+        answer(spark, "DROP TABLE customer", ["customer"])
+    assert answer(spark, "SELECT * FROM nation", ["nation"], {"NATION": 4326}).columns == ["n_nationkey", "n_name", "n_regionkey"]
+
+
+def test_jdbc_reads_in_parts_and_filters_there(spark, sf, tmp_path):
+    from sedge.catalog import read_jdbc, write_jdbc
+
+    register_tables(spark, sf)
+    conn = {"url": f"jdbc:derby:{tmp_path}/db;create=true"}
+    write_jdbc(spark.table("orders").select("o_orderkey", "o_orderstatus"), "", conn, "orders", "o_orderstatus VARCHAR(1)")
+    rows = read_jdbc(spark, "", conn, "orders", partition_column="o_orderkey", rows_each=400)
+    assert rows.rdd.getNumPartitions() == -(-spark.table("orders").count() // 400) and rows.count() == spark.table("orders").count()
+    found = rows.where("o_orderkey > 100 AND o_orderstatus = 'F'").select("o_orderkey")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "*GreaterThan(o_orderkey,100)" in plan and "*EqualTo(o_orde" in plan and "Filter" not in plan.replace("PushedFilters", "")
+    assert read_jdbc(spark, "", conn, "orders", partition_column="o_orderkey").rdd.getNumPartitions() == 1
+    write_jdbc(spark.table("orders").select("o_orderkey").limit(0), "", conn, "no_orders")
+    assert read_jdbc(spark, "", conn, "no_orders", partition_column="o_orderkey").count() == 0
