@@ -75,6 +75,18 @@ def average_color(colors: list[Column]) -> Column:
     return F.array(*[clamp_byte((colors[0][k] + colors[1][k] + colors[2][k]) / 3.0) for k in range(4)])
 
 
+#: Fixed value: the colour of what has none.
+GREY = (220, 220, 220, 255)
+
+
+def primitive_color(vertex_colors: list[Column], base_color: Column, named: Column) -> Column:
+    """[r, g, b, a] of a triangle: the mean of its corners' colours, else the base colour of its material (fractions, with
+    an optional fourth), else the colour that its image's name tells, else grey."""
+    mean = F.when(vertex_colors[0].isNotNull() & vertex_colors[1].isNotNull() & vertex_colors[2].isNotNull(), average_color(vertex_colors))
+    base = F.when(base_color.isNotNull(), F.array(*[clamp_byte(F.coalesce(F.get(base_color, F.lit(k)), F.lit(1.0)) * 255) for k in range(4)]))
+    return F.coalesce(mean, base, named, F.array(*map(F.lit, GREY)))
+
+
 # Fixed values of the 32-bit mixing function: products and shifts.
 MIX_START, MIX_A, MIX_B, MIX_1, MIX_2 = 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35, 0x7FEB352D, 0x846CA68B
 LOW = 0xFFFFFFFF

@@ -70,3 +70,8 @@ def color_from_name(name: Column) -> Column:
     numbers = lambda n: (F.size(parts) > n) & F.forall(last(n), lambda x: x.rlike("^[0-9]{1,3}$"))
     values = F.when(numbers(4), last(4)).when(numbers(3), F.concat(last(3), F.array(F.lit("255"))))
     return F.transform(values, lambda x: F.least(x.try_cast("int"), F.lit(255)))
+
+
+def stamped_name(prefix: str, at: Column, name: Column, suffix: Column) -> Column:
+    """prefix-yyyy-MM-dd-HH-mm-name and suffix, as folders of builds are called."""
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyy-MM-dd-HH-mm"), F.lit("-"), name, suffix)

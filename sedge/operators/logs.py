@@ -55,3 +55,9 @@ def visits(parsed: DataFrame) -> DataFrame:
 
 def newest_first(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("last_time"), "ip")
+
+
+def append_log(rows: DataFrame, path: str, at: str = "at", message: str = "message") -> None:
+    """Adds `[time] message` lines to a text log, a folder that tasks add files to; blank times and messages stay blank."""
+    time = F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    rows.select(F.concat(F.lit("["), time, F.lit("] "), F.coalesce(message, F.lit(""))).alias("value")).write.mode("append").text(path)

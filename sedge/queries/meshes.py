@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import materials
 from ..functions.text import color_from_name
 from ..operators import mesh as M
 from ..operators.ordinals import lower_ranks, running_cap
 from ..plans import reports
 from ..session import table
+from ..sources import tiles3d
+from ..storage import shared_dir
 
 EPSILON = 10.0
 
@@ -181,6 +188,56 @@ def material_rewrite(spark, sf_dir):
     return p.select("p_partkey", F.to_json(solid).alias("material"))
 
 
+def material_view(spark, sf_dir):
+    """Materials with textures in some slots, extensions, and fields that no rewrite knows."""
+    slot = lambda name, k: f"IF(p_partkey % {k} = 0, concat(',\"{name}\":{{\"index\":', p_size, ',\"extensions\":{{\"KHR_texture_transform\":{{\"scale\":[2,2]}}}}}}'), '')"
+    text = f"""concat('{{"name":"', p_brand, '","extras":{{"size":', p_size, '}}', IF(p_size % 3 = 0, ',"alphaMode":"BLEND","alphaCutoff":0.25', ''), IF(p_size % 2 = 0, ',"doubleSided":false', ''),
+        ',"pbrMetallicRoughness":{{"metallicFactor":1', {slot("baseColorTexture", 2)}, '}}', {slot("normalTexture", 3)}, {slot("emissiveTexture", 5)}, IF(p_size % 7 = 0, ',"extensions":{{"KHR_materials_ior":{{"ior":1.5}}}}', ''), '}}')"""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE {text} END AS material")
+
+
+def material_modes(spark, sf_dir):
+    """What each way of rewriting leaves of a material."""
+    color, out = (0.72, 0.68, 0.55, 1.0), None
+    ways = {"solid": lambda m: materials.solid(m, color), "unlit": materials.unlit, "opaque": lambda m: materials.opaque(m, color), "flat": lambda m: materials.opaque(m, color, keep_sides=True, keep_textures=True, lit=False)}
+    for name, way in ways.items():
+        told = lambda path: F.get_json_object("after", f"$.{path}")
+        found = material_view(spark, sf_dir).select("p_partkey", "material", way(F.col("material")).alias("after")).select(
+            "p_partkey", F.lit(name).alias("way"), told("name").alias("name"), told("extras.size").alias("size"), told("alphaMode").alias("alpha"), told("doubleSided").alias("sides"), told("pbrMetallicRoughness.baseColorFactor").alias("color"),
+            told("pbrMetallicRoughness.metallicFactor").alias("metallic"), told("extensions").alias("extensions"), told("normalTexture.extensions.KHR_texture_transform.scale").alias("normal_scale"), materials.textures_removed(F.col("material")).alias("filled"), materials.textures_removed(F.col("after")).alias("left_over"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def color_chain(spark, sf_dir):
+    """A colour for each part: of its corners, of its material, of its image's name, or grey."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 4 = 0 THEN array(p_size, p_partkey % 256, 7, 255) END AS c0", "CASE WHEN p_partkey % 8 <> 4 THEN array(p_size + 1, 9, p_partkey % 200, 255) END AS c1", "array(250, 3, p_size, 128) AS c2",
+        "CASE p_partkey % 5 WHEN 1 THEN array(0.5D, p_size / 50D, 1.5D) WHEN 2 THEN array(-0.1D, 0.25D, 0.75D, 0.5D) END AS base", "CASE WHEN p_partkey % 3 = 0 THEN concat('roof_', p_size, '_', p_partkey % 300, '_9') WHEN p_partkey % 3 = 1 THEN 'roof' END AS image")
+    found = G.primitive_color([F.col("c0"), F.col("c1"), F.col("c2")], F.col("base"), color_from_name(F.col("image")))
+    return p.select("p_partkey", *[found[k].alias(c) for k, c in enumerate("rgba")])
+
+
+MODEL_ROWS = 50
+
+
+def model_scan(spark, sf_dir):
+    """Triangles of model files that are made of the vectors, 50 to a file: every third file has indices, every third none,
+    and every third holds lines, which are no triangles."""
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at, number = rows.sort_values("v")[["x", "y", "z"]].to_numpy(float), int(key[0])
+        strip = np.arange(max(0, len(at) - 2))[:, None] + np.arange(3)
+        model = tiles3d.glb_of(at, strip if number % 3 == 0 else None, {1: None, 2: 1}.get(number % 3, 4))
+        return pd.DataFrame({"name": [f"{number}.b3dm" if number % 2 else f"{number}.glb"], "content": [tiles3d.b3dm_of(model) if number % 2 else model]})
+
+    path = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    tiles3d.write_models(vertices(spark, sf_dir).withColumn("file", F.expr(f"v div {MODEL_ROWS}")).groupBy("file").applyInPandas(build, "name string, content binary"), path)
+    files = tiles3d.read_files(spark, path)
+    corner, at = tiles3d.triangles(files), tiles3d.vertices(files)
+    met = corner.join(at.select("path", F.col("v").alias("i0"), F.round("x", 3).alias("x0")), ["path", "i0"])
+    return met.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("file"), "tri", "i0", "i1", "i2", "x0")
+
+
 def sum_pair(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") + F.col("l_suppkey")).alias("total"))
 
@@ -211,7 +268,7 @@ def splat_cloud(spark, sf_dir):
     return reports.capped_splats(placed(spark, sf_dir), 1000).select("tri", F.col("s").cast("bigint").alias("s"))
 
 
-QUERIES = {f.__name__: f for f in (mesh_triangles, mesh_quality, mesh_bbox, mesh_percentiles, mesh_dup_faces, mesh_edge_sharing, mesh_top_files, shell_faces, decimate, stride_sample, splat_cap, vertex_cluster, vertex_cluster_tris, vertex_dedup, index_compact, index_narrow, content_dedup, merge_groups, batch_offset, batch_union, box_downsample, hash_random, splat_points, splat_attrs, color_avg, material_rewrite, sum_pair, chunk_fold, edge_collapse, cache_reorder, mesh_report, retile_parts, splat_cloud)} | {"color_from_name": color_names}
+QUERIES = {f.__name__: f for f in (mesh_triangles, mesh_quality, mesh_bbox, mesh_percentiles, mesh_dup_faces, mesh_edge_sharing, mesh_top_files, shell_faces, decimate, stride_sample, splat_cap, vertex_cluster, vertex_cluster_tris, vertex_dedup, index_compact, index_narrow, content_dedup, merge_groups, batch_offset, batch_union, box_downsample, hash_random, splat_points, splat_attrs, color_avg, color_chain, material_rewrite, material_modes, model_scan, sum_pair, chunk_fold, edge_collapse, cache_reorder, mesh_report, retile_parts, splat_cloud)} | {"color_from_name": color_names}
 
 _V = "v AS (SELECT vec_id AS v, label AS file_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, CAST(embedding[3] AS DOUBLE) * 100 AS z FROM embeddings)"
 _T = f"{_V}, t AS (SELECT a.v AS tri, a.file_id, a.v AS i0, a.v + 1 AS i1, a.v + 2 AS i2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2 FROM v a JOIN v b ON b.v = a.v + 1 JOIN v c ON c.v = a.v + 2)"
@@ -271,6 +328,19 @@ SELECT file_id, accessor, c * 3 AS count, c * 6 AS saved_bytes FROM a WHERE p %
     "color_from_name": """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || '_' || p_size || '_' || (p_partkey % 400) || '_7' WHEN 1 THEN 'tex_' || (p_partkey % 256) || '_1_2_' || p_size ELSE p_name || '_1_2' END AS name, p_size FROM part)
 SELECT p_partkey, name, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN CAST(p_partkey % 256 AS INTEGER) END AS r, CASE p_partkey % 3 WHEN 0 THEN CAST(least(255, p_partkey % 400) AS INTEGER) WHEN 1 THEN 1 END AS g, CASE p_partkey % 3 WHEN 0 THEN 7 WHEN 1 THEN 2 END AS b, CASE p_partkey % 3 WHEN 0 THEN 255 WHEN 1 THEN p_size END AS a FROM p""",
     "material_rewrite": """SELECT p_partkey, '{"name":"' || p_brand || '","alphaMode":"OPAQUE","doubleSided":false,"baseColorFactor":[0.72,0.68,0.55,1.0]}' AS material FROM part""",
+    "material_modes": """WITH p AS (SELECT p_partkey, p_partkey % 50 = 0 AS gone, p_brand, p_size, p_size % 3 = 0 AS blend, p_size % 2 = 0 AS one, p_partkey % 2 = 0 AS base, p_partkey % 3 = 0 AS normal, p_partkey % 5 = 0 AS emissive, p_size % 7 = 0 AS ior FROM part),
+w AS (SELECT * FROM p, (VALUES ('solid'), ('unlit'), ('opaque'), ('flat')) v(way))
+SELECT p_partkey, way, CASE WHEN NOT gone AND way <> 'solid' THEN p_brand END AS name, CASE WHEN NOT gone AND way <> 'solid' THEN CAST(p_size AS VARCHAR) END AS size, CASE WHEN NOT gone AND blend AND way IN ('solid', 'unlit') THEN 'BLEND' END AS alpha,
+CASE WHEN way = 'opaque' THEN 'false' WHEN NOT gone AND one THEN 'false' WHEN way = 'solid' THEN 'true' END AS sides, CASE WHEN way <> 'unlit' THEN '[0.72,0.68,0.55,1]' END AS color, CASE WHEN way <> 'unlit' THEN '0' WHEN NOT gone THEN '1' END AS metallic,
+CASE WHEN way IN ('unlit', 'flat') THEN CASE WHEN NOT gone AND ior THEN '{"KHR_materials_ior":{"ior":1.5},"KHR_materials_unlit":{}}' ELSE '{"KHR_materials_unlit":{}}' END WHEN way = 'opaque' AND NOT gone AND ior THEN '{"KHR_materials_ior":{"ior":1.5}}' END AS extensions,
+CASE WHEN NOT gone AND normal AND way IN ('unlit', 'flat') THEN '[2,2]' END AS normal_scale, CASE WHEN gone THEN 0 ELSE CAST(base AS BIGINT) + CAST(normal AS BIGINT) + CAST(emissive AS BIGINT) END AS filled, CASE WHEN NOT gone AND way IN ('unlit', 'flat') THEN CAST(base AS BIGINT) + CAST(normal AS BIGINT) + CAST(emissive AS BIGINT) ELSE 0 END AS left_over FROM w""",
+    "color_chain": """WITH p AS (SELECT p_partkey AS k, p_size AS s, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 8 <> 4 THEN [[p_size, p_partkey % 256, 7, 255], [p_size + 1, 9, p_partkey % 200, 255], [250, 3, p_size, 128]] END AS c,
+CASE p_partkey % 5 WHEN 1 THEN [0.5::DOUBLE, p_size / 50, 1.5, 1] WHEN 2 THEN [-0.1::DOUBLE, 0.25, 0.75, 0.5] END AS base FROM part),
+q AS (SELECT k, CASE WHEN c IS NOT NULL THEN [floor((c[1][i] + c[2][i] + c[3][i]) / 3 + 0.5) FOR i IN range(1, 5)] WHEN base IS NOT NULL THEN [floor(base[i] * 255 + 0.5) FOR i IN range(1, 5)] WHEN k % 3 = 0 THEN [s, k % 300, 9, 255] ELSE [220, 220, 220, 255] END AS v FROM p)
+SELECT k AS p_partkey, CAST(least(greatest(v[1], 0), 255) AS INTEGER) AS r, CAST(least(greatest(v[2], 0), 255) AS INTEGER) AS g, CAST(least(greatest(v[3], 0), 255) AS INTEGER) AS b, CAST(least(greatest(v[4], 0), 255) AS INTEGER) AS a FROM q""",
+    "model_scan": """WITH v AS (SELECT vec_id // 50 AS file, vec_id % 50 AS i, round(CAST(CAST(CAST(embedding[1] AS DOUBLE) * 100 AS FLOAT) AS DOUBLE), 3) AS x FROM embeddings), n AS (SELECT file, count(*) AS n FROM v GROUP BY file),
+t AS (SELECT file, u.t AS tri, CASE file % 3 WHEN 0 THEN u.t ELSE 3 * u.t END AS i0 FROM n, unnest(range(0, CASE file % 3 WHEN 0 THEN n - 2 WHEN 1 THEN n // 3 ELSE 0 END)) AS u(t))
+SELECT t.file, tri, i0, i0 + 1 AS i1, i0 + 2 AS i2, x AS x0 FROM t JOIN v ON v.file = t.file AND v.i = i0""",
     "sum_pair": "SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS total FROM lineitem",
 }
 ORACLE["mesh_report"] = f"WITH q AS ({ORACLE['mesh_quality']}), b AS ({ORACLE['mesh_bbox']}), d AS ({ORACLE['mesh_dup_faces']}), e AS ({ORACLE['mesh_edge_sharing']}) SELECT q.*, b.*, d.* EXCLUDE (faces), e.* FROM q, b, d, e"

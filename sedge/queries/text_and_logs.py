@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import logs, sheets, text
 from ..session import table
+from ..sources import config
+from ..storage import shared_dir
 from ..streaming import streams
 
 # Views: access-log lines, messages, diffs, commits, files and key sheets made of the given tables.
@@ -200,7 +204,30 @@ def history_top_n(spark, sf_dir):
     return text.newest(e, "project", "ts", 50, "event_id").select("event_id", "project", F.col("place").cast("bigint").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (log_parse, log_visits, log_total_ips, stream_log_visits, command_parse, contains_lookup, stream_dedup, stream_dedup_recent, stream_tumbling, diff_added_lines, after_marker, size_parse, sheet_names, unique_names, split_list, uri_strip, uri_resolve, changeset_keep, changeset_report, keep_anti, keep_semi, key_rows, first_wins, seq_code, seq_code_update, blank_audit, history_top_n)}
+def history_snapshot(spark, sf_dir):
+    """A history file, read back, with the later builds added: the newest ten of each project stay."""
+    builds = table(spark, sf_dir, "events").selectExpr("cast(event_id as string) AS id", "concat('p', user_id % 20) AS project", "event_type AS build_type", "CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'done' END AS status", "ts AS started_at", "cast(NULL as string) AS message", "event_id % 2 AS later")
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    config.write_history(builds.where("later = 0"), path)
+    found = config.append_history(config.read_history(spark, path), builds.where("later = 1").drop("later"), 10)
+    return found.select("id", "project", "build_type", "status", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def log_append(spark, sf_dir):
+    """Two runs that add to one log, and the log as it is then."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("at"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("message"))
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        logs.append_log(o.where(F.col("o_orderkey") % 2 == part), path)
+    return spark.read.text(path)
+
+
+def stamped_names(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", T.stamped_name("PKG", F.col("o_orderdate"), F.col("o_orderpriority"), F.when(F.col("o_orderstatus") == "F", "-full").otherwise("-patch")).alias("folder"))
+
+
+QUERIES = {f.__name__: f for f in (log_parse, log_visits, log_total_ips, stream_log_visits, command_parse, contains_lookup, stream_dedup, stream_dedup_recent, stream_tumbling, diff_added_lines, after_marker, size_parse, sheet_names, unique_names, split_list, uri_strip, uri_resolve, changeset_keep, changeset_report, keep_anti, keep_semi, key_rows, first_wins, seq_code, seq_code_update, blank_audit, history_top_n, history_snapshot, log_append, stamped_names)}
 
 _VISITS = "SELECT ip, count(*) AS visits, min(visit_time) AS first_time, max(visit_time) AS last_time FROM v GROUP BY ip"
 _FILES = """f AS (SELECT l_orderkey AS commit_id, ['M', 'A', 'D', 'R100', 'R'][l_linenumber % 5 + 1] AS status, CASE WHEN l_linenumber % 5 = 3 THEN 'gone.js' || chr(9) ELSE '' END || CASE WHEN l_suppkey % 3 = 0 THEN 'public/static/' ELSE 'src/' END || (l_partkey % 60) || '.js' AS path FROM lineitem)"""
@@ -253,5 +280,8 @@ FROM orders LEFT JOIN x ON o_orderkey = commit_id WHERE o_orderdate > TIMESTAMP
     "seq_code": f"WITH {_CODED} SELECT * FROM n",
     "seq_code_update": f"WITH {_CODED} SELECT * FROM u",
     "blank_audit": f"WITH {_CODED} SELECT layer, count(*) FILTER (WHERE code IS NULL OR trim(code) = '') AS n_blank, count(*) AS n_rows FROM u GROUP BY layer HAVING count(*) FILTER (WHERE code IS NULL OR trim(code) = '') > 0",
+    "history_snapshot": "SELECT CAST(event_id AS VARCHAR) AS id, 'p' || (user_id % 20) AS project, event_type AS build_type, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'done' END AS status, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, CAST(event_id AS VARCHAR)) <= 10",
+    "log_append": "SELECT '[' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '] order ' || o_orderkey AS value FROM orders",
+    "stamped_names": "SELECT o_orderkey, 'PKG-' || strftime(o_orderdate, '%Y-%m-%d-%H-%M') || '-' || o_orderpriority || CASE WHEN o_orderstatus = 'F' THEN '-full' ELSE '-patch' END AS folder FROM orders",
     "history_top_n": "WITH e AS (SELECT event_id, event_type || (user_id % 5) AS project, ts FROM events) SELECT event_id, project, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id) AS place FROM e QUALIFY place <= 50",
 }

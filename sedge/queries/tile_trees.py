@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import tiles as T
 from ..session import table
+from ..sources.tiles3d import read_tileset
+from ..storage import shared_dir
 
 
 def tree(spark, sf_dir):
@@ -67,6 +71,19 @@ def nearest_group(spark, sf_dir):
     return T.nearest_groups(g, 12).select("group_id", "target_id", F.round("d2", 4).alias("d2"))
 
 
+def tileset_scan(spark, sf_dir):
+    """Tiles of tileset files that are made of the suppliers, one file for each nation: cells below the root, tiles below cells."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey", "s_suppkey % 4 AS cell", "struct(s_suppkey % 5 AS geometricError, struct(array(s_acctbal, 0D, 0D, 1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D) AS box) AS boundingVolume, struct(concat('tiles/', s_suppkey, '.b3dm') AS uri) AS content) AS leaf", "s_suppkey")
+    cells = s.groupBy("s_nationkey", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "leaf"))), lambda x: x["leaf"]).alias("children"))
+    cells = cells.selectExpr("s_nationkey", "struct(cell, struct(100 + cell AS geometricError, 'ADD' AS refine, struct(array(0D, 0D, 0D, 1D) AS sphere) AS boundingVolume, array(1D,0D,0D,0D, 0D,1D,0D,0D, 0D,0D,1D,0D, cast(cell as double),0D,0D,1D) AS transform, children) AS tile) AS c")
+    roots = cells.groupBy("s_nationkey").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["tile"]).alias("children"))
+    path = f"{shared_dir(spark)}/tilesets-{uuid.uuid4().hex}"
+    roots.selectExpr("to_json(struct(struct('1.0' AS version) AS asset, struct(s_nationkey AS geometricError, struct(array(0D, 0D, 0D, 1D) AS sphere) AS boundingVolume, children) AS root)) AS value").write.option("maxRecordsPerFile", 1).text(path)
+    tiles = read_tileset(spark, path, with_path=True)
+    top = tiles.where("parent_id IS NULL").select("path", F.col("geometric_error").cast("bigint").alias("nation"))
+    return tiles.join(top, "path").select("nation", "tile_id", "parent_id", F.col("ord").cast("bigint").alias("ord"), F.col("depth").cast("bigint").alias("depth"), F.col("transform")[12].alias("shift"), F.col("box")[0].alias("place"), "uri", "geometric_error", "refine")
+
+
 def tile_prune(spark, sf_dir):
     return T.pruned(tree(spark, sf_dir), F.col("tile_id") % 7 == 3).select("tile_id", "parent_id")
 
@@ -106,7 +123,7 @@ def trs_matrix(spark, sf_dir):
     return s.select("s_suppkey", *[F.round(m[j], 6).alias(f"m{j}") for j in (0, 1, 4, 5, 10, 12, 13, 14, 15)])
 
 
-QUERIES = {f.__name__: f for f in (grid_bucket, byte_split, quadtree_level1, quadtree_groups, bounds_union, bounds_rollup, group_size_stats, nearest_group, tile_prune, lod_candidates, lod_tree, tile_totals, tile_tree_transform, trs_matrix)}
+QUERIES = {f.__name__: f for f in (grid_bucket, byte_split, quadtree_level1, quadtree_groups, bounds_union, bounds_rollup, group_size_stats, nearest_group, tileset_scan, tile_prune, lod_candidates, lod_tree, tile_totals, tile_tree_transform, trs_matrix)}
 
 _P = "p AS (SELECT c_custkey AS tile_id, c_acctbal AS x, CAST(c_custkey * 7919 % 5000 AS DOUBLE) AS y, c_nationkey FROM customer), b AS (SELECT min(x) - 2 AS x0, max(x) + 2 AS x1, min(y) - 2 AS y0, max(y) + 2 AS y1 FROM p)"
 _TREE = "s AS (SELECT s_suppkey AS tile_id, CASE WHEN s_suppkey > 0 THEN (s_suppkey - 1) // 2 END AS parent_id, s_nationkey, s_acctbal / 10 AS x, CAST(s_suppkey * 37 % 1000 AS DOUBLE) AS y FROM supplier)"
@@ -136,6 +153,12 @@ SELECT CAST(least(greatest(floor((y - y0) / (y1 - y0) * gy), 0), gy - 1) * gx +
     "group_size_stats": "SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)",
     "nearest_group": """WITH g AS (SELECT s_suppkey AS id, s_suppkey % 9 + 1 AS size, s_acctbal AS x, s_nationkey * 100.0::DOUBLE AS y, CAST(s_suppkey % 50 AS DOUBLE) AS z FROM supplier), d AS (SELECT a.id AS group_id, b.id AS target_id, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) AS d2 FROM g a JOIN g b ON a.id <> b.id AND a.size + b.size <= 12)
 SELECT group_id, target_id, round(d2, 4) AS d2 FROM d QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY d2, target_id) = 1""",
+    "tileset_scan": """WITH s AS (SELECT s_nationkey AS nation, s_suppkey % 4 AS cell, s_suppkey AS k, s_acctbal AS pos FROM supplier), c AS (SELECT nation, cell FROM s GROUP BY ALL),
+t AS (SELECT nation, -1 AS cell, -1 AS k, 0 AS depth, CAST(NULL AS DOUBLE) AS pos, CAST(NULL AS VARCHAR) AS uri, CAST(nation AS DOUBLE) AS error, CAST(NULL AS VARCHAR) AS refine FROM (SELECT DISTINCT nation FROM s)
+UNION ALL SELECT nation, cell, -1, 1, NULL, NULL, 100.0 + cell, 'ADD' FROM c UNION ALL SELECT nation, cell, k, 2, pos, 'tiles/' || k || '.b3dm', k % 5, NULL FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY cell, k) - 1 AS tile_id, dense_rank() OVER (PARTITION BY nation, depth ORDER BY cell) - 1 AS cell_ord, row_number() OVER (PARTITION BY nation, depth, cell ORDER BY k) - 1 AS leaf_ord FROM t)
+SELECT n.nation, n.tile_id, CASE n.depth WHEN 1 THEN 0 WHEN 2 THEN p.tile_id END AS parent_id, CASE n.depth WHEN 0 THEN 0 WHEN 1 THEN n.cell_ord ELSE n.leaf_ord END AS ord, CAST(n.depth AS BIGINT) AS depth, CASE WHEN n.depth = 1 THEN CAST(n.cell AS DOUBLE) ELSE 0 END AS shift, n.pos AS place, n.uri, n.error AS geometric_error, n.refine
+FROM n LEFT JOIN n p ON p.nation = n.nation AND p.cell = n.cell AND p.depth = 1 AND n.depth = 2""",
     "tile_prune": f"{_ABOVE} SELECT DISTINCT s.tile_id, s.parent_id FROM up JOIN s USING (tile_id) WHERE start % 7 = 3",
     "lod_candidates": f"WITH {_STATS} SELECT tile_id, triangles, lod_triangles FROM cand WHERE lod_triangles < triangles",
     "lod_tree": f"""WITH {_STATS}, x AS (SELECT st.*, cand.tile_id IS NOT NULL AS lod FROM st LEFT JOIN cand USING (tile_id))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,17 +40,18 @@ def flatten_tree(root: dict) -> list[tuple]:
     return out
 
 
-def read_tileset(spark: SparkSession, path: str) -> DataFrame:
-    """The tile tree of a tileset file; the tree has no fixed schema, so a task flattens it."""
+def read_tileset(spark: SparkSession, path: str, with_path: bool = False) -> DataFrame:
+    """The tile trees of tileset files; a tree has no fixed schema, so a task flattens it. with_path adds the file."""
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in TILES.split(", ")]
         for batch in batches:
-            for text in batch["value"]:
+            for file, text in zip(batch["path"], batch["value"], strict=True):
                 found = pd.DataFrame(flatten_tree(json.loads(text).get("root") or {}), columns=names)
-                yield found.astype({"parent_id": "Int64", "tile_id": "int64"})
+                yield found.astype({"parent_id": "Int64", "tile_id": "int64"}).assign(path=file)
 
-    return spark.read.text(path, wholetext=True).mapInPandas(flatten, TILES)
+    read = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").mapInPandas(flatten, TILES + ", path string")
+    return read if with_path else read.drop("path")
 
 
 def tileset_json(tiles: list[dict], geometric_error: float) -> str:
@@ -154,22 +156,49 @@ def _padded(data: bytes, fill: bytes, to: int = 4) -> bytes:
     return data + fill * (-len(data) % to)
 
 
-def glb_of(positions: np.ndarray, corner: np.ndarray) -> bytes:
-    """A GLB file of one indexed triangle primitive; indices are as narrow as they can be."""
+def glb_of(positions: np.ndarray, corner: np.ndarray | None, mode: int | None = None) -> bytes:
+    """A GLB file of one primitive; indices are as narrow as they can be, or absent, and so is the mode."""
     kind = 5123 if len(positions) <= 65535 else 5125
-    index = _padded(corner.astype(COMPONENTS[kind]).tobytes(), b"\0")
+    index = b"" if corner is None else _padded(corner.astype(COMPONENTS[kind]).tobytes(), b"\0")
     points = positions.astype("<f4").tobytes()
+    views = [{"buffer": 0, "byteOffset": len(index), "byteLength": len(points), "target": 34962}]
+    values = [{"bufferView": 0, "componentType": 5126, "count": len(positions), "type": "VEC3", "min": positions.min(0).tolist(), "max": positions.max(0).tolist()}]
+    primitive: dict = {"attributes": {"POSITION": 0}} | ({} if mode is None else {"mode": mode})
+    if corner is not None:
+        views.append({"buffer": 0, "byteOffset": 0, "byteLength": corner.size * int(COMPONENTS[kind][2]), "target": 34963})
+        values.append({"bufferView": 1, "componentType": kind, "count": int(corner.size), "type": "SCALAR"})
+        primitive["indices"] = 1
     gltf = {
-        "asset": {"version": "2.0"}, "buffers": [{"byteLength": len(index) + len(points)}],
-        "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": corner.size * int(COMPONENTS[kind][2]), "target": 34963}, {"buffer": 0, "byteOffset": len(index), "byteLength": len(points), "target": 34962}],
-        "accessors": [{"bufferView": 0, "componentType": kind, "count": int(corner.size), "type": "SCALAR"}, {"bufferView": 1, "componentType": 5126, "count": len(positions), "type": "VEC3", "min": positions.min(0).tolist(), "max": positions.max(0).tolist()}],
-        "meshes": [{"primitives": [{"attributes": {"POSITION": 1}, "indices": 0}]}], "nodes": [{"mesh": 0}], "scenes": [{"nodes": [0]}], "scene": 0,
+        "asset": {"version": "2.0"}, "buffers": [{"byteLength": len(index) + len(points)}], "bufferViews": views, "accessors": values,
+        "meshes": [{"primitives": [primitive]}], "nodes": [{"mesh": 0}], "scenes": [{"nodes": [0]}], "scene": 0,
     }
     text, binary = _padded(json.dumps(gltf).encode(), b" "), _padded(index + points, b"\0")
     chunks = struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", len(binary), b"BIN\0") + binary
     return struct.pack("<4sII", b"glTF", 2, 12 + len(chunks)) + chunks
 
 
+def _save(path: str, name: str, pieces: list[bytes]) -> None:
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    system.create_dir(inside, recursive=True)
+    with system.open_output_stream(f"{inside}/{name}", compression=None) as out:
+        for piece in pieces:
+            out.write(piece)
+
+
+def write_models(files: DataFrame, path: str) -> None:
+    """Rows of name and content as files of a folder. A task that runs again writes the same names."""
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                _save(path, name, [bytes(content)])
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.select("name", "content").mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
+
+
 def b3dm_of(model: bytes, batch_length: int = 0, batch_table: dict | None = None) -> bytes:
     feature = _padded(json.dumps({"BATCH_LENGTH": batch_length}).encode(), b" ", 8)
     feature += b" " * (-(28 + len(feature)) % 8)
@@ -194,20 +223,12 @@ def write_ply(points: DataFrame, path: str) -> None:
     """Points (columns PLY_FIELDS) as binary PLY files, one per task, each with its own header; tasks write no driver memory."""
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        from pyarrow import fs
-
         parts = [b.to_numpy("<f4").tobytes() for b in batches if len(b)]
         if parts:
             count = sum(map(len, parts)) // (4 * len(PLY_FIELDS))
             head = "\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {count}", *(f"property float {f}" for f in PLY_FIELDS), "end_header", ""])
-            system, inside = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-            system.create_dir(inside, recursive=True)
-            with system.open_output_stream(f"{inside}/{uuid.uuid4().hex}.ply", compression=None) as out:
-                out.write(head.encode())
-                for part in parts:
-                    out.write(part)
+            # Named by its partition: a task that runs again replaces its file.
+            _save(path, f"part-{TaskContext.get().partitionId():05d}.ply", [head.encode(), *parts])
             yield pd.DataFrame({"n": [count]})
 
     points.select(*[F.col(f).cast("float") for f in PLY_FIELDS]).mapInPandas(save, "n bigint").agg(F.sum("n")).collect()

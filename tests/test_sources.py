@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedge.operators import mesh, tiles
 from sedge.sources import config, tiles3d, xlsx
@@ -108,7 +109,7 @@ def test_png_scaling_takes_means():
 
 def test_config_and_history(spark, tmp_path):
     (tmp_path / "c").write_text("# note\na: 1\nb: 'x y'\n")
-    assert config.load_config(str(tmp_path / "c")) == {"a": "1", "b": "x y"}
+    assert config.load_config(str(tmp_path / "c")) == {"a": 1, "b": "x y"}
     (tmp_path / "bad").write_text("- item")
     with pytest.raises(ValueError):
         config.load_config(str(tmp_path / "bad"))
@@ -123,3 +124,25 @@ def test_config_and_history(spark, tmp_path):
 def test_texture_numbers_are_replaced_at_any_depth():
     material = {"pbr": {"baseColorTexture": {"index": 0, "texCoord": 1}}, "normalTexture": {"index": 2}, "list": [{"emissiveTexture": {"index": 9}}], "index": 0}
     assert tiles3d.remap_indices(material, {0: 5, 2: 6}) == {"pbr": {"baseColorTexture": {"index": 5, "texCoord": 1}}, "normalTexture": {"index": 6}, "list": [{"emissiveTexture": {"index": 9}}], "index": 0}
+
+
+def test_nested_configuration_round_trip(tmp_path, monkeypatch):
+    nested = {"git": {"name": "a"}, "projects": [{"name": "x", "to": ["p@q", "r@s"], "spaces": []}, {"name": "ä", "to": None}], "n": 3}
+    config.save_config(nested, str(tmp_path / "new" / "c.yaml"))
+    assert config.load_config(str(tmp_path / "new" / "c.yaml")) == nested
+    for text in ("- a\n- b\n", "a: [1\n"):
+        (tmp_path / "bad").write_text(text)
+        with pytest.raises(ValueError):
+            config.load_config(str(tmp_path / "bad"))
+    monkeypatch.setattr(config, "yaml", None)
+    (tmp_path / "flat").write_text("a: 1 # one\nb: 'x'\n")
+    assert config.load_config(str(tmp_path / "flat")) == {"a": "1", "b": "x"}
+    with pytest.raises(ValueError):
+        config.load_config(str(tmp_path / "new" / "c.yaml"))
+
+
+def test_points_written_again_replace_themselves(spark, tmp_path):
+    points = spark.range(10, numPartitions=3).select(*[F.lit(1.0).alias(c) for c in tiles3d.PLY_FIELDS])
+    for _ in range(2):
+        tiles3d.write_ply(points, str(tmp_path / "ply"))
+    assert len(list((tmp_path / "ply").glob("*.ply"))) == 3
