@@ -38,7 +38,7 @@ from .labelled import training_rows
 MOST_ROWS = 16_000
 MOST_BYTES = 6 << 20
 SAMPLE_CHARS = 64 << 10
-FOLDS, BAGS = 4, 8
+FOLDS, BAGS = 4, 5
 #: Bytes of a dictionary at most, and bytes of the smaller label's samples per byte of dictionary.
 DICTIONARY_BYTES, SAMPLES_PER_BYTE = 128 << 10, 16
 #: Lengths of the pieces that the trainer picks and compares.
@@ -81,16 +81,10 @@ class Distances:
         self.pairs, self.known = [(_compressor(a).compress, _compressor(b).compress) for a, b in pairs], {}
 
     def window(self, window: bytes) -> int:
-        """Bytes that toxic dictionaries save over ordinary ones on average, in PARTS of a byte from -FAR on.
-
-        Pairs are asked in turn, until those asked give the window to ordinary text or to neither.
-        """
-        data, saved, n = b" " + window + b" " + CARRIER, 0, 0
-        for ordinary, toxic in self.pairs:
-            saved, n = saved + len(ordinary(data)) - len(toxic(data)), n + 1
-            if saved <= 0:
-                break
-        return PARTS * FAR + max(-PARTS * FAR, min(PARTS * FAR, round(PARTS * saved / n)))
+        """Bytes that toxic dictionaries save over ordinary ones, the mean over all pairs, in PARTS of a byte from -FAR on."""
+        data = b" " + window + b" " + CARRIER
+        saved = sum([len(ordinary(data)) - len(toxic(data)) for ordinary, toxic in self.pairs])
+        return PARTS * FAR + max(-PARTS * FAR, min(PARTS * FAR, round(PARTS * saved / len(self.pairs))))
 
     def counts(self, text: str | None) -> list[float]:
         """Numbers of windows by distance."""

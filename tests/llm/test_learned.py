@@ -113,12 +113,8 @@ def test_distances_are_means_of_length_differences():
     d = toxicity.Distances(pairs)
     for w in (words[45], words[205], words[290], "never", "x"):
         data = b" " + w.encode() + b" " + toxicity.CARRIER
-        saved, n = 0, 0
-        for a, b in pairs:
-            saved, n = saved + len(toxicity._compressor(a).compress(data)) - len(toxicity._compressor(b).compress(data)), n + 1
-            if saved <= 0:
-                break
-        assert d.window(w.encode()) == toxicity.PARTS * toxicity.FAR + max(-48, min(48, round(6 * saved / n)))
+        saved = [len(toxicity._compressor(a).compress(data)) - len(toxicity._compressor(b).compress(data)) for a, b in pairs]
+        assert d.window(w.encode()) == toxicity.PARTS * toxicity.FAR + max(-48, min(48, round(6 * sum(saved) / len(pairs))))
     counts = np.array([d.counts(" ".join(words[200:220])), d.counts(" ".join(words[0:20]))])
     middle = toxicity.PARTS * toxicity.FAR
     assert counts.sum(axis=1).tolist() == [20, 20] and counts[0, middle + 1 :].sum() > 5 > counts[1, middle + 1 :].sum()
