@@ -22,6 +22,7 @@ null id is not held out. Where the trainer finds its samples too few or too shor
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,8 +49,8 @@ CARRIER = b"0123456789,;:!?()[]{}<>=+*/#0123456789,;"
 #: Distances are counted in parts of a byte, up to FAR bytes in either direction; distances from which on windows are weighed.
 PARTS, FAR = 6, 8
 STEPS, AGAINST = (0.5, 1, 1.5, 2, 2.5, 3, 4), (0.5, 1.5, 2.5)
-#: Windows whose distance a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Windows whose distance a worker remembers. When so many are new, those not met since the last time are forgotten.
+REMEMBERED = 500_000
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -79,6 +80,7 @@ class Distances:
 
     def __init__(self, pairs: list[tuple[bytes, bytes]]):
         self.pairs, self.known = [(_compressor(a).compress, _compressor(b).compress) for a, b in pairs], {}
+        self.older: dict[bytes, int] = {}
 
     def window(self, window: bytes) -> int:
         """Bytes that toxic dictionaries save over ordinary ones, the mean over all pairs, in PARTS of a byte from -FAR on."""
@@ -90,15 +92,33 @@ class Distances:
         """Numbers of windows by distance."""
         out, known = [0.0] * (2 * PARTS * FAR + 1), self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            self.older, known = known, {}
+            self.known = known
         for window, n in Counter(windows(text)).items():
             d = known.get(window)
             if d is None:
-                d = known[window] = self.window(window)
+                d = self.older.get(window)
+                d = known[window] = self.window(window) if d is None else d
             out[d] += n
         return out
 
 
+#: The distances that this worker process measured last, by the digest of their dictionaries: tasks that follow each other
+#: in a worker share what it remembers.
+_LATEST: dict[str, Distances] = {}
+
+
+def distances_of(pairs: list[tuple[bytes, bytes]]) -> Distances:
+    digest = hashlib.sha256()
+    for content in (x for pair in pairs for x in pair):
+        digest.update(len(content).to_bytes(8, "big") + content)
+    key = digest.hexdigest()
+    if key not in _LATEST:
+        _LATEST.clear()
+        _LATEST[key] = Distances(pairs)
+    return _LATEST[key]
+
+
 def features(counts: np.ndarray) -> np.ndarray:
     """For distances in favour of toxic text, numbers (logarithms) and shares of windows beyond; shares of those against; the mean."""
     total, middle = np.maximum(counts.sum(axis=1), 1), PARTS * FAR
@@ -194,7 +214,7 @@ def scorer(spark: SparkSession, model: ToxicityModel | float):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if not made:
-            made.append(Distances(held.value.pairs))
+            made.append(distances_of(held.value.pairs))
         if not len(texts):
             return pd.Series([], dtype=float)
         return pd.Series(held.value.scores(np.array([made[0].counts(t) for t in texts])))

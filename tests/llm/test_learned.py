@@ -119,9 +119,20 @@ def test_distances_are_means_of_length_differences():
     middle = toxicity.PARTS * toxicity.FAR
     assert counts.sum(axis=1).tolist() == [20, 20] and counts[0, middle + 1 :].sum() > 5 > counts[1, middle + 1 :].sum()
     assert d.counts(None) == d.counts(" \n") == [0.0] * (2 * middle + 1)
+    assert toxicity.distances_of(pairs) is toxicity.distances_of(list(pairs)) is not toxicity.distances_of(pairs[:2])
     assert toxicity.windows("ab " + "x" * 70) == [b"ab", b"x" * 32, b"x" * 32, b"x" * 6]
 
 
+def test_forgetting_changes_no_distance(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abc", k=4)) for _ in range(40)) for _ in range(30)]
+    pairs = [(" ".join(texts[:5]).encode(), " ".join(texts[5:10]).encode())]
+    want = [toxicity.Distances(pairs).counts(t) for t in texts]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 20)
+    d = toxicity.Distances(pairs)
+    assert [d.counts(t) for t in texts] == want and len(d.known) + len(d.older) < 160
+
+
 def test_dictionaries_see_only_other_folds(spark):
     rng = random.Random(6)
     rows = [(float(k % 2), k % 4, f"fold{k % 4}word" + " ".join("".join(rng.choices("abcdef", k=6)) for _ in range(80))) for k in range(80)]
