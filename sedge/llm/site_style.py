@@ -69,8 +69,6 @@ LEAST_PAGES = 8
 LEAST_IMPORTANCE, LEAST_INSIDE, BESIDE = 0.5, 0.35, 0.75
 #: So many pages more are assumed: those of all hosts, some with something else inside an article, some with the same beside it.
 HOSTS_PRIOR, ARTICLE_PRIOR, OUTSIDE_PRIOR = 40, 8, 50
-#: Least size of an article as a share of the largest one at the same place of the page.
-ARTICLE_SHARE = 0.25
 #: Verdicts on a node: low inside an article, low outside one, none, and content even beside an article.
 LOW_INSIDE, LOW, OPEN, HIGH = 1, 2, 3, 4
 #: Share of the presentation in the importance of a node that has children.
@@ -303,12 +301,11 @@ def extract(found: list[Block], verdict: dict[int, int]) -> str:
         size: Counter = Counter()
         for b in chosen:
             size[b.place, b.article] += len(b.text)
-        place, most = max(((p, n) for (p, _), n in size.items()), key=lambda x: x[1], default=(0, 0))
-        main = {(p, k) for (p, k), n in size.items() if p == place and n >= ARTICLE_SHARE * most}
+        place = max(size, key=lambda x: size[x], default=(0, 0))[0]
         # Ancestors of an article tell nothing about what stands beside it.
         above = {x for b in articles for x in b.path[: b.own]}
         beside = {id(b) for b in kept if not b.article and (own := [x for x in b.path if x not in above]) and set(of(own)) == {HIGH}}
-        inside = {id(b) for b in chosen if (b.place, b.article) in main}
+        inside = {id(b) for b in chosen if b.place == place}
         return "\n".join(b.text for b in kept if id(b) in beside or id(b) in inside)
     return "\n".join(b.text for b in kept if LOW not in of(b.path))
 

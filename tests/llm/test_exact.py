@@ -527,3 +527,11 @@ def test_wrapped_notices_and_their_versions(text, license):
     scanner = license_scan.Scanner()
     n, found = scanner.scan(f"Before it.\n\n{text}\n\nAfter it.")
     assert n == 1 and {x["license"] for x in found} == ({license} if license else set())
+
+
+def test_short_articles_beside_long_ones_stay():
+    from sedge.llm import site_style
+
+    long, short = " ".join(f"word{k}" for k in range(300)), "A short second piece."
+    page = f"<html><body><nav>menu</nav><main><article><p>{long}</p></article><article><p>{short}</p></article></main><footer>foot</footer></body></html>"
+    assert site_style.extract(site_style.blocks(page), {}) == f"{long}\n{short}"
