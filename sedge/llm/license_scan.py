@@ -1,11 +1,17 @@
 """License scans by conditional compression.
 
-Blocks of a text that could be a licence notice (paragraphs, between blank lines, that have a cue word) are compressed
-alone and with each template as a zstandard raw dictionary, and templates are ranked by the share of their bytes that they
-save. In that order every template is confirmed by exact wording: its words, case and punctuation aside, have to occur
-in the block in order, with at most `most_share` of them missing, added or changed in the aligned stretch. The telling
-words (names of licences and their versions) have to be there unchanged, in order, and no others among them. Of
-confirmed stretches that overlap, the better ranked one counts.
+Candidate blocks are paragraphs of a text, between blank lines, that have a cue word. A block's words, case and punctuation
+aside, are compressed alone and with each template as a zstandard raw dictionary, and the templates are ranked by the
+bytes that they save. Only those that save a good part of what they take themselves (`least_gain`) are winners. The best
+winner is confirmed by exact wording: its words have to occur in the block in order, with at most `most_share` of them
+missing, added or changed in the aligned stretch; the telling words (names of licences and their versions) have to be
+there unchanged, in order, and no others among them. What it explains is taken out, the rest is compressed and ranked
+again, and so on until no winner is confirmed. So of templates that fit the same words the one that saves most counts.
+
+What a dictionary saves drowns in a text many times its length. So templates are classed by length (up to 4, 8, 16 ...
+words), and each class reads a block in windows of twice that many words, half overlapping: every stretch lies whole in
+a window. Windows without a cue word are passed over, as every template has one. Of confirmed stretches of different
+windows or classes that overlap, the one that saves most counts.
 
 Defined results: null and empty texts have no blocks and no licences; a notice found several times is listed once per
 place; equal rows get equal results; of equally ranked templates the earlier one comes first.
@@ -23,42 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
+from .license_texts import TEMPLATES
 
-#: Public licence notices by SPDX identifier, and the words by which a line becomes a candidate.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
-    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
-    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-)
-CUES = re.compile(r"licen[cs]|permission|redistribut|free software|waived all copyright|copyright", re.IGNORECASE)
+#: Words by which a block becomes a candidate.
+CUES = re.compile(r"licen[cs]|permission|redistribut|free software|copyright|warrant|public domain|creative commons|free to copy", re.IGNORECASE)
 #: Words that tell one licence from another: in a long notice they may not differ, be missing or be added.
 TELLING = frozenset("gnu general lesser affero gpl lgpl agpl mit apache mozilla bsd isc mpl cc cc0 by sa nc nd version v".split())
 SPACES = re.compile(r"\s+")
 TOKEN = re.compile(r"\w+(?:\.\d+)*")
-FIELDS = "n_blocks bigint, notices array<struct<license:string,block:int,char_from:bigint,char_to:bigint,saved:double,differences:int>>"
+CONTINUED = re.compile(r"-\w")
+FIELDS = "n_blocks bigint, notices array<struct<license:string,block:int,char_from:bigint,char_to:bigint,saved:bigint,differences:int>>"
 
 
 @dataclass
@@ -66,19 +46,47 @@ class Template:
     license: str
     text: str
     words: list[str]
+    #: Bytes that the words take themselves, compressed alone.
+    own: int
     compressor: zstandard.ZstdCompressor
 
+    @property
+    def tag(self) -> bool:
+        """A machine-readable identifier, which a hyphen would continue."""
+        return self.words[:1] == ["spdx"]
+
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in TOKEN.finditer(text)]
 
 
 class Scanner:
-    def __init__(self, templates: tuple = TEMPLATES, *, most_share: float = 0.08, level: int = 3):
-        plain = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.alone = zstandard.ZstdCompressor(**plain)
-        self.templates = [Template(name, text, [w for w, _, _ in words_of(text)], zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain)) for name, text in templates]
-        self.most_share = most_share
+    def __init__(self, templates: tuple = TEMPLATES, *, most_share: float = 0.08, least_gain: float = 0.2, level: int = 12):
+        self.options = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        self.alone = zstandard.ZstdCompressor(**self.options)
+        self.frame = self.size(b"")
+        self.templates = [self.template(name, text) for name, text in templates]
+        self.most_share, self.least_gain = most_share, least_gain
+        #: Templates by the size of class: the power of two that holds the longest stretch that can be confirmed.
+        self.classes: dict[int, list[int]] = {}
+        for i, t in enumerate(self.templates):
+            reach = len(t.words) + int(most_share * len(t.words))
+            self.classes.setdefault(1 << max(2, (reach - 1).bit_length()), []).append(i)
+
+    def template(self, name: str, text: str) -> Template:
+        words = [w for w, _, _ in words_of(text)]
+        data = " ".join(words).encode()
+        held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return Template(name, text, words, self.size(data) - self.frame, zstandard.ZstdCompressor(dict_data=held, **self.options))
+
+    def size(self, data: bytes) -> int:
+        return len(self.alone.compress(data))
+
+    def ranked(self, data: bytes, among: list[int]) -> list[tuple[int, int]]:
+        """(bytes saved, template) of the winners, best first."""
+        base = self.size(data)
+        gains = [(base - len(self.templates[i].compressor.compress(data)), i) for i in among]
+        return sorted(((g, i) for g, i in gains if g > 0 and g >= self.least_gain * self.templates[i].own), key=lambda x: (-x[0], x[1]))
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """[from, to) of the candidate blocks: paragraphs (runs of lines that aren't blank) with a cue."""
@@ -101,18 +109,48 @@ class Scanner:
         for k, (a, b) in enumerate(blocks):
             block = text[a:b]
             words = words_of(block)
-            data = block.encode("utf-8", "surrogatepass")
-            base = len(self.alone.compress(data))
-            ranked = sorted(((base - len(t.compressor.compress(data))) / max(1, min(base, len(t.text.encode()))), -i) for i, t in enumerate(self.templates))[::-1]
-            taken: list[tuple[int, int]] = []
-            for saved, i in ranked:
-                template = self.templates[-i]
-                for x, y, differences in self.confirm(words, template.words):
-                    if all(y <= p or x >= q for p, q in taken):
-                        taken.append((x, y))
-                        found.append({"license": template.license, "block": k, "char_from": a + words[x][1], "char_to": a + words[y - 1][2], "saved": round(saved, 6), "differences": differences})
+            for x, y, i, saved, differences in self.explain(block, words):
+                found.append({"license": self.templates[i].license, "block": k, "char_from": a + words[x][1], "char_to": a + words[y - 1][2], "saved": saved, "differences": differences})
         return len(blocks), sorted(found, key=lambda n: (n["char_from"], n["license"]))
 
+    def explain(self, block: str, words: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """Stretches [x, y) of words with their template, its bytes saved and differing words."""
+        found = set()
+        for reach, among in self.classes.items():
+            for a in range(0, max(1, len(words) - reach), reach):
+                window = words[a : a + 2 * reach]
+                if CUES.search(" ".join(w for w, _, _ in window)):
+                    found |= {(x + a, y + a, *rest) for x, y, *rest in self.read(block, window, among)}
+        out: list[tuple[int, int, int, int, int]] = []
+        # Windows overlap; the view that saved more had the whole notice before it.
+        for one in sorted(found, key=lambda f: (-f[3], f[2], f[0])):
+            if all(one[1] <= f[0] or one[0] >= f[1] for f in out):
+                out.append(one)
+        return out
+
+    def read(self, block: str, words: list[tuple[str, int, int]], among: list[int]) -> list[tuple[int, int, int, int, int]]:
+        """Rounds over one window: rank, confirm the best, take out what it explains, compress the rest again."""
+        parts, failed, out = [(0, len(words))], set(), []
+        while parts:
+            data = "\n".join(" ".join(w for w, _, _ in words[p:q]) for p, q in parts).encode("utf-8", "surrogatepass")
+            for saved, i in self.ranked(data, among):
+                # What did not fit before does not fit into less.
+                places = [] if i in failed else self.places(block, words, parts, self.templates[i])
+                if places:
+                    break
+                failed.add(i)
+            else:
+                return out
+            out += [(x, y, i, saved, d) for x, y, d in places]
+            failed.add(i)
+            edges = [0, *(e for x, y, *_ in sorted(out) for e in (x, y)), len(words)]
+            parts = [(p, q) for p, q in zip(edges[::2], edges[1::2]) if p < q]
+        return out
+
+    def places(self, block: str, words: list[tuple[str, int, int]], parts: list[tuple[int, int]], template: Template) -> list[tuple[int, int, int]]:
+        found = [(p + x, p + y, d) for p, q in parts for x, y, d in self.confirm(words[p:q], template.words)]
+        return [f for f in found if not (template.tag and CONTINUED.match(block, words[f[1] - 1][2]))]
+
     def confirm(self, words: list[tuple[str, int, int]], wanted: list[str]) -> list[tuple[int, int, int]]:
         """Stretches [x, y) of words that differ from the wanted ones in few enough words: those with the fewest
         differences first, then from left to right, then the shortest; of overlapping ones the first."""
@@ -169,7 +207,7 @@ def scans(**options):
 
 
 def with_notices(docs: DataFrame, name: str, *, text: str = "text", **options) -> DataFrame:
-    """docs with one more column, of n_blocks and notices (licence, block, place in the text, share of bytes saved, differing
+    """docs with one more column, of n_blocks and notices (licence, block, place in the text, bytes saved, differing
     words). The name must be new: no column is replaced."""
     if fresh(docs.columns, name)[0] != name:
         raise ValueError(f"there is a column {name} already")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sedge.llm import compression_bands, decontaminate, license_scan, mixing, simhash, warc
+from sedge.llm import compression_bands, decontaminate, license_scan, license_texts, mixing, simhash, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sig tau ups".split()
@@ -529,6 +529,68 @@ def test_wrapped_notices_and_their_versions(text, license):
     assert n == 1 and {x["license"] for x in found} == ({license} if license else set())
 
 
+@pytest.mark.parametrize("text, license", [
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("SPDX-License-Identifier: MIT-Modern-Variant", ""),
+    ("Licensed under Creative Commons Attribution 4.0 International.", "CC-BY-4.0"),
+    ("Licensed under Creative Commons Attribution-ShareAlike 4.0 International.", "CC-BY-SA-4.0"),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at", "EPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+])
+def test_tags_and_notices_of_whole_texts(text, license):
+    filler = " ".join(random.Random(1).choices(WORDS, k=300))
+    for around in ("{}", "before it\n{}\nafter it", f"{filler}\n{{}}\n{filler}"):
+        n, found = license_scan.Scanner().scan(around.format(text))
+        assert n == 1 and [x["license"] for x in found] == ([license] if license else [])
+
+
+def test_whole_texts_are_found_by_paragraphs():
+    scanner = license_scan.Scanner()
+    for name, text in license_texts.TEXTS:
+        found = scanner.scan(text)[1]
+        assert {x["license"] for x in found} == {name} and len(found) == len(text.strip().split("\n\n"))
+    assert all(license_scan.CUES.search(" ".join(t.words)) for t in scanner.templates)
+
+
+def test_ranking_by_compression_decides():
+    """Of templates that fit the same words the one that saves most counts; templates that save too little are never confirmed."""
+
+    class Reversed(license_scan.Scanner):
+        def ranked(self, data, among):
+            return super().ranked(data, among)[::-1]
+
+    # Both templates fit within the allowed differences; the words between decide which one saves more.
+    one = "This tool may be copied, sold and changed under the house license by all who keep this notice of the first maker in it and name the place"
+    two = one.replace("first maker", "second maker")
+    pair, texts = (("One", one), ("Two", two)), {"One": one, "Two": two}
+    for name, text in texts.items():
+        assert [x["license"] for x in license_scan.Scanner(pair).scan(text)[1]] == [name]
+        assert [x["license"] for x in license_scan.Scanner(pair[::-1]).scan(text)[1]] == [name]
+        assert [x["license"] for x in Reversed(pair).scan(text)[1]] != [name]
+        assert license_scan.Scanner(pair, least_gain=9.0).scan(text)[1] == []
+
+
+def test_license_scan_equals_all_templates_at_all_places():
+    """Without ranking, classes and windows: every template is tried at every place of the whole block."""
+    rng, scanner = random.Random(8), license_scan.Scanner()
+    for _ in range(12):
+        pieces = [" ".join(rng.choices(WORDS, k=rng.randint(0, 90)))]
+        for _ in range(rng.randint(1, 6)):
+            own = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                own[rng.randrange(len(own))] = rng.choice(["other", "the", "gnu"])
+            pieces += [" ".join(own), " ".join(rng.choices(WORDS, k=rng.randint(1, 90)))]
+        block = "\n".join(pieces)
+        words = license_scan.words_of(block)
+        every = {(words[x][1], words[y - 1][2], t.license) for t in scanner.templates for x, y, _ in scanner.places(block, words, [(0, len(words))], t)}
+        found = {(f["char_from"], f["char_to"], f["license"]) for f in scanner.scan(block)[1]}
+        assert found <= every
+        for a, b, name in every - found:  # what is left out shares words with what is found
+            assert any(a < q and b > p for p, q, _ in found), name
+
+
 def test_short_articles_beside_long_ones_stay():
     from sedge.llm import site_style
 
