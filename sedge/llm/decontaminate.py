@@ -5,17 +5,18 @@ not none, is one window) as sorted 64-bit hashes in an array, with the place of
 text. Training texts are scanned window by window: a rolling hash over word hashes finds candidates, each is verified
 byte by byte against that text, and the words inside verified windows are hit.
 
-A benchmark whose index would exceed INDEX_BYTES (its size is measured after building) is scanned in blocks of items.
-Then only what is hit is written for each block, under two hashes of the text; texts meet their hits once, at the end.
+A benchmark whose index would exceed INDEX_BYTES is not broadcast. Its windows become a table, and a Bloom filter of their
+hashes, of BLOOM_BITS at most, is broadcast instead. Texts are scanned once, whatever the benchmark's size: windows that
+pass the filter meet the table of windows by their words, and what is hit meets the texts by two hashes of the text. A
+fuller filter lets more windows pass and loses none.
 
 Defined results: a null or wordless text has no words and no hits; a null, wordless or missing item has no window; an
 item without an id marks words but is not listed; equal item ids count once; repeated documents each get a row; an
-empty benchmark hits nothing. An item larger than a block is a block of its own.
+empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SEED = 7
 #: Size of the index of one broadcast; an index takes about INDEX_RATIO times its items' text.
 INDEX_BYTES, INDEX_RATIO = 128 << 20, 6
+#: Bits of the filter: BLOOM_RATIO for each window, each of which sets one by every multiplier, and BLOOM_BITS (128 MB) at most.
+BLOOM_BITS, BLOOM_RATIO = 1 << 30, 12
+MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+#: Bits of the pieces in which the filter is built, rows of the batches of windows, and parts that a hot window or text is split into.
+PIECE, BATCH, SALTS = 1 << 20, 20_000, 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -122,28 +128,105 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def _indexes(benchmark: DataFrame, item_id: str, text: str, n: int, index_bytes: int) -> Iterator[WindowIndex]:
-    """Indexes of the benchmark's items, each safe to broadcast; a single one unless its items are many."""
-    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    rows, size = [], 0
-    for r in items.toLocalIterator():
-        more = len(r["text"].encode("utf-8", "surrogatepass"))
-        if rows and (size + more) * INDEX_RATIO > index_bytes:
-            yield from _checked(rows, n, index_bytes)
-            rows, size = [], 0
-        rows.append((r["item"], r["text"]))
-        size += more
-    yield from _checked(rows, n, index_bytes)
+def _index(items: DataFrame, n: int, index_bytes: int) -> WindowIndex | None:
+    """The index of all items, or None where it is too large to broadcast. Their size is summed before any is fetched."""
+    size = items.select(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    if size * INDEX_RATIO > index_bytes:
+        return None
+    index = WindowIndex.build([(r["item"], r["text"]) for r in items.toLocalIterator()], n)
+    return index if index.nbytes <= index_bytes else None
 
 
-def _checked(rows: list[tuple], n: int, index_bytes: int) -> Iterator[WindowIndex]:
-    """The index of the rows, in halves if it turns out too large."""
-    index = WindowIndex.build(rows, n)
-    if index.nbytes <= index_bytes or len(rows) < 2:
-        yield index
-    else:
-        yield from _checked(rows[: len(rows) // 2], n, index_bytes)
-        yield from _checked(rows[len(rows) // 2 :], n, index_bytes)
+def _windows(items: DataFrame, n: int) -> DataFrame:
+    """size, hash, words and item of the distinct windows of the items."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for item, text in zip(frame["item"], frame["text"], strict=True):
+                words = words_of(text)
+                size = min(n, len(words))
+                if size:
+                    value = _rolling(_hashes(words), size).view(np.int64)
+                    for a in range(0, len(value), BATCH):
+                        part = value[a : a + BATCH]
+                        yield pd.DataFrame({"size": np.int32(size), "hash": part, "words": [b" ".join(words[k : k + size]) for k in range(a, a + len(part))], "item": item})
+
+    return items.mapInPandas(run, "size int, hash bigint, words binary, item string").distinct()
+
+
+def _places(value: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of the filter that each hash sets."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    return [((value ^ (value >> np.uint64(29))) * m) >> shift for m in MULTIPLIERS]
+
+
+def _bloom(windows: DataFrame, most_bits: int) -> np.ndarray:
+    """The filter of the windows' hashes, as bytes. Its bits are made distinct and packed in pieces by tasks."""
+    wanted = max(64, windows.count() * BLOOM_RATIO)
+    bits = min(most_bits, 1 << (wanted - 1).bit_length())
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            at = np.unique(np.concatenate(_places(frame["hash"].to_numpy().view(np.uint64), bits))).astype(np.int64)
+            yield pd.DataFrame({"piece": at // PIECE, "at": at % PIECE})
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(min(bits, PIECE), np.uint8)
+        held[frame["at"].to_numpy()] = 1
+        return pd.DataFrame({"piece": frame["piece"].iloc[:1], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    # A piece is one group of at most PIECE distinct rows.
+    packed = windows.select("hash").mapInPandas(places, "piece bigint, at bigint").distinct().groupBy("piece").applyInPandas(pack, "piece bigint, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in packed.toLocalIterator():
+        a = r["piece"] * PIECE // 8
+        out[a : a + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _candidates(texts: DataFrame, bloom, sizes: list[int]) -> DataFrame:
+    """k1, k2, first, size, hash and words of the windows of texts (k1, k2, text) that pass the filter."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = bloom.value
+        for frame in frames:
+            for k1, k2, text in zip(frame["k1"], frame["k2"], frame["text"], strict=True):
+                words = words_of(text)
+                hashes = _hashes(words)
+                for size in sizes:
+                    if size > len(words):
+                        continue
+                    value = _rolling(hashes, size)
+                    passed = np.ones(len(value), bool)
+                    for at in _places(value, 8 * len(held)):
+                        passed &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    first = np.nonzero(passed)[0]
+                    for a in range(0, len(first), BATCH):
+                        part = first[a : a + BATCH]
+                        yield pd.DataFrame({"k1": k1, "k2": k2, "first": part, "size": np.int32(size), "hash": value[part].view(np.int64), "words": [b" ".join(words[k : k + size]) for k in part.tolist()]})
+
+    return texts.mapInPandas(run, "k1 bigint, k2 bigint, first bigint, size int, hash bigint, words binary")
+
+
+def _found(docs: DataFrame, text: Column, items: DataFrame, n: int, most_bits: int) -> DataFrame | None:
+    """k1, k2, spans and items of the texts that are hit, by the filter and the table of windows; None if there is no window."""
+    windows = cut(_windows(items, n))
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # n of them at most
+    if not sizes:
+        return None
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(windows, most_bits))
+    texts = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.alias("text")).where("text IS NOT NULL")
+    # Copies of a text give equal rows, which are one before anything is shuffled.
+    passed = cut(_candidates(texts, bloom, sizes).distinct())
+    bloom.unpersist()
+    key = ["size", "hash", "words"]
+    met = windows.join(passed.select(key).distinct(), key)
+    # A window may be in a third of all texts: texts are dealt to SALTS copies of the windows that are met.
+    salted = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = passed.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"])
+    spans = F.collect_set(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("b")))
+    merged = hits.groupBy("k1", "k2").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    return cut(merged.select("k1", "k2", _merged(F.col("spans")).alias("spans"), "items"))
 
 
 def _scanner(index):
@@ -163,28 +246,23 @@ def _scanner(index):
     return scan
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs with one more column: n_words, spans (merged word ranges that are hit) and items (sorted ids). The name must be new."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, index_bytes: int = INDEX_BYTES, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+    """docs with one more column: n_words, spans (merged word ranges that are hit) and items (sorted ids). The name must be new;
+    bloom_bits is a power of two from 64 on."""
     if fresh(docs.columns, name)[0] != name:
         raise ValueError(f"there is a column {name} already")
     spark, column = docs.sparkSession, F.col(f"`{text}`")
-    indexes = _indexes(benchmark, item_id, item_text, n, index_bytes)
-    first, second = next(indexes), next(indexes, None)
-    if second is None:
-        return docs.withColumn(name, _scanner(spark.sparkContext.broadcast(first))(column))
-    key = [F.xxhash64(column), F.xxhash64(column, F.lit(1))]
-    found = None
-    for index in itertools.chain((first, second), indexes):
-        held = spark.sparkContext.broadcast(index)
-        seen = docs.select(key[0].alias("k1"), key[1].alias("k2"), _scanner(held)(column).alias("hits")).where("size(hits.spans) > 0")
-        seen = cut(seen.select("k1", "k2", "hits.*").dropDuplicates(["k1", "k2"]))
-        held.unpersist()
-        found = seen if found is None else found.unionByName(seen)
-    merged = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    merged = merged.select("k1", "k2", _merged(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
-    k1, k2, words, spans, items = fresh([*docs.columns, name], "k1", "k2", "n_words", "spans", "items")
-    keyed = docs.withColumns({k1: key[0], k2: key[1], words: _counter(column)})
-    joined = keyed.join(merged.withColumnsRenamed({"k1": k1, "k2": k2, "spans": spans, "items": items}), [k1, k2], "left")
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
+    index = _index(items, n, index_bytes)
+    merged = None if index else _found(docs, column, items, n, bloom_bits)
+    if merged is None:
+        index = index or WindowIndex.build([], n)
+        return docs.withColumn(name, _scanner(spark.sparkContext.broadcast(index))(column))
+    k1, k2, salt, words, spans, items = fresh([*docs.columns, name], "k1", "k2", "salt", "n_words", "spans", "items")
+    # Copies of one text are dealt to SALTS copies of its hits, by the partition that they come from.
+    keyed = docs.withColumns({k1: F.xxhash64(column), k2: F.xxhash64(column, F.lit(1)), salt: F.spark_partition_id() % SALTS, words: _counter(column)})
+    salted = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = keyed.join(salted.withColumnsRenamed({"k1": k1, "k2": k2, "salt": salt, "spans": spans, "items": items}), [k1, k2, salt], "left")
     none = F.struct(F.col(words).alias("n_words"), F.coalesce(spans, F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], none.alias(name))
 

@@ -121,27 +121,32 @@ def plain_hits(text, items, n=13):
     return len(words), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("index_bytes", [1 << 20, 600])
-def test_decontamination(spark, index_bytes):
+@pytest.mark.parametrize("index_bytes, bloom_bits", [(1 << 20, 64), (600, 1 << 20), (600, 256), (0, 64)])
+def test_decontamination(spark, index_bytes, bloom_bits):
+    """By the broadcast index, and by the filter and the table of windows, whether or not the filter tells anything."""
+    limits = {"index_bytes": index_bytes, "bloom_bits": bloom_bits}
     rng = random.Random(2)
     base = texts()
     items = [(k, " ".join(rng.choices(WORDS, k=rng.choice([2, 12, 13, 20])))) for k in range(6)] + [(9, None), (None, "alpha beta gamma"), (10, "!!"), (3, "omi pi rho sig")]
     base += [f"{items[k][1].upper()}-{base[k + 3]}" for k in range(6)] + [" ".join(rng.choices(WORDS, k=400)) + " omi, pi rho SIG"]
     df, bench = documents(spark, base), spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted((r["doc_id"], *plain_hits(r["text"], items)) for r in df.collect())
-    assert sorted(tuple(r) for r in decontaminate.report(df, bench, index_bytes=index_bytes).collect()) == want
-    kept = decontaminate.drop_contaminated(documents(spark, base, "clash"), bench, index_bytes=index_bytes)
+    assert sorted(tuple(r) for r in decontaminate.report(df, bench, **limits).collect()) == want
+    kept = decontaminate.drop_contaminated(documents(spark, base, "clash"), bench, **limits)
     assert kept.count() == sum(not x[-1] for x in want)
-    indexes = list(decontaminate._indexes(bench, "item_id", "text", 13, index_bytes))
-    assert (len(indexes) > 1) == (index_bytes == 600) and all(x.nbytes <= index_bytes or len(x.ids) == 1 for x in indexes)
-    cleaned = decontaminate.strip_contamination(df, bench, index_bytes=index_bytes)
+    items_table = bench.selectExpr("CAST(item_id AS STRING) AS item", "text").where("text IS NOT NULL")
+    assert (decontaminate._index(items_table, 13, index_bytes) is None) == (index_bytes < 1 << 20)
+    cleaned = decontaminate.strip_contamination(df, bench, **limits)
     left = sorted((r["doc_id"], len(decontaminate.words_of(r["text"]))) for r in cleaned.collect())
     assert left == sorted((x[0], x[1] - x[2]) for x in want)
 
 
 def test_empty_benchmark_and_empty_documents(spark):
     df, bench = documents(spark), spark.createDataFrame([], "item_id bigint, text string")
-    assert decontaminate.report(df, bench).where("n_hit > 0 OR contaminated").isEmpty()
+    wordless = spark.createDataFrame([(1, "!!"), (2, None), (3, "")], "item_id bigint, text string")
+    for empty in (bench, wordless):
+        for index_bytes in (decontaminate.INDEX_BYTES, -1):
+            assert decontaminate.report(df, empty, index_bytes=index_bytes).where("n_hit > 0 OR contaminated").isEmpty()
     none = spark.createDataFrame([], DOCS)
     assert decontaminate.report(none, bench).isEmpty() and simhash.report(none).isEmpty() and mixing.report(none).isEmpty() and compression_bands.report(none).isEmpty() and license_scan.report(none).isEmpty()
     assert simhash.keep_one(none).isEmpty()
