@@ -163,6 +163,27 @@ def test_quality_of_odd_rows(spark):
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_compiled_scores_equal_plain_rules(spark):
+    """Every rule of the model is read again in Python over the statistics of each text."""
+    small = SMALL.replace("0.01", "0.001")
+    docs, labels = table(spark, small, "documents").select("doc_id", "text"), table(spark, small, "labels")
+    docs = docs.unionByName(odd(spark).select("doc_id", "text"))
+    model = rule_ensemble.fit(docs, labels)
+    assert len(model.rules) > 1
+    stats = rule_ensemble.statistics(F.coalesce("text", F.lit("")))
+    rows = rule_ensemble.with_score(docs, model, "score").select("score", *[c.alias(n) for n, c in stats.items()]).collect()
+    for r in rows:
+        total = model.intercept + sum(w for rule, w in model.rules if all((r[c.name] <= c.limit) == c.below for c in rule))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+
+
+def test_quality_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string, score string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, quality int")
+    got = rule_ensemble.report(none, labels)
+    assert got.isEmpty() and got.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
 def test_paths_are_rules():
     text = "\n".join(["tree", "  If (feature 0 <= 0.5)", "   If (feature 1 <= 2.0)", "    Predict: 0.0", "   Else (feature 1 > 2.0)", "    Predict: 1.0", "  Else (feature 0 > 0.5)", "   Predict: 1.0"])
     c = rule_ensemble.Condition
