@@ -16,7 +16,8 @@ of a host with the same article count once there, so that copies of an article d
 articles the largest decides: those at other places of the page, and much smaller ones, are teasers.
 
 What markup itself declares to be outside the article (menus, headers, footers, sidebars, adverts, forms, comments,
-scripts, styles) goes whatever its importance. A class, id or role declares by a whole name (see `declares`), never on
+scripts, styles) goes whatever its importance; the header of a section inside an article and a form around the page's
+frame stay, and so do forms where a page has nothing else. A class, id or role declares by a whole name (see `declares`), never on
 html, body, main or article; above an article it counts only where another article of the page stands free of such
 names. With markup=False neither articles nor such declarations are looked at, and the trees alone decide.
 
@@ -31,7 +32,6 @@ one host of their own; repeated rows count and return one by one.
 from __future__ import annotations
 
 import html as html_module
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -59,7 +59,8 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 LAYOUT_WORDS = frozenset("article body content entry has have hide is layout main no not page post show single story text title toggle with without".split())
 #: Elements that no class word puts outside.
 NEVER_DECLARED = frozenset("html body main article".split())
-FORM_END = re.compile(r"</form\b", re.I)
+#: Elements of a page's frame, or the end of a form.
+FRAME_OR_END = re.compile(r"<(?:(article|main|section|nav|header|footer|aside)\b|/form\b)", re.I)
 PARTS = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 SEED = 11
@@ -80,7 +81,7 @@ class Block:
     """A block of text with the node it stands in: hashes of the node's path and of all paths above it.
 
     around: a name declares an element above the article to be outside. own: where in path the article itself is.
-    place: hash of the path of the article.
+    place: hash of the path of the article. in_form: nothing but a form around it puts it outside.
     """
 
     text: str
@@ -90,6 +91,7 @@ class Block:
     around: bool
     own: int
     place: int
+    in_form: bool = False
 
     @property
     def shown(self) -> int:
@@ -113,9 +115,9 @@ def _names(attributes: str) -> tuple[str, bool]:
 
 
 def wraps(page: str, at: int) -> bool:
-    """Whether a form that begins at this place holds most of the rest of the page."""
-    close = FORM_END.search(page, at)
-    return (close.start() if close else len(page)) - at > (len(page) - at) / 2
+    """Whether a form that begins at this place is a wrapper of the page: an element of the page's frame stands in it."""
+    found = FRAME_OR_END.search(page, at)
+    return bool(found and found[1])
 
 
 def blocks(page: str | None, children: dict[int, list[str]] | None = None, markup: bool = True) -> list[Block]:
@@ -127,9 +129,9 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None, marku
     if not page:
         return []
     out: list[Block] = []
-    # Open elements: name, path hash, outside by element, number of the article around (0: none), outside by name, and whether
+    # Open elements: name, path hash, outside by element (0: no, 1: a form, 2: another), number of the article around (0: none), outside by name, and whether
     # a name declares an element above that article outside.
-    stack: list[tuple[str, int, bool, int, bool, bool]] = [("", 0, False, 0, False, False)]
+    stack: list[tuple[str, int, int, int, bool, bool]] = [("", 0, 0, 0, False, False)]
     parts: list[str] = []
     at, n_articles, end = 0, 0, len(page)
 
@@ -140,7 +142,7 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None, marku
             _, _, by_element, article, by_name, around = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
             own = sum(x[0] in BLOCKS and not x[3] for x in stack)
             place = next((x[1] for x in stack if x[3]), 0)
-            out.append(Block(text, tuple(x[1] for x in stack if x[0] in BLOCKS), by_element or by_name, article, around, own, place))
+            out.append(Block(text, tuple(x[1] for x in stack if x[0] in BLOCKS), bool(by_element) or by_name, article, around, own, place, by_element == 1 and not by_name))
 
     def add(text: str) -> None:
         """Text of the open block; an element in a line that is declared outside the article is left out."""
@@ -184,13 +186,18 @@ def blocks(page: str | None, children: dict[int, list[str]] | None = None, marku
             n_articles += 1
             article, by_name, around = n_articles, False, by_name
             # A form may hold the whole page.
-            by_element = any(x[0] in OUTSIDE and x[0] != "form" for x in stack)
+            by_element = 2 * any(x[0] in OUTSIDE and x[0] != "form" for x in stack)
         declared = declared and markup and name not in NEVER_DECLARED
         path = xxhash.xxh64_intdigest(f"{above}>{name}.{label}", SEED) if name in BLOCKS else above
         if children is not None and path != above:
             children.setdefault(above, []).append(f"{name}.{label}")
-        outside = name in (OUTSIDE if markup else HIDDEN) and not (name == "form" and stack[-1][0] in ("", "html", "body") and wraps(page, at))
-        stack.append((name, path, by_element or outside, article, by_name or declared, around))
+        level = 2 * (name in (OUTSIDE if markup else HIDDEN))
+        if level and name == "form":
+            level = 0 if stack[-1][0] in ("", "html", "body") and wraps(page, at) else 1
+        elif level and name == "header" and any(x[0] == "section" and x[3] for x in stack):
+            # The heading of an article's section is content; the article's own header (bylines, dates) is not.
+            level = 0
+        stack.append((name, path, max(by_element, level), article, by_name or declared, around))
     flush()
     return out
 
@@ -285,14 +292,19 @@ def verdicts(counts: DataFrame, least_pages: int = LEAST_PAGES, least_importance
     return own.unionByName(within).unionByName(general).withColumn("verdict", F.col("verdict").cast("tinyint"))
 
 
+def candidates(found: list[Block]) -> list[Block]:
+    """The blocks that markup does not put outside; those in forms where a page has no others."""
+    return [b for b in found if not b.outside] or [b for b in found if b.in_form]
+
+
 def nodes_of(found: list[Block]) -> set[int]:
     """The nodes and texts whose verdicts extract() asks for."""
-    return {signed(x) for b in found if not b.outside for x in ((*b.path[b.own + 1 :], b.shown) if b.article else b.path)}
+    return {signed(x) for b in candidates(found) for x in ((*b.path[b.own + 1 :], b.shown) if b.article else b.path)}
 
 
 def extract(found: list[Block], verdict: dict[int, int]) -> str:
     """The text of a page's main article, of the whole page where it has none, by the verdicts on its nodes."""
-    kept = [b for b in found if not b.outside]
+    kept = candidates(found)
     articles = [b for b in kept if b.article]
     chosen = [b for b in articles if not b.around] or articles
     of = lambda nodes: [verdict.get(signed(x), OPEN) for x in nodes]
@@ -397,10 +409,3 @@ def with_text(pages: DataFrame, name: str, *, url: str = "url", html: str = "htm
 def report(pages: DataFrame, **options) -> DataFrame:
     found = with_text(pages.select("page_id", "url", "html"), "main_text", **options)
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
-
-
-def entropy_importance(counts: list[int]) -> float:
-    """Importance of a node from how many pages show each of its contents (as `importances` computes it)."""
-    m = sum(counts)
-    entropy = -sum(n / m * math.log(n / m) for n in counts)
-    return max(math.exp(entropy) / m, counts.count(1) / m)

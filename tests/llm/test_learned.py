@@ -243,11 +243,27 @@ def test_class_words_never_drop_the_page(open_, close):
     assert site_style.extract(site_style.blocks(f"<html>{open_}Main text{close}</html>"), {}) == "Main text"
 
 
+def plain_importance(counts):
+    """The effective number of contents as a share of the pages, and at least the share of those with one of their own."""
+    m = sum(counts)
+    return max(math.exp(-sum(n / m * math.log(n / m) for n in counts)) / m, counts.count(1) / m)
+
+
+def test_forms_around_the_page_and_headers_of_sections_stay():
+    text = lambda h: site_style.extract(site_style.blocks(h), {})
+    long = "much longer than the rest of the page " * 9
+    assert text("<body><form id=f><nav>menu</nav><article><p>Main text</p></article></form></body>") == "Main text"
+    assert text("<body><form id=f><nav>menu</nav><div><p>Main text</p></div></form></body>") == "Main text"
+    assert text(f"<body><form><p>{long}<input></form><article><p>Main text</p></article></body>") == "Main text"
+    assert text(f"<body><p>Main text</p><form><label>{long}</label></form></body>") == "Main text"
+    assert text("<body><header>site</header><article><header><p>by me</p></header><p>One</p><section><header><h2>Two</h2></header><p>three</p></section></article></body>") == "One\nTwo\nthree"
+
+
 def test_importance_is_the_entropy_of_what_is_shown(spark):
     rows = [("h", 1, 0, 10, 6), ("h", 1, 0, 11, 2), ("h", 2, 0, 12, 8), ("h", 2, 1, 5, 4), ("h", 2, 1, 6, 4), *[("h", 3, 0, k, 1) for k in range(8)], ("h", 4, 0, 1, 1)]
     df = spark.createDataFrame(rows, "host string, node bigint, kind int, shown bigint, n bigint")
     got = {r["node"]: r["importance"] for r in site_style.importances(df).collect()}
-    e = site_style.entropy_importance
+    e = plain_importance
     assert got == pytest.approx({1: e([6, 2]), 2: 0.1 * e([4, 4]) + 0.9 * e([8]), 3: 1.0, 4: 1.0})
     assert sorted((r["host"], r["node"], r["verdict"]) for r in site_style.verdicts(df).where("host IS NULL").collect()) == [(None, 1, site_style.LOW), (None, 2, site_style.LOW)]
 
@@ -268,9 +284,9 @@ def plain_tree(pages):
                 shapes.setdefault(node, Counter())[" ".join(children[node])] += 1
     value = {}
     for node, c in shown.items():
-        e = site_style.entropy_importance(list(c.values()))
+        e = plain_importance(list(c.values()))
         if node in shapes:
-            e = 0.9 * e + 0.1 * site_style.entropy_importance(list(shapes[node].values()))
+            e = 0.9 * e + 0.1 * plain_importance(list(shapes[node].values()))
         value[node] = (sum(c.values()), e)
     low = {n for n, (m, e) in value.items() if m >= site_style.LEAST_PAGES and e < site_style.LEAST_IMPORTANCE}
     return {k: "\n".join(b.text for b in found if not b.outside and not low & set(b.path)) for k, found in parsed.items()}
@@ -309,7 +325,7 @@ def test_trees_alone_find_the_articles(spark):
     ("<html><body><form action='x'><div><p>Main text of the page</p></div></form></body></html>", "Main text of the page"),
     ("<html><body><form action='x'><article><p>Main</p></article></form></body></html>", "Main"),
     ("<body><article><p>Main text that is long enough</p></article><section class='more'><article><p>teaser</p></article></section></body>", "Main text that is long enough"),
-    ("<body><article><p>Main text that is long enough</p></article><article><p>tease</p></article></body>", "Main text that is long enough"),
+    ("<body><article><p>Main text that is long enough</p></article><article><p>tease</p></article></body>", "Main text that is long enough\ntease"),
     ("<body><article><p>First item</p></article><article><p>Second one</p></article></body>", "First item\nSecond one"),
     ("<body><form>Search</form><div>Main text that is longer than the form</div></body>", "Main text that is longer than the form"),
 ])
