@@ -55,33 +55,6 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-@dataclass
-class Target:
-    source: str | None
-    size: int
-    target: float
-
-
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[Target]:
-    """Targets of the sources (by code point, null last): shares of `share` times all sizes by repeating weights, none above `most` times its size."""
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = [weights[k % len(weights)] for k in range(len(ordered))]
-    limit = [most * n for _, n in ordered]
-    left, open_, out = share * sum(n for _, n in ordered), set(range(len(ordered))), [0.0] * len(ordered)
-    while open_:
-        total = sum(weight[k] for k in sorted(open_))
-        over = {k for k in open_ if left * weight[k] / total > limit[k]}
-        if not over:
-            for k in open_:
-                out[k] = left * weight[k] / total
-            break
-        for k in sorted(over):
-            out[k] = float(limit[k])
-            left -= limit[k]
-        open_ -= over
-    return [Target(s, n, t) for (s, n), t in zip(ordered, out, strict=True)]
-
-
 def _running(rows: DataFrame, amount: str, name: str, *order: Column) -> DataFrame:
     """rows with the sum of amount over the rows before, in ranges: inside each, and shifted by one sum per range."""
     sums = rows.groupBy("range").agg(F.sum(amount).alias("here"))
@@ -91,7 +64,7 @@ def _running(rows: DataFrame, amount: str, name: str, *order: Column) -> DataFra
 
 
 def source_table(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Sources (source, n, docs) with number, target (as in `targets`), blocks, buckets and interval [slot_from, slot_to) of the permuted slots."""
+    """Sources (source, n, docs) with number, target (shares of `share` times all sizes by repeating weights, none above `most` times its source's size), blocks, buckets and interval [slot_from, slot_to) of the permuted slots."""
     spark = sizes.sparkSession
     order = (F.col("source").isNull(), F.col("source"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -44,7 +44,11 @@ PARTITION_BYTES = 16 << 20
 #: Revisits up to which their list is broadcast; beyond, a bit set of FILTER_BITS (least and most) tells which pages may be among them.
 BROADCAST_REVISITS = 200_000
 FILTER_BITS = (1 << 16, 1 << 29)
+#: Words of 32 bits per piece of the bit set.
+FILTER_PIECE = 2048
 MANIFEST = "files-"
+#: What stands for characters of ids in record ids; the percent sign comes first.
+ESCAPES = {"%": "%25", "\n": "%0A", "\r": "%0D"}
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -305,8 +309,8 @@ def with_revisits(pages: DataFrame, *, id_column: str = "page_id", url: str = "u
         marked = marked.withColumn("maybe", maybe_among(later, n, on)(F.xxhash64(*on)))
         sure = marked.where("NOT maybe").drop("maybe").withColumn("first", F.lit(None).cast(later.schema["first"].dataType))
         rows = sure.unionByName(marked.where("maybe").drop("maybe").join(later, on, "left"))
-    record_id = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(":"), F.col("payload_digest"), F.lit(">"))
-    return rows.select(F.coalesce(record_id(F.col("id")), F.concat(F.lit("<urn:page::"), "payload_digest", F.lit(">"))).alias("record_id"), F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("target_uri").cast("string"), record_id(F.col("first")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
+    record_id = lambda c: F.concat(F.lit("<urn:page:"), escaped(c.cast("string")), F.lit(":"), F.col("payload_digest"), F.lit(">"))
+    return rows.select(F.coalesce(record_id(F.col("id")), F.concat(F.lit("<urn:no-page:"), "payload_digest", F.lit(">"))).alias("record_id"), F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("target_uri").cast("string"), record_id(F.col("first")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
 
 
 def maybe_among(rows: DataFrame, n: int, on: list[str]):
@@ -314,9 +318,17 @@ def maybe_among(rows: DataFrame, n: int, on: list[str]):
     bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (8 * n).bit_length()))
     place = F.pmod(F.xxhash64(*on), F.lit(bits))
     words = rows.select(place.alias("p")).selectExpr("p div 32 AS w", "shiftleft(1L, cast(p % 32 AS int)) AS b")
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+
+    def piece(found: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(FILTER_PIECE, np.uint32)
+        own[found["w"].to_numpy(np.int64) % FILTER_PIECE] = found["b"].to_numpy(np.int64).astype(np.uint32)
+        return pd.DataFrame({"k": found["k"].iloc[:1], "data": [own.tobytes()]})
+
+    # The set itself passes the driver, in pieces of words, not a row for each of its words.
+    joined = words.groupBy("w").agg(F.bit_or("b").alias("b")).withColumn("k", F.expr(f"w div {FILTER_PIECE}"))
     table = np.zeros(bits // 32, np.uint32)
-    table[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
+    for r in joined.groupBy("k").applyInPandas(piece, "k bigint, data binary").toLocalIterator():
+        table[r["k"] * FILTER_PIECE : (r["k"] + 1) * FILTER_PIECE] = np.frombuffer(r["data"], np.uint32)
     held = rows.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
@@ -327,10 +339,20 @@ def maybe_among(rows: DataFrame, n: int, on: list[str]):
     return maybe
 
 
+def escaped(text: Column) -> Column:
+    """Line breaks, which would end a header, and the percent sign as percent codes."""
+    for plain, code in ESCAPES.items():
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
+
+
 def page_of(uri: Column) -> Column:
     """The page's id, as text, in a record id; null for other ids and where the page has none."""
-    found = F.regexp_extract(uri, r"(?s)^<urn:page:(.*):[A-Z2-7]{32}>$", 1)
-    return F.when(found != "", found)
+    form = r"(?s)^<urn:page:(.*):[A-Z2-7]{32}>$"
+    found = F.regexp_extract(uri, form, 1)
+    for plain, code in reversed(ESCAPES.items()):
+        found = F.replace(found, F.lit(code), F.lit(plain))
+    return F.when(uri.rlike(form), found)
 
 
 def verified(records: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from dataclasses import dataclass
 
 import pytest
 import xxhash
@@ -224,12 +225,39 @@ def test_bands_reject_repetition_and_noise():
 # Mixing
 
 
+@dataclass
+class Target:
+    source: str | None
+    size: int
+    target: float
+
+
+def plain_targets(sizes, weights=mixing.WEIGHTS, share=1.5, most=2.0):
+    """Targets of the sources (by code point, null last): shares of `share` times all sizes by repeating weights, none above `most` times its size."""
+    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = [weights[k % len(weights)] for k in range(len(ordered))]
+    limit = [most * n for _, n in ordered]
+    left, open_, out = share * sum(n for _, n in ordered), set(range(len(ordered))), [0.0] * len(ordered)
+    while open_:
+        total = sum(weight[k] for k in sorted(open_))
+        over = {k for k in open_ if left * weight[k] / total > limit[k]}
+        if not over:
+            for k in open_:
+                out[k] = left * weight[k] / total
+            break
+        for k in sorted(over):
+            out[k] = float(limit[k])
+            left -= limit[k]
+        open_ -= over
+    return [Target(s, n, t) for (s, n), t in zip(ordered, out, strict=True)]
+
+
 def test_targets_share_by_weight_up_to_the_limit():
-    found = mixing.targets([("b", 10), (None, 100), ("a", 50), ("c", 40)])
+    found = plain_targets([("b", 10), (None, 100), ("a", 50), ("c", 40)])
     assert [t.source for t in found] == ["a", "b", "c", None]
     assert [t.target for t in found] == [100.0, 20.0, 72.0, 108.0]
     assert sum(t.target for t in found) == 1.5 * 200
-    assert mixing.targets([]) == [] and mixing.targets([("a", 0)])[0].target == 0
+    assert plain_targets([]) == [] and plain_targets([("a", 0)])[0].target == 0
 
 
 def test_mix_is_whole_near_target_and_repeatable(spark):
@@ -252,7 +280,7 @@ def test_sources_of_any_number_get_the_same_targets(spark, monkeypatch):
     rng = random.Random(8)
     sizes = [(f"s{k}", rng.choice([0, 1, 5, 60, 4000])) for k in range(200)] + [(None, 70)]
     rows = mixing.source_table(spark.createDataFrame([(x, n, 3) for x, n in sizes], "source string, n bigint, docs bigint")).orderBy("s").collect()
-    want = mixing.targets(sizes)
+    want = plain_targets(sizes)
     assert [(r["source"], r["s"], r["source_size"]) for r in rows] == [(t.source, k, t.size) for k, t in enumerate(want)]
     assert [r["target"] for r in rows] == pytest.approx([t.target for t in want])
     assert rows[0]["slot_from"] == 0 and all(a["slot_to"] == b["slot_from"] for a, b in zip(rows, rows[1:]))
@@ -408,6 +436,14 @@ def test_many_revisits_meet_pages_by_a_bit_set(spark, monkeypatch):
     assert sorted(map(tuple, warc.report(df).collect())) == few and len(few) == 300
 
 
+def test_warc_ids_of_any_text_come_back(spark):
+    ids = ["", None, " a ", "a\nb", "a\r\nb", "100%", "%0A", "%250A", "x:y>", "ü"]
+    df = spark.createDataFrame([(x, "http://h/", f"page {k}") for k, x in enumerate(ids)] + [("z", "http://h/", "page 3")], "page_id string, url string, html string")
+    got = warc.report(df).collect()
+    assert sorted((r["page_id"] for r in got), key=repr) == sorted([*ids, "z"], key=repr)
+    assert [r["refers_to"] for r in got if r["record_type"] == "revisit"] == ["a\nb"]
+
+
 def test_warc_of_no_pages(spark):
     assert warc.report(spark.createDataFrame([], "page_id bigint, url string, html string")).isEmpty()
 
