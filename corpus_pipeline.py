@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sedge.llm import decontaminate, language_id, mixing, simhash, toxicity
-from sedge.llm.common import shared_dir
+from sedge.llm.common import remove, scratch, shared_dir
 from sedge.session import table
 
 
@@ -57,10 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet in the shared folder and read again by the next.
+
+    Once a stage is written, its intermediate tables and what the stage before wrote are deleted: one copy of the documents stays,
+    which the result reads.
+    """
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = f"{base}/{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

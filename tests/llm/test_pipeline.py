@@ -1,7 +1,12 @@
 """The pipeline: stages keep columns and whole rows, decisions take effect, and run() equals the stages one by one."""
 
+from contextvars import ContextVar
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sedge.llm import decontaminate, language_id, mixing, simhash
+from sedge.llm import common, decontaminate, language_id, mixing, simhash
+from sedge.llm.common import cut
 from sedge.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +33,15 @@ def test_stages_and_run(spark, tmp_path):
     assert docs.count() == clean.count() and docs.columns == mixing.report(clean).columns
 
 
+def test_run_leaves_one_copy_of_the_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda spark, docs, sf_dir, n=n: cut(docs.withColumn("n_chars", docs["n_chars"] + 1))) for n in "abc"] + [("end", lambda spark, docs, sf_dir: docs)])
+    monkeypatch.setattr(common, "_scratch", ContextVar("test", default=str(tmp_path)))
+    docs = table(spark, SF, "documents")
+    assert corpus_pipeline.run(spark, SF).agg(F.sum("n_chars")).first()[0] == docs.agg(F.sum(F.col("n_chars") + 3)).first()[0]
+    (left,) = tmp_path.iterdir()
+    assert [x.name for x in left.iterdir()] == ["c"]
+
+
 def test_empty_and_odd_documents_pass_all_stages(spark):
     schema = table(spark, SF, "documents").schema
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "hello there my friend", "en", "s", 5), (3, "hello there my friend", "en", "s", 5), (None, "another text altogether", "en", None, 5)]
