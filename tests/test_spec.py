@@ -96,6 +96,21 @@ def test_statements_are_reduced_to_semi_joins(spark, sf):
     assert "`o` JOIN" not in reduced(spark, "SELECT c.* FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey AND `o`.`o_orderkey` > 3")
 
 
+def test_rings_join_distinct_values_of_what_the_links_read(spark):
+    from sedge.plans.rewrite import reduced
+
+    for name, rows in {"ra": "id % 50 AS k, if(id % 9 = 0, null, id % 4) AS g, id AS a_id, map('t', id % 3) AS tags", "rb": "id % 40 AS k, id % 5 AS g, id AS b_id", "rc": "id % 6 AS h, if(id % 7 = 0, null, id % 3) AS g, id % 3 AS t"}.items():
+        spark.sql(f"SELECT {rows} FROM range({3000 if name == 'rc' else 300})").createOrReplaceTempView(name)
+    ties = ["c.g = b.g AND c.h % 2 = a.a_id % 2", "c.g <=> a.g AND c.h = b.g", "c.h < a.g AND b.g = c.g", "(c.g = a.g OR a.g IS NULL) AND c.h = b.g", "c.t = a.tags['t'] AND c.h = b.g", "coalesce(a.g, c.g) = 1 AND c.h + a.a_id = b.b_id", "c.t = a.tags[concat('t', if(c.h < 0, 'x', ''))] AND c.h = b.g"]
+    for tie in ties:
+        got = spark.sql(reduced(spark, f"SELECT a.* FROM ra a JOIN rb b ON a.k = b.k AND b_id > 7 JOIN rc c ON {tie} WHERE a.a_id < 200"))
+        want = spark.sql(f"SELECT a.a_id FROM ra a WHERE a.a_id < 200 AND a_id IN (SELECT a.a_id FROM ra a JOIN rb b ON a.k = b.k AND b_id > 7 JOIN rc c ON {tie})")
+        assert sorted(x[0] for x in got.select("a_id").collect()) == sorted(x[0] for x in want.collect()), tie
+        assert got.columns == ["k", "g", "a_id", "tags"]
+    # rc has 3,000 rows of few values: no join may meet its rows one by one.
+    assert reduced(spark, f"SELECT a.* FROM ra a JOIN rb b ON a.k = b.k JOIN rc c ON {ties[0]}").count("SELECT DISTINCT") == 3
+
+
 def test_answers_are_guarded(spark, sf):
     from sedge.plans.guard import answer
 
