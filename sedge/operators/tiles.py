@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -184,59 +189,191 @@ def quarter() -> Column:
     return east.cast("int") + 2 * north.cast("int")
 
 
-def quadtree_split(tiles: DataFrame, target: int = 12, most_levels: int = 40) -> DataFrame:
+def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a sorted array begins, and each row's number among the values."""
+    first = np.r_[True, of[1:] != of[:-1]]
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+def _numbers(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows[c].to_numpy() for c in names]
+
+
+def _ranks(ids: pa.ChunkedArray) -> np.ndarray:
+    return np.argsort(pc.sort_indices(ids).to_numpy(), kind="stable")
+
+
+def _named(column: str, kept: list[str], name: Callable[[pa.Table], list[str]]) -> Callable[[pa.Table], pa.Table]:
+    """A task's function of a group: the kept columns, and the name of each row."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        return rows.select(kept).append_column(column, pa.array(name(rows), pa.string()))
+
+    return run
+
+
+def _usable(*names: str) -> Column:
+    """No value of the group is null or not a number, so that sorting in a task is sorting in Spark."""
+    odd = F.col("tile_id").isNull()
+    for c in names:
+        odd |= F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    return F.count_if(odd) == 0
+
+
+def _cells(rows: pa.Table, target: int, most_levels: int) -> list[str]:
+    """The final cell of each row of one cell, all its levels one after the other."""
+    x, y, *sides = _numbers(rows, "x", "y", *SIDES)
+    rank, names, out = _ranks(rows["tile_id"]), [rows["cell"][0].as_py()], np.empty(rows.num_rows, object)
+    at, of = np.arange(rows.num_rows), np.zeros(rows.num_rows, int)
+    for _ in range(most_levels):
+        starts, run = _runs(of)
+        n = np.diff(np.r_[starts, len(at)])
+        low_x, high_x, low_y, high_y = ((np.minimum if "min" in c else np.maximum).reduceat(v[at], starts) for c, v in zip(SIDES, sides, strict=True))
+        ready = n[run] <= target
+        out[at[ready]] = np.array(names, object)[of[ready]]
+        quarter = (x[at] >= ((low_x + high_x) / 2)[run]).astype(int) + 2 * (y[at] >= ((low_y + high_y) / 2)[run]).astype(int)
+        one = np.minimum.reduceat(quarter, starts) == np.maximum.reduceat(quarter, starts)
+        order = np.lexsort((rank[at], np.where((high_x - low_x >= high_y - low_y)[run], x[at], y[at]), run))
+        place = np.empty(len(at), int)
+        place[order] = np.arange(len(at)) - starts[run]
+        code = np.where(one[run], np.where(place < (n[run] + 1) // 2, 4, 5), quarter)
+        at, keys = at[~ready], (of * 6 + code)[~ready]
+        if not len(at):
+            return list(out)
+        order = np.argsort(keys, kind="stable")
+        found, of = np.unique(keys[order], return_inverse=True)
+        at, names = at[order], [names[k // 6] + "0123ab"[k % 6] for k in found]
+    raise ValueError("cells do not get smaller")
+
+
+def quadtree_split(tiles: DataFrame, target: int = 12, most_levels: int = 40, rows_in_task: int = 50_000) -> DataFrame:
     """tile_id and cell: tiles split in quadrants at the middle of their cell's bounds until a cell has `target` or fewer.
 
-    Cells that quadrants cannot split are halved by rank along their longer axis. All cells of a level are split in one
-    pass: bounds by a grouping, quadrants by a join; only cells that need the ranks sort their rows.
+    Cells that quadrants cannot split are halved by rank along their longer axis. All cells of a level that have more than
+    rows_in_task tiles are split in one pass: bounds by a grouping, quadrants by a join; only cells that need the ranks sort
+    their rows. A smaller cell is split to its end in one task.
     """
     now = cut(tiles.select("tile_id", "x", "y", F.lit("").alias("cell"), *SIDES))
     done = None
-    for _ in range(most_levels):
-        stats = union_bounds(now, "cell").join(now.groupBy("cell").agg(F.count("*").alias("n")), "cell").select("cell", "n", *[F.col(c).alias(f"g_{c}") for c in SIDES])
-        split = now.join(stats, "cell")
-        ready = split.where(F.col("n") <= target).select("tile_id", "cell")
-        rest = split.where(F.col("n") > target).withColumn("quarter", quarter())
+    for level in range(most_levels):
+        bounds = [(F.min if c.startswith("min") else F.max)(c).alias(f"g_{c}") for c in SIDES]
+        small = ((F.count("*") <= rows_in_task) & _usable("x", "y", *SIDES)).alias("small")
+        split = now.join(cut(now.groupBy("cell").agg(F.count("*").alias("n"), small, *bounds)), "cell")
+        ready = split.where((F.col("n") <= target) & ~F.col("small")).select("tile_id", "cell")
+        finished = split.where("small").select(now.columns).groupBy("cell").applyInArrow(_named("cell", ["tile_id"], partial(_cells, target=target, most_levels=most_levels - level)), ready.schema).unionByName(ready)
+        done = finished if done is None else done.unionByName(finished)
+        rest = split.where((F.col("n") > target) & ~F.col("small")).withColumn("quarter", quarter())
         shares = rest.groupBy("cell").agg(F.count_distinct("quarter").alias("quarters"))
         rest = rest.join(shares, "cell")
         by_quarter = rest.where("quarters > 1").withColumn("cell", F.concat("cell", F.col("quarter").cast("string")))
         along = F.when(F.col("g_max_x") - F.col("g_min_x") >= F.col("g_max_y") - F.col("g_min_y"), F.col("x")).otherwise(F.col("y"))
         place = F.row_number().over(Window.partitionBy("cell").orderBy(along, "tile_id"))
         by_half = rest.where("quarters = 1").withColumn("_place", place).withColumn("cell", F.concat("cell", F.when(F.col("_place") <= F.ceil(F.col("n") / 2), "a").otherwise("b")))
-        done = cut(ready) if done is None else done.unionByName(cut(ready))
         now = cut(by_quarter.select(now.columns).unionByName(by_half.select(now.columns)))
         if now.isEmpty():
             return done
     raise ValueError("cells do not get smaller")
 
 
+class _Near:
+    """Groups in order, in blocks under a binary tree whose nodes hold the bounds of their centres and their least size."""
+
+    BLOCK = 8
+
+    def __init__(self, size: list[float], centre: list[tuple[float, float, float]]):
+        self.size, self.centre = size, centre  # a group that is gone has the size infinity
+        self.leaves = 1 << max(0, (-(-len(size) // self.BLOCK) - 1).bit_length())
+        self.nodes: list[tuple] = [()] * (2 * self.leaves)
+        for node in range(2 * self.leaves - 1, 0, -1):
+            self.nodes[node] = self._of(node)
+
+    def _of(self, node: int) -> tuple:
+        """Least size, lower and upper bounds."""
+        if node < self.leaves:
+            a, b = self.nodes[2 * node], self.nodes[2 * node + 1]
+            return (min(a[0], b[0]), min(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3]), max(a[4], b[4]), max(a[5], b[5]), max(a[6], b[6]))
+        first = (node - self.leaves) * self.BLOCK
+        here = [k for k in range(first, min(first + self.BLOCK, len(self.size))) if self.size[k] < math.inf]
+        if not here:
+            return (math.inf,) * 4 + (-math.inf,) * 3
+        return (min(self.size[k] for k in here), *map(min, zip(*(self.centre[k] for k in here))), *map(max, zip(*(self.centre[k] for k in here))))
+
+    def changed(self, k: int) -> None:
+        node = self.leaves + k // self.BLOCK
+        while node:
+            new = self._of(node)
+            if new == self.nodes[node]:
+                return
+            self.nodes[node] = new
+            node //= 2
+
+    def nearest(self, k: int, room: float) -> int | None:
+        """The nearest other group of a size within room; the first of equally near ones."""
+        x, y, z = self.centre[k]
+        best, found = math.inf, len(self.size)
+        depth = self.leaves.bit_length()
+        up = self.leaves + k // self.BLOCK
+        stack = [up]
+        while up:
+            while stack:
+                n = stack.pop()
+                least, x0, y0, z0, x1, y1, z1 = self.nodes[n]
+                if least > room:
+                    continue
+                dx = x0 - x if x < x0 else x - x1 if x > x1 else 0.0
+                dy = y0 - y if y < y0 else y - y1 if y > y1 else 0.0
+                dz = z0 - z if z < z0 else z - z1 if z > z1 else 0.0
+                apart, first = dx * dx + dy * dy + dz * dz, ((n << (depth - n.bit_length())) - self.leaves) * self.BLOCK
+                if apart > best or apart == best and first > found:
+                    continue
+                if n < self.leaves:
+                    stack += [2 * n + 1, 2 * n]
+                    continue
+                for j in range(first, min(first + self.BLOCK, len(self.size))):
+                    if self.size[j] <= room and j != k:
+                        a, b, c = self.centre[j]
+                        d = (a - x) * (a - x) + (b - y) * (b - y) + (c - z) * (c - z)
+                        if d < best or d == best and j < found:
+                            best, found = d, j
+            # On the way up, the other half of every node above.
+            stack, up = [up ^ 1] if up > 1 else [], up // 2
+        return found if found < len(self.size) else None
+
+
 def merge_small(groups: list[tuple[str, int, float, float, float]], least: int, most: int) -> dict[str, str]:
     """Which group each small group joins: again and again the smallest below `least` goes to the nearest that has room.
 
     Input: name, size and centre of each group; output: final name of every group. A sequence of choices, made on group
-    summaries (one row per group), never on their members.
+    summaries (one row per group), never on their members. The nearest group is looked up in a tree over the groups in the
+    order of their names, which brings quadtree cells that are near in space near each other; with other names the result
+    is the same, in more time.
     """
     ordered = sorted(groups)
-    size = np.array([g[1] for g in ordered], float)
-    total = np.array([[g[2], g[3], g[4]] for g in ordered], float).reshape(-1, 3) * size[:, None]
-    alive, into = np.ones(len(ordered), bool), list(range(len(ordered)))
-    while True:
-        below = np.where(alive & (size < least), size, np.inf)
-        small = int(below.argmin()) if len(below) else 0
-        if not len(below) or below[small] == np.inf:
-            break
-        apart = ((total / size[:, None] - total[small] / size[small]) ** 2).sum(axis=1)
-        room = alive & (size + size[small] <= most)
-        room[small] = False
-        if not room.any():
+    size = [float(g[1]) for g in ordered]
+    total = [(g[2] * g[1], g[3] * g[1], g[4] * g[1]) for g in ordered]
+    near_by = _Near(size, [(t[0] / n, t[1] / n, t[2] / n) for t, n in zip(total, size, strict=True)])
+    into = list(range(len(ordered)))
+    waiting = [(n, k) for k, n in enumerate(size) if n < least]
+    heapq.heapify(waiting)
+    while waiting:
+        n, small = heapq.heappop(waiting)
+        if size[small] != n:
+            continue
+        near = near_by.nearest(small, most - n)
+        if near is None:
             break
-        near = int(np.where(room, apart, np.inf).argmin())
-        size[near] += size[small]
-        total[near] += total[small]
-        alive[small], into[small] = False, near
+        total[near] = tuple(a + b for a, b in zip(total[near], total[small], strict=True))
+        into[small], size[small] = near, math.inf
+        size[near] += n
+        near_by.centre[near] = tuple(t / size[near] for t in total[near])
+        near_by.changed(small)
+        near_by.changed(near)
+        if size[near] < least:
+            heapq.heappush(waiting, (size[near], near))
     names = {}
     for k, g in enumerate(ordered):
         while into[k] != k:
+            into[k] = into[into[k]]
             k = into[k]
         names[g[0]] = ordered[k][0]
     return names
@@ -271,13 +408,11 @@ def split_overfull(members: DataFrame, most_bytes: int, most_span: float | None
     raise ValueError("parts do not get smaller")
 
 
-def quadtree_groups(tiles: DataFrame, target: int = 12, least: int = 8, most: int = 16, most_groups: int = 200_000) -> DataFrame:
+def quadtree_groups(tiles: DataFrame, target: int = 12, least: int = 8, most: int = 16) -> DataFrame:
     """tile_id and group_name: quadtree cells, small ones merged with near ones."""
     cells = cut(quadtree_split(tiles, target))
     sums = cells.join(tiles.select("tile_id", "x", "y"), "tile_id").groupBy("cell").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    rows = sums.limit(most_groups + 1).collect()
-    if len(rows) > most_groups:
-        raise ValueError(f"more than {most_groups} groups: merge cells of one top quadrant at a time")
-    into = merge_small([(r["cell"], r["n"], r["x"], r["y"], 0.0) for r in rows], least, most)
-    names = tiles.sparkSession.createDataFrame(list(into.items()) or [("", "")], "cell string, group_name string")
-    return cells.join(F.broadcast(names), "cell").select("tile_id", "group_name")
+    rows = sums.toArrow()
+    into = merge_small(list(zip(*(rows[c].to_pylist() for c in ("cell", "n", "x", "y")), [0.0] * rows.num_rows)), least, most)
+    named = pa.table({"cell": pa.array(into.keys(), pa.string()), "group_name": pa.array(into.values(), pa.string())})
+    return cells.join(tiles.sparkSession.createDataFrame(named), "cell").select("tile_id", "group_name")

@@ -65,6 +65,37 @@ def test_merging_small_groups_stops_when_full():
     assert into["a"] == "b" and into["d"] == "d"
 
 
+def test_small_groups_merge_as_by_trying_all(spark):
+    import random
+
+    def plain(groups: list, least: int, most: int) -> dict:
+        """Every choice by a look at all groups."""
+        now = {g[0]: [float(g[1]), *(c * float(g[1]) for c in g[2:])] for g in groups}
+        into = {k: k for k in now}
+        while small := min(((g[0], k) for k, g in now.items() if g[0] < least), default=None):
+            n, k = small
+            ways = [(sum((a / g[0] - b / n) ** 2 for a, b in zip(g[1:], now[k][1:], strict=True)), j) for j, g in now.items() if j != k and g[0] + n <= most]
+            if not ways:
+                break
+            near = min(ways)[1]
+            now[near] = [a + b for a, b in zip(now[near], now.pop(k), strict=True)]
+            into = {a: near if b == k else b for a, b in into.items()}
+        return into
+
+    for seed in range(12):
+        r = random.Random(seed)
+        at = [(r.random(), r.random(), 0.0), (1.5, 2.5, 3.5)]
+        groups = [(f"{r.randint(0, 10**6)}-{k}", r.randint(1, 12), *(r.choice(at) if seed % 3 else (r.gauss(0, 9), r.random(), r.random()))) for k in range(r.choice([0, 1, 9, 150]))]
+        assert tiles.merge_small(groups, 8, 16) == plain(groups, 8, 16)
+
+
+def test_cells_split_in_a_task_are_those_of_the_levels(spark):
+    p = spark.range(900).selectExpr("id AS tile_id", "if(id % 3 = 0, 5D, id * 7919 % 1000 / 10D) AS x", "if(id % 3 = 0, 5D, id * id % 77 + 0D) AS y")
+    p = p.selectExpr("*", "x - 2 AS min_x", "x + tile_id % 3 AS max_x", "y - 2 AS min_y", "y + 2 AS max_y")
+    by_levels, mixed, in_tasks = ({(r["tile_id"], r["cell"]) for r in tiles.quadtree_split(p, 5, rows_in_task=n).collect()} for n in (0, 200, 900))
+    assert by_levels == mixed == in_tasks and len(by_levels) == 900
+
+
 def test_splitting_keeps_members_within_both_limits(spark):
     rows = [("a", k, 10 * (k + 1), float(k), 0.0) for k in range(8)] + [("b", 20, 500, 0.0, 0.0), ("b", 21, 5, 1.0, 0.0), ("c", 30, 60, 0.0, 1.0), ("c", 31, 60, 0.0, 1.0)]
     rows += [("d", 100 + k, 0, float(k * k), 0.0) for k in range(9)] + [("e", 200 + k, 1, 5.0, 5.0) for k in range(300)] + [(None, 600, 70, 0.0, 0.0), (None, 601, 70, 0.0, 0.0)]
