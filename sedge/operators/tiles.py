@@ -379,32 +379,75 @@ def merge_small(groups: list[tuple[str, int, float, float, float]], least: int,
     return names
 
 
-def split_overfull(members: DataFrame, most_bytes: int, most_span: float | None = None, most_rounds: int = 64) -> DataFrame:
+def _parts(rows: pa.Table, most_bytes: int, most_span: float | None, low: list[str], high: list[str], most_rounds: int) -> list[str]:
+    """The final part of each row of one part, all its rounds one after the other."""
+    size, x, y = _numbers(rows, "bytes", "x", "y")
+    lows, highs = _numbers(rows, *low), _numbers(rows, *high)
+    rank, ids, names = _ranks(rows["tile_id"]), rows["tile_id"].cast(pa.string()).to_pylist(), [rows["part"][0].as_py()]
+    at, of, out, weight = np.arange(rows.num_rows), np.zeros(rows.num_rows, int), [""] * rows.num_rows, size + 1
+    for _ in range(most_rounds):
+        starts, run = _runs(of)
+        spans = [np.maximum.reduceat(b[at], starts) - np.minimum.reduceat(a[at], starts) for a, b in zip(lows, highs, strict=True)]
+        light = size[at] < most_bytes
+        over = np.add.reduceat(size[at], starts) > most_bytes
+        if most_span is not None:
+            over |= np.maximum(*spans) > most_span
+        over &= np.diff(np.r_[starts, len(at)]) > 1
+        alone = over[run] & (~light | (np.add.reduceat(light.astype(int), starts) == 1)[run])
+        for k, g in zip(at[~over[run]], of[~over[run]], strict=True):
+            out[k] = names[g]
+        for k, g in zip(at[alone], of[alone], strict=True):
+            out[k] = f"{names[g]}one {ids[k]}"
+        rest = over[run] & ~alone
+        at, of, wide = at[rest], of[rest], (spans[0] >= spans[1])[run][rest]
+        if not len(at):
+            return out
+        order = np.lexsort((rank[at], np.where(wide, x[at], y[at]), of))
+        at, of = at[order], of[order]
+        starts, run = _runs(of)
+        w, total = weight[at], np.add.reduceat(weight[at], starts)[run]
+        before = np.cumsum(w) - w
+        before -= before[starts][run]
+        left = (before == 0) | (2 * before + w <= total) & (before + w < total)
+        found, of = np.unique(2 * of + ~left, return_inverse=True)
+        names = [names[k // 2] + "lr"[k % 2] for k in found]
+    raise ValueError("parts do not get smaller")
+
+
+def split_overfull(members: DataFrame, most_bytes: int, most_span: float | None = None, most_rounds: int = 64, rows_in_task: int = 50_000) -> DataFrame:
     """members (group_name, tile_id, bytes, x, y) with part: parts of a group keep within both limits, or are single members.
 
     A part over a limit gives up the members that reach the byte limit by themselves, and the others are halved where half
-    of their weight (bytes, and one for each) lies before, along the longer axis. All parts of a round are halved at once, by
-    running sums over ranges. The span counts the members' sides where they have them, else their centres.
+    of their weight (bytes, and one for each) lies before, along the longer axis. All parts of a round that have more than
+    rows_in_task members are halved at once, by running sums over ranges; a smaller part is halved to its end in one task.
+    The span counts the members' sides where they have them, else their centres.
     """
     low, high = (([f"{m}_{a}" for a in "xy"] if set(SIDES) <= set(members.columns) else ["x", "y"]) for m in ("min", "max"))
     keys, span = ["group_name", "part"], [F.max(b) - F.min(a) for a, b in zip(low, high, strict=True)]
     weight = F.col("bytes") + 1
     now = cut(members.withColumn("part", F.lit("")))
+    names = [c for c in now.columns if c != "part"]
+    small = ((F.count("*") <= rows_in_task) & (F.min("bytes") >= 0) & _usable("bytes", "x", "y", *low, *high)).alias("_small")
     done = None
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         over = F.sum("bytes") > most_bytes if most_span is None else (F.sum("bytes") > most_bytes) | (F.greatest(*span) > most_span)
-        stats = now.groupBy(*keys).agg((over & (F.count("*") > 1)).alias("_over"), (span[0] >= span[1]).alias("_wide"), F.sum(F.when(F.col("bytes") < most_bytes, weight)).alias("_weight"), F.count_if(F.col("bytes") < most_bytes).alias("_n"))
-        stats = stats.withColumnsRenamed({k: f"_{k}" for k in keys})
+        stats = now.groupBy(*keys).agg(small, (over & (F.count("*") > 1)).alias("_over"), (span[0] >= span[1]).alias("_wide"), F.sum(F.when(F.col("bytes") < most_bytes, weight)).alias("_weight"), F.count_if(F.col("bytes") < most_bytes).alias("_n"))
+        stats = cut(stats.withColumnsRenamed({k: f"_{k}" for k in keys}))
         known = now.join(stats, F.col("group_name").eqNullSafe(F.col("_group_name")) & (F.col("part") == F.col("_part"))).drop("_group_name", "_part")
         alone = F.col("_over") & ((F.col("bytes") >= most_bytes) | (F.col("_n") == 1))
-        ready = known.where(~F.col("_over") | alone).withColumn("part", F.when(alone, F.concat("part", F.lit("one "), F.col("tile_id").cast("string"))).otherwise(F.col("part")))
-        done = cut(ready.select(now.columns)) if done is None else done.unionByName(cut(ready.select(now.columns)))
-        rest = known.where(F.col("_over") & ~alone).withColumn("_along", F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")))
+        # Small parts: rows keep their columns, the part is put last as in now.
+        name = _named("part", names, partial(_parts, most_bytes=most_bytes, most_span=most_span, low=low, high=high, most_rounds=most_rounds - k))
+        finished = known.where("_small").select(*names, "part").groupBy(*keys).applyInArrow(name, now.select(*names, "part").schema)
+        large = known.where(~F.col("_small"))
+        ready = large.where(~F.col("_over") | alone).withColumn("part", F.when(alone, F.concat("part", F.lit("one "), F.col("tile_id").cast("string"))).otherwise(F.col("part")))
+        ended = finished.unionByName(ready.select(*names, "part"))
+        done = ended if done is None else done.unionByName(ended)
+        rest = large.where(F.col("_over") & ~alone).withColumn("_along", F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")))
+        if rest.isEmpty():
+            return done
         halved = running_sum(rest, "_before", weight, keys, "_along", "tile_id")
         left = (F.col("_before") == 0) | (2 * F.col("_before") + weight <= F.col("_weight")) & (F.col("_before") + weight < F.col("_weight"))
-        now = cut(halved.withColumn("part", F.concat("part", F.when(left, "l").otherwise("r"))).select(now.columns))
-        if now.isEmpty():
-            return done
+        now = cut(halved.withColumn("part", F.concat("part", F.when(left, "l").otherwise("r"))).select(*names, "part"))
     raise ValueError("parts do not get smaller")
 
 

@@ -96,6 +96,13 @@ def test_cells_split_in_a_task_are_those_of_the_levels(spark):
     assert by_levels == mixed == in_tasks and len(by_levels) == 900
 
 
+def test_splitting_in_a_task_is_that_of_the_rounds(spark):
+    rows = spark.range(700).selectExpr("CASE id % 5 WHEN 0 THEN null WHEN 1 THEN 'b' ELSE 'a' END AS group_name", "1000 - id AS tile_id", "if(id % 50 = 7, 500, id * 7919 % 90) AS bytes", "if(id % 4 = 0, 7D, id * 31 % 100 / 3D) AS x", "id % 9 / 2D AS y", "array(id) AS more")
+    for span in (None, 6.0):
+        by_rounds, mixed, in_tasks = ({tuple(map(str, r)) for r in tiles.split_overfull(rows, 200, span, rows_in_task=n).collect()} for n in (0, 60, 700))
+        assert by_rounds == mixed == in_tasks and len(by_rounds) == 700
+
+
 def test_splitting_keeps_members_within_both_limits(spark):
     rows = [("a", k, 10 * (k + 1), float(k), 0.0) for k in range(8)] + [("b", 20, 500, 0.0, 0.0), ("b", 21, 5, 1.0, 0.0), ("c", 30, 60, 0.0, 1.0), ("c", 31, 60, 0.0, 1.0)]
     rows += [("d", 100 + k, 0, float(k * k), 0.0) for k in range(9)] + [("e", 200 + k, 1, 5.0, 5.0) for k in range(300)] + [(None, 600, 70, 0.0, 0.0), (None, 601, 70, 0.0, 0.0)]
