@@ -18,6 +18,9 @@ from ..functions import geometry as G
 from ..storage import cut
 from .ordinals import running_sum
 
+#: Places that a task of nearest_groups compares with those around them, in the mean.
+PLACES_IN_TASK = 1000
+
 SIDES = [f"{m}_{a}" for a in "xy" for m in ("min", "max")]
 
 
@@ -162,6 +165,8 @@ def nearest_groups(groups: DataFrame, most_size: int, most_in_cell: int = 64) ->
         probes = waiting.withColumn("_class", F.explode(F.sequence(F.lit(0), size_class(room))))
         for x, n, c in zip(cells(width), names, axes, strict=True):
             probes = probes.withColumn(n, F.explode(F.array(x - 1, x, x + 1)) if c in wide else x)
+        # Pairs are ranked in the task that meets them, before any shuffle: what a task holds follows from its share of places.
+        probes, targets = (x.repartition(-(-seen["n"] // PLACES_IN_TASK), *names, "_class") for x in (probes, targets))
         met = probes.join(targets, [*names, "_class"]).where(F.col("t_size") <= room)
         d2 = sum(((F.col(f"t_{c}") - F.col(c)) * (F.col(f"t_{c}") - F.col(c)) for c in axes[1:]), (F.col("t_cx") - F.col("cx")) * (F.col("t_cx") - F.col("cx")))
         near = Window.partitionBy("place").orderBy("d2", "target_id")

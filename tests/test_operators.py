@@ -287,3 +287,13 @@ def test_nearest_groups_are_those_of_all_pairs(spark):
     assert tiles.nearest_groups(spark.createDataFrame(rows[:1], schema), 13).count() == 0
     same = [(k, 1, 1.0, 1.0, 1.0) for k in range(500)]
     assert {(x["group_id"], x["target_id"]) for x in tiles.nearest_groups(spark.createDataFrame(same, schema), 2).collect()} == {(k, 0 if k else 1) for k in range(500)}
+
+
+def test_pairs_of_near_groups_are_spread_over_tasks(spark, monkeypatch):
+    """The first grid of many places is met in as many tasks as places ask for, whatever the size of their file."""
+    made = []
+    monkeypatch.setattr(tiles, "cut", lambda df: made.append(df) or df.sparkSession.createDataFrame(df.toArrow(), df.schema))
+    groups = spark.range(5000).selectExpr("id AS group_id", "id % 9 + 1 AS size", "id * 7919 % 5000 / 3D AS cx", "id % 25 * 10D AS cy", "0D AS cz")
+    assert tiles.nearest_groups(groups, 12).count() == 5000
+    ready = [df for df in made if df.columns == ["place", "best"]]
+    assert ready and all(df._jdf.queryExecution().optimizedPlan().toString().count(", 5\n") >= 2 for df in ready)
