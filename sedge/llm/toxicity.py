@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +51,8 @@ PARTS, FAR = 6, 8
 STEPS, AGAINST = (0.5, 1, 1.5, 2, 2.5, 3, 4), (0.5, 1.5, 2.5)
 #: Windows whose distance a worker remembers. When so many are new, those not met since the last time are forgotten.
 REMEMBERED = 500_000
+#: Distinct windows of texts that are held until the new ones among them are compressed together.
+AT_ONCE = 50_000
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -79,27 +81,59 @@ class Distances:
     """Windows of a text by their distance from ordinary to toxic text, for pairs (ordinary, toxic) of dictionaries."""
 
     def __init__(self, pairs: list[tuple[bytes, bytes]]):
-        self.pairs, self.known = [(_compressor(a).compress, _compressor(b).compress) for a, b in pairs], {}
+        self.pairs, self.known = [(_compressor(a), _compressor(b)) for a, b in pairs], {}
         self.older: dict[bytes, int] = {}
 
-    def window(self, window: bytes) -> int:
+    def measured(self, found: list[bytes]) -> list[int]:
         """Bytes that toxic dictionaries save over ordinary ones, the mean over all pairs, in PARTS of a byte from -FAR on."""
-        data = b" " + window + b" " + CARRIER
-        saved = sum([len(ordinary(data)) - len(toxic(data)) for ordinary, toxic in self.pairs])
-        return PARTS * FAR + max(-PARTS * FAR, min(PARTS * FAR, round(PARTS * saved / len(self.pairs))))
+        data = [b" " + window + b" " + CARRIER for window in found]
+
+        def lengths(compressor: zstandard.ZstdCompressor) -> np.ndarray:
+            made = compressor.multi_compress_to_buffer(data)
+            return np.array([len(made[k]) for k in range(len(made))], int)
+
+        saved = sum(lengths(ordinary) - lengths(toxic) for ordinary, toxic in self.pairs)
+        return (PARTS * FAR + np.clip(np.rint(PARTS * saved / len(self.pairs)).astype(int), -PARTS * FAR, PARTS * FAR)).tolist()
+
+    def window(self, window: bytes) -> int:
+        return self.measured([window])[0]
 
     def counts(self, text: str | None) -> list[float]:
-        """Numbers of windows by distance."""
-        out, known = [0.0] * (2 * PARTS * FAR + 1), self.known
-        if len(known) > REMEMBERED:
-            self.older, known = known, {}
-            self.known = known
-        for window, n in Counter(windows(text)).items():
-            d = known.get(window)
-            if d is None:
-                d = self.older.get(window)
-                d = known[window] = self.window(window) if d is None else d
-            out[d] += n
+        return self.counts_of_all([text])[0]
+
+    def counts_of_all(self, texts: Iterable[str | None]) -> list[list[float]]:
+        """Numbers of windows by distance, of each text. Windows not met before are compressed many at a time."""
+        out, held, size = [], [], 0
+        new: dict[bytes, None] = {}
+
+        def flush() -> None:
+            if new:
+                self.known.update(zip(new, self.measured(list(new)), strict=True))
+            for found in held:
+                row = [0.0] * (2 * PARTS * FAR + 1)
+                for window, n in found.items():
+                    row[self.known[window]] += n
+                out.append(row)
+            new.clear()
+            held.clear()
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {}
+
+        for text in texts:
+            found = Counter(windows(text))
+            for window in found:
+                if window not in self.known:
+                    d = self.older.get(window)
+                    if d is None:
+                        new[window] = None
+                    else:
+                        self.known[window] = d
+            held.append(found)
+            size += len(found)
+            if size >= AT_ONCE:
+                flush()
+                size = 0
+        flush()
         return out
 
 
@@ -196,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, text: str
 
     def count(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         distances = Distances(held.value[key[0]])
-        return pd.DataFrame({"label": found["label"], "c": [distances.counts(t) for t in found["text"]]})
+        return pd.DataFrame({"label": found["label"], "c": distances.counts_of_all(found["text"])})
 
     part = F.pmod(F.xxhash64("text"), F.lit(4))
     got = rows.groupBy("fold", part).applyInPandas(lambda key, found: count(key, found), "label double, c array<double>").toPandas()
@@ -217,7 +251,7 @@ def scorer(spark: SparkSession, model: ToxicityModel | float):
             made.append(distances_of(held.value.pairs))
         if not len(texts):
             return pd.Series([], dtype=float)
-        return pd.Series(held.value.scores(np.array([made[0].counts(t) for t in texts])))
+        return pd.Series(held.value.scores(np.array(made[0].counts_of_all(texts))))
 
     return lambda text: score(text)
 

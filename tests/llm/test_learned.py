@@ -367,3 +367,22 @@ def test_labelled_samples_are_bounded_and_not_held_out(spark):
     assert whole.count() == docs.where(~held_out(F.col("doc_id"))).count()
     assert 200 < part.count() < 400 and set(part.collect()) <= set(whole.collect()) and set(part.collect()) == set(training_rows(docs, labels, "toxic", most_rows=300, columns=["text"]).collect())
     assert "BroadcastHashJoin" in part._jdf.queryExecution().toString()
+
+
+def test_windows_compressed_together_have_the_distances_of_single_ones(monkeypatch):
+    from sedge.llm import toxicity
+
+    pairs = [(b"quiet words of an ordinary text about rivers " * k, b"loud awful words of a nasty text about people " * k) for k in (1, 2, 3)]
+    texts = [None, "", "loud nasty people " * 9, "quiet rivers\tand people\n", "x" * 100 + " caf\u00e9 words"] + [f"word{k % 7} of text{k}" for k in range(40)]
+    monkeypatch.setattr(toxicity, "AT_ONCE", 8)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 12)
+    got = toxicity.Distances(pairs).counts_of_all(texts)
+    both = [(toxicity._compressor(a), toxicity._compressor(b)) for a, b in pairs]
+    for text, row in zip(texts, got, strict=True):
+        want = [0.0] * len(row)
+        for w in toxicity.windows(text):
+            data = b" " + w + b" " + toxicity.CARRIER
+            saved = sum(len(a.compress(data)) - len(b.compress(data)) for a, b in both)
+            at = round(toxicity.PARTS * saved / len(both))
+            want[toxicity.PARTS * toxicity.FAR + max(-toxicity.PARTS * toxicity.FAR, min(toxicity.PARTS * toxicity.FAR, at))] += 1
+        assert row == want
